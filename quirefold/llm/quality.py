@@ -45,10 +45,10 @@ class Band:
 
 #: Bands by language, and by script for other languages. Parameters, chosen wide enough to keep running prose.
 LANGUAGE_BANDS = {
-    "en": Band(1.7, 6.5, 0.02, 0.45),
-    "de": Band(1.6, 6.5, 0.02, 0.45),
-    "fr": Band(1.5, 6.5, 0.02, 0.45),
-    "es": Band(1.5, 6.5, 0.02, 0.45),
+    "en": Band(1.5, 6.5, 0.02, 0.47),
+    "de": Band(1.4, 6.5, 0.02, 0.47),
+    "fr": Band(1.4, 6.5, 0.02, 0.47),
+    "es": Band(1.4, 6.5, 0.02, 0.47),
 }
 SCRIPT_BANDS = {
     "latin": Band(1.4, 7.0, 0.05, 0.40),
