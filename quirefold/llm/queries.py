@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quirefold.llm import exact_dedup, hosts, licenses, quality
+from quirefold.llm import bpe, exact_dedup, hosts, licenses, packing, quality
 from quirefold.llm.store import read_table
 
 #: op3's ordered policy.
@@ -45,12 +45,32 @@ def op4_progressive_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return joined.select("doc_id", keep.alias("keep_id"), F.coalesce("group_size", F.lit(1)).alias("group_size"), F.col("doc_id").eqNullSafe(keep).alias("kept"), "text_sha256")
 
 
+def op5_residual_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    path = public_tokenizers.path
+    packed = packing.pack_documents(docs, path("byte_bpe_50k.json"), path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+    return packed.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
+
+
+def op7_two_tier_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    return bpe.round_trip(docs, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
 def op8_licence_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_tokeniser_fertility, op3_host_reputation, op4_progressive_dedup, op8_licence_sentences)}
+    all_of_them = (
+        op1_tokeniser_fertility,
+        op3_host_reputation,
+        op4_progressive_dedup,
+        op5_residual_packing,
+        op7_two_tier_bpe,
+        op8_licence_sentences,
+    )
+    return {f.__name__: f for f in all_of_them}
 
 
 def _op3_sql() -> str:
