@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quirefold.llm import bpe, exact_dedup, hosts, licenses, packing, quality
+from quirefold.llm import bpe, exact_dedup, hosts, licenses, packing, quality, warc
 from quirefold.llm.store import read_table
 
 #: op3's ordered policy.
@@ -29,6 +29,12 @@ def op1_tokeniser_fertility(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op2_chunked_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    manifest = warc.write_archives(read_table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+    found = warc.records(manifest)
+    return found.select(F.col("record_id").cast("long").alias("page_id"), "payload_bytes", "payload_digest", "record_type", F.col("refers_to").cast("long").alias("refers_to"))
+
+
 def op3_host_reputation(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = read_table(spark, sf_dir, "pages").select("page_id", "url")
     labels = read_table(spark, sf_dir, "labels")
@@ -64,6 +70,7 @@ def op8_licence_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     all_of_them = (
         op1_tokeniser_fertility,
+        op2_chunked_warc,
         op3_host_reputation,
         op4_progressive_dedup,
         op5_residual_packing,
@@ -130,6 +137,11 @@ def _op8_sql() -> str:
 def oracle_sql() -> dict[str, str]:
     white = r"[\x20\x09-\x0D]"
     return {
+        "op2_chunked_warc": """
+            with d as (select page_id, strlen(coalesce(html, '')) payload_bytes, sha256(coalesce(html, '')) payload_digest from pages),
+            f as (select *, case when payload_bytes >= 100 then min(page_id) over (partition by payload_digest) else page_id end first_id from d)
+            select page_id, payload_bytes, payload_digest, case when page_id = first_id then 'response' else 'revisit' end record_type,
+                case when page_id <> first_id then first_id end refers_to from f""",
         "op3_host_reputation": _op3_sql(),
         "op4_progressive_dedup": f"""
             with d as (select doc_id, length(coalesce(text, '')) points, sha256(regexp_replace(coalesce(text, ''), '{white}', '', 'g')) text_sha256 from documents)
