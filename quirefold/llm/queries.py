@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quirefold.llm import bpe, exact_dedup, hosts, licenses, packing, quality, warc
+from quirefold.llm import bpe, exact_dedup, hosts, licenses, minhash_dedup, packing, quality, warc
 from quirefold.llm.store import read_table
 
 #: op3's ordered policy.
@@ -67,6 +67,11 @@ def op8_licence_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op9_tensored_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    return minhash_dedup.near_duplicates(docs, k=4, percent=80)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     all_of_them = (
         op1_tokeniser_fertility,
@@ -76,6 +81,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         op5_residual_packing,
         op7_two_tier_bpe,
         op8_licence_sentences,
+        op9_tensored_minhash,
     )
     return {f.__name__: f for f in all_of_them}
 
