@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quirefold.llm import bpe, exact_dedup, hosts, licenses, minhash_dedup, packing, quality, warc
+from quirefold.llm import bpe, exact_dedup, hosts, licenses, minhash_dedup, packing, quality, substring_dedup, warc
 from quirefold.llm.store import read_table
 
 #: op3's ordered policy.
@@ -58,6 +58,10 @@ def op5_residual_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
 
 
+def op6_suffix_automata(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.repeated_passages(read_table(spark, sf_dir, "documents").select("doc_id", "text"), length=35)
+
+
 def op7_two_tier_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
     return bpe.round_trip(docs, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
@@ -79,6 +83,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         op3_host_reputation,
         op4_progressive_dedup,
         op5_residual_packing,
+        op6_suffix_automata,
         op7_two_tier_bpe,
         op8_licence_sentences,
         op9_tensored_minhash,
