@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quirefold.llm import bpe, exact_dedup, hosts, licenses, minhash_dedup, packing, quality, substring_dedup, warc
+from quirefold.llm import bpe, exact_dedup, hosts, html_extract, licenses, minhash_dedup, packing, quality, substring_dedup, warc
 from quirefold.llm.store import read_table
 
 #: op3's ordered policy.
@@ -76,6 +76,11 @@ def op9_tensored_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash_dedup.near_duplicates(docs, k=4, percent=80)
 
 
+def op10_boosted_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = html_extract.extract(read_table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+    return found.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     all_of_them = (
         op1_tokeniser_fertility,
@@ -87,6 +92,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         op7_two_tier_bpe,
         op8_licence_sentences,
         op9_tensored_minhash,
+        op10_boosted_html,
     )
     return {f.__name__: f for f in all_of_them}
 
