@@ -381,3 +381,13 @@ def repeated_passages(df: DataFrame, length: int = 35, id_col: str = "doc_id", t
     rows = found.ones.join(gone, F.col("doc_id") == F.col("_id"), "left").join(changed, F.col("doc_id") == F.col("_changed"), "left")
     removed = F.when(F.col("_gone"), F.col("n_words")).otherwise(F.coalesce("_n", F.lit(0)))
     return rows.select("doc_id", "n_words", removed.alias("n_removed"), F.when(F.col("_gone"), nothing).otherwise(F.coalesce("_sha", "sha")).alias("kept_sha256"))
+
+
+def remove_repeats(df: DataFrame, length: int = 35, id_col: str = "doc_id", text: str = "text") -> DataFrame:
+    """df with the words of repeated passages taken out of its texts, and the white space after them."""
+    found = Repeats(df, length, id_col, text)
+    words = found.ones.select("doc_id", "n_words").dropDuplicates(["doc_id"])
+    whole = found.copies.select("doc_id").distinct().join(words, "doc_id").select("doc_id", F.array(F.lit(0).cast("long"), F.col("n_words")).alias("spans"))
+    spans = materialize(found.spans.unionByName(whole), "all_spans").select(F.col("doc_id").alias("_doc"), F.col("spans").alias("_spans"))
+    rows = df.join(spans, F.col(id_col) == F.col("_doc"), "left").drop("_doc")
+    return rows.mapInArrow(_kept_text(text), rows.schema).drop("_spans")
