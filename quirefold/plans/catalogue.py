@@ -5,18 +5,671 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
+from pyspark.sql import functions as F
+
+from quirefold.functions import text as X
+from quirefold.operators import headings as H
+from quirefold.operators import lines as L
+from quirefold.operators import metadata as M
+from quirefold.operators import pages as P
+from quirefold.operators import sites as S
+from quirefold.operators import tables as T
+from quirefold.plans import adapters as A
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
 
+#: Least similarity of a heading and its line in the catalogue's section queries.
+LEAST = 0.1
+
+
+def query(sql: str | None = None):
+    def register(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            SQL[f.__name__] = sql
+        return f
+
+    return register
+
+
+def r6(c) -> F.Column:
+    return F.round(c, 6)
+
+
+# ---- lines -------------------------------------------------------------------------------------------------------
+
+
+@query(f"with {A.LINES} select * from lines")
+def doc_lines(spark, d):
+    return A.lines(spark, d)
+
+
+WORDS = "len(list_filter(regexp_split_to_array(text, '\\s+'), lambda w: w <> ''))::bigint"
+
+
+@query(
+    f"""with {A.LINES}, n as (select *, min(line_on_page) over p lo, max(line_on_page) over p hi from lines window p as (partition by doc_id, page_num))
+    select doc_id, page_num, line_on_page, {WORDS} word_count, case when regexp_matches(text, '(\\s|^)[0-9]+(\\s|$)') then 1 else 0 end contains_num,
+        case when regexp_matches(text, '^[0-9]+.*?\\s[\\p{{L}}\\p{{N}}_]') then 1 else 0 end starts_num, case when contains(text, chr(9)) then 1 else 0 end contains_tab,
+        case when contains(lower(text), 'page') then 1 else 0 end contains_page,
+        round(case when hi = lo then 0.0 else (line_on_page - lo) / (hi - lo)::double end, 6) normed_line_num from n"""
+)
+def line_features(spark, d):
+    rows = A.lines(spark, d)
+    place = L.min_max(F.col("line_on_page"), "doc_id", "page_num")
+    return rows.select("doc_id", "page_num", "line_on_page", *L.text_flags(F.col("text")), r6(place).alias("normed_line_num"))
+
+
+@query(f"with {A.BOXES} select doc_id, page_num, ord, text from boxes where not (\"left\" < 0.04 and width < 0.02)")
+def margin_noise_filter(spark, d):
+    return L.drop_margin_noise(A.boxes(spark, d)).select("doc_id", "page_num", "ord", "text")
+
+
+# The fold of line reconstruction as a recursive expression: one step for each box of a page.
+PLACED = f"""{A.BOXES}, base as (select doc_id, page_num, ord, "left" l, top t, width w from boxes),
+    walk(doc_id, page_num, ord, n, fy, pl, pw, lo, hi, pos) as (
+        select doc_id, page_num, ord, 1::bigint, t, l, w, 0::bigint, 0::bigint, 0::bigint from base where ord = 1
+        union all
+        select b.doc_id, b.page_num, b.ord,
+            case when level or slope then s.n else s.n + 1 end, case when level or slope then s.fy else t end,
+            case when level and l < s.pl then s.pl else l end, case when level and l < s.pl then s.pw else w end,
+            case when level and l < s.pl then s.lo - 1 when level or slope then s.lo else 0 end,
+            case when level and l < s.pl then s.hi when level or slope then s.hi + 1 else 0 end,
+            case when level and l < s.pl then s.lo - 1 when level or slope then s.hi + 1 else 0 end
+        from walk s join (select * from base) b on b.doc_id = s.doc_id and b.page_num = s.page_num and b.ord = s.ord + 1,
+            lateral (select t >= s.fy - 0.0075::double and t <= s.fy + 0.0075::double as level) x1,
+            lateral (select not level and l > s.pl + s.pw and abs(s.fy - t) / (l - (s.pl + s.pw)) < 0.014::double as slope) x2)"""
+
+
+@query(
+    f"""with recursive {PLACED}
+    select doc_id, page_num, n line_num, string_agg(text, ' ' || chr(9) order by pos) as text, count(*) n_boxes, round(avg(confidence), 6) confidence,
+        round(sum(width), 6) words_width, round(min("left"), 6) "left", round(avg(top), 6) top,
+        round(max_by("left" + width, case when pos >= 0 then pos end) - min("left"), 6) width
+    from walk join boxes using (doc_id, page_num, ord) group by doc_id, page_num, n"""
+)
+def line_reconstruct(spark, d):
+    m = L.merge_lines(L.assign_lines(A.boxes(spark, d)))
+    return m.select("doc_id", "page_num", "line_num", "text", "n_boxes", *[r6(c).alias(c) for c in ("confidence", "words_width", "left", "top", "width")])
+
+
+@query(
+    f"""with recursive {PLACED},
+    m as (select doc_id, page_num, n line_num, sum(width) ww, min("left") l, max_by("left" + width, case when pos >= 0 then pos end) - min("left") w
+        from walk join boxes using (doc_id, page_num, ord) group by all),
+    c as (select *, 0.5 - abs(l + w / 2 - 0.5) ce from m),
+    k as (select *, min(ce) over (partition by doc_id) lo, max(ce) over (partition by doc_id) hi from c)
+    select doc_id, page_num, line_num, round(ww / w, 6) words2width, round(case when hi = lo then 0 else (ce - lo) / (hi - lo) end, 6) centrality from k"""
+)
+def line_dataset(spark, d):
+    f = L.line_features(L.merge_lines(L.assign_lines(A.boxes(spark, d))))
+    return f.select("doc_id", "page_num", "line_num", r6("words2width").alias("words2width"), r6("centrality").alias("centrality"))
+
+
+@query(
+    """with b as (select o_orderkey id, o_custkey doc_id, 1::bigint page_num, o_orderkey ord, case when o_orderkey % 7 = 0 then 'PAGE' else 'LINE' end block_type from orders),
+    e as (select x.id src, 'CHILD' as type, y.id dst from b x join b y on y.id = x.id + 1 where x.id % 7 = 0)
+    select id, row_number() over (partition by doc_id, page_num order by ord) line_num from b where block_type = 'LINE' and exists (select 1 from e where e.dst = b.id)"""
+)
+def page_child_lines(spark, d):
+    k = F.col("o_orderkey")
+    blocks = A.table(spark, d, "orders").select(k.alias("id"), F.col("o_custkey").alias("doc_id"), F.lit(1).cast("long").alias("page_num"), k.alias("ord"), F.when(k % 7 == 0, "PAGE").otherwise("LINE").alias("block_type"))
+    edges = blocks.filter("id % 7 = 0").select(F.col("id").alias("src"), F.lit("CHILD").alias("type"), F.lit(0).alias("ord"), (F.col("id") + 1).alias("dst"))
+    return L.child_lines(blocks, edges).select("id", F.col("line_num").cast("long").alias("line_num"))
+
+
+# ---- pages -------------------------------------------------------------------------------------------------------
+
+TOC = """toc as (select doc_id, page_num, count(*) num_children, max(case when contains(lower(text), 'licensed') then 1 else 0 end) contains_contents_word,
+    max(case when contains(lower(text), 'of the') then 1 else 0 end) contains_toc_phrase, max(case when contains(lower(text), 'la ') then 1 else 0 end) contains_list_of
+    from lines group by doc_id, page_num)"""
+
+
+def _toc(spark, d):
+    return P.contents_features(A.lines(spark, d), ("licensed",), ("of the",), ("la ",))
+
+
+@query(f"with {A.LINES}, {TOC} select * from toc")
+def page_toc_features(spark, d):
+    return _toc(spark, d)
+
+
+@query(
+    f"""with {A.BOXES} select doc_id, page_num, round(median(confidence), 6) med_confidence, round(avg(confidence), 6) avg_confidence, round(max(confidence) - min(confidence), 6) range_confidence,
+        round(quantile_cont(confidence, 0.75) - quantile_cont(confidence, 0.25), 6) iqr_confidence, median(length(text)) med_line_len,
+        max(case when contains(lower(text), 'purchase') then 1 else 0 end) contains_fig_word, max(case when regexp_matches(text, '(Figure|FIGURE)\\s\\d+\\.*\\s*\\w*') then 1 else 0 end) contains_fig_ln,
+        coalesce(max(case when regexp_matches(text, '(Figure|FIGURE)\\s\\d+') then ord end), min(case when contains(lower(text), 'purchase') then ord end), -1) fig_pos
+    from boxes group by doc_id, page_num"""
+)
+def page_fig_features(spark, d):
+    f = P.figure_features(A.boxes(spark, d), "purchase")
+    return f.select("doc_id", "page_num", *[r6(c).alias(c) for c in ("med_confidence", "avg_confidence", "range_confidence", "iqr_confidence")], "med_line_len", "contains_fig_word", "contains_fig_ln", "fig_pos")
+
+
+@query(
+    f"""with {A.LINES}, k as (select * from lines where page_num % 3 <> 2), c as (select doc_id, page_num, count(*) n_lines from k group by all),
+    s as (select doc_id, unnest(generate_series(1, max(page_num))) page_num from c group by doc_id)
+    select s.doc_id, s.page_num, coalesce(n_lines, 0) n_lines from s left join c using (doc_id, page_num)"""
+)
+def page_spine(spark, d):
+    return P.page_spine(A.lines(spark, d).filter("page_num % 3 <> 2"))
+
+
+@query(
+    f"""with {A.LINES}, {TOC} select doc_id, page_num, score from (select doc_id, page_num, num_children * (1 + contains_list_of)::bigint score,
+        row_number() over (partition by doc_id order by num_children * (1 + contains_list_of) desc, page_num) k from toc where contains_toc_phrase = 1) where k = 1"""
+)
+def best_toc_page(spark, d):
+    score = (F.col("num_children") * (1 + F.col("contains_list_of"))).cast("long")
+    return P.best_page(_toc(spark, d), F.col("contains_toc_phrase") == 1, score)
+
+
+@query(
+    f"""with recursive {A.LINES}, {TOC}, f as (select doc_id, page_num, contains_toc_phrase f0, greatest(contains_toc_phrase, contains_list_of, (num_children < 5)::int) f1 from toc),
+    walk(doc_id, page_num, is_toc) as (select doc_id, page_num, f0 from f where page_num = 1 union all
+        select f.doc_id, f.page_num, case when walk.is_toc = 1 then f1 else f0 end from walk join f on f.doc_id = walk.doc_id and f.page_num = walk.page_num + 1)
+    select doc_id, page_num, is_toc from walk"""
+)
+def toc_carry(spark, d):
+    flags = _toc(spark, d).select("doc_id", "page_num", F.col("contains_toc_phrase").alias("f0"), F.greatest("contains_toc_phrase", "contains_list_of", (F.col("num_children") < 5).cast("int")).alias("f1"))
+    return P.carry(flags)
+
+
+@query(
+    f"""with {A.LINES}, {TOC} select a.doc_id, a.page_num, a.contains_toc_phrase toc, case when b.doc_id is null then 0 else 1 end prev_toc
+    from toc a left join (select distinct doc_id, page_num from toc where contains_toc_phrase = 1) b on a.doc_id = b.doc_id and a.page_num = b.page_num + 1"""
+)
+def tag_prev(spark, d):
+    return P.tag_after_contents(_toc(spark, d).select("doc_id", "page_num", F.col("contains_toc_phrase").alias("toc")))
+
+
+@query(f"with {A.LINES}, {TOC} select doc_id, line_num from lines where not exists (select 1 from toc where toc.doc_id = lines.doc_id and toc.page_num = lines.page_num and contains_toc_phrase = 1)")
+def drop_toc_lines(spark, d):
+    rows = A.lines(spark, d)
+    return L.without(rows, _toc(spark, d).filter("contains_toc_phrase = 1"), ["doc_id", "page_num"]).select("doc_id", "line_num")
+
+
+# ---- scalars -----------------------------------------------------------------------------------------------------
+
+
+@query(
+    f"""with {A.NUMBERED}, p as (select line_id, text, regexp_extract(text, '{X.PREFIX}', 1) prefix, regexp_extract(text, '(\\t[0-9]+)$', 1) page from numbered)
+    select line_id, prefix, substr(text, length(prefix) + 1) rest, page, left(text, length(text) - length(page)) body from p"""
+)
+def split_prefix_pagenum(spark, d):
+    t = F.col("text")
+    (prefix, rest), (body, page) = X.split_prefix(t), X.split_page_number(t)
+    return A.numbered_lines(spark, d).select("line_id", prefix.alias("prefix"), rest.alias("rest"), page.alias("page"), body.alias("body"))
+
+
+def _coded(s: str, keep: bool) -> str:
+    other = "regexp_replace({}, '[0-9]', '', 'g')" if keep else "''"
+    seg = f"string_split({s}, '.')"
+    before, after = other.format("regexp_extract(x, '^([^1-9]*)', 1)"), other.format("regexp_extract(x, '^[^1-9]*(.*)$', 1)")
+    rank = f"len(list_filter({seg}[1:i], lambda y: regexp_matches(y, '[1-9]')))"
+    return f"array_to_string(list_transform({seg}, lambda x, i: case when regexp_matches(x, '[1-9]') then {before} || ' cyfra' || {rank}::varchar || ' ' || {after} else {other.format('x')} end), ' punkt ')"
+
+
+@query(f"with {A.NUMBERED} select line_id, {_coded('text', False)} coded, {_coded('text', True)} coded_words from numbered")
+def num2cyfra(spark, d):
+    t = F.col("text")
+    return A.numbered_lines(spark, d).select("line_id", X.coded_number(t).alias("coded"), X.coded_number(t, remove_words=False).alias("coded_words"))
+
+
+@query(
+    f"""with {A.NUMBERED}, p as (select line_id, regexp_extract(text, '{X.PREFIX}', 1) prefix, regexp_extract(text, '(\\t[0-9]+)$', 1) page, text from numbered)
+    select line_id, {_coded('prefix', False)} || substr(left(text, length(text) - length(page)), length(prefix) + 1) || {_coded('page', False)} processed from p"""
+)
+def processed_text(spark, d):
+    t = F.col("text")
+    prefix, rest = X.split_prefix(X.split_page_number(t)[0])
+    return A.numbered_lines(spark, d).select("line_id", F.concat(X.coded_number(prefix), rest, X.coded_number(X.split_page_number(t)[1])).alias("processed"))
+
+
+def _shapes(literal: bool) -> str:
+    months = ", ".join(f"'{m}'" for m in X.MONTHS)
+    core = "case when starts_with(t, chr(9)) then regexp_replace(t, '^\\t+|\\t+$', '', 'g') else t end"
+    small = "c || ' '" if literal else "'smallNum '"
+    kind = f"""case when regexp_matches(c, '^[0-9][0-9]?$') then {small} when regexp_matches(c, '^[0-9]{{3}}$') then 'mediumNum ' when regexp_matches(c, '^[0-9]+$') then 'bigNum '
+        when c in ({months}) then 'month ' when c = 'page' then 'page ' when c = 'appendix' then 'appendix ' when regexp_matches(c, '^[a-z]+$') then 'word ' when not regexp_matches(c, '^\\s*$') then 'mix ' else '' end"""
+    parts = "string_split(regexp_replace(lower(text), '[!-/:-@\\[-`{-~]', ' ', 'g'), ' ')"
+    pairs = f"list_transform({parts}, lambda t: {{'tab': case when starts_with(t, chr(9)) then 'tab ' else '' end, 'c': {core}}})"
+    return f"array_to_string(list_transform({pairs}, lambda p: p.tab || {kind.replace('(c,', '(p.c,').replace('when c ', 'when p.c ').replace('then c ', 'then p.c ')}), '')"
+
+
+@query(f"with {A.NUMBERED} select line_id, {_shapes(False)} shapes, {_shapes(True)} shapes_literal from numbered")
+def token_shapes(spark, d):
+    t = F.col("text")
+    return A.numbered_lines(spark, d).select("line_id", X.token_shapes(t).alias("shapes"), X.token_shapes(t, literal_small=True).alias("shapes_literal"))
+
+
+@query("select p_partkey, replace(trim(regexp_replace(lower(p_name || ' #' || p_type || '. '), '[!-/:-@\\[-`{-~]', '', 'g')), chr(10), '') normed from part")
+def norm_string(spark, d):
+    text = F.concat("p_name", F.lit(" #"), "p_type", F.lit(". "))
+    return A.table(spark, d, "part").select("p_partkey", X.normalized_header(text).alias("normed"))
+
+
+_SITE = "case {0} % 4 when 0 then c_name when 1 then c_mktsegment when 2 then 'Unnamed: 3' end"
+
+
+@query(f"with t as (select c_custkey, {_SITE.format('c_custkey')} v from customer) select c_custkey, case when v is null then 'invalid_nan' when not regexp_matches(lower(v), '\\p{{Nd}}') then 'invalid_no_num' when contains(lower(v), 'unnamed') then 'invalid_nan' else 'valid' end klass from t")
+def validate_site(spark, d):
+    k = F.col("c_custkey") % 4
+    v = F.when(k == 0, F.col("c_name")).when(k == 1, F.col("c_mktsegment")).when(k == 2, "Unnamed: 3")
+    return A.table(spark, d, "customer").select("c_custkey", X.site_name_class(v).alias("klass"))
+
+
+@query(
+    """with t as (select o_orderkey, case o_orderkey % 6 when 0 then o_custkey::varchar || 'E' when 1 then 'AMG ' || o_custkey::varchar when 2 then o_orderpriority when 3 then '  ' when 4 then '20 deg S' end v from orders)
+    select o_orderkey, case when v is null or trim(v) = '' then 'invalid_nan' when regexp_matches(regexp_replace(replace(trim(lower(v)), 'amg', ''), '[snewm]', '', 'g'), '\\p{Ll}') then 'invalid' else 'valid' end klass,
+        case when v is null or regexp_matches(lower(v), '\\p{Ll}') then 'invalid' else 'valid' end number_class from t"""
+)
+def validate_loc(spark, d):
+    k, c = F.col("o_orderkey") % 6, F.col("o_custkey").cast("string")
+    v = F.when(k == 0, F.concat(c, F.lit("E"))).when(k == 1, F.concat(F.lit("AMG "), c)).when(k == 2, F.col("o_orderpriority")).when(k == 3, "  ").when(k == 4, "20 deg S")
+    return A.table(spark, d, "orders").select("o_orderkey", X.location_class(v).alias("klass"), X.number_class(v).alias("number_class"))
+
+
+@query(f"with {A.NUMBERED} select line_id, case when regexp_matches(text, '^[0-9]+\\.[0-9]+\\s+[\\p{{L}}\\p{{N}}_]+') then 2 when regexp_matches(text, '^[0-9]+\\.*\\s+[\\p{{L}}\\p{{N}}_]+') then 1 else 0 end rule from numbered")
+def rule_headings(spark, d):
+    return A.numbered_lines(spark, d).select("line_id", X.rule_heading(F.col("text")).alias("rule"))
+
+
+@query(
+    f"""with {A.NUMBERED}, t as (select line_id, list_filter(regexp_split_to_array(text, '\\s+'), lambda w: w <> '') w from numbered),
+    g as (select *, list_filter(w, lambda x: regexp_matches(x, '^[0-9]+$')) n from t)
+    select line_id, case when len(n) = 1 then n[1] when len(n) > 1 then w[-(line_id % 5 + 1)] end page_number from g"""
+)
+def page_number_pick(spark, d):
+    position = (F.col("line_id") % 5 + 1).cast("int")
+    return A.numbered_lines(spark, d).select("line_id", X.page_number(F.col("text"), position).alias("page_number"))
+
+
+@query("select o_orderkey, case when length(o_custkey::varchar) < 3 then lpad(o_custkey::varchar, 3, '0') else o_custkey::varchar end padded, 'pdf' extension, regexp_extract('cr_' || o_orderkey::varchar || '_' || o_custkey::varchar || '_x.json', 'cr_([0-9]+)_([0-9]+)', 2) file_num from orders")
+def name_parts(spark, d):
+    c = F.col("o_custkey").cast("string")
+    name = F.concat(F.lit("cr_"), F.col("o_orderkey").cast("string"), F.lit("_"), c, F.lit("_x.json"))
+    return A.table(spark, d, "orders").select("o_orderkey", X.padded_number(c).alias("padded"), X.file_extension(F.lit("a.pdf")).alias("extension"), F.regexp_extract(name, "cr_([0-9]+)_([0-9]+)", 2).alias("file_num"))
+
+
+# ---- headings and sections ---------------------------------------------------------------------------------------
+
+_COUNTS = "select {k}, len(w)::bigint size, u.word, count(*) n from (select {k}, list_filter(regexp_split_to_array(lower({t}), '\\s+'), lambda x: x <> '') w from {f}), unnest(w) u(word) group by all"
+PAIRS = f"""{A.LINES}, {A.HEADINGS}, lw as ({_COUNTS.format(k="doc_id, line_num", t="text", f="lines")}),
+    hw as ({_COUNTS.format(k="heading_id, level", t="regexp_replace(heading, '\\t[0-9]+$', '')", f="headings")}),
+    shared as (select doc_id, line_num, heading_id, level, lw.size ls, hw.size hs, sum(least(lw.n, hw.n)) b from lw join hw using (word) group by all),
+    pairs as (select doc_id, line_num, heading_id, level, b / (ls + hs - b) similarity from shared),
+    best as (select doc_id, line_num, similarity, level, heading_id from (select *, row_number() over (partition by doc_id, line_num order by similarity desc, level, heading_id) k from pairs) where k = 1),
+    matched as (select doc_id, heading_id, line_num, similarity, level from (select *, row_number() over (partition by doc_id, heading_id order by similarity desc, line_num) k from best where similarity >= {LEAST}) where k = 1)"""
+
+
+def _best(spark, d):
+    return H.best_heading(H.similarities(A.lines(spark, d), A.headings(spark, d)))
+
+
+def _matched(spark, d):
+    return H.match_headings(_best(spark, d), LEAST)
+
+
+@query(f"with {PAIRS} select doc_id, line_num, heading_id, round(similarity, 6) similarity from pairs where similarity >= 0.05")
+def heading_similarity(spark, d):
+    return H.similarities(A.lines(spark, d), A.headings(spark, d)).filter("similarity >= 0.05").select("doc_id", "line_num", "heading_id", r6("similarity").alias("similarity"))
+
+
+@query(f"with {PAIRS} select doc_id, line_num, level, heading_id, round(similarity, 6) similarity from best")
+def best_heading_per_line(spark, d):
+    return _best(spark, d).withColumn("similarity", r6("similarity"))
+
+
+@query(f"with {PAIRS} select doc_id, heading_id, line_num, level, round(similarity, 6) similarity from matched")
+def match_headings(spark, d):
+    return _matched(spark, d).withColumn("similarity", r6("similarity"))
+
+
+SECTIONS = f"""{PAIRS}, assigned as (select lines.doc_id, lines.line_num, last_value(m.heading_id ignore nulls) over (partition by lines.doc_id order by lines.line_num) heading_id, m.heading_id own, text
+        from lines left join matched m using (doc_id, line_num)),
+    sections as (select doc_id, line_num, heading_id, text from assigned where heading_id is not null and own is null)"""
+
+
+@query(f"with {SECTIONS} select doc_id, line_num, heading_id from sections")
+def section_lines(spark, d):
+    return H.section_lines(A.lines(spark, d), _matched(spark, d)).select("doc_id", "line_num", "heading_id")
+
+
+@query(f"with {SECTIONS} select doc_id, heading_id, count(*) n_lines, string_agg(text, chr(10) order by line_num) as content from sections group by all")
+def section_text(spark, d):
+    return H.section_texts(H.section_lines(A.lines(spark, d), _matched(spark, d)))
+
+
+@query(f"with {SECTIONS} select doc_id, count(distinct heading_id) n_sections, count(*) n_lines, to_json({{'doc': doc_id, 'lines': count(*)}})::varchar report from sections group by doc_id")
+def report_json(spark, d):
+    rows = H.section_lines(A.lines(spark, d), _matched(spark, d)).groupBy("doc_id").agg(F.countDistinct("heading_id").alias("n_sections"), F.count(F.lit(1)).alias("n_lines"))
+    return rows.withColumn("report", F.to_json(F.struct(F.col("doc_id").alias("doc"), F.col("n_lines").alias("lines"))))
+
+
+@query(
+    f"""with {PAIRS}, {TOC}, heads as (select matched.*, page_num from matched join lines using (doc_id, line_num)),
+    tocs as (select doc_id, min(page_num) page_num from toc where contains_toc_phrase = 1 group by doc_id)
+    select doc_id, 0::bigint ord, null::bigint parent, -1::bigint heading_id, 1::bigint page_num from (select distinct doc_id from heads)
+    union all select doc_id, 1, null, -2, page_num from tocs where doc_id in (select doc_id from heads)
+    union all select doc_id, row_number() over o + 1, case when level = 2 then last_value(case when level = 1 then heading_id end ignore nulls) over o end, heading_id, page_num from heads window o as (partition by doc_id order by line_num)"""
+)
+def bookmark_tree(spark, d):
+    heads = _matched(spark, d).join(A.lines(spark, d).select("doc_id", "line_num", "page_num"), ["doc_id", "line_num"])
+    tocs = _toc(spark, d).filter("contains_toc_phrase = 1").groupBy("doc_id").agg(F.min("page_num").alias("page_num"))
+    return H.bookmarks(heads, tocs)
+
+
+@query(f"with {A.BOXES} select doc_id, ord, round(595.0 * \"left\", 6) x0, round(842.0 * (1 - top), 6) y0, round(595.0 * (\"left\" + width), 6) x1, round(842.0 * (1 - top) - 842.0 * height, 6) y1 from boxes where confidence > 50")
+def toc_links(spark, d):
+    rows = H.link_rectangles(A.boxes(spark, d).filter("confidence > 50"), 595.0, 842.0)
+    return rows.select("doc_id", "ord", *[r6(c).alias(c) for c in ("x0", "y0", "x1", "y1")])
+
+
+# ---- tables and sites --------------------------------------------------------------------------------------------
+
 
-def FLAGSHIP(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id")
+@query("select o_custkey cell_id, string_agg(case when o_orderkey % 5 = 0 then 'X' else o_orderpriority end || ' ', '' order by o_orderkey) cell from orders group by o_custkey")
+def cell_text(spark, d):
+    words = A.table(spark, d, "orders").select(F.col("o_custkey").alias("cell_id"), F.col("o_orderkey").alias("ord"), F.col("o_orderpriority").alias("text"), (F.col("o_orderkey") % 5 == 0).alias("selected"))
+    return T.cell_texts(words, ["cell_id"])
+
+
+@query(f"with {A.CELLS} select table_id, row, string_agg(value || '`', '' order by col) line from cells group by all")
+def table_rows(spark, d):
+    return T.row_texts(A.cells(spark, d))
+
+
+@query(f"with {A.CELLS}, f as (select *, row_number() over (order by table_id) k from (select distinct table_id from cells)) select table_id file_id, 1 table_num, row, col, header, value from cells")
+def table_text_round_trip(spark, d):
+    """Tables written as framed text and read back."""
+    cells = A.cells(spark, d)
+    head = cells.select("table_id", F.lit(0).cast("long").alias("row"), "col", F.lit(None).cast("string").alias("header"), F.col("header").alias("value")).distinct()
+    texts = T.table_texts(cells.unionByName(head)).select(F.col("table_id").alias("file_id"), F.regexp_replace("content", "^Table: ", "Table: Table_").alias("content"))
+    return T.parse_table_text(texts)
+
+
+@query(f"with {A.CELLS}, e as (select distinct table_id, 0::bigint as row, col, header as value from cells union all select table_id, row, col, value from cells) select table_id, count(*) n_tokens, string_agg(value, ' ' order by row, col) as content from e where regexp_matches(value, '^[A-z]+') and not contains(value, 'Unnamed:') and value <> 'nan' group by table_id")
+def content_tokens(spark, d):
+    return T.content_tokens(A.cells(spark, d))
+
+
+@query("select event_id % 97 doc_id, 'k' || (event_id % 5)::varchar as key, max_by((props::json ->> '$.k')::varchar, event_id) as value from events group by all")
+def kv_pairs(spark, d):
+    k = F.col("event_id")
+    pairs = A.table(spark, d, "events").select((k % 97).alias("doc_id"), F.concat(F.lit("k"), (k % 5).cast("string")).alias("key"), k.alias("ord"), F.get_json_object("props", "$.k").alias("value"))
+    return T.key_values(pairs, ["doc_id"])
+
+
+@query("select user_id doc_id, min_by((props::json ->> '$.k')::varchar, event_id) as value from events where regexp_matches(event_type, '(?i)^P.*SE$') group by user_id")
+def kv_search(spark, d):
+    pairs = A.table(spark, d, "events").select(F.col("user_id").alias("doc_id"), F.col("event_type").alias("key"), F.col("event_id").alias("ord"), F.get_json_object("props", "$.k").alias("value"))
+    return T.search_key(pairs, ["doc_id"], "^P.*SE$")
+
+
+# Words of the driver's tables stand for the domain's terms.
+TERMS = {"site": ("p names, p_type, standard",), "geo": ("p size, psizes",), "grid": ("retail price, p_retail_prices, standard anodized tin",)}
+
+
+def _sql_norm(c: str) -> str:
+    return f"replace(trim(regexp_replace(lower({c}), '[!-/:-@\\[-`{{-~]', '', 'g')), chr(10), '')"
+
+
+_VOCAB = "vocab0(kind, list) as (values " + ", ".join(f"('{k}', '{t}')" for k, ts in TERMS.items() for t in ts) + f"), vocab as (select distinct kind, {_sql_norm('term')} term from vocab0, unnest(string_split(list, ',')) u(term) where {_sql_norm('term')} <> '')"
+_CHARS = "select {k}, length({t}) size, c as word, count(*) n from {f}, unnest(string_split({t}, '')) u(c) where c <> '' group by all"
+MATCHES = f"""{A.CELLS}, {_VOCAB}, names as (select distinct header from cells union select distinct p_type from part),
+    normed as (select header, {_sql_norm('header')} t from names), fine as (select * from normed where t <> 'nan' and not contains(t, 'unnamed')),
+    hc as ({_CHARS.format(k='header', t='t', f='fine')}), vc as ({_CHARS.format(k='kind, term', t='term', f='vocab')}),
+    hv as (select header, kind, term, hc.size a, vc.size b, sum(least(hc.n, vc.n)) s from hc join vc using (word) group by all),
+    matches as (select header, kind, max(s / (a + b - s)) similarity from hv group by all having max(s / (a + b - s)) >= 0.8),
+    roles as (select header, min_by(kind, case kind when 'site' then 1 when 'geo' then 2 else 3 end) as role from matches group by header)"""
+
+
+def _roles(spark, d):
+    names = A.cells(spark, d).select("header").distinct().unionByName(A.table(spark, d, "part").select(F.col("p_type").alias("header")).distinct())
+    return S.match_headers(names, S.vocabulary(spark, TERMS))
+
+
+@query(f"with {MATCHES} select header, kind, round(similarity, 6) similarity from matches")
+def fuzzy_headers(spark, d):
+    return _roles(spark, d).withColumn("similarity", r6("similarity"))
+
+
+_SLOTS = """known as (select cells.*, role from cells join roles using (header)),
+    slots as (select *, row_number() over (partition by table_id, role order by col) o, max(col) over (partition by table_id, role) m from (select distinct table_id, role, col from known)),
+    wide as (select k.table_id, row, max(case when s.role = 'site' and s.col = m then value end) site_name, max(case when s.role = 'grid' and o = 1 then value end) grid_loc_1, max(case when s.role = 'grid' and o = 2 then value end) grid_loc_2,
+        max(case when s.role = 'geo' and o = 1 then value end) geo_loc_1, max(case when s.role = 'geo' and o = 2 then value end) geo_loc_2 from known k join slots s using (table_id, col) group by all),
+    by_column as (select * from wide where site_name is not null and regexp_matches(lower(site_name), '\\p{Nd}') and not contains(lower(site_name), 'unnamed'))"""
+
+
+def _site_cells(spark, d):
+    """Cells in which the type column holds site names with digits."""
+    numbered = F.when((F.col("header") == "p_type") & (F.col("row") % 3 > 0), F.concat("value", F.lit(" "), F.col("row").cast("string"))).otherwise(F.col("value"))
+    return A.cells(spark, d).withColumn("value", numbered)
+
+
+_SITE_CELLS = MATCHES.replace("cells as (select p_brand", "cells0 as (select p_brand", 1).replace(f", {_VOCAB}", f", cells as (select table_id, row, col, header, case when header = 'p_type' and row % 3 > 0 then value || ' ' || row::varchar else value end as value from cells0), {_VOCAB}", 1)
+
+
+@query(f"with {_SITE_CELLS}, {_SLOTS} select * from by_column")
+def column_extract(spark, d):
+    return S.extract_columns(_site_cells(spark, d), S.header_roles(_roles(spark, d)))
+
+
+_KEYS = """marked as (select c.*, role, case when value is null then 'nan' when not regexp_matches(lower(value), '\\p{Nd}') then 'no_num' when contains(lower(value), 'unnamed') then 'nan' else 'valid' end k
+        from cells c left join roles on c.value = roles.header),
+    walked as (select *, first_value(case when k <> 'nan' then {'v': value, 'k': k} end ignore nulls) over (partition by table_id, row order by col rows between 1 following and unbounded following) r,
+        first_value(case when k <> 'nan' then {'v': value, 'k': k} end ignore nulls) over (partition by table_id, col order by row rows between 1 following and unbounded following) w from marked),
+    chosen as (select table_id, value source, coalesce(case when r.k = 'valid' then r.v end, case when w.k = 'valid' then w.v end) site_name, row_number() over (partition by table_id order by row desc, col desc) o from walked where role = 'site'),
+    by_key as (select table_id, site_name, source from chosen where o = 1 and site_name is not null)"""
+
+
+@query(f"with {MATCHES}, {_KEYS} select * from by_key")
+def key_extract(spark, d):
+    return S.extract_keys(A.cells(spark, d), S.header_roles(_roles(spark, d)))
+
+
+@query(f"with {_SITE_CELLS}, {_SLOTS}, {_KEYS} select distinct * from (select table_id, site_name from by_column union all select table_id, site_name from by_key)")
+def site_union_dedup(spark, d):
+    cells, roles = _site_cells(spark, d), S.header_roles(_roles(spark, d))
+    return S.finalize(S.extract_columns(cells, roles).select("table_id", "site_name").unionByName(S.extract_keys(cells, roles).select("table_id", "site_name")))
+
+
+@query("select a.vec_id, b.vec_id other_id, round(list_cosine_similarity(a.embedding::double[], b.embedding::double[]), 6) similarity from embeddings a join embeddings b on b.vec_id = a.vec_id + 1 or b.vec_id = a.vec_id + 10")
+def cosine_pairs(spark, d):
+    e = A.table(spark, d, "embeddings")
+    other = e.select(F.col("vec_id").alias("other_id"), F.col("embedding").alias("_o"))
+    near = e.select("vec_id", "embedding", F.explode(F.array(F.col("vec_id") + 1, F.col("vec_id") + 10)).alias("other_id"))
+    return near.join(other, "other_id").select("vec_id", "other_id", r6(T.cosine(F.col("embedding"), F.col("_o"))).alias("similarity"))
+
+
+# ---- metadata ----------------------------------------------------------------------------------------------------
+
+
+@query(f"with {A.REPORTS} select repno, rstatus, rtype, repdate::varchar repdate, submitby from reports where not contains(rstatus, 'P') and repdate > date '1995-06-01' and contains(submitby, 'B') and (contains(rtype, 'HIGH') or contains(rtype, 'URGENT') or contains(rtype, 'LOW')) and not contains(rtype, '1')")
+def report_filter(spark, d):
+    return M.filter_reports(M.open_reports(A.reports(spark, d), "P"), "1995-06-01", "B", ["HIGH", "URGENT", "LOW"], ["1"]).withColumn("repdate", F.col("repdate").cast("string"))
+
+
+@query(f"with {A.REPORTS} select repno, rtype from reports order by (repno * 2654435761) % 4294967296, repno limit 20")
+def report_sample(spark, d):
+    return M.sample_ids(A.reports(spark, d).select("repno", "rtype"), "repno", 20)
+
+
+@query(f"with {A.REPORTS} select rtype, count(*) n, count(distinct submitby) n_submitters, min(repdate)::varchar first_date, max(repdate)::varchar last_date from reports group by rtype")
+def type_counts(spark, d):
+    return A.reports(spark, d).groupBy("rtype").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("submitby").alias("n_submitters"), F.min("repdate").cast("string").alias("first_date"), F.max("repdate").cast("string").alias("last_date"))
+
+
+@query(f"with {A.REPORTS} select distinct submitby from reports")
+def distinct_submitters(spark, d):
+    return A.reports(spark, d).select("submitby").distinct()
+
+
+@query(
+    """with c as (select o_orderpriority rtype, o_custkey % 10 rating, count(*) n from orders group by all), m as (select rtype, min_by(rating, (-n, rating)) as mode from c group by rtype)
+    select o_orderpriority rtype, round(avg(o_totalprice), 4) mean, round(median(o_totalprice), 4) median, any_value(m.mode) as mode from orders join m on rtype = o_orderpriority group by o_orderpriority"""
+)
+def rating_stats(spark, d):
+    return A.table(spark, d, "orders").groupBy(F.col("o_orderpriority").alias("rtype")).agg(F.round(F.avg("o_totalprice"), 4).alias("mean"), F.round(F.median("o_totalprice"), 4).alias("median"), F.mode(F.col("o_custkey") % 10, True).alias("mode"))
+
+
+@query("with r as (select min(n_chars) lo, max(n_chars) hi from documents) select least(floor((n_chars - lo) / ((hi - lo) / 9::double)) + 1, 9)::bigint bucket, count(*) n from documents, r group by all")
+def histogram_lengths(spark, d):
+    return M.histogram(A.table(spark, d, "documents"), "n_chars", 9)
+
+
+@query(f"with {A.REPORTS} select extract(year from repdate)::int as year, count(*) n from reports group by all")
+def histogram_dates(spark, d):
+    return A.reports(spark, d).groupBy(F.year("repdate").alias("year")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("select lang, count(*) n, sum(n_chars)::bigint total, round(avg(n_chars), 4) mean, round(stddev_samp(n_chars), 4) std, min(n_chars) least, quantile_cont(n_chars, 0.25) q1, quantile_cont(n_chars, 0.5) q2, quantile_cont(n_chars, 0.75) q3, max(n_chars) most from documents group by lang")
+def describe_lengths(spark, d):
+    q = lambda p: F.percentile("n_chars", F.lit(p))
+    return A.table(spark, d, "documents").groupBy("lang").agg(
+        F.count(F.lit(1)).alias("n"), F.sum("n_chars").alias("total"), F.round(F.avg("n_chars"), 4).alias("mean"), F.round(F.stddev_samp("n_chars"), 4).alias("std"),
+        F.min("n_chars").alias("least"), q(0.25).alias("q1"), q(0.5).alias("q2"), q(0.75).alias("q3"), F.max("n_chars").alias("most"),
+    )
+
+
+@query(f"with {A.REPORTS} select repno, case when repdate > date '1997-01-01' then (repdate - 36525)::date else repdate end::varchar fixed from reports")
+def date_repair(spark, d):
+    return A.reports(spark, d).select("repno", M.repair_date(F.col("repdate"), "1997-01-01").cast("string").alias("fixed"))
+
+
+@query("select doc_id, lang, source, quality, case when contains(lower(source), '1') then 1 else 0 end has_one from documents join labels using (doc_id)")
+def eval_join(spark, d):
+    docs = A.table(spark, d, "documents").select("doc_id", "lang", "source")
+    return docs.join(A.table(spark, d, "labels").select("doc_id", "quality"), "doc_id").withColumn("has_one", X.contains_word(F.col("source"), "1"))
+
+
+@query(
+    f"""with {A.LABELLED}, prev as (select doc_id // 2 doc_id, y from labelled), u as (select doc_id, min(y) y from prev group by doc_id having count(*) = 1)
+    select documents.doc_id, y, case when y is not null then 'legacy' end tag_method from documents left join u using (doc_id)"""
+)
+def migrate_labels(spark, d):
+    previous = A.labelled(spark, d).select(F.floor(F.col("doc_id") / 2).alias("doc_id"), "y")
+    return M.migrate_labels(A.table(spark, d, "documents").select("doc_id"), previous, ["doc_id"])
+
+
+@query("select doc_id from documents d where not exists (select 1 from labels l where l.doc_id = d.doc_id and toxic = 1)")
+def sanitise_docs(spark, d):
+    return L.without(A.table(spark, d, "documents").select("doc_id"), A.table(spark, d, "labels").filter("toxic = 1"), ["doc_id"])
+
+
+@query("select page_id, url from pages p where exists (select 1 from labels l where l.doc_id = p.page_id and toxic = 1)")
+def files_to_archive(spark, d):
+    bad = A.table(spark, d, "labels").filter("toxic = 1").select(F.col("doc_id").alias("page_id"))
+    return A.table(spark, d, "pages").select("page_id", "url").join(bad, "page_id", "left_semi")
+
+
+@query("select distinct o_orderkey doc_id, lpad(l_linenumber::varchar, 3, '0') file_num from orders join lineitem on l_orderkey = o_orderkey where o_orderkey % 11 = 0")
+def id_list_match(spark, d):
+    pad = X.padded_number(F.col("l_linenumber").cast("string")).alias("file_num")
+    files = A.table(spark, d, "lineitem").select(F.col("l_orderkey").alias("doc_id"), pad)
+    return files.join(A.table(spark, d, "orders").filter("o_orderkey % 11 = 0").select(F.col("o_orderkey").alias("doc_id")), "doc_id", "left_semi").distinct()
+
+
+@query("select s_nationkey file_id, coalesce(a.n, 0) n_first, coalesce(b.n, 0) n_second from (select distinct s_nationkey from supplier) f left join (select s_nationkey k, count(*) n from supplier where s_acctbal > 0 group by 1) a on a.k = s_nationkey left join (select c_nationkey k, count(*) n from customer where c_acctbal > 5000 group by 1) b on b.k = s_nationkey")
+def service_table_counts(spark, d):
+    s, c = A.table(spark, d, "supplier"), A.table(spark, d, "customer")
+    count = lambda df, k, n: df.groupBy(F.col(k).alias("file_id")).agg(F.count(F.lit(1)).alias(n))
+    files = s.select(F.col("s_nationkey").alias("file_id")).distinct()
+    both = files.join(count(s.filter("s_acctbal > 0"), "s_nationkey", "n_first"), "file_id", "left").join(count(c.filter("c_acctbal > 5000"), "c_nationkey", "n_second"), "file_id", "left")
+    return both.fillna(0, ["n_first", "n_second"])
+
+
+@query("select doc_id, source, n_chars from (select *, row_number() over (partition by source, lang order by n_chars desc, doc_id) k from documents) where k = 1")
+def dedup_keep_first(spark, d):
+    """First row of each key after a sort, as an aggregate: no key is gathered in one task."""
+    docs = A.table(spark, d, "documents").select("doc_id", "source", "lang", "n_chars")
+    top = F.max(F.struct("n_chars", (-F.col("doc_id")).alias("d"))).alias("_t")
+    return docs.groupBy("source", "lang").agg(top).select((-F.col("_t.d")).alias("doc_id"), "source", F.col("_t.n_chars").alias("n_chars"))
+
+
+_PREDICTED = "select doc_id, quality y, case when contains(text, '!!') or contains(text, '###') then 0 else 1 end predicted from labels join documents using (doc_id)"
+
+
+def _predicted(spark, d):
+    rule = F.when(F.col("text").contains("!!") | F.col("text").contains("###"), 0).otherwise(1)
+    return A.table(spark, d, "labels").join(A.table(spark, d, "documents").select("doc_id", "text"), "doc_id").select("doc_id", F.col("quality").alias("y"), rule.alias("predicted"))
+
+
+@query(f"select y, predicted, count(*) n from ({_PREDICTED}) group by all")
+def confusion(spark, d):
+    return M.confusion(_predicted(spark, d))
+
+
+@query(f"select round(avg(case when y = predicted then 1.0 else 0.0 end), 6) accuracy from ({_PREDICTED})")
+def accuracy(spark, d):
+    return _predicted(spark, d).agg(F.round(F.avg(F.when(F.col("y") == F.col("predicted"), 1.0).otherwise(0.0)), 6).alias("accuracy"))
+
+
+@query(
+    f"""with p as ({_PREDICTED}), l as (select distinct y as label from p union select distinct predicted from p),
+    c as (select label, (select count(*) from p where y = label) support, (select count(*) from p where predicted = label) np, (select count(*) from p where y = label and predicted = label)::double hit from l),
+    s as (select label, support, coalesce(case when np > 0 then hit / np end, 0) "precision", coalesce(case when support > 0 then hit / support end, 0) recall from c)
+    select label, support::bigint support, round("precision", 6) "precision", round(recall, 6) recall, round(coalesce(case when "precision" + recall > 0 then 2 * "precision" * recall / ("precision" + recall) end, 0), 6) f1 from s"""
+)
+def class_report(spark, d):
+    r = M.class_report(_predicted(spark, d))
+    return r.select(F.col("label"), "support", *[r6(c).alias(c) for c in ("precision", "recall", "f1")])
+
+
+@query(f"with {A.LABELLED} select doc_id, case when tag_method is null or tag_method = 'auto' or y is null then (doc_id % 2)::bigint else y end y, case when tag_method is null or tag_method = 'auto' or y is null then 'auto' else tag_method end tag_method from labelled")
+def auto_tag(spark, d):
+    return M.auto_tag(A.labelled(spark, d), (F.col("doc_id") % 2).cast("long"))
+
+
+@query(f"with {A.LABELLED} select doc_id, case when doc_id % 5 < 2 and y = 0 and (tag_method is null or tag_method <> 'manual') then null else y end y, tag_method from labelled")
+def check_tags(spark, d):
+    return M.reset_suspicious(A.labelled(spark, d), F.col("doc_id") % 5 < 2)
+
+
+@query(f"with {A.LABELLED} select doc_id, round(1 - (0.5 + (doc_id * 37 % 100) / 200.0), 6) uncertainty from labelled order by 1 - (0.5 + (doc_id * 37 % 100) / 200.0::double) desc, doc_id limit 25")
+def uncertain_topk(spark, d):
+    certainty = F.lit(0.5) + (F.col("doc_id") * 37 % 100) / F.lit(200.0)
+    return M.uncertain(A.labelled(spark, d), certainty, "doc_id", 25).select("doc_id", r6("uncertainty").alias("uncertainty"))
+
+
+@query("select doc_id from documents where contains(lower(text), 'licensed') or contains(lower(text), 'released')")
+def keyword_pool(spark, d):
+    return M.keyword_pool(A.table(spark, d, "documents"), "text", ["licensed", "released"]).select("doc_id").distinct()
+
+
+@query("select doc_id, case when (doc_id * 2654435761) % 4294967296 % 10 < 8 then 'train' else 'test' end split from labels")
+def train_test_split(spark, d):
+    return A.table(spark, d, "labels").select("doc_id", F.when(M.stable_key(F.col("doc_id")) % 10 < 8, "train").otherwise("test").alias("split"))
+
+
+@query("with w as (select doc_id, unnest(list_filter(regexp_split_to_array(lower(text), '\\s+'), lambda x: x <> '')) w from documents) select count(distinct w) n_words, (select max(n)::bigint from (select count(*) n from w group by doc_id)) longest from w")
+def corpus_vocab(spark, d):
+    """Distinct words and the longest document; words are counted by an aggregate of their own, not by one task."""
+    words = A.table(spark, d, "documents").select("doc_id", X.tokens(F.lower("text")).alias("w"))
+    distinct = words.select(F.explode("w").alias("x")).distinct().agg(F.count(F.lit(1)).alias("n_words"))
+    longest = words.agg(F.max(F.size("w")).cast("long").alias("longest"))
+    return distinct.withColumn("_k", F.lit(1)).join(longest.withColumn("_k", F.lit(1)), "_k").drop("_k")
+
+
+@query("select page_id, regexp_extract(html, '<title>(.*?)</title>', 1) title, regexp_extract(html, '(?s)<h1>(.*?)</h1>', 1) h1, len(regexp_extract_all(html, '<li>'))::bigint n_nav, regexp_extract(html, '(?s)<footer>(.*?)</footer>', 1) footer from pages")
+def html_outline(spark, d):
+    h = F.col("html")
+    return A.table(spark, d, "pages").select("page_id", F.regexp_extract(h, "<title>(.*?)</title>", 1).alias("title"), F.regexp_extract(h, "(?s)<h1>(.*?)</h1>", 1).alias("h1"), F.size(F.regexp_extract_all(h, F.lit("<li>"), F.lit(0))).cast("long").alias("n_nav"), F.regexp_extract(h, "(?s)<footer>(.*?)</footer>", 1).alias("footer"))
+
+
+FLAGSHIP = section_lines
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return dict(QUERIES)
+    from quirefold.plans import learning
+
+    return QUERIES | learning.QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(SQL)
+    from quirefold.plans import learning
+
+    return SQL | learning.SQL
