@@ -1,4 +1,149 @@
 """Registered queries of the learning operators."""
 
+from __future__ import annotations
+
+from pyspark.ml.functions import vector_to_array
+from pyspark.sql import functions as F
+
+from quirefold.functions import text as X
+from quirefold.operators import learning as N
+from quirefold.operators import lines as L
+from quirefold.operators import metadata as M
+from quirefold.operators import pages as P
+from quirefold.plans import adapters as A
+
 QUERIES: dict = {}
-SQL: dict = {}
+SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    def register(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            SQL[f.__name__] = sql
+        return f
+
+    return register
+
+
+TERMS = """tc as (select doc_id, term, count(*) tf from (select doc_id, unnest(regexp_extract_all(lower(text), '[\\p{L}\\p{N}_]{2,}')) term from documents) group by all),
+    n as (select count(distinct doc_id) n from tc), d as (select term, count(*) df from tc group by term),
+    raw as (select doc_id, term, tf * (ln((1 + n.n)::double / (1 + df)) + 1) w from tc join d using (term), n),
+    tfidf as (select doc_id, term, w / sqrt(sum(w * w) over (partition by doc_id)) weight from raw)"""
+
+
+def _weights(spark, d):
+    return N.tfidf(N.term_counts(A.table(spark, d, "documents"), "doc_id", "text"), "doc_id")
+
+
+@query(f"with {TERMS} select doc_id, count(*) n_terms, round(sum(weight), 5) total, round(max(weight), 5) top from tfidf group by doc_id")
+def tfidf_scores(spark, d):
+    w = _weights(spark, d)
+    return w.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_terms"), F.round(F.sum("weight"), 5).alias("total"), F.round(F.max("weight"), 5).alias("top"))
+
+
+@query(
+    f"""with {TERMS}, known as (select tfidf.*, quality y from tfidf join labels using (doc_id)), per as (select y, term, sum(weight) s from known group by all), tot as (select term, sum(s) t from per group by term),
+    grid as (select y, term, 1.0 + t - coalesce(s, 0) c from tot cross join (select distinct quality y from labels) left join per using (y, term)),
+    w as (select y, term, -ln(c / sum(c) over (partition by y)) w from grid),
+    sc as (select doc_id, y, sum(weight * w) score from tfidf join w using (term) group by all)
+    select doc_id, y::int predicted from (select doc_id, y, row_number() over (partition by doc_id order by round(score, 9) desc, y) k from sc) where k = 1"""
+)
+def cnb_predict(spark, d):
+    w = _weights(spark, d)
+    model = N.complement_weights(w, A.table(spark, d, "labels").select("doc_id", F.col("quality").alias("y")), "doc_id")
+    return N.predict_class(N.complement_scores(w, model, "doc_id"), "doc_id")
+
+
+@query(
+    f"""with {A.REPORTS}, v as (select x as word, row_number() over (order by x) id from (select unnest(['high', 'low', 'urgent', '1', '2', '5', 'f', 'o']) x)),
+    w as (select repno, p, u.word from reports, unnest(regexp_split_to_array(lower(replace(rtype, '-', ' ') || ' ' || rstatus), '\\s+')) with ordinality u(word, p)),
+    s as (select repno, list(id order by p) filter (where id is not null) ids from w left join v using (word) group by repno)
+    select repno, array_to_string(list_concat(list_resize([]::bigint[], (5 - least(5, coalesce(len(ids), 0)))::bigint, 0), coalesce(ids[-5:], [])), ',') sequence from s"""
+)
+def word_sequences(spark, d):
+    words = sorted(["high", "low", "urgent", "1", "2", "5", "f", "o"])
+    vocabulary = spark.createDataFrame([(w, i + 1) for i, w in enumerate(words)], "word string, id long")
+    rows = A.reports(spark, d).select("repno", F.concat(F.regexp_replace("rtype", "-", " "), F.lit(" "), "rstatus").alias("text"))
+    return N.padded_ids(rows, vocabulary, "repno", "text", 5).select("repno", F.array_join("sequence", ",").alias("sequence"))
+
+
+@query(f"with {A.REPORTS}, f as (select rtype, min(repno) o from reports group by rtype) select rtype, row_number() over (order by o) - 1 code from f")
+def label_codes(spark, d):
+    return N.first_seen_codes(A.reports(spark, d), "rtype", "repno")
+
+
+# Models of Spark ML: their results have no SQL form; tests hold them to accuracy on held-out rows.
+
+
+def _pages(spark, d):
+    f = P.contents_features(A.lines(spark, d), ("licensed",), ("of the",), ("la ",))
+    return f.withColumn("toc_page", F.greatest("contains_toc_phrase", (F.col("num_children") < 2).cast("int")))
+
+
+@query()
+def toc_model(spark, d):
+    """Decision tree over page features, predictions for all pages."""
+    card, rows = N.CARDS["toc"], _pages(spark, d)
+    return N.classify(N.fit(card, rows), rows, card.label).select("doc_id", "page_num", "toc_page", F.round("proba", 6).alias("proba"))
+
+
+@query()
+def fig_model(spark, d):
+    """Random forest over the spread of confidence."""
+    card = N.CARDS["fig"]
+    rows = P.figure_features(A.boxes(spark, d), "purchase").withColumn("fig_page", (F.col("avg_confidence") > F.col("med_confidence")).cast("int"))
+    return N.classify(N.fit(card, rows), rows, card.label, masked=True).select("doc_id", "page_num", "fig_page", F.round("proba", 6).alias("proba"))
+
+
+@query()
+def marginal_model(spark, d):
+    """Random forest over line features: the first and last lines of a page."""
+    card = N.CARDS["marginal_lines"]
+    lines = L.line_features(L.merge_lines(L.assign_lines(A.boxes(spark, d))))
+    rows = lines.withColumn("marginal", ((F.col("normed_line_num") < 0.05) | (F.col("normed_line_num") > 0.95)).cast("int"))
+    return N.classify(N.fit(card, rows), rows, card.label, masked=True).select("doc_id", "page_num", "line_num", F.round("proba", 6).alias("proba"))
+
+
+@query()
+def heading_model(spark, d):
+    """Stacked model: naive Bayes on text, its prediction and line features in a forest."""
+    card = N.CARDS["heading_id_intext_no_toc"]
+    lines = L.line_features(L.merge_lines(L.assign_lines(A.boxes(spark, d))))
+    rows = lines.withColumn("heading", F.when(F.col("n_boxes") == 1, 1).when(F.col("text").startswith("purchase"), 2).otherwise(0))
+    return N.classify(N.fit(card, rows), rows, card.label, masked=True).select("doc_id", "page_num", "line_num", "heading")
+
+
+@query()
+def toc_heading_model(spark, d):
+    """Headings of contents lines by coded text and place."""
+    card = N.CARDS["heading_id_toc"]
+    t = F.col("text")
+    rows = A.numbered_lines(spark, d).select("line_id", X.coded_number(t, remove_words=False).alias("processed"), X.rule_heading(t).alias("heading"), (F.col("line_id") % 7 / F.lit(7.0)).alias("left"), (F.col("line_id") % 50 / F.lit(50.0)).alias("top"))
+    return N.classify(N.fit(card, rows, min_df=2.0), rows, card.label).select("line_id", "heading")
+
+
+@query()
+def page_number_model(spark, d):
+    """Position of the page number by token shapes."""
+    card = N.CARDS["page_extraction"]
+    t = F.col("text")
+    rows = A.numbered_lines(spark, d).select("line_id", X.token_shapes(t, literal_small=False).alias("shapes"), (F.size(X.digit_tokens(t)) % 3).alias("position"))
+    return N.classify(N.fit(card, rows, min_df=2.0), rows, card.label).select("line_id", "position")
+
+
+@query()
+def quality_model(spark, d):
+    """Table-content classifier (TF-IDF, complement naive Bayes) applied to documents: fit on labelled, predict all."""
+    card = N.CARDS["tables"]
+    docs = A.table(spark, d, "documents").select("doc_id", F.col("text").alias("content"))
+    rows = docs.join(A.table(spark, d, "labels").select("doc_id", F.col("quality").alias("class")), "doc_id", "left")
+    return N.classify(N.fit(card, rows, min_df=3.0), rows, card.label).select("doc_id", "class")
+
+
+@query()
+def labelling_queue(spark, d):
+    """Active learning: the 20 pages the model is least certain of, as a queue for human labels."""
+    card, rows = N.CARDS["toc"], _pages(spark, d)
+    scored = N.fit(card, rows).transform(rows).withColumn("_key", F.col("doc_id") * 100000 + F.col("page_num"))
+    return M.uncertain(scored, F.array_max(vector_to_array("probability")), "_key", 20).select("doc_id", "page_num", F.round("uncertainty", 6).alias("uncertainty"))
