@@ -29,7 +29,7 @@ from pyspark.sql import types as T
 
 from quirefold.llm.chunks import MEMO_ENTRIES, ChunkEncoder, text_slices
 from quirefold.llm.quality import broadcast_file
-from quirefold.llm.store import prepare
+from quirefold.llm.store import prepare, unused
 
 _MASK = (1 << 64) - 1
 #: Odd multipliers of the displacement hash.
@@ -197,7 +197,7 @@ def _codec(data, digest: str, pattern: str) -> Codec:
     return _codecs[digest, pattern]
 
 
-def _run(data, digest: str, pattern: str, column: str, what: str):
+def _run(data, digest: str, pattern: str, column: str, what: str, into: str):
     def digests(codec: Codec, texts: list[str]) -> pa.StructArray:
         encoded = codec.encode(texts)
         return pa.StructArray.from_arrays(
@@ -222,22 +222,21 @@ def _run(data, digest: str, pattern: str, column: str, what: str):
         for batch in batches:
             values = batch.column(column).to_pylist()
             if what == "decode":
-                yield pa.RecordBatch.from_arrays([*batch.columns, texts_of(codec, values)], names=[*batch.schema.names, "_out"])
+                yield pa.RecordBatch.from_arrays([*batch.columns, texts_of(codec, values)], names=[*batch.schema.names, into])
                 continue
             values = [v or "" for v in values]
             for a, b in text_slices(values):
                 out = (ids if what == "ids" else digests)(codec, values[a:b])
-                yield pa.RecordBatch.from_arrays([*batch.slice(a, b - a).columns, out], names=[*batch.schema.names, "_out"])
+                yield pa.RecordBatch.from_arrays([*batch.slice(a, b - a).columns, out], names=[*batch.schema.names, into])
 
     return run
 
 
 def _apply(df: DataFrame, path: str, pattern: str, column: str, what: str, kind: T.DataType, into: str) -> DataFrame:
     spark = prepare(df.sparkSession)
-    while into in df.columns:
-        into = f"_{into}"
+    into = unused(df, into)
     schema = T.StructType([*df.schema.fields, T.StructField(into, kind)])
-    return df.mapInArrow(_run(*broadcast_file(spark, path), pattern, column, what), schema)
+    return df.mapInArrow(_run(*broadcast_file(spark, path), pattern, column, what, into), schema)
 
 
 def encode(df: DataFrame, path: str, pattern: str, text: str = "text", into: str = "ids") -> DataFrame:

@@ -21,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quirefold.llm.store import materialize
+from quirefold.llm.store import materialize, unused
 
 #: The white space that does not count.
 WHITE = " \t\n\x0b\x0c\r"
@@ -75,7 +75,7 @@ def drop_duplicates(df: DataFrame, id_col: str = "doc_id", text: str = "text") -
     gone = members.filter(~stays).select("_id", "_sha")
     # Rows that repeat both id and text: rare, so they are collapsed apart from the others.
     repeated = materialize(_several(members.filter(stays).select("_id", "_sha"), "_id", "_sha"), "repeated")
-    sha = _unused(df, "_sha")
+    sha = unused(df, "_sha")
     rows = df.withColumn(sha, content_sha(F.col(text)))
 
     def same(other: DataFrame) -> Column:
@@ -86,8 +86,3 @@ def drop_duplicates(df: DataFrame, id_col: str = "doc_id", text: str = "text") -
     once = rows.join(repeated, same(repeated), "left_semi").dropDuplicates([id_col, sha])
     return out.unionByName(once).drop(sha)
 
-
-def _unused(df: DataFrame, name: str) -> str:
-    while name in df.columns:
-        name = f"_{name}"
-    return name

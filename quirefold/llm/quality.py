@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quirefold.llm import textkit as K
-from quirefold.llm.store import prepare
+from quirefold.llm.store import prepare, unused
 
 #: Chunks whose tokens a worker remembers at most; then it forgets all and goes on. Only speed depends on it.
 MEMO_ENTRIES = 400_000
@@ -161,7 +161,7 @@ def base_counts(w: K.Words) -> dict[str, np.ndarray]:
 _meters: dict[str, FertilityMeter] = {}
 
 
-def _measure_batches(model, digest: str, column: str):
+def _measure_batches(model, digest: str, column: str, into: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if digest not in _meters:  # workers are reused: the memo then is, too
             _meters.clear()
@@ -178,7 +178,7 @@ def _measure_batches(model, digest: str, column: str):
                     for name, value in zip(("n_tokens", "chars_per_token", "byte_share", "entropy", "entropy_share"), meter.measure(t or ""), strict=True):
                         parts[name].append(value)
             struct = pa.StructArray.from_arrays([pa.array(parts[f.name], type=f.type) for f in kind], fields=list(kind))
-            yield pa.RecordBatch.from_arrays([*batch.columns, struct], names=[*batch.schema.names, "measures"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, struct], names=[*batch.schema.names, into])
 
     return run
 
@@ -195,10 +195,9 @@ def broadcast_file(spark, path: str):
 def measure(df: DataFrame, model_path: str, text: str = "text", into: str = "measures") -> DataFrame:
     """df with a struct of MEASURES; `into` gets leading underscores until no column of df has that name."""
     spark = prepare(df.sparkSession)
-    while into in df.columns:
-        into = f"_{into}"
+    into = unused(df, into)
     schema = T.StructType([*df.schema.fields, T.StructField(into, MEASURES)])
-    return df.mapInArrow(_measure_batches(*broadcast_file(spark, model_path), text), schema)
+    return df.mapInArrow(_measure_batches(*broadcast_file(spark, model_path), text, into), schema)
 
 
 def base_failed(m: Column) -> Column:

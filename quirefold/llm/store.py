@@ -36,10 +36,18 @@ def fresh_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/quirefold/{uuid.uuid4().hex}/{name}"
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write df once to the shared folder and read it back: cuts lineage and survives lost executors."""
+#: Rows of a table of a few narrow columns that one task writes at most, where the number of rows is known.
+NARROW_ROWS_PER_TASK = 200_000
+
+
+def materialize(df: DataFrame, name: str, rows: int | None = None) -> DataFrame:
+    """Write df once to the shared folder and read it back: cuts lineage and survives lost executors.
+
+    rows: about how many rows of a few narrow columns it has at most, if known; few rows then go to few files."""
     spark = df.sparkSession
     path = fresh_path(spark, name)
+    if rows is not None:
+        df = df.coalesce(max(spark.sparkContext.defaultParallelism, -(-rows // NARROW_ROWS_PER_TASK)))
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
@@ -67,5 +75,12 @@ def prepare(spark: SparkSession) -> SparkSession:
     return spark
 
 
+def unused(df: DataFrame, name: str) -> str:
+    """The name, with as many underscores before it as make it new to df."""
+    while name in df.columns:
+        name = f"_{name}"
+    return name
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

@@ -20,8 +20,9 @@ Counts are aggregated before they are shuffled; joins on anchors and windows can
 
 Defined results: a null or empty text has no words; a document shorter than a window loses nothing; equal documents of
 a window's length or more lose all words, all of them; overlapping repeats within one document count; very long texts
-are handled whole; rows that repeat an id are one document if their words are equal, else an error is raised; an empty
-table gives an empty result; other columns are not read.
+are handled whole; rows that repeat an id and its words are equal documents like any others, rows that repeat an id with
+other words raise an error, as spans belong to ids; a row without id keeps its words and does not count; an empty table
+gives an empty result; other columns are not read.
 """
 
 from __future__ import annotations
@@ -36,7 +37,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quirefold.llm import textkit as K
-from quirefold.llm.store import materialize, prepare
+from quirefold.llm.store import materialize, prepare, unused
 
 #: Words of a shard's reference text, about.
 SHARD_WORDS = 120_000
@@ -287,13 +288,13 @@ def _digest_kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(a, b - a), pa.array(removed, pa.int64()), pa.array(_joined(w, keep), pa.string())], names=[f.name for f in RESULT])
 
 
-def _kept_text(column: str):
+def _kept_text(column: str, into: str):
     """Texts without the words of their spans: kept words with the white space after each; None spans: unchanged."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             at = batch.schema.get_field_index(column)
-            texts, spans = batch.column(at).to_pylist(), batch.column("_spans").to_pylist()
+            texts, spans = batch.column(at).to_pylist(), batch.column(into).to_pylist()
             for i, flat in enumerate(spans):
                 if flat:
                     w = K.Words(*K.utf8(pa.array([texts[i]])), hashes=False)
@@ -320,7 +321,9 @@ class Repeats:
         self.docs = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text).alias("_text"))
         firsts = materialize(self.docs.mapInArrow(_pass_one(length), PASS_ONE), "pass_one")
         self.ones = firsts.drop("anchors")
-        long = firsts.filter(F.col("n_words") >= length)
+        if firsts.groupBy("doc_id").agg(F.min("d1").alias("a"), F.max("d1").alias("b")).filter("doc_id is not null and a <> b").limit(1).count():
+            raise ValueError("an id has several texts")
+        long = firsts.filter((F.col("n_words") >= length) & F.col("doc_id").isNotNull())
         groups = long.groupBy("d1", "d2", "n_words").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("c")).filter("c > 1")
         groups = materialize(groups, "copy_groups")
         #: Documents that have an equal one; all their words go.
@@ -388,6 +391,7 @@ def remove_repeats(df: DataFrame, length: int = 35, id_col: str = "doc_id", text
     found = Repeats(df, length, id_col, text)
     words = found.ones.select("doc_id", "n_words").dropDuplicates(["doc_id"])
     whole = found.copies.select("doc_id").distinct().join(words, "doc_id").select("doc_id", F.array(F.lit(0).cast("long"), F.col("n_words")).alias("spans"))
-    spans = materialize(found.spans.unionByName(whole), "all_spans").select(F.col("doc_id").alias("_doc"), F.col("spans").alias("_spans"))
-    rows = df.join(spans, F.col(id_col) == F.col("_doc"), "left").drop("_doc")
-    return rows.mapInArrow(_kept_text(text), rows.schema).drop("_spans")
+    doc, into = unused(df, "_doc"), unused(df, "_spans")
+    spans = materialize(found.spans.unionByName(whole), "all_spans").select(F.col("doc_id").alias(doc), F.col("spans").alias(into))
+    rows = df.join(spans, df[id_col] == spans[doc], "left").drop(doc)
+    return rows.mapInArrow(_kept_text(text, into), rows.schema).drop(into)
