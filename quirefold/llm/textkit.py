@@ -85,11 +85,24 @@ class Words:
         self.start, self.end = np.flatnonzero(first), np.flatnonzero(last) + 1
         self.doc = np.searchsorted(self.start, offsets)  # document d has words doc[d] to doc[d + 1]
         if hashes:
-            up, down = _byte_powers.get(n + 1)
+            self.hash = self._hashes(_LOWER if lower else None)
+
+    def _hashes(self, letters: np.ndarray | None) -> np.ndarray:
+        """A word's hash depends on its bytes only, so words are taken in blocks: a long text needs no long sums."""
+        out = np.empty(len(self.start), dtype=U64)
+        a = 0
+        while a < len(out):
+            lo = self.start[a]
+            b = max(a + 1, int(np.searchsorted(self.end, lo + SLICE_BYTES, "right")))
+            raw = self.raw[lo : self.end[b - 1]]
+            start, end = self.start[a:b] - lo, self.end[a:b] - lo
+            up, down = _byte_powers.get(len(raw) + 1)
             with np.errstate(over="ignore"):
-                sums = np.zeros(n + 1, dtype=U64)
-                np.cumsum(_BYTE_VALUES[_LOWER[raw] if lower else raw] * up[:n], out=sums[1:])
-                self.hash = mix((sums[self.end] - sums[self.start]) * down[self.start] + (self.end - self.start).astype(U64))
+                sums = np.zeros(len(raw) + 1, dtype=U64)
+                np.cumsum(_BYTE_VALUES[raw if letters is None else letters[raw]] * up[: len(raw)], out=sums[1:])
+                out[a:b] = mix((sums[end] - sums[start]) * down[start] + (end - start).astype(U64))
+            a = b
+        return out
 
     def __len__(self) -> int:
         return len(self.start)
