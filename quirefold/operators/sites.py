@@ -66,11 +66,18 @@ def extract_columns(cells: DataFrame, roles: DataFrame) -> DataFrame:
 
 
 def extract_keys(cells: DataFrame, roles: DataFrame) -> DataFrame:
-    """Key mode: the last cell that is a site key, with the value to its right or else below."""
+    """Key mode: the last cell that is a site key, with the value to its right or else below.
+
+    A name without digits takes the number in the cell right of it."""
     role = roles.select(F.col("header").alias("value"), "role")
     marked = cells.join(role, "value", "left")
     found = neighbours(marked, X.site_name_class(F.col("value")), F.col("role") == "site")
-    value = F.coalesce(F.when(F.col("right_class") == "valid", F.col("right_value")), F.when(F.col("down_class") == "valid", F.col("down_value")))
+
+    def named(d: str):
+        number = F.when(X.number_class(F.col(f"{d}_next")) == "valid", F.concat(F.col(f"{d}_value"), F.lit(" "), F.col(f"{d}_next")))
+        return F.when(F.col(f"{d}_class") == "valid", F.col(f"{d}_value")).when(F.col(f"{d}_class") == "invalid_no_num", number)
+
+    value = F.coalesce(named("right"), named("down"))
     chosen = found.withColumn("site_name", value).groupBy("table_id").agg(F.max_by(F.struct("site_name", "value"), F.struct("row", "col")).alias("_t"))
     return chosen.select("table_id", F.col("_t.site_name").alias("site_name"), F.col("_t.value").alias("source")).filter("site_name is not null")
 

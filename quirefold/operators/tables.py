@@ -81,10 +81,23 @@ def cosine(a: Column, b: Column) -> Column:
 def neighbours(cells: DataFrame, klass: Column, key: Column) -> DataFrame:
     """For key cells, the first cell to the right and the first below whose class is not empty-like.
 
-    (table_id, row, col, value, right_value, right_class, down_value, down_class)"""
-    marked = cells.withColumn("_k", klass)
-    good = F.when(~F.col("_k").endswith("nan"), F.struct(F.col("value").alias("v"), F.col("_k").alias("k")))
-    right = F.first(good, True).over(W.partitionBy("table_id", "row").orderBy("col").rowsBetween(1, W.unboundedFollowing))
+    (table_id, row, col, value, right_value, right_class, right_next, down_value, down_class, down_next); next is the
+    cell right of the found one."""
+    in_row = W.partitionBy("table_id", "row").orderBy("col")
+    marked = cells.withColumn("_k", klass).withColumn("_x", F.when(F.lead("col").over(in_row) == F.col("col") + 1, F.lead("value").over(in_row)))
+    good = F.when(~F.col("_k").endswith("nan"), F.struct(F.col("value").alias("v"), F.col("_k").alias("k"), F.col("_x").alias("x")))
+    right = F.first(good, True).over(in_row.rowsBetween(1, W.unboundedFollowing))
     down = F.first(good, True).over(W.partitionBy("table_id", "col").orderBy("row").rowsBetween(1, W.unboundedFollowing))
     found = marked.withColumn("_r", right).withColumn("_d", down).filter(key)
-    return found.select("table_id", "row", "col", "value", F.col("_r.v").alias("right_value"), F.col("_r.k").alias("right_class"), F.col("_d.v").alias("down_value"), F.col("_d.k").alias("down_class"))
+    both = [F.col(f"_{d[0]}.{f}").alias(f"{d}_{name}") for d in ("right", "down") for f, name in (("v", "value"), ("k", "class"), ("x", "next"))]
+    return found.select("table_id", "row", "col", "value", *both)
+
+
+def row_similarity(cells: DataFrame) -> DataFrame:
+    """(table_id, row, col, other_col, similarity): cosine of character counts of the cells of each row, each pair once."""
+    counts = cells.select("table_id", "row", "col", F.explode(F.split(F.coalesce("value", F.lit("")), "")).alias("c")).filter("c <> ''").groupBy("table_id", "row", "col", "c").agg(F.count(F.lit(1)).alias("n"))
+    sizes = counts.groupBy("table_id", "row", "col").agg(F.sqrt(F.sum(F.col("n") * F.col("n"))).alias("s"))
+    other = counts.select("table_id", "row", "c", F.col("col").alias("other_col"), F.col("n").alias("m"))
+    dots = counts.join(other, ["table_id", "row", "c"]).filter("col < other_col").groupBy("table_id", "row", "col", "other_col").agg(F.sum(F.col("n") * F.col("m")).alias("d"))
+    pairs = dots.join(sizes, ["table_id", "row", "col"]).join(sizes.select("table_id", "row", F.col("col").alias("other_col"), F.col("s").alias("t")), ["table_id", "row", "other_col"])
+    return pairs.select("table_id", "row", "col", "other_col", (F.col("d") / (F.col("s") * F.col("t"))).alias("similarity"))

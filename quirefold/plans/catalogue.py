@@ -458,11 +458,14 @@ def column_extract(spark, d):
     return S.extract_columns(_site_cells(spark, d), S.header_roles(_roles(spark, d)))
 
 
-_KEYS = """marked as (select c.*, role, case when value is null then 'nan' when not regexp_matches(lower(value), '\\p{Nd}') then 'no_num' when contains(lower(value), 'unnamed') then 'nan' else 'valid' end k
+_KEYS = """marked as (select c.*, role, case when value is null then 'nan' when not regexp_matches(lower(value), '\\p{Nd}') then 'no_num' when contains(lower(value), 'unnamed') then 'nan' else 'valid' end k,
+        case when lead(c.col) over (partition by table_id, row order by c.col) = c.col + 1 then lead(value) over (partition by table_id, row order by c.col) end x
         from cells c left join roles on c.value = roles.header),
-    walked as (select *, first_value(case when k <> 'nan' then {'v': value, 'k': k} end ignore nulls) over (partition by table_id, row order by col rows between 1 following and unbounded following) r,
-        first_value(case when k <> 'nan' then {'v': value, 'k': k} end ignore nulls) over (partition by table_id, col order by row rows between 1 following and unbounded following) w from marked),
-    chosen as (select table_id, value source, coalesce(case when r.k = 'valid' then r.v end, case when w.k = 'valid' then w.v end) site_name, row_number() over (partition by table_id order by row desc, col desc) o from walked where role = 'site'),
+    walked as (select *, first_value(case when k <> 'nan' then {'v': value, 'k': k, 'x': x} end ignore nulls) over (partition by table_id, row order by col rows between 1 following and unbounded following) r,
+        first_value(case when k <> 'nan' then {'v': value, 'k': k, 'x': x} end ignore nulls) over (partition by table_id, col order by row rows between 1 following and unbounded following) w from marked),
+    named as (select *, case when r.k = 'valid' then r.v when r.k = 'no_num' and r.x is not null and not regexp_matches(lower(r.x), '\\p{Ll}') then r.v || ' ' || r.x end rv,
+        case when w.k = 'valid' then w.v when w.k = 'no_num' and w.x is not null and not regexp_matches(lower(w.x), '\\p{Ll}') then w.v || ' ' || w.x end wv from walked where role = 'site'),
+    chosen as (select table_id, value source, coalesce(rv, wv) site_name, row_number() over (partition by table_id order by row desc, col desc) o from named),
     by_key as (select table_id, site_name, source from chosen where o = 1 and site_name is not null)"""
 
 
@@ -485,6 +488,22 @@ def cosine_pairs(spark, d):
     return near.join(other, "other_id").select("vec_id", "other_id", r6(T.cosine(F.col("embedding"), F.col("_o"))).alias("similarity"))
 
 
+@query(
+    f"""with {A.CELLS}, n as (select table_id, row, col, c, count(*) n from cells, unnest(string_split(value, '')) u(c) where c <> '' group by all),
+    s as (select table_id, row, col, sqrt(sum(n * n)) s from n group by all)
+    select a.table_id, a.row, a.col, b.col other_col, round(sum(a.n * b.n) / (any_value(x.s) * any_value(y.s)), 6) similarity from n a join n b on a.table_id = b.table_id and a.row = b.row and a.c = b.c and a.col < b.col
+        join s x on x.table_id = a.table_id and x.row = a.row and x.col = a.col join s y on y.table_id = a.table_id and y.row = a.row and y.col = b.col group by a.table_id, a.row, a.col, b.col"""
+)
+def cell_similarity(spark, d):
+    return T.row_similarity(A.cells(spark, d)).withColumn("similarity", r6("similarity"))
+
+
+@query("select o_orderkey, (o_orderdate + interval 20 day)::date::varchar received from orders where o_orderdate::date > date '1996-02-10' and contains(o_orderdate::date::varchar, '1998')")
+def date_sanity(spark, d):
+    day = F.to_date("o_orderdate")
+    return A.table(spark, d, "orders").filter((day > F.to_date(F.lit("1996-02-10"))) & day.cast("string").contains("1998")).select("o_orderkey", F.date_add(day, 20).cast("string").alias("received"))
+
+
 # ---- metadata ----------------------------------------------------------------------------------------------------
 
 

@@ -12,7 +12,7 @@ from quirefold.operators import pages as P
 from quirefold.operators import sites as S
 from quirefold.operators.tables import neighbours
 from quirefold.plans import adapters as A
-from quirefold.sources import readers, sinks
+from quirefold.sources import office, readers, sinks
 from quirefold.streaming import ingest
 
 
@@ -56,6 +56,8 @@ def test_cell_walk(spark):
     assert (r.right_value, r.down_value) == ("BH 7", "X9")
     roles = S.header_roles(S.match_headers(cells.select(F.col("value").alias("header")), S.vocabulary(spark)))
     assert [(x.site_name, x.source) for x in S.extract_keys(cells, roles).collect()] == [("BH 7", "hole name")]
+    apart = spark.createDataFrame([("t", 1, 1, "hole name"), ("t", 1, 2, "Mary"), ("t", 1, 3, "12")], "table_id string, row long, col long, value string").withColumn("header", F.lit("h"))
+    assert [x.site_name for x in S.extract_keys(apart, roles).collect()] == ["Mary 12"]
 
 
 def test_carry_and_spine(spark):
@@ -101,6 +103,28 @@ def test_sources_and_sinks(spark, tmp_path):
     assert texts.first().content.splitlines()[-1] in ("one", "two")
 
 
+def test_office_sources(spark, tmp_path):
+    import zipfile
+
+    s = 'xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main"'
+    with zipfile.ZipFile(tmp_path / "reports.xlsx", "w") as z:
+        z.writestr("xl/sharedStrings.xml", f"<sst {s}><si><t>REPNO</t></si><si><t>RTITLE</t></si><si><t>Well A</t></si></sst>")
+        rows = '<row r="1"><c r="A1" t="s"><v>0</v></c><c r="B1" t="s"><v>1</v></c></row><row r="2"><c r="A2"><v>17</v></c><c r="B2" t="s"><v>2</v></c></row>'
+        z.writestr("xl/worksheets/sheet1.xml", f"<worksheet {s}><sheetData>{rows}</sheetData></worksheet>")
+    w = 'xmlns:w="http://schemas.openxmlformats.org/wordprocessingml/2006/main"'
+    para = lambda t: f"<w:p><w:r><w:t>{t}</w:t></w:r></w:p>"
+    with zipfile.ZipFile(tmp_path / "cr_1_2.docx", "w") as z:
+        table = f"<w:tbl><w:tr><w:tc>{para('Hole')}</w:tc><w:tc>{para('East')}</w:tc></w:tr><w:tr><w:tc>{para('B1')}</w:tc><w:tc>{para('9')}</w:tc></w:tr></w:tbl>"
+        z.writestr("word/document.xml", f"<w:document {w}><w:body>{para('Intro')}{table}</w:body></w:document>")
+    (tmp_path / "broken.docx").write_bytes(b"no zip")
+    (tmp_path / "a.pdf").write_bytes(b"%PDF /Type /Pages /Type /Page x /Type/Page>>")
+    (tmp_path / "b.tif").write_bytes(b"II*\0" + (8).to_bytes(4, "little") + (0).to_bytes(2, "little") + (14).to_bytes(4, "little") + (0).to_bytes(2, "little") + (0).to_bytes(4, "little"))
+    assert [tuple(r) for r in office.spreadsheet(spark, str(tmp_path), ["REPNO", "RTITLE"]).collect()] == [("17", "Well A")]
+    parts = [(r.kind, r.table_num, r.row, r.col, r.text) for r in office.word_documents(spark, str(tmp_path)).collect()]
+    assert parts == [("paragraph", None, 1, 1, "Intro"), ("cell", 1, 0, 1, "Hole"), ("cell", 1, 0, 2, "East"), ("cell", 1, 1, 1, "B1"), ("cell", 1, 1, 2, "9")]
+    assert {(r.extension, r.pages, r.readable) for r in office.page_counts(spark, str(tmp_path)).collect()} >= {("pdf", 2, True), ("tif", 2, True), ("docx", 1, False)}
+
+
 def test_models_predict_held_out_rows(spark):
     rows = spark.createDataFrame([(i, i % 7, (i * 5) % 11, float(i % 2), float(i % 3), float(i % 2), i % 2) for i in range(600)], "doc_id long, page_num long, num_children long, contains_toc_phrase double, contains_contents_word double, contains_list_of double, toc_page int")
     train, test = N.hold_out(rows, "doc_id")
