@@ -9,8 +9,8 @@ reference is first cut down to what repeats, and each document only meets the sh
 2. anchors that occur twice or more are counted (about one in fourteen words is an anchor); windows with such an anchor
    are candidates; candidate windows are counted by hash. Every window found twice or more becomes reference text once,
    in its first document, as maximal segments. How often a passage is copied no longer matters from here on;
-3. the reference is dealt into shards of bounded size by document; an anchor tells which shards can match a document.
-   Each task builds the suffix automaton of its shard, streams its documents' candidate passages through it and marks
+3. the reference is dealt into shards of bounded size by document; a window's hash tells which shards can match a
+   document. Each task builds the suffix automaton of its shard, streams its documents' candidate passages through it and marks
    all spans whose matching statistics reach the length. A shard that many documents need goes to several tasks, each
    with a bounded share of the documents. Shards go only to the tasks that need them, not to all executors, so the
    size of what is sent is bounded by the shard;
@@ -40,7 +40,7 @@ from quirefold.llm import textkit as K
 from quirefold.llm.store import materialize, prepare, unused
 
 #: Words of a shard's reference text, about.
-SHARD_WORDS = 120_000
+SHARD_WORDS = 250_000
 #: Candidate words that one task streams through one shard, about.
 TASK_WORDS = 1_500_000
 #: Words under an anchor's hash, at most.
@@ -48,7 +48,7 @@ ANCHOR_WORDS = 8
 
 _LONGS = T.ArrayType(T.LongType())
 PASS_ONE = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("n_words", T.LongType()), T.StructField("d1", T.LongType()), T.StructField("d2", T.LongType()), T.StructField("sha", T.StringType()), T.StructField("anchors", _LONGS)])
-SEGMENTS = T.StructType([T.StructField("rep", T.LongType()), T.StructField("words", _LONGS), T.StructField("anchors", _LONGS)])
+SEGMENTS = T.StructType([T.StructField("rep", T.LongType()), T.StructField("words", _LONGS)])
 SPANS = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("spans", _LONGS)])
 RESULT = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("kept_sha256", T.StringType())])
 
@@ -151,7 +151,7 @@ def _segments(length: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids = batch.column("doc_id").to_numpy()
-            for a, w, win, chosen in _candidates(batch, length):
+            for a, w, _, chosen in _candidates(batch, length):
                 own = batch.column("windows").slice(a, len(w.doc) - 1)
                 # A window counts in its representative document only: hashes are salted with the row.
                 hashes, rows = K.ngram_hashes(w.hash, length), w.doc_of()
@@ -162,8 +162,9 @@ def _segments(length: int):
                     continue
                 cut = np.flatnonzero((np.diff(at) > 1) | (np.diff(rows[at]) > 0)) + 1
                 first, last = at[np.concatenate([[0], cut])], at[np.concatenate([cut - 1, [len(at) - 1]])]
-                out = [(int(ids[a + rows[x]]), w.hash[x : y + length].view(np.int64), np.unique(win.anchor[x : y + 1]).view(np.int64)) for x, y in zip(first.tolist(), last.tolist(), strict=True)]
-                yield pa.RecordBatch.from_arrays([pa.array([o[0] for o in out], pa.int64()), pa.array([o[1] for o in out], pa.list_(pa.int64())), pa.array([o[2] for o in out], pa.list_(pa.int64()))], names=["rep", "words", "anchors"])
+                reps = [int(ids[a + rows[x]]) for x in first.tolist()]
+                words = [w.hash[x : y + length].view(np.int64) for x, y in zip(first.tolist(), last.tolist(), strict=True)]
+                yield pa.RecordBatch.from_arrays([pa.array(reps, pa.int64()), pa.array(words, pa.list_(pa.int64()))], names=["rep", "words"])
 
     return run
 
@@ -329,26 +330,29 @@ class Repeats:
         #: Documents that have an equal one; all their words go.
         self.copies = materialize(long.join(groups.select("d1", "d2", "n_words", "rep"), ["d1", "d2", "n_words"]).select("doc_id", "rep"), "copies")
         extra = self.copies.filter("doc_id <> rep").select("doc_id")
-        anchored = long.join(extra, "doc_id", "left_anti").select("doc_id", F.explode("anchors").alias("anchor"))
-        repeated = anchored.groupBy("anchor").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select("anchor")
-        self.met = materialize(anchored.join(materialize(repeated, "anchors"), "anchor").distinct(), "met")
-        wanted = self.met.groupBy("doc_id").agg(F.collect_set("anchor").alias("anchors"))
-        texts = self.docs.join(wanted, "doc_id")
-        self.candidates = materialize(texts, "candidates")
+        unlike = long.join(extra, "doc_id", "left_anti")
+        counted = unlike.select(F.explode("anchors").alias("anchor")).groupBy("anchor").agg(F.count(F.lit(1)).alias("c"))
+        repeated = materialize(counted.filter("c > 1").select("anchor"), "anchors")
+        met = materialize(unlike.select("doc_id", F.explode(F.array_distinct("anchors")).alias("anchor")).join(repeated, "anchor"), "met")
+        wanted = met.groupBy("doc_id").agg(F.collect_set("anchor").alias("anchors"))
+        copied = self.copies.select(F.col("doc_id").alias("_copied")).distinct()
+        wanted = wanted.join(copied, F.col("doc_id") == F.col("_copied"), "left").select("doc_id", "anchors", F.col("_copied").isNotNull().alias("copied"))
+        self.candidates = materialize(self.docs.join(wanted, "doc_id"), "candidates")
         self.spans = self._spans()
 
     def _spans(self) -> DataFrame:
         length = self.length
         windows = self.candidates.mapInArrow(_window_hashes(length), "window long, doc long")
         twice = windows.groupBy("window").agg(F.count(F.lit(1)).alias("c"), F.min("doc").alias("rep")).filter("c > 1")
-        per_rep = materialize(twice.groupBy(F.col("rep").alias("doc_id")).agg(F.collect_list("window").alias("windows")), "per_rep")
+        twice = materialize(twice.select("window", "rep"), "twice")
+        per_rep = twice.groupBy(F.col("rep").alias("doc_id")).agg(F.collect_list("window").alias("windows"))
         segments = materialize(self.candidates.join(per_rep, "doc_id").mapInArrow(_segments(length), SEGMENTS), "segments")
         total = segments.agg(F.sum(F.size("words"))).first()[0] or 0
-        shards = 1 + total // SHARD_WORDS
-        segments = segments.withColumn("shard", F.pmod(F.xxhash64("rep"), F.lit(shards)))
-        routes = segments.select(F.explode("anchors").alias("anchor"), "shard").distinct()
-        # Words of documents that are copies are gone anyway: those documents need no spans.
-        need = self.met.join(self.copies.select("doc_id"), "doc_id", "left_anti").join(materialize(routes, "routes"), "anchor").select("doc_id", "shard").distinct()
+        shard_of = F.pmod(F.xxhash64("rep"), F.lit(1 + total // SHARD_WORDS))
+        segments = segments.withColumn("shard", shard_of)
+        # Documents that are copies lose all words anyway and need no spans.
+        routed = self.candidates.filter("not copied").mapInArrow(_window_hashes(length), "window long, doc long").join(twice, "window")
+        need = routed.select(F.col("doc").alias("doc_id"), shard_of.alias("shard")).distinct()
         need = materialize(need.join(self.ones.select("doc_id", "n_words").dropDuplicates(["doc_id"]), "doc_id"), "need")
         load = need.groupBy("shard").agg((1 + F.floor(F.sum("n_words") / TASK_WORDS)).alias("parts"))
         load = materialize(load, "load")
