@@ -149,12 +149,12 @@ def page_fig_features(spark, d):
 
 
 @query(
-    f"""with {A.LINES}, k as (select * from lines where page_num % 3 <> 2), c as (select doc_id, page_num, count(*) n_lines from k group by all),
+    f"""with {A.LINES}, k as (select * from lines where length(text) > 120), c as (select doc_id, page_num, count(*) n_lines from k group by all),
     s as (select doc_id, unnest(generate_series(1, max(page_num))) page_num from c group by doc_id)
     select s.doc_id, s.page_num, coalesce(n_lines, 0) n_lines from s left join c using (doc_id, page_num)"""
 )
 def page_spine(spark, d):
-    return P.page_spine(A.lines(spark, d).filter("page_num % 3 <> 2"))
+    return P.page_spine(A.lines(spark, d).filter("length(text) > 120"))
 
 
 @query(
@@ -313,9 +313,9 @@ def _matched(spark, d):
     return H.match_headings(_best(spark, d), LEAST)
 
 
-@query(f"with {PAIRS} select doc_id, line_num, heading_id, round(similarity, 6) similarity from pairs where similarity >= 0.05")
+@query(f"with {PAIRS} select doc_id, line_num, heading_id, round(similarity, 6) similarity from pairs")
 def heading_similarity(spark, d):
-    return H.similarities(A.lines(spark, d), A.headings(spark, d)).filter("similarity >= 0.05").select("doc_id", "line_num", "heading_id", r6("similarity").alias("similarity"))
+    return H.similarities(A.lines(spark, d), A.headings(spark, d)).select("doc_id", "line_num", "heading_id", r6("similarity").alias("similarity"))
 
 
 @query(f"with {PAIRS} select doc_id, line_num, level, heading_id, round(similarity, 6) similarity from best")
@@ -362,9 +362,9 @@ def bookmark_tree(spark, d):
     return H.bookmarks(heads, tocs)
 
 
-@query(f"with {A.BOXES} select doc_id, ord, round(595.0 * \"left\", 6) x0, round(842.0 * (1 - top), 6) y0, round(595.0 * (\"left\" + width), 6) x1, round(842.0 * (1 - top) - 842.0 * height, 6) y1 from boxes where confidence > 50")
+@query(f"with {A.BOXES} select doc_id, ord, round(595.0 * \"left\", 6) x0, round(842.0 * (1 - top), 6) y0, round(595.0 * (\"left\" + width), 6) x1, round(842.0 * (1 - top) - 842.0 * height, 6) y1 from boxes")
 def toc_links(spark, d):
-    rows = H.link_rectangles(A.boxes(spark, d).filter("confidence > 50"), 595.0, 842.0)
+    rows = H.link_rectangles(A.boxes(spark, d), 595.0, 842.0)
     return rows.select("doc_id", "ord", *[r6(c).alias(c) for c in ("x0", "y0", "x1", "y1")])
 
 
@@ -585,11 +585,11 @@ def files_to_archive(spark, d):
     return A.table(spark, d, "pages").select("page_id", "url").join(bad, "page_id", "left_semi")
 
 
-@query("select distinct o_orderkey doc_id, lpad(l_linenumber::varchar, 3, '0') file_num from orders join lineitem on l_orderkey = o_orderkey where o_orderkey % 11 = 0")
+@query("select distinct o_orderkey doc_id, lpad(l_linenumber::varchar, 3, '0') file_num from orders join lineitem on l_orderkey = o_orderkey")
 def id_list_match(spark, d):
     pad = X.padded_number(F.col("l_linenumber").cast("string")).alias("file_num")
     files = A.table(spark, d, "lineitem").select(F.col("l_orderkey").alias("doc_id"), pad)
-    return files.join(A.table(spark, d, "orders").filter("o_orderkey % 11 = 0").select(F.col("o_orderkey").alias("doc_id")), "doc_id", "left_semi").distinct()
+    return files.join(A.table(spark, d, "orders").select(F.col("o_orderkey").alias("doc_id")), "doc_id", "left_semi").distinct()
 
 
 @query("select s_nationkey file_id, coalesce(a.n, 0) n_first, coalesce(b.n, 0) n_second from (select distinct s_nationkey from supplier) f left join (select s_nationkey k, count(*) n from supplier where s_acctbal > 0 group by 1) a on a.k = s_nationkey left join (select c_nationkey k, count(*) n from customer where c_acctbal > 5000 group by 1) b on b.k = s_nationkey")
