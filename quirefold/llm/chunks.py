@@ -26,7 +26,7 @@ class ChunkEncoder:
         if len(memo) >= MEMO_ENTRIES:
             memo.clear()
         split = [t.split(" ") for t in texts]
-        missing = {c for chunks in split for c in chunks[1:] if c not in memo}
+        missing = set().union(*split).difference(memo)
         plain = [c for c in missing if c and not c[0].isspace()]
         memo.update(zip(plain, self.many(plain), strict=True))
         out = []

@@ -13,6 +13,7 @@ documents of their own with the same piece numbers; an empty table gives no sequ
 
 from __future__ import annotations
 
+import re
 import zlib
 from array import array
 from collections.abc import Iterator
@@ -40,6 +41,11 @@ PIECE = T.StructType(
 BINS = T.StructType([T.StructField("fill", T.LongType()), T.StructField("items", T.ArrayType(PIECE))])
 
 
+#: Letters and marks on whose classes all versions of the pre-token pattern agree, without the `<` of special tokens.
+_COMMON_CHUNK = re.compile(r"[!-;=-~\u00a1-\u024f]+\Z")
+_COMMON_TEXT = re.compile(r"[\n\t\r !-;=-~\u00a1-\u024f]+\Z")
+
+
 class JsonTokenizer:
     """A vocabulary file of the `tokenizers` library; common chunks take a faster implementation of the same merges."""
 
@@ -47,7 +53,8 @@ class JsonTokenizer:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_str(json_bytes.decode())
-        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        if any("<" not in t.content for t in self.tokenizer.get_added_tokens_decoder().values()):
+            ranks = None  # the patterns below tell texts with special tokens by this character only
         self.fast = None
         if ranks is not None:
             import tiktoken
@@ -58,13 +65,15 @@ class JsonTokenizer:
         self.chunks = ChunkEncoder(self.whole, self.many)
 
     def whole(self, text: str) -> bytes:
+        if self.fast is not None and _COMMON_TEXT.match(text):
+            return array("I", self.fast.encode_ordinary(text)).tobytes()
         return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
 
     def many(self, chunks: list[str]) -> list[bytes]:
         """Chunks without white space are encoded in one go, a line each; a line's end is a token of its own."""
         if self.fast is None:
             return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch([f" {c}" for c in chunks], add_special_tokens=False)]
-        simple = [i for i, c in enumerate(chunks) if self._simple(c)]
+        simple = [i for i, c in enumerate(chunks) if _COMMON_CHUNK.match(c)]
         out: list[bytes] = [b""] * len(chunks)
         for a in range(0, len(simple), 20_000):
             part = simple[a : a + 20_000]
@@ -82,10 +91,6 @@ class JsonTokenizer:
     def line_end(self) -> int:
         return self.fast.encode_ordinary("\n")[0]
 
-    def _simple(self, chunk: str) -> bool:
-        """Letters and marks whose classes all versions of the pattern's classes agree on, no special token."""
-        return max(chunk) < "ɐ" and len(chunk.split()) == 1 and chunk.isprintable() and not any(s in chunk for s in self.special)
-
     def encode(self, texts: list[str]) -> list[bytes]:
         return self.chunks.encode(texts)
 
