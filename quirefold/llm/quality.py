@@ -2,10 +2,14 @@
 
 A public vocabulary measures each document: characters per token, share of byte-fallback tokens, token entropy. Bands
 per language (or per script, where no language is given) say which values are acceptable; a document outside its band
-is rejected. Base counts (words, symbols, repeated lines and word windows) come from the same pass.
+is rejected. A language's band is fitted on the measures of all its documents in the table that pass the base rule;
+fixed bands stand in where there are too few. Base counts (words, symbols, repeated lines and word windows) come from
+the same pass.
 
-One narrow pass over the texts without any shuffle: each row is judged by itself, so skew does not matter, and a lost
-executor only repeats its own rows. Memory is bounded by one Arrow batch and a memo of bounded size.
+One narrow pass over the texts without any shuffle: a row is measured by itself, so skew does not matter, and a lost
+executor only repeats its own rows. Memory is bounded by one Arrow batch and a memo of bounded size. To fit the bands,
+the measured rows are written once and their rounded measures counted by language, which bounds that aggregate by the
+number of different rounded values, not by documents.
 
 Defined results: null or empty text has no words, no tokens and fails the base rule; very long texts are measured
 whole; repeated rows and ties are judged alike; an empty table gives an empty result; a null or unknown language takes
@@ -25,7 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quirefold.llm import textkit as K
-from quirefold.llm.store import prepare, unused
+from quirefold.llm.store import materialize, prepare, unused
 
 #: Chunks whose tokens a worker remembers at most; then it forgets all and goes on. Only speed depends on it.
 MEMO_ENTRIES = 400_000
@@ -43,7 +47,8 @@ class Band:
     min_entropy_share: float
 
 
-#: Bands by language, and by script for other languages. Parameters, chosen wide enough to keep running prose.
+#: Bands by language, and by script for other languages, where no band can be fitted. Parameters, chosen wide enough to
+#: keep running prose.
 LANGUAGE_BANDS = {
     "en": Band(1.5, 6.5, 0.02, 0.47),
     "de": Band(1.4, 6.5, 0.02, 0.47),
@@ -57,6 +62,16 @@ SCRIPT_BANDS = {
     "other": Band(0.3, 7.0, 0.90, 0.30),
 }
 
+#: A band is fitted on at least so many documents.
+MIN_FITTED = 100
+#: Limits of a fitted band lie so many interquartile ranges outside the quartiles. A parameter: quartiles hardly move
+#: with the junk, as long as it is well below a quarter of a language's documents.
+FENCE = 2.0
+#: Least interquartile range, as a share of the median: tables of nearly equal texts do not reject each other.
+MIN_SPREAD = 0.01
+#: Decimals of the measures that quartiles are taken of.
+FIT_DECIMALS = 3
+
 MEASURES = T.StructType(
     [T.StructField(n, T.LongType()) for n in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_tokens")]
     + [T.StructField(n, T.DoubleType()) for n in ("chars_per_token", "byte_share", "entropy", "entropy_share")]
@@ -214,22 +229,53 @@ def in_band(m: Column, lang: Column | None = None, languages: dict[str, Band] =
             & (m["entropy_share"] >= b.min_entropy_share)
         )
 
-    verdict = fits(scripts["other"])
-    for name, band in scripts.items():
-        verdict = F.when(m["script"] == name, fits(band)).otherwise(verdict)
-    if lang is not None:
-        for name, band in languages.items():
-            verdict = F.when(lang == name, fits(band)).otherwise(verdict)
+    cases = [(lang == name, fits(band)) for name, band in languages.items()] if lang is not None else []
+    cases += [(m["script"] == name, fits(band)) for name, band in scripts.items() if name != "other"]
+    verdict = F
+    for case in cases:
+        verdict = verdict.when(*case)
+    verdict = verdict.otherwise(fits(scripts["other"])) if cases else fits(scripts["other"])
     return F.coalesce(verdict, F.lit(False))
 
 
-def judge(df: DataFrame, model_path: str, text: str = "text", lang: str | None = "lang", **bands) -> DataFrame:
-    """df with the measures' struct (last column), `base_failed` and `kept` inside it."""
+def fit_bands(measured: DataFrame, into: str, lang: str | None = None) -> dict[str, dict[str, Band]]:
+    """`languages` and `scripts` for in_band, fitted on the rows that pass the base rule: rows with a language by
+    language, the others by script. Groups of fewer than MIN_FITTED rows keep their fixed bands."""
+    m = F.col(into)
+    of = F.col(lang).cast("string") if lang else F.lit(None).cast("string")
+    good = measured.filter(~base_failed(m)).select(of.alias("_l"), F.when(of.isNull(), m["script"]).alias("_s"), m.alias("_m"))
+    names = ("chars_per_token", "byte_share", "entropy_share")
+    quartiles = [F.percentile(F.round(F.col("_m")[n], FIT_DECIMALS), F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias(n) for n in names]
+    languages, scripts = dict(LANGUAGE_BANDS), dict(SCRIPT_BANDS)
+    for r in good.groupBy("_l", "_s").agg(F.count(F.lit(1)).alias("_n"), *quartiles).filter(F.col("_n") >= MIN_FITTED).collect():
+        reach = {n: FENCE * max(r[n][2] - r[n][0], MIN_SPREAD * r[n][1]) for n in names}
+        low, high = ({n: r[n][i] + sign * reach[n] for n in names} for i, sign in ((0, -1), (2, 1)))
+        fixed = languages.get(r["_l"]) or scripts.get(r["_s"]) or LANGUAGE_BANDS["en"]
+        # most texts have no byte-fallback token at all: the fixed limit is the least one
+        band = Band(low["chars_per_token"], high["chars_per_token"], max(high["byte_share"], fixed.max_byte_share), low["entropy_share"])
+        if r["_l"] is not None:
+            languages[r["_l"]] = band
+        else:
+            scripts[r["_s"]] = band
+    return {"languages": languages, "scripts": scripts}
+
+
+def judge(df: DataFrame, model_path: str, text: str = "text", lang: str | None = "lang", carry: tuple[str, ...] | None = None, **bands) -> DataFrame:
+    """df with the measures' struct (last column), `base_failed` and `kept` inside it.
+
+    carry: the columns of df that the result has, `lang` among them; all by default. bands: `languages`, `scripts` of
+    in_band; without any, they are fitted on df."""
     measured = measure(df, model_path, text)
     into = measured.columns[-1]
+    if carry is not None:
+        measured = measured.select(*carry, into)
+    lang = lang if lang and lang in measured.columns else None
+    if not bands:
+        measured = materialize(measured, "measures")
+        bands = fit_bands(measured, into, lang)
     m = F.col(into)
     failed = base_failed(m)
-    kept = ~failed & in_band(m, F.col(lang) if lang and lang in df.columns else None, **bands)
+    kept = ~failed & in_band(m, F.col(lang) if lang else None, **bands)
     return measured.withColumn(into, m.withField("base_failed", failed).withField("kept", kept))
 
 

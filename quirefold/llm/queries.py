@@ -23,7 +23,7 @@ URL_RULES = [
 
 def op1_tokeniser_fertility(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
-    judged = quality.judge(docs, public_tokenizers.path("piece_bpe_32k.model"))
+    judged = quality.judge(docs, public_tokenizers.path("piece_bpe_32k.model"), carry=("doc_id", "lang"))
     return judged.select("doc_id", f"{judged.columns[-1]}.*").select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "n_tokens", "chars_per_token", "byte_share", "entropy"
     )

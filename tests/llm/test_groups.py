@@ -188,6 +188,27 @@ def test_quality_rules_keep_clean_documents(spark, data):
     assert clean.count() > 20 and clean.filter(~F.col("measures")["kept"]).count() == 0
 
 
+def test_quality_rules_reject_junk_and_keep_clean_documents(spark, data):
+    """Bands fitted on the table itself separate labelled junk from clean text, which fixed wide ones do not."""
+    larger = data.replace("sf0.001", "sf0.01")
+    judged = queries.op1_tokeniser_fertility(spark, larger).filter("not base_failed")
+    r = judged.join(read_table(spark, larger, "labels"), "doc_id").groupBy("quality", "toxic").agg(F.count(F.lit(1)).alias("n"), F.sum((~F.col("kept")).cast("int")).alias("gone")).collect()
+    bad = [(x.n, x.gone) for x in r if x.quality == 0]
+    clean = [(x.n, x.gone) for x in r if (x.quality, x.toxic) == (1, 0)]
+    assert sum(n for n, _ in bad) > 20 and sum(g for _, g in bad) > 0.5 * sum(n for n, _ in bad)
+    assert clean[0][0] > 200 and clean[0][1] < 0.03 * clean[0][0]
+
+
+def test_bands_are_fitted_by_language_else_script(spark):
+    fields = "n_words long, n_repeat_words long, chars_per_token double, byte_share double, entropy_share double, script string"
+    good = [(90, 0, 2.0 + i % 9 / 100, 0.0, 0.7 + i % 7 / 100, "latin") for i in range(120)]
+    rows = [("xx", m) for m in good] + [(None, m[:2] + (1.0 + m[2], 0.0, 0.7, "cjk")) for m in good] + [("en", good[0])] * 5
+    fitted = quality.fit_bands(spark.createDataFrame(rows, f"lang string, m struct<{fields}>"), "m", "lang")
+    assert 1.8 < fitted["languages"]["xx"].min_chars_per_token < 2.0 and 2.08 < fitted["languages"]["xx"].max_chars_per_token < 2.3
+    assert 2.8 < fitted["scripts"]["cjk"].min_chars_per_token < 3.0 and fitted["scripts"]["latin"] == quality.SCRIPT_BANDS["latin"]
+    assert fitted["languages"]["en"] == quality.LANGUAGE_BANDS["en"]  # too few rows
+
+
 def test_piece_checksums_of_registered_packing(spark, data):
     from tokenizers import Tokenizer
 
