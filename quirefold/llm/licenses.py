@@ -1,7 +1,8 @@
 """Licence scans by sentence rules.
 
-A text is cut into sentences, each is normalised and looked up among known licence sentences, which gives a sequence
-of sentence identifiers in text order. Ordered licence rules are then matched against that sequence: a rule names the
+A text is normalised and its sentences are looked up among known licence sentences, which gives a sequence of sentence
+identifiers in text order. A known sentence is a whole line, or several whole lines, or the end or all of a sentence
+that is wrapped over lines; it never reaches beyond a full stop or a blank line. Ordered licence rules are then matched against that sequence: a rule names the
 identifiers that must come one after the other, other known sentences may lie between them. All native and row-local:
 no shuffle, so neither skew nor lost executors matter; memory is one row's sentences.
 
@@ -46,6 +47,32 @@ SENTENCES = {
 }
 
 
+#: End of a sentence or paragraph in normalised text; a line's end is a newline.
+STOP = "\x01"
+# Fixed values: (identifiers, sentence), the complete wordings of licence texts where SENTENCES has only their beginning,
+# or another wording. `v. 2.0` is cut as if a sentence ended there.
+_GPL_FREE = "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation "
+_GPL_COPY = "you should have received a copy of the gnu general public license along with this program if not "
+FULL_SENTENCES = (
+    (("mit-grant",), SENTENCES["mit-grant"] + " the software to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit persons to whom the software is furnished to do so subject to the following conditions"),
+    (("mit-condition",), "the above copyright notice and this permission notice including the next paragraph shall be included in all copies or substantial portions of the software"),
+    (("mit-asis",), SENTENCES["mit-asis"] + " including but not limited to the warranties of merchantability fitness for a particular purpose and noninfringement"),
+    *((("gpl-redistribute",), _GPL_FREE + end) for v in "32" for end in (f"either version {v} of the license or at your option any later version", f"version {v} of the license")),
+    (("gpl-nowarranty",), SENTENCES["gpl-nowarranty"] + " without even the implied warranty of merchantability or fitness for a particular purpose"),
+    *((("gpl-received",), _GPL_COPY + f"see {scheme} www gnu org licenses") for scheme in ("http", "https")),
+    *(
+        (("gpl-received",), _GPL_COPY + f"write to the free software foundation inc {place} usa")
+        for place in ("51 franklin street fifth floor boston ma 02110 1301", "51 franklin st fifth floor boston ma 02110 1301", "59 temple place suite 330 boston ma 02111 1307", "675 mass ave cambridge ma 02139")
+    ),
+    (("bsd-binary",), SENTENCES["bsd-binary"] + " in the documentation and or other materials provided with the distribution"),
+    (("apache2-long", "apache2-compliance"), SENTENCES["apache2-long"] + " " + SENTENCES["apache2-compliance"]),
+    *((("apache2-copy",), SENTENCES["apache2-copy"] + f" {scheme} www apache org licenses license 2 0") for scheme in ("http", "https")),
+    (("cc0-notice",), "to the extent possible under law the author has waived all copyright and related or neighboring rights to this work"),
+    (("cc0-notice",), "to the extent possible under law the author s have dedicated all copyright and related and neighboring rights to this software to the public domain worldwide"),
+    (("mpl2-notice",), f"this source code form is subject to the terms of the mozilla public license v{STOP}2 0"),
+)
+
+
 @dataclass(frozen=True)
 class LicenceRule:
     licence: str
@@ -70,24 +97,30 @@ RULES = (
 )
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-#: A sentence ends at a line's end, or at a full stop, question or exclamation mark before white space.
+# Of the SQL form, which looks at each line by itself: a sentence ends at a line's end, or at a full stop, question or
+# exclamation mark before white space. Both agree on texts without wrapped or complete licence sentences.
 SENTENCE_END = r"([.!?])[ \t\r]+"
 NOT_NORMAL = "[^a-z0-9]+"
 
 
-def sentences(text: Column) -> Column:
-    """Normalised sentences in text order; sentences without letters and digits are empty strings."""
-    lower = F.translate(F.coalesce(text, F.lit("")), UPPER, LOWER)
-    cut = F.split(F.regexp_replace(lower, SENTENCE_END, "$1\n"), "\n")
-    return F.transform(cut, lambda s: F.trim(F.regexp_replace(s, NOT_NORMAL, " ")))
-
-
-def sentence_ids(text: Column, known: dict[str, str] = SENTENCES) -> Column:
-    """Identifiers of the known sentences, in text order."""
-    of = {sentence: name for name, sentence in known.items()}
-    hits = F.filter(sentences(text), lambda s: s.isin(*of))
-    names = F.create_map(*[F.lit(x) for pair in of.items() for x in pair])
-    return F.transform(hits, lambda s: names[s])
+def normal_text(text: Column) -> Column:
+    """Words of letters and digits between single blanks; a newline for a line's end, STOP for the end of a sentence or
+    paragraph (a line without letters and digits parts paragraphs), without blanks around either."""
+    lower = F.translate(F.coalesce(text, F.lit("")), UPPER + STOP, LOWER + " ")
+    ended = F.regexp_replace(lower, r"[.!?](?:[ \t\r]+|\n)", STOP)
+    parted = F.regexp_replace(ended, r"\n[^a-z0-9\x01]*\n", STOP)
+    words = F.regexp_replace(parted, r"[^a-z0-9\n\x01]+", " ")
+    return F.trim(F.regexp_replace(words, r" ?([\n\x01]) ?", "$1"))
+
+
+def sentence_ids(text: Column, known: dict[str, str] = SENTENCES, full: tuple[tuple[tuple[str, ...], str], ...] = FULL_SENTENCES) -> Column:
+    """Identifiers of the known sentences, in text order; of `full`, those whose identifiers are in `known`."""
+    of = {sentence: (name,) for name, sentence in known.items()} | {sentence: names for names, sentence in full if set(names) <= set(known)}
+    # the longest of the sentences that begin at one place
+    longest = "|".join(s.replace(" ", r"[ \n]") for s in sorted(of, key=len, reverse=True))
+    hits = F.regexp_extract_all(normal_text(text), F.lit(rf"(?<![^\n\x01])(?:{longest})(?![^\n\x01])"), F.lit(0))
+    names = F.create_map(*[c for sentence, found in of.items() for c in (F.lit(sentence), F.array(*[F.lit(n) for n in found]))])
+    return F.flatten(F.transform(hits, lambda s: names[F.translate(s, "\n", " ")]))
 
 
 def rule_pattern(rule: LicenceRule) -> str:

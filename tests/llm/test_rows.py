@@ -3,6 +3,7 @@
 import hashlib
 import io
 import random
+import textwrap
 import zlib
 
 import helpers
@@ -100,6 +101,58 @@ def test_url_rules_and_reputation(spark):
     assert 0.38 < bound < 0.42  # the beta's own quantile is 0.394
 
 
+MIT = """Copyright (c) 2020 Jo Doe
+
+Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."""
+GPL3 = """This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.
+
+This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the GNU General Public License for more details.
+
+You should have received a copy of the GNU General Public License along with this program.  If not, see <https://www.gnu.org/licenses/>."""
+GPL2 = GPL3.replace("software: you", "software; you").replace("Foundation, either version 3", "Foundation; either version 2").replace(
+    "program.  If not, see <https://www.gnu.org/licenses/>.", "program; if not, write to the Free Software Foundation, Inc., 51 Franklin Street, Fifth Floor, Boston, MA 02110-1301 USA."
+)
+BSD = """Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.
+
+2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.
+
+THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES ARE DISCLAIMED."""
+APACHE = """Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at
+
+    http://www.apache.org/licenses/LICENSE-2.0
+
+Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied."""
+MPL = "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/."
+
+
+@pytest.mark.parametrize("form", ["unwrapped", "wrapped", "crlf", "comment", "titled"])
+def test_full_licence_texts(spark, form):
+    wrap = lambda t: "\n\n".join(textwrap.fill(p, 70) for p in t.split("\n\n"))
+    shape = {
+        "unwrapped": lambda t: t,
+        "wrapped": wrap,
+        "crlf": lambda t: wrap(t).replace("\n", "\r\n"),
+        "comment": lambda t: "/*\n" + "\n".join(f" * {line}" for line in wrap(t).split("\n")) + "\n */\nint main() {}",
+        "titled": lambda t: "About this file\n" + wrap(t) + "\nLicensed under CC BY 4.0",
+    }[form]
+    of = {"MIT": MIT, "GPL": GPL3, "GPL ": GPL2, "BSD": BSD, "Apache-2.0": APACHE, "MPL-2.0": MPL}
+    r = licenses.scan(frame(spark, [shape(t) for t in of.values()])).orderBy("doc_id").collect()
+    more = " CC-BY-4.0" if form == "titled" else ""
+    assert sorted(x.licences for x in r) == sorted(" ".join(sorted([n.strip(), *more.split()], key=[y.licence for y in licenses.RULES].index)) for n in of)
+    assert not any(x.unresolved for x in r)
+
+
+def test_licence_sentences_end_at_stops_and_blank_lines(spark):
+    texts = ["Released under\nthe MIT License", "Released under\n\nthe MIT License", "Released. Under the MIT License", "Not released under the MIT License", "A note\nReleased under the MIT License\nand more"]
+    assert [x.licences for x in licenses.scan(frame(spark, texts)).orderBy("doc_id").collect()] == ["MIT", None, None, None, "MIT"]
+
+
 def test_licence_rules(spark):
     texts = [None, "", "Plain. Released under the MIT License.", "RELEASED UNDER THE MIT LICENSE. Licensed under CC BY-NC 4.0.", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files."]
     r = {x.doc_id: x for x in licenses.scan(frame(spark, texts)).collect()}
