@@ -42,12 +42,17 @@ CARDS = {
 }
 
 
+#: The most that CountVectorizer takes: no term that min_df leaves is dropped. Its vocabulary is held by the driver; for
+#: texts whose vocabulary may not fit there, see classify_texts.
+ALL_TERMS = 2**31 - 1
+
+
 def _text_stages(column: str, min_df: float, prefix: str) -> list:
     """Words of two characters or more, n-grams (1, 2), TF-IDF."""
     token = RegexTokenizer(inputCol=column, outputCol=f"{prefix}w", gaps=False, pattern=r"(?U)\b\w\w+\b")
     pair = NGram(n=2, inputCol=f"{prefix}w", outputCol=f"{prefix}w2")
     both = SQLTransformer(statement=f"SELECT *, concat({prefix}w, {prefix}w2) AS {prefix}g FROM __THIS__")
-    return [token, pair, both, CountVectorizer(inputCol=f"{prefix}g", outputCol=f"{prefix}tf", minDF=min_df), IDF(inputCol=f"{prefix}tf", outputCol=f"{prefix}x")]
+    return [token, pair, both, CountVectorizer(inputCol=f"{prefix}g", outputCol=f"{prefix}tf", minDF=min_df, vocabSize=ALL_TERMS), IDF(inputCol=f"{prefix}tf", outputCol=f"{prefix}x")]
 
 
 def pipeline(card: ModelCard, min_df: float = 1.0, seed: int = 1) -> Pipeline:
@@ -138,6 +143,34 @@ def predict_class(scores: DataFrame, key: str) -> DataFrame:
     return scores.groupBy(key).agg(F.max(F.struct(F.round("score", 9).alias("s"), (-F.col("y")).alias("c"))).alias("_t")).select(key, (-F.col("_t.c")).alias("predicted"))
 
 
+def classify_texts(docs: DataFrame, labels: DataFrame, key: str, text: str, ngrams: int = 2, min_df: int = 1, alpha: float = 0.2) -> DataFrame:
+    """(key, predicted) of every row of docs by complement naive Bayes on TF-IDF, fitted on the rows with a label
+    (key, y). The vocabulary, all terms of min_df labelled texts or more, is a table without a bound; idf comes from the
+    labelled texts. A text without a known term has the smallest class. The key is unique in both tables."""
+    labels = labels.filter(F.col("y").isNotNull())
+    docs = docs.select(key, text)
+    known = docs.join(labels, key)
+    sizes = {r["y"]: r["n"] for r in known.groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}
+    if not sizes:
+        raise ValueError("no text has a label")
+    classes = sorted(sizes)
+    # partitions by key carry texts once instead of their terms; the counts by (key, term) then need no other exchange
+    train = term_counts(known.select(key, text).repartition(F.col(key)), key, text, ngrams)
+    n = sum(sizes.values())
+    idf = train.groupBy("term").agg(F.count(F.lit(1)).alias("df")).filter(F.col("df") >= min_df).select("term", (F.log(F.lit(1 + n) / (1 + F.col("df"))) + 1).alias("idf"))
+    raw = train.join(idf, "term").select(key, "term", (F.col("tf") * F.col("idf")).alias("w"))
+    norm = raw.groupBy(key).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("_n"))
+    weights = raw.join(norm, key).select(key, "term", (F.col("w") / F.col("_n")).alias("weight"))
+    model = complement_weights(weights, known.select(key, "y"), key, alpha).groupBy("term").pivot("y", classes).agg(F.first("w")).toDF("term", *[f"w{i}" for i in range(len(classes))])
+    x = term_counts(docs.repartition(F.col(key)), key, text, ngrams).join(idf.join(model, "term"), "term").withColumn("x", F.col("tf") * F.col("idf"))
+    length = F.sqrt(F.sum(F.col("x") * F.col("x")))
+    scores = [F.round(F.sum(F.col("x") * F.col(f"w{i}")) / length, 9).alias(f"s{i}") for i in range(len(classes))]
+    best = F.array_position(F.array(*[F.col(f"s{i}") for i in range(len(classes))]), F.greatest(*[F.col(f"s{i}") for i in range(len(classes))]) if len(classes) > 1 else F.col("s0"))
+    predicted = F.element_at(F.array(*[F.lit(c) for c in classes]), best.cast("int"))
+    found = x.groupBy(key).agg(*scores).select(key, predicted.alias("predicted"))
+    return docs.select(key).join(found, key, "left").select(key, F.coalesce("predicted", F.lit(classes[0])).alias("predicted"))
+
+
 def padded_ids(docs: DataFrame, vocabulary: DataFrame, key: str, text: str, length: int) -> DataFrame:
     """Each text as `length` word numbers of a vocabulary (word, id): unknown words are left out, zeros fill the left."""
     words = docs.select(key, F.posexplode(F.split(F.lower(F.col(text)), r"\s+")).alias("_p", "word"))

@@ -134,11 +134,12 @@ def page_number_model(spark, d):
 
 @query()
 def quality_model(spark, d):
-    """Table-content classifier (TF-IDF, complement naive Bayes) applied to documents: fit on labelled, predict all."""
-    card = N.CARDS["tables"]
-    docs = A.table(spark, d, "documents").select("doc_id", F.col("text").alias("content"))
-    rows = docs.join(A.table(spark, d, "labels").select("doc_id", F.col("quality").alias("class")), "doc_id", "left")
-    return N.classify(N.fit(card, rows, min_df=3.0), rows, card.label).select("doc_id", "class")
+    """Table-content classifier (TF-IDF, complement naive Bayes) applied to documents: fit on labelled, predict all.
+
+    The vocabulary of documents grows with their number, so it is a table here and not a vectoriser's."""
+    docs, labels = A.table(spark, d, "documents"), A.table(spark, d, "labels")
+    found = N.classify_texts(docs, labels.select("doc_id", F.col("quality").alias("y")), "doc_id", "text", ngrams=2, min_df=3, alpha=0.2)
+    return found.select("doc_id", F.col("predicted").cast("int").alias("class"))
 
 
 @query()

@@ -1,6 +1,10 @@
 """Operators on small inputs: order and partitions do not matter, sources and sinks round-trip, streams equal batches."""
 
 import json
+import math
+import random
+import re
+from collections import Counter
 
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -156,3 +160,42 @@ def test_windowed_stream(spark, tmp_path, data):
     q.awaitTermination()
     expected = events.groupBy(F.window("ts", "1 day"), "event_type").count().count()
     assert spark.sql("select * from w").count() == expected
+
+
+def test_text_models_keep_every_term(spark):
+    """More terms than a vectoriser's default vocabulary of 262144."""
+    texts = [(i, " ".join(f"w{i}x{k}" for k in range(70_000)), i % 2) for i in range(4)]
+    rows = spark.createDataFrame(texts, "id long, content string, class int")
+    model = N.pipeline(N.CARDS["tables"]).getStages()[:4]
+    for stage in model[:3]:
+        rows = stage.transform(rows)
+    assert len(model[3].fit(rows).vocabulary) == 4 * (70_000 + 69_999)
+
+
+def test_classify_texts_against_plain_loops(spark):
+    rnd = random.Random(8)
+    docs = [(i, " ".join(rnd.choice(["Ash", "birch", "cedar", "elm", "fir", "oak"][i % 2 :: 1 + i % 3]) + rnd.choice(["", "s"]) for _ in range(rnd.randint(1, 30)))) for i in range(90)] + [(90, None), (91, "unknown terms")]
+    labels = {i: int(rnd.random() < 0.5 if i % 5 == 0 else i % 2) for i in range(60)}
+
+    def terms(t):
+        w = re.findall(r"\b\w\w+\b", (t or "").lower())
+        return Counter(w + [f"{a} {b}" for a, b in zip(w, w[1:])])
+
+    counts = {i: terms(t) for i, t in docs}
+    df = Counter(t for i in labels for t in counts[i])
+    idf = {t: math.log((1 + len(labels)) / (1 + n)) + 1 for t, n in df.items() if n >= 2}
+
+    def vector(i):
+        v = {t: n * idf[t] for t, n in counts[i].items() if t in idf}
+        size = math.sqrt(sum(x * x for x in v.values()))
+        return {t: x / size for t, x in v.items()}
+
+    rest = {y: {t: 0.2 for t in idf} for y in (0, 1)}
+    for i, y in labels.items():
+        for t, x in vector(i).items():
+            rest[1 - y][t] += x
+    total = {y: sum(r.values()) for y, r in rest.items()}
+    score = lambda i, y: round(sum(-x * math.log(rest[y][t] / total[y]) for t, x in vector(i).items()), 9)
+    want = {i: int(score(i, 1) > score(i, 0)) for i, _ in docs}
+    got = N.classify_texts(spark.createDataFrame(docs, "id long, t string"), spark.createDataFrame(list(labels.items()), "id long, y int"), "id", "t", min_df=2)
+    assert {r.id: r.predicted for r in got.collect()} == want and set(want.values()) == {0, 1}
