@@ -13,7 +13,8 @@ Their number is a parameter; features are structural, no word of a page's text i
 driver, and the trees are broadcast (their size is bounded by their number and depth).
 
 Row-local: no shuffle; a worker holds one Arrow batch. Defined results: null or empty html gives an empty text; text
-outside any element counts as the body's; unclosed and stray tags are tolerated; an empty table gives an empty result;
+outside any element counts as the body's; unclosed and stray tags are tolerated (a head ends at what cannot stand
+in it, svg and math at a closing slash or, if left open, at the next HTML element); an empty table gives an empty result;
 extra columns are not read.
 """
 
@@ -38,9 +39,9 @@ TRAINING_PAGES = 500
 NODES_PER_BATCH = 50_000
 
 # Classes of HTML elements and of words in class, id and role attributes.
-VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
+VOID = frozenset("area base basefont bgsound br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title noscript template iframe svg math select".split())
-SKIP = frozenset("script style title noscript template iframe svg math head select textarea".split())
+SKIP = frozenset("script style title noscript template iframe svg math select textarea".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q ruby rt rp s samp small strike strong sub sup time tt u var".split())
 CLOSES_P = frozenset("address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre section table ul".split())
 SELF_CLOSING = {"li": "li", "dt": "dt dd", "dd": "dt dd", "tr": "tr td th", "td": "td th", "th": "td th", "option": "option"}
@@ -69,6 +70,11 @@ for _i, _g in enumerate(TOKEN_GROUPS):
 _MARKUP = re.compile(r"<(?:!--.*?(?:-->|$)|[!?][^>]*>|(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>)", re.S)
 _TOKENS = re.compile(r"(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 _WORD = re.compile(r"[a-z]+")
+#: A slash at a tag's end that belongs to an unquoted value and so closes nothing.
+_UNQUOTED_SLASH = re.compile(r"=\s*[^\s\"'>]+/$")
+#: Elements of HTML that end svg and math that were left open; what stands in a foreignObject or the like does not.
+_BREAKS_OUT = "article|aside|b|big|blockquote|body|br|center|code|dd|div|dl|dt|em|embed|footer|form|h[1-6]|head|header|hr|i|img|li|main|menu|nav|ol|p|pre|ruby|s|section|small|span|strong|strike|sub|sup|table|tt|u|ul|var"
+_FOREIGN_END = {n: re.compile(rf"</{n}\s*>|<(foreignobject|annotation-xml)[\s>]|<(?:{_BREAKS_OUT})(?=[\s/>])", re.I) for n in ("svg", "math")}
 _MARKS = re.compile(r"[.,;:!?…。、]")
 _HIDDEN = re.compile(r"\shidden(?:\s|=|/|$)|display\s*:\s*none", re.I)
 
@@ -132,11 +138,15 @@ class Page:
                 pieces.append((stack[-1], block, " ", link))
                 continue
             if name in SKIP or name in RAW:
-                stop = "head" if name == "head" else name
-                m = re.compile(rf"</{stop}\s*>|<body[\s>]" if name == "head" else rf"</{stop}\s*>", re.I).search(html, at)
-                at = (m.start() if m.group()[1] != "/" else m.end()) if m else len(html)
+                if name in _FOREIGN_END and attributes.endswith("/") and not _UNQUOTED_SLASH.search(attributes):
+                    continue
+                m = _FOREIGN_END[name].search(html, at) if name in _FOREIGN_END else None
+                if not m or m.group(1):
+                    m = re.compile(rf"</{name}\s*>", re.I).search(html, at)
+                at = (m.end() if m.group()[1] == "/" else m.start()) if m else len(html)
                 continue
-            if name in INLINE or name in VOID or name in ("html", "body"):
+            # a head needs no end tag: what may stand in it is skipped or void, all else belongs to the body
+            if name in INLINE or name in VOID or name in ("html", "head", "body"):
                 if name in ("hr", "img"):
                     block += name == "hr"
                 continue
@@ -357,7 +367,7 @@ class TruePage(Page):
     @staticmethod
     def _is_node(m: re.Match) -> bool:
         name = m.group(2).lower()
-        return name not in SKIP and name not in RAW and name not in INLINE and name not in VOID and name not in ("html", "body") and not (name == "span" and not _attribute_mask(m.group(3)))
+        return name not in SKIP and name not in RAW and name not in INLINE and name not in VOID and name not in ("html", "head", "body") and not (name == "span" and not _attribute_mask(m.group(3)))
 
 
 @lru_cache(maxsize=2)

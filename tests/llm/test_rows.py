@@ -249,3 +249,22 @@ def test_html_extraction(spark):
     assert r[1] == "Title & more\nOne two three\nFour <five> six"
     assert (r[2], r[3]) == ("", "") and r[5].count("a") in (0, 3000)
     assert html_extract.extract(rows.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize(
+    "before",
+    [
+        "<head><title>T</title><meta charset=utf-8><link rel=x href=y><script>var a='</head><p>no</p>'</script>",
+        "<html><head><style>p{}</style><title>T</title></head><body>",
+        "<body><svg class='i' viewBox=\"0 0 1 1\" />",
+        "<body><svg/><p></p><math />",
+        "<body><svg><path d='M0'/><text>no</text></svg>",
+        "<body><svg xmlns=http://x/><text>no</text></svg>",
+        "<body><svg><foreignObject><div>no</div></foreignObject></svg>",
+        "<body><svg><path d='M0'/>",
+    ],
+)
+def test_html_after_head_and_foreign_elements(before):
+    """An omitted </head> and self-closed or open svg and math take nothing of the page with them."""
+    page = html_extract.Page(before + "<article><h1>Title</h1><p>One two.</p><svg><text>no</text></svg><p>Three.</p></article>")
+    assert page.text([True] * len(page.tag)) == "Title\nOne two.\nThree."
