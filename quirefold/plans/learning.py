@@ -55,6 +55,49 @@ def cnb_predict(spark, d):
     return N.predict_class(N.complement_scores(w, model, "doc_id"), "doc_id")
 
 
+# The reference's features: words and pairs of neighbouring words; its table classifier's alpha, its heading classifier's norm.
+PAIR_TERMS = TERMS.replace(
+    "tc as (select doc_id, term, count(*) tf from (select doc_id, unnest(regexp_extract_all(lower(text), '[\\p{L}\\p{N}_]{2,}')) term from documents) group by all)",
+    """ws as (select doc_id, regexp_extract_all(lower(text), '[\\p{L}\\p{N}_]{2,}') w from documents),
+    tc as (select doc_id, term, count(*) tf from (select doc_id, unnest(w) term from ws union all select doc_id, unnest(list_transform(list_zip(w[:-2], w[2:]), lambda p: p[1] || ' ' || p[2])) from ws where len(w) > 1) group by all)""",
+)
+
+
+def _pair_weights(spark, d):
+    return N.tfidf(N.term_counts(A.table(spark, d, "documents"), "doc_id", "text", ngrams=2), "doc_id")
+
+
+@query(f"with {PAIR_TERMS} select doc_id, count(*) n_terms, round(sum(weight), 5) total, round(max(weight), 5) top from tfidf group by doc_id")
+def tfidf_pair_scores(spark, d):
+    w = _pair_weights(spark, d)
+    return w.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_terms"), F.round(F.sum("weight"), 5).alias("total"), F.round(F.max("weight"), 5).alias("top"))
+
+
+def _pair_predict_sql(alpha: float, norm: bool) -> str:
+    w = "l / sum(l) over (partition by y)" if norm else "-l"
+    return f"""with {PAIR_TERMS}, known as (select tfidf.*, quality y from tfidf join labels using (doc_id)), per as (select y, term, sum(weight) s from known group by all), tot as (select term, sum(s) t from per group by term),
+    grid as (select y, term, {alpha}::double + t - coalesce(s, 0) c from tot cross join (select distinct quality y from labels) left join per using (y, term)),
+    logs as (select y, term, ln(c / sum(c) over (partition by y)) l from grid), w as (select y, term, {w} w from logs),
+    sc as (select doc_id, y, sum(weight * w) score from tfidf join w using (term) group by all)
+    select doc_id, y::int predicted from (select doc_id, y, row_number() over (partition by doc_id order by round(score, 9) desc, y) k from sc) where k = 1"""
+
+
+def _pair_predict(spark, d, alpha: float, norm: bool):
+    w = _pair_weights(spark, d)
+    model = N.complement_weights(w, A.table(spark, d, "labels").select("doc_id", F.col("quality").alias("y")), "doc_id", alpha, norm)
+    return N.predict_class(N.complement_scores(w, model, "doc_id"), "doc_id")
+
+
+@query(_pair_predict_sql(0.2, False))
+def cnb_pair_predict(spark, d):
+    return _pair_predict(spark, d, 0.2, False)
+
+
+@query(_pair_predict_sql(1.0, True))
+def cnb_pair_norm_predict(spark, d):
+    return _pair_predict(spark, d, 1.0, True)
+
+
 @query(
     f"""with {A.REPORTS}, v as (select x as word, row_number() over (order by x) id from (select unnest(['high', 'low', 'urgent', '1', '2', '5', 'f', 'o']) x)),
     w as (select repno, p, u.word from reports, unnest(regexp_split_to_array(lower(replace(rtype, '-', ' ') || ' ' || rstatus), '\\s+')) with ordinality u(word, p)),
