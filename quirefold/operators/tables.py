@@ -93,6 +93,29 @@ def neighbours(cells: DataFrame, klass: Column, key: Column) -> DataFrame:
     return found.select("table_id", "row", "col", "value", *both)
 
 
+def line_similarity(cells: DataFrame) -> DataFrame:
+    """(table_id, line, row, col, other_row, other_col, similarity): cosine of character counts of all pairs of cells in
+    a row or in a column (`line`), each pair once; the header is row 0. Letter case and the length of white space do not
+    count; pairs without a common character, empty cells among them, have 0."""
+    body = cells.select("table_id", F.col("row").cast("long").alias("row"), F.col("col").cast("long").alias("col"), "value")
+    header = cells.select("table_id", F.lit(0).cast("long").alias("row"), F.col("col").cast("long").alias("col"), F.col("header").alias("value")).distinct()
+    text = F.regexp_replace(F.lower(F.coalesce("value", F.lit(""))), r"\s\s+", " ")
+    chars = F.filter(F.split(text, ""), lambda c: c != "")
+    counts = F.map_from_arrays(F.array_distinct(chars), F.transform(F.array_distinct(chars), lambda c: F.size(F.filter(chars, lambda x: x == c)).cast("double")))
+    sized = body.unionByName(header).withColumn("n", counts).withColumn("s", F.sqrt(F.aggregate(F.map_values("n"), F.lit(0.0), lambda a, x: a + x * x)))
+    other = sized.select("table_id", F.col("row").alias("other_row"), F.col("col").alias("other_col"), F.col("n").alias("m"), F.col("s").alias("t"))
+    dot = F.aggregate(F.map_entries("n"), F.lit(0.0), lambda a, x: a + x["value"] * F.coalesce(F.try_element_at("m", x["key"]), F.lit(0.0)))
+    cosine = F.when((F.col("s") > 0) & (F.col("t") > 0), dot / (F.col("s") * F.col("t"))).otherwise(F.lit(0.0))
+
+    def pairs(line: str, same: str, apart: str) -> DataFrame:
+        joined = sized.join(other.withColumnRenamed(f"other_{same}", same), ["table_id", same]).filter(F.col(apart) < F.col(f"other_{apart}"))
+        at = F.col(same).alias(f"other_{same}")
+        row, col = (at, F.col("other_col")) if same == "row" else (F.col("other_row"), at)
+        return joined.select("table_id", F.lit(line).alias("line"), "row", "col", row, col, cosine.alias("similarity"))
+
+    return pairs("row", "row", "col").unionByName(pairs("column", "col", "row"))
+
+
 def row_similarity(cells: DataFrame) -> DataFrame:
     """(table_id, row, col, other_col, similarity): cosine of character counts of the cells of each row, each pair once."""
     counts = cells.select("table_id", "row", "col", F.explode(F.split(F.coalesce("value", F.lit("")), "")).alias("c")).filter("c <> ''").groupBy("table_id", "row", "col", "c").agg(F.count(F.lit(1)).alias("n"))

@@ -498,6 +498,21 @@ def cell_similarity(spark, d):
     return T.row_similarity(A.cells(spark, d)).withColumn("similarity", r6("similarity"))
 
 
+@query(
+    f"""with {A.CELLS}, every as (select table_id, row, col, value from cells union all select distinct table_id, 0, col, header from cells),
+    n as (select table_id, row, col, c, count(*) n from every, unnest(string_split(lower(value), '')) u(c) where c <> '' group by all),
+    s as (select table_id, row, col, sqrt(sum(n * n)) s from n group by all),
+    p as (select a.table_id, case when a.row = b.row then 'row' else 'column' end line, a.row, a.col, b.row other_row, b.col other_col from every a join every b
+        on a.table_id = b.table_id and (a.row = b.row and a.col < b.col or a.col = b.col and a.row < b.row)),
+    d as (select p.table_id, p.row, p.col, other_row, other_col, sum(x.n * y.n) d from p join n x on x.table_id = p.table_id and x.row = p.row and x.col = p.col
+        join n y on y.table_id = p.table_id and y.row = other_row and y.col = other_col and y.c = x.c group by all)
+    select p.*, round(coalesce(d / (x.s * y.s), 0), 6) similarity from p left join d using (table_id, row, col, other_row, other_col)
+        left join s x on x.table_id = p.table_id and x.row = p.row and x.col = p.col left join s y on y.table_id = p.table_id and y.row = p.other_row and y.col = p.other_col"""
+)
+def cell_line_similarity(spark, d):
+    return T.line_similarity(A.cells(spark, d)).withColumn("similarity", r6("similarity"))
+
+
 @query("select o_orderkey, (o_orderdate + interval 20 day)::date::varchar received from orders where o_orderdate::date > date '1996-02-10' and contains(o_orderdate::date::varchar, '1998')")
 def date_sanity(spark, d):
     day = F.to_date("o_orderdate")

@@ -14,7 +14,7 @@ from quirefold.operators import lines as L
 from quirefold.operators import metadata as M
 from quirefold.operators import pages as P
 from quirefold.operators import sites as S
-from quirefold.operators.tables import neighbours
+from quirefold.operators.tables import line_similarity, neighbours
 from quirefold.plans import adapters as A
 from quirefold.sources import office, readers, sinks
 from quirefold.streaming import ingest
@@ -199,3 +199,11 @@ def test_classify_texts_against_plain_loops(spark):
     want = {i: int(score(i, 1) > score(i, 0)) for i, _ in docs}
     got = N.classify_texts(spark.createDataFrame(docs, "id long, t string"), spark.createDataFrame(list(labels.items()), "id long, y int"), "id", "t", min_df=2)
     assert {r.id: r.predicted for r in got.collect()} == want and set(want.values()) == {0, 1}
+
+
+def test_cells_are_compared_in_rows_and_columns_with_the_header(spark):
+    cells = spark.createDataFrame([("t", 1, 1, "Ab", "ab"), ("t", 1, 2, "c", "xy"), ("t", 2, 1, "Ab", None), ("t", 2, 2, "c", "c  c")], "table_id string, row long, col long, header string, value string")
+    got = {(r.line, r.row, r.col, r.other_row, r.other_col): round(r.similarity, 6) for r in line_similarity(cells).collect()}
+    assert len(got) == 3 * 1 + 2 * 3
+    assert got["column", 0, 1, 1, 1] == 1 and got["row", 1, 1, 1, 2] == 0 and got["row", 2, 1, 2, 2] == 0
+    assert got["column", 0, 2, 2, 2] == round(2 / 5**0.5, 6)
