@@ -7,13 +7,14 @@ Texts are equal when they are after deletion of white space. Three passes, each
 3. SHA-256 of the whole content, for the surviving rows only.
 
 Counts are aggregated before they are shuffled. Group tables go back to the rows by joins that adaptive execution can
-split, and texts are only ever joined by row id, so a length, prefix or text that a third of all rows has does not
+split, and texts are only ever joined by row key, so a length, prefix or text that a third of all rows has does not
 land in one task. Small tables between the passes are written to the shared folder, which cuts lineage.
 
 Defined results: a null text counts as empty; empty texts equal each other; of equal texts the row with the most code
 points in its original text stays, then the one with the smallest id (null ids last); rows that repeat both id and text
 are one document: each is reported, and `drop_duplicates` leaves one of them; rows that repeat an id with another text
-are judged by their text; an empty table gives an empty result; other columns are not read, whatever their names.
+are judged by their text, the one with the most code points stays also where white space alone differs; very long texts
+are compared whole; an empty table gives an empty result; other columns are passed on unread, whatever their names.
 """
 
 from __future__ import annotations
@@ -21,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quirefold.llm.store import materialize, unused
+from quirefold.llm.store import keyed, materialize
 
 #: The white space that does not count.
 WHITE = " \t\n\x0b\x0c\r"
@@ -42,47 +43,43 @@ def _several(df: DataFrame, *keys: str) -> DataFrame:
     return df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1").select(*keys)
 
 
-def _finalists(df: DataFrame, id_col: str, text: str) -> DataFrame:
-    """(_id, _points, _sha) of the rows that share length and prefix hash with another row."""
-    rows = df.select(F.col(id_col).alias("_id"), F.col(text).alias("_text"))
+def _finalists(rows: DataFrame) -> DataFrame:
+    """(_key, _id, _points, _sha) of the rows (_key, _id, _text) that share length and prefix hash with another row."""
     norm = normalized(F.col("_text"))
     lengths = materialize(_several(rows.select(F.length(norm).alias("_len")), "_len"), "lengths")
-    prefixed = rows.select("_id", F.length(norm).alias("_len"), F.xxhash64(F.substring(norm, 1, PREFIX_CHARS)).alias("_prefix"))
+    prefixed = rows.select("_key", F.length(norm).alias("_len"), F.xxhash64(F.substring(norm, 1, PREFIX_CHARS)).alias("_prefix"))
     prefixed = materialize(prefixed.join(lengths, "_len", "left_semi"), "prefixed")
     prefixes = materialize(_several(prefixed, "_len", "_prefix"), "prefixes")
-    ids = materialize(prefixed.join(prefixes, ["_len", "_prefix"], "left_semi").select(F.col("_id").alias("_survivor")), "survivors")
-    surviving = rows.join(ids, F.col("_id").eqNullSafe(F.col("_survivor")), "left_semi")
+    keys = materialize(prefixed.join(prefixes, ["_len", "_prefix"], "left_semi").select("_key"), "survivors")
     points = F.length(F.coalesce(F.col("_text"), F.lit("")))
-    return materialize(surviving.select("_id", points.alias("_points"), F.sha2(norm, 256).alias("_sha")), "finalists")
+    surviving = rows.join(keys, "_key", "left_semi")
+    return materialize(surviving.select("_key", "_id", points.alias("_points"), F.sha2(norm, 256).alias("_sha")), "finalists")
 
 
 def _groups(finalists: DataFrame) -> DataFrame:
-    best = F.max(F.struct(F.col("_points").alias("p"), (-F.col("_id")).alias("i")))
-    found = finalists.groupBy("_sha").agg(F.count(F.lit(1)).alias("group_size"), best.alias("_best")).filter("group_size > 1")
-    return materialize(found.select("_sha", (-F.col("_best.i")).alias("keep_id"), "group_size"), "groups")
+    """(_sha, keep_id, keep_key, group_size): most code points first, then the smallest id, null ids last."""
+    rank = F.struct((-F.col("_points")).alias("p"), F.col("_id").isNull().alias("n"), F.col("_id").alias("i"), F.col("_key").alias("k"))
+    found = finalists.groupBy("_sha").agg(F.count(F.lit(1)).alias("group_size"), F.min(rank).alias("_best")).filter("group_size > 1")
+    return materialize(found.select("_sha", F.col("_best.i").alias("keep_id"), F.col("_best.k").alias("keep_key"), "group_size"), "groups")
+
+
+def _rows(df: DataFrame, id_col: str, text: str) -> tuple[DataFrame, str, DataFrame]:
+    """df, the name of its key column, and (_key, _id, _text)."""
+    whole, key = keyed(df, id_col)
+    return whole, key, whole.select(F.col(key).alias("_key"), F.col(id_col).alias("_id"), F.col(text).alias("_text"))
 
 
 def duplicate_groups(df: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per text that several rows have: (text_sha256, keep_id, group_size)."""
-    return _groups(_finalists(df, id_col, text)).withColumnRenamed("_sha", "text_sha256")
+    return _groups(_finalists(_rows(df.select(id_col, text), id_col, text)[2])).select(F.col("_sha").alias("text_sha256"), "keep_id", "group_size")
 
 
 def drop_duplicates(df: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row of each group of equal texts, with df's columns."""
-    finalists = _finalists(df, id_col, text)
-    members = finalists.join(_groups(finalists), "_sha")
-    stays = F.col("_id").eqNullSafe(F.col("keep_id"))
-    gone = members.filter(~stays).select("_id", "_sha")
-    # Rows that repeat both id and text: rare, so they are collapsed apart from the others.
-    repeated = materialize(_several(members.filter(stays).select("_id", "_sha"), "_id", "_sha"), "repeated")
-    sha = unused(df, "_sha")
-    rows = df.withColumn(sha, content_sha(F.col(text)))
-
-    def same(other: DataFrame) -> Column:
-        return rows[id_col].eqNullSafe(other["_id"]) & (rows[sha] == other["_sha"])
-
-    away = gone.unionByName(repeated)
-    out = rows.join(away, same(away), "left_anti")
-    once = rows.join(repeated, same(repeated), "left_semi").dropDuplicates([id_col, sha])
-    return out.unionByName(once).drop(sha)
-
+    """One row of each group of equal texts, with df's columns. Only the keys of rows that go meet df again, so texts are
+    neither hashed nor compared a second time, and not moved unless those keys are too many to be sent to every task."""
+    whole, key, rows = _rows(df, id_col, text)
+    finalists = _finalists(rows)
+    members = finalists.join(_groups(finalists).select("_sha", "keep_key"), "_sha")
+    gone = materialize(members.filter("_key <> keep_key").select(F.col("_key").alias("_gone")), "gone")
+    out = whole.join(gone, whole[key] == gone["_gone"], "left_anti")
+    return out if key == id_col else out.drop(key)

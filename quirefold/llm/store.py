@@ -1,17 +1,22 @@
 """Shared storage and code shipping for the operators of this subpackage.
 
 Intermediate tables go to the folder that the cluster names in ``spark.checkpoint.dir``: executors may be
-lost at any time and do not see each other's local disks, so nothing is kept in local folders.
+lost at any time and do not see each other's local disks, so nothing is kept in local folders. All tables of one
+application are in one folder there; results are lazy and read them, so they stay until `release` is called.
 """
 
 from __future__ import annotations
 
+import atexit
 import os
+import re
+import shutil
 import tempfile
 import uuid
 import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Rows of a table that go to a Python worker at once. Texts may be long, so this is far below Spark's default.
 ARROW_ROWS = 512
@@ -22,18 +27,33 @@ _own_dirs: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a temporary one only where the session names none (tests)."""
+    """The folder that driver and executors share. A session that names none gets a temporary one if all of it runs in
+    one process (tests); elsewhere that is an error, as executors would write where nobody else can read."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
-    app = spark.sparkContext.applicationId
+    app, master = spark.sparkContext.applicationId, spark.sparkContext.master
+    if not re.fullmatch(r"local(\[[^\]]*\])?", master):
+        raise ValueError(f"spark.checkpoint.dir must name a shared folder on {master}")
     if app not in _own_dirs:
-        _own_dirs[app] = "file://" + tempfile.mkdtemp(prefix="quirefold-")
-    return _own_dirs[app]
+        _own_dirs[app] = tempfile.mkdtemp(prefix="quirefold-")
+        atexit.register(shutil.rmtree, _own_dirs[app], ignore_errors=True)
+    return f"file://{_own_dirs[app]}"
+
+
+def own_folder(spark: SparkSession) -> str:
+    """The folder of this application's intermediate tables."""
+    return f"{shared_dir(spark)}/quirefold/{spark.sparkContext.applicationId}"
 
 
 def fresh_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/quirefold/{uuid.uuid4().hex}/{name}"
+    return f"{own_folder(spark)}/{uuid.uuid4().hex}/{name}"
+
+
+def release(spark: SparkSession) -> None:
+    """Delete this application's intermediate tables, once no result that reads them is needed any more."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(own_folder(spark))
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 #: Rows of a table of a few narrow columns that one task writes at most, where the number of rows is known.
@@ -53,7 +73,10 @@ def materialize(df: DataFrame, name: str, rows: int | None = None) -> DataFrame:
 
 
 def prepare(spark: SparkSession) -> SparkSession:
-    """Make this package importable in Python workers and bound the Arrow batches they get."""
+    """Make this package importable in Python workers and bound the Arrow batches they get.
+
+    The bounds are settings of the session and stay, as results are computed later than this call; a smaller bound that
+    the session already has is kept."""
     sc = spark.sparkContext
     if getattr(sc, "_quirefold_shipped", None) is None:
         root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
@@ -68,19 +91,30 @@ def prepare(spark: SparkSession) -> SparkSession:
         sc._quirefold_shipped = True
     if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")) > ARROW_ROWS:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
-    try:
-        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(ARROW_BYTES))
-    except Exception:  # an older Spark without this setting
-        pass
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(ARROW_BYTES))
     return spark
 
 
 def unused(df: DataFrame, name: str) -> str:
-    """The name, with as many underscores before it as make it new to df."""
-    while name in df.columns:
+    """The name, with as many underscores before it as make it new to df, whatever the letters' case."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
         name = f"_{name}"
     return name
 
 
+def keyed(df: DataFrame, id_col: str) -> tuple[DataFrame, str]:
+    """df and the name of an integer column that tells its rows apart.
+
+    That is id_col, if it holds whole numbers and none is null or repeated. Else the rows are written once with a number
+    of their own, so that null and repeated ids are judged by their own texts."""
+    ids = df.select(F.col(id_col).alias("_id"))
+    if ids.dtypes[0][1] in ("tinyint", "smallint", "int", "bigint"):
+        if not ids.groupBy("_id").agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1 or _id is null").head(1):
+            return df, id_col
+    key = unused(df, "_row")
+    return materialize(df.withColumn(key, F.monotonically_increasing_id()), "keyed"), key
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
