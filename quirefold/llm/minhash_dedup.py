@@ -2,23 +2,28 @@
 
 Candidates. Two small collections of min-hash bands, A and B, of `side` bands each; a table key is a pair of one band
 of either, so side * side tables cost only 2 * side bands of hashing: about the square root. A pair of documents is a
-candidate if it agrees on a band of A and on one of B. With three rows a band and side 12, a pair at similarity 0.8 is
-missed with probability 0.0004, at 0.85 with 0.00002, at 0.9 with less than 10**-6.
-
-Links without pairs. Documents with equal shingle sets are one class and are represented by their smallest id. In a
-table's bucket, members are only ever compared with a star's centre, first with one centre each, then with the other
-centres that are not in the same component yet; the number of comparisons is linear in the table entries. A bucket in
-which several components are left may hide a link between two members of which neither is the centre. Such buckets are
-resolved exactly: the members outside the largest component are compared with all members, inside tasks that hold a
-bounded block of either side; only links that join components leave the task. So no list of all pairs is ever made,
-and no bucket is capped.
-
-Buckets, centres and components are aggregated before they are shuffled, joins back are such that adaptive execution
+candidate if it agrees on a band of A and on one of B. With six rows a band and side 26, a pair at similarity 0.8 is
+missed with probability 0.0008, at 0.85 with 0.00001; a pair at 0.5 is a candidate with probability 0.11, at 0.4 with 0.01.
+
+Links without pairs. Documents with equal shingle sets are one class and are represented by their smallest id. Bands
+that one class only has are dropped before any table is formed. Of each band's members the least is its centre; a member
+that agrees with a centre on both sides is compared with it, first with one centre each, then with those of other
+components. So a large group of near copies becomes one component by a number of comparisons that is linear in its size,
+and bands whose members are all in one component are done with. Only documents that still share bands with other
+components on both sides get table keys: all pairs of their open bands. In tables with members of several components the
+rows outside the largest one meet all rows of the table: in a small table as pairs, in a large one in tasks that hold a
+bounded block of either side. There too, sizes and a sketch of 128 min-hash bytes are compared before any text is
+fetched; a pair at the threshold fails the sketch with a probability below 0.00001. Only links leave the tasks. So no
+list of all pairs is ever made, and no bucket is capped.
+
+Bands, centres and components are aggregated before they are shuffled, joins back are such that adaptive execution
 can split them; intermediate tables are in the shared folder.
 
 Defined results: words are lower-cased in A-Z only; a document with fewer words than a shingle has its whole sequence
-as one; a null or wordless text has no shingle, is linked with nothing and kept; equal texts are linked; rows that
-repeat an id count once; a null id is left out; an empty table gives an empty result; other columns are not read.
+as one; a null or wordless text has no shingle, is linked with nothing and kept; equal texts are linked, and of them the
+smallest id stands for all; very long texts are compared whole; rows with a null id and rows that repeat an id are
+documents of their own, judged by their own texts (the component of null ids alone is null); an empty table gives an
+empty result; other columns are not read, and `drop_near_duplicates` passes them on, whatever their names.
 """
 
 from __future__ import annotations
@@ -33,15 +38,25 @@ from pyspark.sql import types as T
 
 from quirefold.llm import textkit as K
 from quirefold.llm.graph import components
-from quirefold.llm.store import materialize, prepare
-
-ROWS_PER_BAND = 3
-SIDE = 12
-#: Shingles that a task of the exact step holds on either side, about.
+from quirefold.llm.store import keyed, materialize, prepare
+
+ROWS_PER_BAND = 6
+SIDE = 26
+#: Min-hashes whose lowest bytes are a document's sketch.
+SKETCH = 128
+#: Standard deviations below the threshold at which a sketch speaks against a link.
+SKETCH_DEVIATIONS = 5.0
+#: Tables of at most so many rows are compared as pairs.
+SMALL_TABLE = 32
+#: Rows and shingles that a task of a large table holds on either side, about.
+BLOCK_ROWS = 4096
 BLOCK_SHINGLES = 400_000
 
-SIGNATURES = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("n_shingles", T.LongType()), T.StructField("s1", T.LongType()), T.StructField("s2", T.LongType()), T.StructField("bands", T.ArrayType(T.LongType()))])
-LINKS = T.StructType([T.StructField("u", T.LongType()), T.StructField("v", T.LongType())])
+_LONG = T.LongType()
+SIGNATURES = T.StructType(
+    [T.StructField(n, _LONG) for n in ("doc", "n_shingles", "s1", "s2")] + [T.StructField("bands", T.ArrayType(_LONG)), T.StructField("sketch", T.BinaryType())]
+)
+LINKS = T.StructType([T.StructField("u", _LONG), T.StructField("v", _LONG)])
 
 
 def shingle_sets(w: K.Words, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -65,30 +80,37 @@ def shingle_sets(w: K.Words, k: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _seeds(n: int) -> np.ndarray:
-    return np.random.Generator(np.random.PCG64(7)).integers(1, 1 << 63, (2, n), dtype=np.uint64) | np.uint64(1)
+    return np.random.Generator(np.random.PCG64(7)).integers(0, 1 << 32, (2, n), dtype=np.uint32) | np.array([[0], [1]], dtype=np.uint32)
 
 
-def band_keys(g: np.ndarray, bounds: np.ndarray, bands: int, rows: int) -> np.ndarray:
-    """Keys (documents, bands) of non-empty documents; each is a hash of `rows` min-hashes."""
+def min_hashes(g: np.ndarray, bounds: np.ndarray, n: int) -> np.ndarray:
+    """n min-hashes (32 bits) of each document's shingles, documents in columns; 0 for documents without any."""
+    out = np.zeros((n, len(bounds) - 1), dtype=np.uint32)
     some = np.flatnonzero(np.diff(bounds))
-    starts = bounds[:-1][some]
-    mult, add = _seeds(bands * rows)
-    keys = np.zeros((len(bounds) - 1, bands), dtype=np.uint64)
-    if not len(some):
-        return keys
+    if len(some):
+        x, starts = (g >> np.uint64(32)).astype(np.uint32), bounds[:-1][some]
+        flip, mult = _seeds(n)
+        y = np.empty_like(x)
+        for i in range(n):
+            np.bitwise_xor(x, flip[i], out=y)
+            np.multiply(y, mult[i], out=y)
+            out[i, some] = np.minimum.reduceat(y, starts)
+    return out
+
+
+def band_keys(hashes: np.ndarray, side: int, rows: int) -> np.ndarray:
+    """Keys (documents, 2 * side): each is a hash of `rows` min-hashes; the lowest bit tells the collection, A or B."""
+    keys = np.empty((hashes.shape[1], 2 * side), dtype=np.uint64)
     with np.errstate(over="ignore"):
-        for b in range(bands):
-            key = np.full(len(some), b + 1, dtype=np.uint64)
+        for b in range(2 * side):
+            key = np.full(hashes.shape[1], b + 1, dtype=np.uint64)
             for r in range(b * rows, (b + 1) * rows):
-                x = g * mult[r]
-                x ^= x >> np.uint64(32)
-                x *= add[r]
-                key = K.mix(key * np.uint64(0x9E3779B97F4A7C15) + np.minimum.reduceat(x, starts))
-            keys[some, b] = key
+                key = K.mix(key * np.uint64(0x9E3779B97F4A7C15) + hashes[r])
+            keys[:, b] = key & ~np.uint64(1) | np.uint64(b >= side)
     return keys
 
 
-def _signature_batches(k: int, bands: int, rows: int):
+def _signature_batches(k: int, side: int, rows: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for a, b, w in K.per_slice(batch.column(1), lower=True):
@@ -97,9 +119,13 @@ def _signature_batches(k: int, bands: int, rows: int):
                 with np.errstate(over="ignore"):
                     sums = [np.concatenate([np.zeros(1, np.uint64), np.cumsum(K.mix(g ^ np.uint64(s)))]) for s in (1, 2)]
                     s1, s2 = ((x[bounds[1:]] - x[bounds[:-1]]).view(np.int64) for x in sums)
-                keys = band_keys(g, bounds, bands, rows).view(np.int64)
-                lists = pa.ListArray.from_arrays(pa.array(np.arange(0, keys.size + 1, bands, dtype=np.int32)), pa.array(keys.ravel()))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(n, pa.int64()), pa.array(s1), pa.array(s2), lists], names=[f.name for f in SIGNATURES])
+                hashes = min_hashes(g, bounds, max(2 * side * rows, SKETCH))
+                keys = band_keys(hashes, side, rows).view(np.int64)
+                lists = pa.ListArray.from_arrays(pa.array(np.arange(0, keys.size + 1, 2 * side, dtype=np.int32)), pa.array(keys.ravel()))
+                sketch = np.ascontiguousarray((hashes[:SKETCH] & 255).astype(np.uint8).T)
+                starts = np.arange(0, sketch.size + 1, SKETCH, dtype=np.int32)
+                sketches = pa.Array.from_buffers(pa.binary(), b - a, [None, pa.py_buffer(starts), pa.py_buffer(sketch)])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(n, pa.int64()), pa.array(s1), pa.array(s2), lists, sketches], names=[f.name for f in SIGNATURES])
 
     return run
 
@@ -108,32 +134,64 @@ def _similar(shared, a, b, percent: int):
     return 100 * shared >= percent * (a + b - shared)
 
 
-def _verify_batches(k: int, percent: int):
-    def sets_of(column: pa.Array) -> list[np.ndarray]:
-        out: list[np.ndarray] = []
-        for _, _, w in K.per_slice(column, lower=True):
-            g, bounds = shingle_sets(w, k)
-            out += [g[x:y] for x, y in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]
-        return out
+def _sketches(column: pa.Array) -> np.ndarray:
+    """(rows, SKETCH) bytes of a column of sketches."""
+    return np.frombuffer(b"".join(column.to_pylist()), dtype=np.uint8).reshape(-1, SKETCH)
+
+
+def least_matches(percent: int) -> float:
+    """Equal sketch bytes below which a pair cannot be a link, but for the stated probability."""
+    p = percent / 100
+    return SKETCH * p - SKETCH_DEVIATIONS * (SKETCH * p * (1 - p)) ** 0.5
+
 
+def _alike_batches(percent: int):
+    """Rows (u, v, sketch of u, of v) whose sketches do not rule a link out."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            good = pa.array((_sketches(batch.column(2)) == _sketches(batch.column(3))).sum(1) >= least_matches(percent))
+            yield pa.RecordBatch.from_arrays([batch.column(0).filter(good), batch.column(1).filter(good)], names=["u", "v"])
+
+    return run
+
+
+def _alike(pairs: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
+    """Those of pairs (u, v) that sizes and sketches do not rule out."""
+    of = lambda x: reps.select(F.col("doc").alias(x), F.col("n_shingles").alias(f"n{x}"), F.col("sketch").alias(f"s{x}"))
+    both = pairs.join(of("u"), "u").join(of("v"), "v").filter(100 * F.least("nu", "nv") >= percent * F.greatest("nu", "nv"))
+    return both.select("u", "v", "su", "sv").mapInArrow(_alike_batches(percent), LINKS)
+
+
+def _sets_of(column: pa.Array, k: int) -> list[np.ndarray]:
+    out: list[np.ndarray] = []
+    for _, _, w in K.per_slice(column, lower=True):
+        g, bounds = shingle_sets(w, k)
+        out += [g[x:y] for x, y in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]
+    return out
+
+
+def _linked(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
+    return bool(_similar(len(np.intersect1d(a, b, assume_unique=True)), len(a), len(b), percent))
+
+
+def _verify_batches(k: int, percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            u, v = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-            centres, first, at = np.unique(v, return_index=True, return_inverse=True)
-            centre_sets = sets_of(batch.column(3).take(pa.array(first)))
-            good = []
-            for own, c in zip(sets_of(batch.column(2)), at.tolist(), strict=True):
-                other = centre_sets[c]
-                good.append(bool(_similar(len(np.intersect1d(own, other, assume_unique=True)), len(own), len(other), percent)))
-            yield pa.RecordBatch.from_arrays([batch.column(0).filter(pa.array(good)), batch.column(1).filter(pa.array(good))], names=["u", "v"])
+            v = batch.column(1).to_numpy()
+            _, first, at = np.unique(v, return_index=True, return_inverse=True)
+            centres = _sets_of(batch.column(3).take(pa.array(first)), k)
+            good = pa.array([_linked(own, centres[c], percent) for own, c in zip(_sets_of(batch.column(2), k), at.tolist(), strict=True)], pa.bool_())
+            yield pa.RecordBatch.from_arrays([batch.column(0).filter(good), batch.column(1).filter(good)], names=["u", "v"])
 
     return run
 
 
-def _verified(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
-    """Those of pairs (u, v) whose sets are similar enough."""
-    left = pairs.join(texts.select(F.col("_id").alias("u"), F.col("_text").alias("_tu")), "u")
-    right = left.join(texts.select(F.col("_id").alias("v"), F.col("_text").alias("_tv")), "v")
+def _verified(pairs: DataFrame, reps: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
+    """Those of pairs (u, v) whose sets are similar enough. A text is only copied for pairs of like sizes and sketches."""
+    pairs = materialize(_alike(pairs, reps, percent), "alike")
+    left = pairs.join(texts.select(F.col("_key").alias("u"), F.col("_text").alias("_tu")), "u")
+    right = left.join(texts.select(F.col("_key").alias("v"), F.col("_text").alias("_tv")), "v")
     return materialize(right.select("u", "v", "_tu", "_tv").mapInArrow(_verify_batches(k, percent), LINKS), "links")
 
 
@@ -143,101 +201,164 @@ def _labelled(rows: DataFrame, labels: DataFrame, node: str, into: str) -> DataF
     return rows.join(named, rows[node] == named["_n"], "left").withColumn(into, F.coalesce("_c", node)).drop("_n", "_c")
 
 
-def _exact_group(k: int, percent: int):
-    """Links between rows outside their cluster's largest component (side 1) and rows of the cluster (side 0 or 1)."""
+def _partners(table: pa.Table, percent: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """For each row of side 1: the rows of side 0 of other components that size and sketch leave, and their matches."""
+    labels, side, n = (table.column(c).to_numpy() for c in ("label", "side", "n_shingles"))
+    sketch, members = _sketches(table.column("sketch")), np.flatnonzero(side == 0)
+    own, least = sketch[members], least_matches(percent)
+    for x in np.flatnonzero(side == 1).tolist():
+        matches = (own == sketch[x]).sum(1)
+        sizes = n[members]
+        fine = (matches >= least) & (labels[members] != labels[x]) & (100 * np.minimum(sizes, n[x]) >= percent * np.maximum(sizes, n[x]))
+        yield x, members[fine], matches[fine]
+
+
+def _possible(percent: int):
+    """Which rows of a block of a table have a possible partner in it."""
 
     def run(table: pa.Table) -> pa.Table:
-        column = pa.concat_arrays(table.column("_text").chunks) if table.num_rows else pa.array([], pa.string())
-        ids, labels, side = (table.column(c).to_numpy() for c in ("doc", "label", "side"))
-        parts, bounds = [], [0]
-        for _, _, w in K.per_slice(column, lower=True):
-            g, b = shingle_sets(w, k)
-            parts.append(g)
-            bounds += (b[1:] + bounds[-1]).tolist()
-        g, bounds = np.concatenate(parts), np.array(bounds)
-        _, dense = np.unique(g, return_inverse=True)
-        n, marked = np.diff(bounds), np.zeros(dense.max() + 1, dtype=bool)
-        members, u, v = np.flatnonzero(side == 0), [], []
-        ends = bounds[1:]
-        for x in np.flatnonzero(side == 1).tolist():
-            own = dense[bounds[x] : bounds[x + 1]]
-            marked[own] = True
-            total = np.concatenate([[0], np.cumsum(marked[dense])])
-            marked[own] = False
-            shared = (total[ends] - total[bounds[:-1]])[members]
-            linked = members[_similar(shared, n[x], n[members], percent) & (labels[members] != labels[x])]
-            for y in linked[np.unique(labels[linked], return_index=True)[1]].tolist():  # one for each component
-                u.append(int(ids[x]))
-                v.append(int(ids[y]))
+        keys, docs = table.column("key").to_numpy(), table.column("doc").to_numpy()
+        some = np.zeros(len(docs), dtype=bool)
+        for x, found, _ in _partners(table, percent):
+            if len(found):
+                some[x] = True
+                some[found] = True
+        chosen = np.unique(docs[some])
+        return pa.table({"key": pa.array(np.full(len(chosen), keys[0])), "doc": pa.array(chosen)})
+
+    return run
+
+
+def _exact_block(k: int, percent: int):
+    """Links between rows outside their table's largest component (side 1) and rows of the table, one for each component."""
+
+    def run(table: pa.Table) -> pa.Table:
+        sets = _sets_of(pa.concat_arrays(table.column("_text").chunks), k)
+        ids, labels = table.column("doc").to_numpy(), table.column("label").to_numpy()
+        u, v = [], []
+        for x, found, matches in _partners(table, percent):
+            done: set[int] = set()
+            for y in found[np.argsort(-matches, kind="stable")].tolist():  # the likeliest first
+                if labels[y] not in done and _linked(sets[x], sets[y], percent):
+                    done.add(labels[y])
+                    u.append(int(ids[x]))
+                    v.append(int(ids[y]))
         return pa.table({"u": pa.array(u, pa.int64()), "v": pa.array(v, pa.int64())})
 
     return run
 
 
-def near_duplicates(df: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id", text: str = "text", side: int = SIDE, rows: int = ROWS_PER_BAND) -> DataFrame:
-    """(doc_id, n_shingles, component_id, kept) of every document."""
-    spark = prepare(df.sparkSession)
-    docs = df.select(F.col(id_col).cast("long").alias("_id"), F.col(text).alias("_text")).filter("_id is not null")
-    signed = materialize(docs.mapInArrow(_signature_batches(k, 2 * side, rows), SIGNATURES), "signatures")
-    signed = signed.dropDuplicates(["doc_id"]) if _repeats(signed) else signed
+def _blocks(tables: DataFrame, blocks: DataFrame, columns: list[str]) -> DataFrame:
+    """Rows of tables (key, doc, label) for each task (key, m, s): every block of rows (side 0) meets every block of the
+    rows outside the largest component (side 1). blocks: (key, top, blocks)."""
+    planned = tables.join(blocks, "key").withColumn("_own", F.pmod(F.xxhash64("doc"), F.col("blocks")))
+    sides = F.when(F.col("label") == F.col("top"), F.array(F.lit(0))).otherwise(F.array(F.lit(0), F.lit(1)))
+    met = planned.withColumn("side", F.explode(sides)).withColumn("_other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    m, s = (F.when(F.col("side") == k, F.col("_own")).otherwise(F.col("_other")) for k in (0, 1))
+    return met.select(*columns, "side", m.alias("m"), s.alias("s"))
+
+
+def _open_tables(entries: DataFrame, labels: DataFrame) -> DataFrame:
+    """(key, doc, label, n) of the tensored tables with members of several components."""
+    marked = _labelled(entries, labels, "doc", "label")
+    open_bands = marked.groupBy("band").agg(F.min("label").alias("_lo"), F.max("label").alias("_hi")).filter("_lo <> _hi").select("band")
+    side = lambda k: F.collect_list(F.when(F.col("band").bitwiseAND(F.lit(1)) == k, F.col("band")))
+    both = marked.join(open_bands, "band", "left_semi").groupBy("doc", "label").agg(side(0).alias("_a"), side(1).alias("_b"))
+    keys = F.flatten(F.transform("_a", lambda x: F.transform("_b", lambda y: F.xxhash64(x, y))))
+    tables = materialize(both.select(F.explode(keys).alias("key"), "doc", "label"), "table_keys")
+    shared = tables.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("label").alias("_lo"), F.max("label").alias("_hi")).filter("_lo <> _hi").select("key", "n")
+    return materialize(tables.join(shared, "key"), "tables")
+
+
+def _resolved(tables: DataFrame, reps: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
+    """Links between components within tables (key, doc, label, n)."""
+    small = tables.filter(F.col("n") <= SMALL_TABLE).select("key", F.col("doc").alias("u"), F.col("label").alias("_cu"))
+    other = small.select("key", F.col("u").alias("v"), F.col("_cu").alias("_cv"))
+    links = _verified(small.join(other, "key").filter("u < v and _cu <> _cv").select("u", "v").distinct(), reps, texts, k, percent)
+    large = tables.filter(F.col("n") > SMALL_TABLE)
+    if not large.head(1):
+        return links
+    sizes = large.groupBy("key", "label").agg(F.count(F.lit(1)).alias("c"))
+    top = materialize(sizes.groupBy("key").agg(F.max(F.struct("c", "label")).alias("_t"), F.sum("c").alias("n")).select("key", F.col("_t.label").alias("top"), "n"), "largest")
+    facts = reps.select("doc", "n_shingles", "sketch")
+    plan = top.select("key", "top", (1 + F.floor(F.col("n") / BLOCK_ROWS)).alias("blocks"))
+    tasks = _blocks(large.select("key", "doc", "label"), plan, ["key", "doc", "label"]).join(facts, "doc")
+    possible = tasks.groupBy("key", "m", "s").applyInArrow(_possible(percent), "key long, doc long").distinct()
+    possible = materialize(possible.join(large.select("key", "doc", "label"), ["key", "doc"]).join(facts, "doc"), "possible")
+    sums = possible.groupBy("key").agg((1 + F.floor(F.greatest(F.sum("n_shingles") / BLOCK_SHINGLES, F.count(F.lit(1)) / BLOCK_ROWS))).alias("blocks"))
+    plan = materialize(sums.join(top.select("key", "top"), "key"), "plan")
+    tasks = _blocks(possible, plan, ["key", "doc", "label", "n_shingles", "sketch"]).join(texts.select(F.col("_key").alias("doc"), "_text"), "doc")
+    return links.unionByName(materialize(tasks.groupBy("key", "m", "s").applyInArrow(_exact_block(k, percent), LINKS), "resolved"))
+
+
+def _near(docs: DataFrame, k: int, percent: int, side: int, rows: int) -> DataFrame:
+    """(doc, n_shingles, component) of documents (_key, _text) with keys of their own; a component is its smallest key."""
+    signed = materialize(docs.select("_key", "_text").mapInArrow(_signature_batches(k, side, rows), SIGNATURES), "signatures")
 
     # Classes of equal sets; the bands of one member stand for all.
     filled = signed.filter("n_shingles > 0")
-    classes = filled.groupBy("s1", "s2", "n_shingles").agg(F.min("doc_id").alias("rep"))
-    classes = materialize(classes, "classes")
-    reps = filled.join(classes.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi")
-
-    # Table entries: a key for each pair of a band of A and one of B.
-    a, b = F.slice("bands", 1, side), F.slice("bands", side + 1, side)
-    keys = F.flatten(F.transform(a, lambda x, i: F.transform(b, lambda y, j: F.xxhash64(x, y, i, j))))
-    entries = reps.select(F.explode(keys).alias("key"), F.col("doc_id").alias("doc"))
-    shared = entries.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("doc").alias("centre")).filter("n > 1")
-    shared = materialize(shared, "buckets")
-    entries = materialize(entries.join(shared, "key").select("key", "doc", "centre", "n"), "entries")
-
-    # Stars: one centre each, then the other centres of other components.
-    near = entries.filter("doc <> centre")
-    stars = materialize(near.select("doc", "centre").distinct(), "stars")
+    classes = materialize(filled.groupBy("s1", "s2", "n_shingles").agg(F.min("doc").alias("rep")), "classes")
+    reps = filled.join(classes.select(F.col("rep").alias("doc")), "doc", "left_semi")
+
+    # Bands that several classes have, with the least of these as centre.
+    entries = reps.select(F.explode("bands").alias("band"), "doc")
+    shared = entries.groupBy("band").agg(F.count(F.lit(1)).alias("n"), F.min("doc").alias("centre")).filter("n > 1").select("band", "centre")
+    entries = materialize(entries.join(materialize(shared, "shared_bands"), "band"), "entries")
+
+    # Stars: a centre that agrees on both sides, one for each document; then those of other components.
+    in_b = F.col("band").bitwiseAND(F.lit(1))
+    stars = entries.filter("doc <> centre").groupBy("doc", "centre").agg(F.min(in_b).alias("_lo"), F.max(in_b).alias("_hi")).filter("_lo < _hi")
+    stars = materialize(stars.select("doc", "centre"), "stars")
     first = stars.groupBy("doc").agg(F.min("centre").alias("v")).select(F.col("doc").alias("u"), "v")
-    links = _verified(first, docs, k, percent)
+    links = _verified(first, reps, docs, k, percent)
     labels = components(links)
     others = _labelled(_labelled(stars, labels, "doc", "_cu"), labels, "centre", "_cv").filter("_cu <> _cv").select(F.col("doc").alias("u"), F.col("centre").alias("v"))
     tested = first.select(F.col("u").alias("_u"), F.col("v").alias("_v"))
     others = others.join(tested, (F.col("u") == F.col("_u")) & (F.col("v") == F.col("_v")), "left_anti")
-    links = links.unionByName(_verified(others, docs, k, percent))
+    links = links.unionByName(_verified(others, reps, docs, k, percent))
     labels = components(links)
 
-    # Buckets of three or more in which several components are left.
-    marked = _labelled(entries.filter("n > 2"), labels, "doc", "label")
-    open_keys = marked.groupBy("key").agg(F.min("label").alias("_lo"), F.max("label").alias("_hi")).filter("_lo <> _hi").select("key")
-    open_stars = materialize(entries.join(open_keys, "key", "left_semi").select(F.col("doc").alias("u"), F.col("centre").alias("v")).distinct(), "open")
-    links = links.unionByName(_resolved(open_stars, labels, signed, docs, k, percent))
+    links = links.unionByName(_resolved(_open_tables(entries.select("band", "doc"), labels), reps, docs, k, percent))
     labels = components(links)
 
     # Back to all documents: class -> representative -> component.
-    found = _labelled(classes, labels, "rep", "component_id").select("s1", "s2", "n_shingles", "component_id")
-    empty = signed.filter("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
-    members = filled.join(found, ["s1", "s2", "n_shingles"]).select("doc_id", "n_shingles", "component_id")
-    return members.unionByName(empty).withColumn("kept", F.col("doc_id") == F.col("component_id"))
-
-
-def _repeats(signed: DataFrame) -> bool:
-    return bool(signed.groupBy("doc_id").count().filter("count > 1").limit(1).count())
-
-
-def _resolved(stars: DataFrame, labels: DataFrame, signed: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
-    """Links between components within the clusters that stars connect."""
-    clusters = components(stars).select(F.col("node").alias("doc"), F.col("component").alias("cluster"))
-    members = _labelled(clusters, labels, "doc", "label").join(signed.select(F.col("doc_id").alias("doc"), "n_shingles"), "doc")
-    members = materialize(members, "members")
-    sizes = members.groupBy("cluster", "label").agg(F.count(F.lit(1)).alias("c"))
-    largest = sizes.groupBy("cluster").agg(F.max(F.struct("c", "label")).alias("top")).select("cluster", F.col("top.label").alias("top"))
-    plan = members.groupBy("cluster").agg(F.sum("n_shingles").alias("all"))
-    plan = materialize(plan.join(largest, "cluster").select("cluster", "top", (1 + F.floor(F.col("all") / BLOCK_SHINGLES)).alias("blocks")), "plan")
-    planned = members.join(plan, "cluster").withColumn("block", F.pmod(F.xxhash64("doc"), F.col("blocks")))
-    # A task is (cluster, block of members, block of stragglers): every block of one side meets every one of the other.
-    sides = planned.select("cluster", "doc", "label", "blocks", F.col("block").alias("own"), F.explode(F.when(F.col("label") == F.col("top"), F.array(F.lit(0))).otherwise(F.array(F.lit(0), F.lit(1)))).alias("side"))
-    met = sides.select("cluster", "doc", "label", "side", "own", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("other"))
-    tasks = met.select("cluster", "doc", "label", "side", F.when(F.col("side") == 0, F.col("own")).otherwise(F.col("other")).alias("m"), F.when(F.col("side") == 0, F.col("other")).otherwise(F.col("own")).alias("s"))
-    texts = docs.select(F.col("_id").alias("doc"), "_text")
-    return materialize(tasks.join(texts, "doc").groupBy("cluster", "m", "s").applyInArrow(_exact_group(k, percent), LINKS), "resolved")
+    found = _labelled(classes, labels, "rep", "component").select("s1", "s2", "n_shingles", "component")
+    empty = signed.filter("n_shingles = 0").select("doc", "n_shingles", F.col("doc").alias("component"))
+    members = filled.join(found, ["s1", "s2", "n_shingles"]).select("doc", "n_shingles", "component")
+    return members.unionByName(empty)
+
+
+def _documents(df: DataFrame, id_col: str, text: str) -> tuple[DataFrame, str, DataFrame]:
+    """df, its key column, and (_key, _id, _text)."""
+    prepare(df.sparkSession)
+    rows, key = keyed(df, id_col)
+    return rows, key, rows.select(F.col(key).cast("long").alias("_key"), F.col(id_col).alias("_id"), F.col(text).alias("_text"))
+
+
+def _members(docs: DataFrame, found: DataFrame) -> DataFrame:
+    """(doc, n_shingles, component, _id, _least): where keys are not ids, each row with the least id of its component and
+    the row that stands for it."""
+    own = materialize(found.join(docs.select(F.col("_key").alias("doc"), "_id"), "doc"), "members")
+    best = own.groupBy("component").agg(F.min(F.struct(F.col("_id").isNull().alias("none"), F.col("_id").alias("id"), "doc")).alias("_least"))
+    return own.join(best, "component")
+
+
+def near_duplicates(df: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id", text: str = "text", side: int = SIDE, rows: int = ROWS_PER_BAND) -> DataFrame:
+    """(doc_id, n_shingles, component_id, kept) of every document."""
+    _, key, docs = _documents(df.select(id_col, text), id_col, text)
+    found = _near(docs, k, percent, side, rows)
+    if key == id_col:
+        return found.select(F.col("doc").alias("doc_id"), "n_shingles", F.col("component").alias("component_id"), (F.col("doc") == F.col("component")).alias("kept"))
+    least = F.col("_least.id")
+    return _members(docs, found).select(F.col("_id").alias("doc_id"), "n_shingles", least.alias("component_id"), F.col("_id").eqNullSafe(least).alias("kept"))
+
+
+def drop_near_duplicates(df: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id", text: str = "text", side: int = SIDE, rows: int = ROWS_PER_BAND) -> DataFrame:
+    """One row of each component, that of the smallest id, with df's columns."""
+    whole, key, docs = _documents(df, id_col, text)
+    found = _near(docs, k, percent, side, rows)
+    stays = F.col("doc") == F.col("component") if key == id_col else F.col("doc") == F.col("_least.doc")
+    gone = (found if key == id_col else _members(docs, found)).filter(~stays).select(F.col("doc").alias("_gone"))
+    gone = materialize(gone, "gone")
+    out = whole.join(gone, whole[key] == gone["_gone"], "left_anti")
+    return out if key == id_col else out.drop(key)
