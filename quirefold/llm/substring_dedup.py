@@ -18,11 +18,13 @@ reference is first cut down to what repeats, and each document only meets the sh
 
 Counts are aggregated before they are shuffled; joins on anchors and windows can be split by adaptive execution.
 
+Window hashes choose what becomes reference text and route documents; the spans come from the automata, which compare
+word by word.
+
 Defined results: a null or empty text has no words; a document shorter than a window loses nothing; equal documents of
 a window's length or more lose all words, all of them; overlapping repeats within one document count; very long texts
-are handled whole; rows that repeat an id and its words are equal documents like any others, rows that repeat an id with
-other words raise an error, as spans belong to ids; a row without id keeps its words and does not count; an empty table
-gives an empty result; other columns are not read.
+are taken whole; rows with a null id and rows that repeat an id, with the same or another text, are documents of their
+own; an empty table gives an empty result; other columns are passed on unread, whatever their names.
 """
 
 from __future__ import annotations
@@ -37,7 +39,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quirefold.llm import textkit as K
-from quirefold.llm.store import materialize, prepare, unused
+from quirefold.llm.store import keyed, materialize, prepare, unused
 
 #: Words of a shard's reference text, about.
 SHARD_WORDS = 250_000
@@ -314,17 +316,15 @@ def _kept_text(column: str, into: str):
 
 
 class Repeats:
-    """The tables that say what repeats: `ones` (PASS_ONE without anchors), `copies`, and `spans` of the other documents."""
+    """The tables that say what repeats: `ones` (PASS_ONE without anchors), `copies`, and `spans` of the other documents.
+
+    docs: (doc_id, _text) with ids that are neither null nor repeated."""
 
-    def __init__(self, df: DataFrame, length: int, id_col: str, text: str) -> None:
-        prepare(df.sparkSession)
-        self.length = length
-        self.docs = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text).alias("_text"))
+    def __init__(self, docs: DataFrame, length: int) -> None:
+        self.length, self.docs = length, docs
         firsts = materialize(self.docs.mapInArrow(_pass_one(length), PASS_ONE), "pass_one")
         self.ones = firsts.drop("anchors")
-        if firsts.groupBy("doc_id").agg(F.min("d1").alias("a"), F.max("d1").alias("b")).filter("doc_id is not null and a <> b").limit(1).count():
-            raise ValueError("an id has several texts")
-        long = firsts.filter((F.col("n_words") >= length) & F.col("doc_id").isNotNull())
+        long = firsts.filter(F.col("n_words") >= length)
         groups = long.groupBy("d1", "d2", "n_words").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("c")).filter("c > 1")
         groups = materialize(groups, "copy_groups")
         #: Documents that have an equal one; all their words go.
@@ -335,7 +335,7 @@ class Repeats:
         repeated = materialize(counted.filter("c > 1").select("anchor"), "anchors")
         met = materialize(unlike.select("doc_id", F.explode(F.array_distinct("anchors")).alias("anchor")).join(repeated, "anchor"), "met")
         wanted = met.groupBy("doc_id").agg(F.collect_set("anchor").alias("anchors"))
-        copied = self.copies.select(F.col("doc_id").alias("_copied")).distinct()
+        copied = self.copies.select(F.col("doc_id").alias("_copied"))
         wanted = wanted.join(copied, F.col("doc_id") == F.col("_copied"), "left").select("doc_id", "anchors", F.col("_copied").isNotNull().alias("copied"))
         self.candidates = materialize(self.docs.join(wanted, "doc_id"), "candidates")
         self.spans = self._spans()
@@ -353,7 +353,7 @@ class Repeats:
         # Documents that are copies lose all words anyway and need no spans.
         routed = self.candidates.filter("not copied").mapInArrow(_window_hashes(length), "window long, doc long").join(twice, "window")
         need = routed.select(F.col("doc").alias("doc_id"), shard_of.alias("shard")).distinct()
-        need = materialize(need.join(self.ones.select("doc_id", "n_words").dropDuplicates(["doc_id"]), "doc_id"), "need")
+        need = materialize(need.join(self.ones.select("doc_id", "n_words"), "doc_id"), "need")
         load = need.groupBy("shard").agg((1 + F.floor(F.sum("n_words") / TASK_WORDS)).alias("parts"))
         load = materialize(load, "load")
         dealt = need.join(load, "shard").select("doc_id", "shard", F.pmod(F.xxhash64("doc_id"), F.col("parts")).alias("part"))
@@ -378,24 +378,38 @@ def _union_spans(flat):
     return F.aggregate(F.array_sort(pairs), F.array().cast(kind), add)
 
 
+def _keyed_docs(df: DataFrame, id_col: str, text: str) -> tuple[DataFrame, str, DataFrame]:
+    """df, its key column, and (doc_id, _text), where doc_id is the key."""
+    prepare(df.sparkSession)
+    whole, key = keyed(df, id_col)
+    return whole, key, whole.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("_text"))
+
+
 def repeated_passages(df: DataFrame, length: int = 35, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, n_words, n_removed, kept_sha256) of every document."""
-    found = Repeats(df, length, id_col, text)
+    whole, key, docs = _keyed_docs(df.select(id_col, text), id_col, text)
+    found = Repeats(docs, length)
     changed = found.candidates.select("doc_id", "_text").join(found.spans, "doc_id").mapInArrow(_digest_kept, RESULT)
     nothing = F.sha2(F.lit(""), 256)
-    gone = found.copies.select(F.col("doc_id").alias("_id"), F.lit(True).alias("_gone")).distinct()
+    gone = found.copies.select(F.col("doc_id").alias("_id"), F.lit(True).alias("_gone"))
     changed = changed.select(F.col("doc_id").alias("_changed"), F.col("n_removed").alias("_n"), F.col("kept_sha256").alias("_sha"))
     rows = found.ones.join(gone, F.col("doc_id") == F.col("_id"), "left").join(changed, F.col("doc_id") == F.col("_changed"), "left")
     removed = F.when(F.col("_gone"), F.col("n_words")).otherwise(F.coalesce("_n", F.lit(0)))
-    return rows.select("doc_id", "n_words", removed.alias("n_removed"), F.when(F.col("_gone"), nothing).otherwise(F.coalesce("_sha", "sha")).alias("kept_sha256"))
+    out = rows.select("doc_id", "n_words", removed.alias("n_removed"), F.when(F.col("_gone"), nothing).otherwise(F.coalesce("_sha", "sha")).alias("kept_sha256"))
+    if key == id_col:
+        return out
+    names = whole.select(F.col(key).alias("_key"), F.col(id_col).alias("_name"))
+    return out.join(names, F.col("doc_id") == F.col("_key")).select(F.col("_name").alias("doc_id"), "n_words", "n_removed", "kept_sha256")
 
 
 def remove_repeats(df: DataFrame, length: int = 35, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """df with the words of repeated passages taken out of its texts, and the white space after them."""
-    found = Repeats(df, length, id_col, text)
-    words = found.ones.select("doc_id", "n_words").dropDuplicates(["doc_id"])
-    whole = found.copies.select("doc_id").distinct().join(words, "doc_id").select("doc_id", F.array(F.lit(0).cast("long"), F.col("n_words")).alias("spans"))
-    doc, into = unused(df, "_doc"), unused(df, "_spans")
-    spans = materialize(found.spans.unionByName(whole), "all_spans").select(F.col("doc_id").alias(doc), F.col("spans").alias(into))
-    rows = df.join(spans, df[id_col] == spans[doc], "left").drop(doc)
-    return rows.mapInArrow(_kept_text(text, into), rows.schema).drop(into)
+    whole, key, docs = _keyed_docs(df, id_col, text)
+    found = Repeats(docs, length)
+    words = found.ones.select("doc_id", "n_words")
+    gone = found.copies.select("doc_id").join(words, "doc_id").select("doc_id", F.array(F.lit(0).cast("long"), F.col("n_words")).alias("spans"))
+    doc, into = unused(whole, "_doc"), unused(whole, "_spans")
+    spans = materialize(found.spans.unionByName(gone), "all_spans").select(F.col("doc_id").alias(doc), F.col("spans").alias(into))
+    rows = whole.join(spans, whole[key] == spans[doc], "left").drop(doc)
+    out = rows.mapInArrow(_kept_text(text, into), rows.schema).drop(into)
+    return out if key == id_col else out.drop(key)

@@ -74,24 +74,92 @@ def test_near_duplicates(spark):
 
 
 def test_exact_step_resolves_what_stars_miss(spark, monkeypatch):
-    """One hot group over many small blocks: links between members of which neither is a centre."""
-    monkeypatch.setattr(minhash_dedup, "BLOCK_SHINGLES", 2000)
-    docs = near_copies(3, 1, 120, 120)
+    """Texts around the threshold, over many small blocks: links between members of which neither is a centre."""
+    for name, value in (("BLOCK_SHINGLES", 2000), ("BLOCK_ROWS", 8), ("SMALL_TABLE", 2)):
+        monkeypatch.setattr(minhash_dedup, name, value)
+    planned = []
+    monkeypatch.setattr(minhash_dedup, "_exact_block", lambda *a, own=minhash_dedup._exact_block: planned.append(1) or own(*a))
+    rnd = random.Random(3)
+    base = [f"w{i}" for i in range(120)]
+    docs = {}
+    for i in range(150):
+        text = list(base)
+        for _ in range(rnd.choice([0, 1, 2, 3, 4, 5])):
+            text[rnd.randrange(len(text))] = f"e{rnd.randrange(10**6)}"
+        docs[i] = " ".join(text)
     expected = helpers.near(docs, 5)
+    assert 1 < len(set(expected.values())) < 120
     rows = minhash_dedup.near_duplicates(spark.createDataFrame(list(docs.items()), "doc_id long, text string"), k=5)
     assert {r.doc_id: r.component_id for r in rows.collect()} == expected
+    assert planned
+
+
+BASE = " ".join(f"b{i}" for i in range(60))
+#: (id, text): repeated ids with the same and with other texts, and rows without id.
+ODD = [(1, BASE), (1, BASE + " x"), (1, "other words"), (None, BASE + " y"), (None, "lone"), (2, BASE), (2, BASE), (3, None), (3, ""), (None, None), (4, "other  words")]
+
+
+def test_null_and_repeated_ids_are_documents_of_their_own(spark):
+    rows = spark.createDataFrame([(d, t, "z") for d, t in ODD], "doc_id long, text string, _ROW string")
+    numbered = dict(enumerate(t for _, t in ODD))
+    near = minhash_dedup.near_duplicates(rows, 5)
+    least = {c: min((ODD[i][0] for i, x in helpers.near(numbered, 5).items() if x == c and ODD[i][0] is not None), default=None) for c in range(len(ODD))}
+    expected = sorted(str((ODD[i][0], len(helpers.shingles(t, 5)), least[helpers.near(numbered, 5)[i]])) for i, t in numbered.items())
+    assert sorted(str((r.doc_id, r.n_shingles, r.component_id)) for r in near.collect()) == expected
+    left = minhash_dedup.drop_near_duplicates(rows, 5)
+    assert left.columns == rows.columns
+    assert sorted(str((r.doc_id, r.text)) for r in left.collect()) == sorted(map(str, [(1, BASE), (1, "other words"), (None, "lone"), (3, None), (3, ""), (None, None)]))
+    wanted = helpers.repeats(numbered, 20)
+    got = sorted(str((r.doc_id, r.n_words, r.n_removed, r.kept_sha256)) for r in substring_dedup.repeated_passages(rows, 20).collect())
+    assert got == sorted(str((ODD[i][0], *v[:3])) for i, v in wanted.items())
+    cleaned = substring_dedup.remove_repeats(rows, 20)
+    assert cleaned.columns == rows.columns and cleaned.count() == len(ODD)
+    assert sorted(str(helpers.WORD.findall(r.text or "")) for r in cleaned.collect()) == sorted(str(v[3]) for v in wanted.values())
+
+
+def test_exact_duplicates_keep_the_most_code_points(spark):
+    rows = spark.createDataFrame([(1, "a b c"), (1, "a  b  c"), (1, "abc"), (2, "x" * 200_000), (3, "x" * 200_000 + "\n"), (None, "q"), (None, "q ")], "doc_id long, text string")
+    left = sorted((str(r.doc_id), len(r.text), r.text[:7]) for r in exact_dedup.drop_duplicates(rows).collect())
+    assert left == [("1", 7, "a  b  c"), ("3", 200_001, "xxxxxxx"), ("None", 2, "q ")]
+
+
+def test_very_long_texts_and_frames_without_rows(spark):
+    rnd = random.Random(8)
+    long = " ".join(f"v{rnd.randrange(10**6)}" for _ in range(60_000))
+    rows = spark.createDataFrame([(1, long), (2, long + " end"), (3, long.replace("v1", "u1")), (4, "v")], "doc_id long, text string")
+    got = {r.doc_id: r.component_id for r in minhash_dedup.near_duplicates(rows).collect()}
+    assert got == helpers.near({r.doc_id: r.text for r in rows.collect()}, 5)
+    assert minhash_dedup.near_duplicates(rows.limit(0)).count() == 0 and minhash_dedup.drop_near_duplicates(rows.limit(0)).count() == 0
+    assert {r.doc_id: r.n_removed for r in substring_dedup.repeated_passages(rows.filter("doc_id <> 3")).collect()} == {1: 60_000, 2: 60_000, 4: 0}
+
+
+def test_pipeline_runs_on_odd_tables(spark, tmp_path):
+    prose = [" ".join(f"word{(i * j) % 97}" for j in range(60 + i)) for i in range(1, 8)]
+    odd = [(i, t, "en", "z", "z") for i, t in enumerate(prose)] + [(0, prose[0], None, "z", "z"), (0, prose[1] + "\n", "en", "z", "z"), (None, prose[2], "en", "z", None), (8, None, None, None, None), (9, "", "en", "z", "z")]
+    schema = "doc_id long, text string, lang string, _sha string, spans string"
+    for name, rows in (("odd", odd), ("empty", [])):
+        spark.createDataFrame(rows, schema).write.parquet(f"{tmp_path}/{name}/documents.parquet")
+        out = corpus_pipeline.run(spark, f"{tmp_path}/{name}")
+        assert out.columns == ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"]
+        if name == "empty":
+            assert out.count() == 0
+        docs, kept = read_table(spark, f"{tmp_path}/{name}", "documents"), None
+        for _, stage in corpus_pipeline.STAGES[:-1]:
+            kept = stage(spark, docs if kept is None else kept, "")
+            assert kept.columns == docs.columns
 
 
 def test_tensored_bands_find_pairs_at_the_threshold():
     rnd = np.random.default_rng(0)
     missed = 0
-    for _ in range(300):
+    for _ in range(2000):
         shared, a, b = (rnd.integers(0, 1 << 63, n, dtype=np.uint64) for n in (160, 20, 20))
         g = np.concatenate([np.sort(np.concatenate([shared, x])) for x in (a, b)])
-        keys = minhash_dedup.band_keys(g, np.array([0, 180, 360]), 2 * minhash_dedup.SIDE, minhash_dedup.ROWS_PER_BAND)
-        same = keys[0] == keys[1]
-        missed += not (same[: minhash_dedup.SIDE].any() and same[minhash_dedup.SIDE :].any())
-    assert missed <= 2
+        hashes = minhash_dedup.min_hashes(g, np.array([0, 180, 360]), 2 * minhash_dedup.SIDE * minhash_dedup.ROWS_PER_BAND)
+        same = np.equal(*minhash_dedup.band_keys(hashes, minhash_dedup.SIDE, minhash_dedup.ROWS_PER_BAND))
+        matches = ((hashes[: minhash_dedup.SKETCH, 0] & 255) == (hashes[: minhash_dedup.SKETCH, 1] & 255)).sum()
+        missed += not (same[: minhash_dedup.SIDE].any() and same[minhash_dedup.SIDE :].any() and matches >= minhash_dedup.least_matches(80))
+    assert missed <= 8
 
 
 def test_repeated_passages(spark, monkeypatch):
