@@ -2,6 +2,11 @@
 
 Every stage works on all that its predecessor kept, and its decisions take effect: rejected documents and copies go,
 repeated passages leave their documents, and what is left is packed.
+
+Defined results of all stages: a null text counts as empty (the quality rules reject it); rows with null or repeated ids
+are documents of their own, judged by their own texts; of ties the smallest id stays; very long texts are taken whole;
+an empty table runs through as an empty table; extra columns are passed on unread as far as the packing stage, whatever
+their names, and a table without `lang` or `n_chars` is fine.
 """
 
 from __future__ import annotations
@@ -26,8 +31,7 @@ def exact_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each component of near duplicates stays: five-word shingles, similarity 0.8 or more."""
-    gone = minhash_dedup.near_duplicates(docs, k=5, percent=80).filter(~F.col("kept")).select(F.col("doc_id").alias("_gone"))
-    return docs.join(gone, docs["doc_id"] == gone["_gone"], "left_anti")
+    return minhash_dedup.drop_near_duplicates(docs, k=5, percent=80)
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
