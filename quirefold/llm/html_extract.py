@@ -12,10 +12,15 @@ layouts with menus, headers, footers, sidebars, notices, adverts, forms and read
 Their number is a parameter; features are structural, no word of a page's text is one. The fit takes seconds on the
 driver, and the trees are broadcast (their size is bounded by their number and depth).
 
-Row-local: no shuffle; a worker holds one Arrow batch. Defined results: null or empty html gives an empty text; text
-outside any element counts as the body's; unclosed and stray tags are tolerated (a head ends at what cannot stand
-in it, svg and math at a closing slash or, if left open, at the next HTML element); an empty table gives an empty result;
-extra columns are not read.
+Row-local: no shuffle; a worker holds one Arrow batch. The parser reads a page once: time and memory are in proportion
+to its length, whatever is left open or nested in it.
+
+Defined results: null or empty html gives an empty text; text outside any element counts as the body's; unclosed and
+stray tags are tolerated (a head ends at what cannot stand in it; svg at a closing slash or, if left open, at the next
+HTML element; an open select after its options; an open comment, iframe, noscript or template hides nothing but its own
+tag; only script, style, title and textarea run to the end of the page); a `<` that begins no tag is text; formulas
+(math) are text; very long pages are read whole; repeated rows are extracted alike; an empty table gives an empty result;
+extra columns are not read, whatever their names.
 """
 
 from __future__ import annotations
@@ -40,12 +45,18 @@ NODES_PER_BATCH = 50_000
 
 # Classes of HTML elements and of words in class, id and role attributes.
 VOID = frozenset("area base basefont bgsound br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style textarea title noscript template iframe svg math select".split())
-SKIP = frozenset("script style title noscript template iframe svg math select textarea".split())
-INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q ruby rt rp s samp small strike strong sub sup time tt u var".split())
+TO_END = frozenset("script style textarea title".split())
+PAIRED = frozenset("noscript template iframe svg select annotation annotation-xml".split())
+INLINE = frozenset(
+    (
+        "a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q ruby rt rp s samp small strike strong sub sup time tt u var "
+        "math mi mn mo ms mtext mrow mfrac msqrt mroot mstyle msub msup msubsup munder mover munderover mmultiscripts mprescripts mtable mtr mtd mspace mpadded mphantom menclose merror mfenced maction semantics"
+    ).split()
+)
 CLOSES_P = frozenset("address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre section table ul".split())
-SELF_CLOSING = {"li": "li", "dt": "dt dd", "dd": "dt dd", "tr": "tr td th", "td": "td th", "th": "td th", "option": "option"}
-SCOPE = {"li": "ul ol menu", "dt": "dl", "dd": "dl", "tr": "table", "td": "tr table", "th": "tr table", "option": "select"}
+SELF_CLOSING = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th")}
+SCOPE = {"li": ("ul", "ol", "menu"), "dt": ("dl",), "dd": ("dl",), "tr": ("table",), "td": ("tr", "table"), "th": ("tr", "table")}
+P_SCOPE = ("button", "td", "th", "caption", "object")
 TAG_GROUPS = [
     "article main", "section", "div", "p", "h1", "h2 h3 h4 h5 h6", "ul ol menu dl", "li dt dd", "nav", "header", "footer", "aside",
     "form fieldset button input", "table tbody thead tr td th", "blockquote pre figure figcaption", "body html", "span",
@@ -67,20 +78,25 @@ for _i, _g in enumerate(TOKEN_GROUPS):
     for _t in _g.split():
         _TOKEN_GROUP[_t] = _TOKEN_GROUP.get(_t, 0) | 1 << _i
 
-_MARKUP = re.compile(r"<(?:!--.*?(?:-->|$)|[!?][^>]*>|(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>)", re.S)
+#: A tag, tried only where a `<` stands: a quote counts right after an equals sign, and only if it is closed somewhere.
+_TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*+)((?:[^>=]++|=[ \t\n\r\f]*+(?:\"[^\"]*+\"|'[^']*+')?+)*+)>")
+#: For what follows a tag that never ends that way: up to the next `>`.
+_PLAIN_TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)>")
+_END = {n: re.compile(rf"</{n}(?=[\s/>])[^>]*+>", re.I) for n in TO_END}
+_EITHER = {n: re.compile(rf"<(/?){n}(?=[\s/>])", re.I) for n in PAIRED}
+_AFTER_OPTIONS = re.compile(r"<(?!/?(?:option|optgroup|hr)[\s/>])[a-zA-Z/!]", re.I)
 _TOKENS = re.compile(r"(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 _WORD = re.compile(r"[a-z]+")
 #: A slash at a tag's end that belongs to an unquoted value and so closes nothing.
 _UNQUOTED_SLASH = re.compile(r"=\s*[^\s\"'>]+/$")
-#: Elements of HTML that end svg and math that were left open; what stands in a foreignObject or the like does not.
+#: Elements of HTML that end an svg that was left open; what stands in a foreignObject or the like does not.
 _BREAKS_OUT = "article|aside|b|big|blockquote|body|br|center|code|dd|div|dl|dt|em|embed|footer|form|h[1-6]|head|header|hr|i|img|li|main|menu|nav|ol|p|pre|ruby|s|section|small|span|strong|strike|sub|sup|table|tt|u|ul|var"
-_FOREIGN_END = {n: re.compile(rf"</{n}\s*>|<(foreignobject|annotation-xml)[\s>]|<(?:{_BREAKS_OUT})(?=[\s/>])", re.I) for n in ("svg", "math")}
+_SVG_END = re.compile(rf"<(foreignobject|annotation-xml|desc|title)(?=[\s/>])|<(?:{_BREAKS_OUT})(?=[\s/>])", re.I)
 _MARKS = re.compile(r"[.,;:!?…。、]")
 _HIDDEN = re.compile(r"\shidden(?:\s|=|/|$)|display\s*:\s*none", re.I)
 
 
-@lru_cache(maxsize=4096)
-def _attribute_mask(attributes: str) -> int:
+def _read_mask(attributes: str) -> int:
     mask = 0
     for found in _TOKENS.findall(attributes):
         for word in _WORD.findall("".join(found).lower()):
@@ -88,85 +104,200 @@ def _attribute_mask(attributes: str) -> int:
     return mask
 
 
+_short_mask = lru_cache(maxsize=4096)(_read_mask)
+
+
+def _attribute_mask(attributes: str) -> int:
+    return _short_mask(attributes) if len(attributes) < 200 else _read_mask(attributes)
+
+
+class _Tags:
+    """Matches the tags of a page. Once a tag has no end outside quotes, quotes count no more: no scan runs twice to the
+    page's end."""
+
+    def __init__(self, html: str) -> None:
+        self.html, self.pattern = html, _TAG
+
+    def match(self, at: int) -> re.Match | None:
+        m = self.pattern.match(self.html, at)
+        if m is None and self.pattern is _TAG and self.html[at + 1 : at + 2].isalpha():
+            self.pattern = _PLAIN_TAG
+            m = _PLAIN_TAG.match(self.html, at)
+        return m
+
+
+class _Next:
+    """Places of a string, asked for from growing positions: the page is searched once."""
+
+    def __init__(self, find) -> None:
+        self.find, self.last = find, -2
+
+    def at(self, start: int) -> int:
+        """The next place from start on, or -1."""
+        if -1 != self.last < start:
+            self.last = self.find(start)
+        return self.last
+
+
+class _Skips:
+    """Where the skipped elements of a page end. Each name's tags are matched once, in one pass over the page."""
+
+    def __init__(self, html: str) -> None:
+        self.html, self.matched, self.absent, self.last = html, {}, set(), html.rfind(">") + 1
+        self.breaks: dict[int, bool] = {}  # place -> whether html goes on there
+        self.next_break = _Next(self._find_break)
+
+    def _find_break(self, start: int) -> int:
+        m = _SVG_END.search(self.html, start)
+        if m:
+            self.breaks[m.start()] = not m.group(1)
+        return m.start() if m else -1
+
+    def _pairs(self, name: str) -> dict[int, int]:
+        """End of an element's start tag -> end of its end tag, for elements that have one."""
+        if name not in self.matched:
+            pairs, still_open, tags, last = self.matched.setdefault(name, {}), [], _Tags(self.html), 0
+            for m in _EITHER[name].finditer(self.html, 0, self.last):
+                if m.start() < last:
+                    continue
+                tag = tags.match(m.start())
+                if tag is None:
+                    break
+                last = tag.end()
+                if not m.group(1):
+                    if name != "svg" or not _closes_itself(tag.group(3)):
+                        still_open.append(last)
+                elif still_open:
+                    pairs[still_open.pop()] = last
+        return self.matched[name]
+
+    def after(self, name: str, at: int) -> int:
+        """Where the page goes on after an element whose start tag ends at `at`."""
+        if name in TO_END:
+            m = None if name in self.absent else _END[name].search(self.html, at, self.last)
+            if not m:
+                self.absent.add(name)
+            return m.end() if m else len(self.html)
+        end = self._pairs(name).get(at)
+        if name == "svg":
+            place = self.next_break.at(at)
+            if place >= 0 and self.breaks[place] and (end is None or place < end):
+                return place
+        if end is None and name == "select":
+            m = _AFTER_OPTIONS.search(self.html, at)
+            return m.start() if m else len(self.html)
+        return at if end is None else end
+
+
+def _closes_itself(attributes: str) -> bool:
+    return attributes.endswith("/") and not _UNQUOTED_SLASH.search(attributes[-4096:])
+
+
 class Page:
     """Node list of a page in document order; node 0 is the body."""
 
+    #: Per node whether _TRUE is among its attributes, for pages of known truth.
+    truth: list[bool] | None = None
+
     def __init__(self, html: str) -> None:
         self.tag, self.parent, self.mask, self.hidden = ["body"], [-1], [0], [False]
         self.pieces: list[tuple[int, int, str, bool]] = []  # node, block, text, in a link
         self._parse(html)
 
     def _parse(self, html: str) -> None:
-        stack, tags = [0], self.tag
-        block, at, link = 0, 0, False
+        stack, tags, skips = [0], self.tag, _Skips(html)
+        open_at: dict[str, list[int]] = {}  # places on the stack of the open elements of a name
+        block = at = began = 0
+        link, link_depth, match = False, 0, _Tags(html).match
+        tag_end, comment_end = _Next(lambda start: html.find(">", start)), _Next(lambda start: html.find("-->", start))
         pieces = self.pieces
 
-        def close(names: str, within: str = "") -> None:
+        def close(names: tuple[str, ...], within: tuple[str, ...] = ()) -> None:
             """Close the nearest open element of these names, and what is open in it, unless an element of `within` is nearer."""
-            nonlocal block
-            for k in range(len(stack) - 1, 0, -1):
-                name = tags[stack[k]]
-                if name in names.split():
-                    del stack[k:]
-                    block += 1
-                    return
-                if name in within.split():
-                    return
+            nonlocal block, link
+            k = max((open_at[n][-1] for n in names if open_at.get(n)), default=0)
+            if not k or any(open_at[n][-1] > k for n in within if open_at.get(n)):
+                return
+            for node in stack[k:]:
+                open_at[tags[node]].pop()
+            del stack[k:]
+            link = link and link_depth <= k
+            block += 1
+
+        def put(end: int) -> None:
+            if end > began:
+                pieces.append((stack[-1], block, html[began:end], link))
 
         while True:
-            m = _MARKUP.search(html, at)
-            text = html[at : m.start()] if m else html[at:]
-            if text:
-                pieces.append((stack[-1], block, text, link))
-            if not m:
+            at = html.find("<", at)
+            if at < 0:
+                put(len(html))
                 return
-            at = m.end()
-            end, name, attributes = m.groups()
-            if name is None:
+            m = match(at)
+            if m is None:
+                end = -1
+                if html.startswith(("!", "?", "/"), at + 1):
+                    if html.startswith("<!--", at) and not html.startswith(("<!-->", "<!--->"), at):
+                        end = comment_end.at(at + 4) + 2
+                    if end < 2:  # no comment, or one that is left open
+                        end = tag_end.at(at)
+                if end >= 0:
+                    put(at)
+                    at = began = end + 1
+                elif tag_end.at(at) < 0:  # no further tag at all
+                    put(len(html))
+                    return
+                else:
+                    at += 1
                 continue
+            put(at)
+            at = began = m.end()
+            end, name, attributes = m.groups()
             name = name.lower()
             if end:
                 if name == "a":
                     link = False
                 elif name not in INLINE and name not in VOID:
-                    close(name)
+                    close((name,))
                 continue
             if name == "a":
-                link = True
+                link, link_depth = True, len(stack)
                 continue
             if name == "br":
                 pieces.append((stack[-1], block, " ", link))
                 continue
-            if name in SKIP or name in RAW:
-                if name in _FOREIGN_END and attributes.endswith("/") and not _UNQUOTED_SLASH.search(attributes):
-                    continue
-                m = _FOREIGN_END[name].search(html, at) if name in _FOREIGN_END else None
-                if not m or m.group(1):
-                    m = re.compile(rf"</{name}\s*>", re.I).search(html, at)
-                at = (m.end() if m.group()[1] == "/" else m.start()) if m else len(html)
+            if name in TO_END or name in PAIRED:
+                if name != "svg" or not _closes_itself(attributes):
+                    at = began = skips.after(name, at)
                 continue
             # a head needs no end tag: what may stand in it is skipped or void, all else belongs to the body
             if name in INLINE or name in VOID or name in ("html", "head", "body"):
-                if name in ("hr", "img"):
-                    block += name == "hr"
+                block += name == "hr"
                 continue
             if name in CLOSES_P:
-                close("p", "button td th caption object")
+                close(("p",), P_SCOPE)
             if name in SELF_CLOSING:
                 close(SELF_CLOSING[name], SCOPE[name])
             mask = _attribute_mask(attributes) if attributes else 0
             if name == "span" and not mask:
                 continue
-            self.tag.append(name)
+            if self.truth is not None:
+                self.truth.append(_TRUE in attributes)
+            tags.append(name)
             self.parent.append(stack[-1])
             self.mask.append(mask)
             self.hidden.append(bool(attributes) and bool(_HIDDEN.search(attributes)))
             if not attributes.endswith("/") or name in ("p", "div", "li"):
-                stack.append(len(self.tag) - 1)
+                open_at.setdefault(name, []).append(len(stack))
+                stack.append(len(tags) - 1)
             if name != "span":
                 block += 1
 
     def features(self) -> np.ndarray:
+        return np.concatenate(list(self.feature_blocks(len(self.tag))))
+
+    def feature_blocks(self, rows: int) -> Iterator[np.ndarray]:
+        """Features of the nodes in document order, so many at once at most."""
         tag, parent, mask = self.tag, self.parent, self.mask
         n = len(tag)
         own, links, marks, words = [0] * n, [0] * n, [0] * n, [0] * n
@@ -203,19 +334,29 @@ class Page:
         for v in range(n):
             before[v] = run
             run += own[v]
-        a = lambda x: np.array(x, dtype=np.float64)
-        par = np.maximum(np.array(parent), 0)
-        total_, links_, group_, mask_, above_, tags_ = a(total), a(total_links), np.array(group), np.array(mask), np.array(above_mask), np.array(above_tags)
-        columns = [
-            np.log1p(total_), np.log1p(a(own)), links_ / np.maximum(total_, 1), np.log1p(a(below)), total_ / (a(below) + 1), 100 * a(total_marks) / np.maximum(total_, 1),
-            np.log1p(a(paragraphs)), a(depth), a(children), a(index), a(index) / np.maximum(a(children)[par], 1), total_ / np.maximum(total_[par], 1), total_ / max(run, 1),
-            a(before) / max(run, 1), a([same.get((p, t), 0) for p, t in zip(parent, tag, strict=True)]), np.log1p(total_[par]), links_[par] / np.maximum(total_[par], 1), a(self.hidden),
-        ]
-        columns += [group_ == g for g in range(len(TAG_GROUPS))]
-        columns += [group_[par] == _TAG_GROUP[t] for t in ("article", "nav", "header", "footer", "aside", "li", "form")]
-        columns += [(tags_ >> _TAG_GROUP[t]) & 1 for t in ("article", "nav", "header", "footer", "aside", "form", "ul")]
-        columns += [(mask_ >> g) & 1 for g in range(len(TOKEN_GROUPS))] + [(above_ >> g) & 1 for g in range(len(TOKEN_GROUPS))]
-        return np.stack([np.asarray(c, dtype=np.float32) for c in columns], axis=1)
+        par_all = np.maximum(np.array(parent), 0)
+        f64 = lambda x: np.array(x, dtype=np.float64)
+        whole = {k: f64(v) for k, v in {"total": total, "links": total_links, "children": children}.items()}
+        groups, masks, aboves, tags_above = np.array(group, dtype=np.int8), np.array(mask, dtype=np.int16), np.array(above_mask, dtype=np.int16), np.array(above_tags, dtype=np.int64)
+        for lo in range(0, n, rows):
+            hi = min(lo + rows, n)
+            a = lambda x: np.array(x[lo:hi], dtype=np.float64)  # noqa: B023, E731
+            par = par_all[lo:hi]
+            total_, links_, below_, children_, index_ = whole["total"][lo:hi], whole["links"][lo:hi], a(below), whole["children"][lo:hi], a(index)
+            group_, mask_, above_, tags_ = groups[lo:hi], masks[lo:hi], aboves[lo:hi], tags_above[lo:hi]
+            columns = [
+                np.log1p(total_), np.log1p(a(own)), links_ / np.maximum(total_, 1), np.log1p(below_), total_ / (below_ + 1), 100 * a(total_marks) / np.maximum(total_, 1),
+                np.log1p(a(paragraphs)), a(depth), children_, index_, index_ / np.maximum(whole["children"][par], 1), total_ / np.maximum(whole["total"][par], 1), total_ / max(run, 1),
+                a(before) / max(run, 1), f64([same.get((parent[v], tag[v]), 0) for v in range(lo, hi)]), np.log1p(whole["total"][par]), whole["links"][par] / np.maximum(whole["total"][par], 1), a(self.hidden),
+            ]
+            columns += [group_ == g for g in range(len(TAG_GROUPS))]
+            columns += [groups[par] == _TAG_GROUP[t] for t in ("article", "nav", "header", "footer", "aside", "li", "form")]
+            columns += [(tags_ >> _TAG_GROUP[t]) & 1 for t in ("article", "nav", "header", "footer", "aside", "form", "ul")]
+            columns += [(mask_ >> g) & 1 for g in range(len(TOKEN_GROUPS))] + [(above_ >> g) & 1 for g in range(len(TOKEN_GROUPS))]
+            out = np.empty((hi - lo, len(columns)), dtype=np.float32)
+            for j, c in enumerate(columns):
+                out[:, j] = c
+            yield out
 
     def decode(self, margin: np.ndarray) -> list[bool]:
         """Which nodes to keep: the most probable choice in which nothing in a dropped node is kept."""
@@ -360,14 +501,8 @@ class TruePage(Page):
     """A generated page with the truth of its nodes."""
 
     def __init__(self, html: str) -> None:
+        self.truth = [True]
         super().__init__(html)
-        marks = [_TRUE in m.group(3) for m in _MARKUP.finditer(html) if m.group(2) and not m.group(1) and self._is_node(m)]
-        self.truth = [True, *marks]
-
-    @staticmethod
-    def _is_node(m: re.Match) -> bool:
-        name = m.group(2).lower()
-        return name not in SKIP and name not in RAW and name not in INLINE and name not in VOID and name not in ("html", "head", "body") and not (name == "span" and not _attribute_mask(m.group(3)))
 
 
 @lru_cache(maxsize=2)
@@ -376,16 +511,16 @@ def fit_trees(pages: int = TRAINING_PAGES, seed: int = 11) -> boosting.Trees:
     return boosting.fit(x.astype(np.float64), y)
 
 
-def extract_pages(htmls: list[str], trees: boosting.Trees) -> list[str]:
-    out: list[str] = []
+def extract_pages(htmls: list[str], trees: boosting.Trees) -> Iterator[str]:
+    """The pages' texts. Trees see many small pages at once, a large one in parts."""
     held: list[Page] = []
     features: list[np.ndarray] = []
 
-    def flush() -> None:
+    def flush() -> Iterator[str]:
         if held:
             margin, a = trees.margin(np.concatenate(features)), 0
             for page, f in zip(held, features, strict=True):
-                out.append(page.text(page.decode(margin[a : a + len(f)])))
+                yield page.text(page.decode(margin[a : a + len(f)]))
                 a += len(f)
             held.clear()
             features.clear()
@@ -393,21 +528,25 @@ def extract_pages(htmls: list[str], trees: boosting.Trees) -> list[str]:
     nodes = 0
     for html in htmls:
         page = Page(html)
+        if len(page.tag) > NODES_PER_BATCH:
+            yield from flush()
+            nodes = 0
+            yield page.text(page.decode(np.concatenate([trees.margin(f) for f in page.feature_blocks(NODES_PER_BATCH)])))
+            continue
         held.append(page)
         features.append(page.features())
         nodes += len(page.tag)
         if nodes >= NODES_PER_BATCH:
-            flush()
+            yield from flush()
             nodes = 0
-    flush()
-    return out
+    yield from flush()
 
 
 def _extract_batches(model):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         trees = model.value
         for batch in batches:
-            texts = extract_pages([h or "" for h in batch.column("_html").to_pylist()], trees)
+            texts = list(extract_pages([h or "" for h in batch.column("_html").to_pylist()], trees))
             keys = [batch.column(i) for i in range(batch.num_columns - 1)]
             yield pa.RecordBatch.from_arrays([*keys, pa.array(texts, pa.string())], names=[*batch.schema.names[:-1], "text"])
 
