@@ -1,11 +1,12 @@
 """WARC archives as chunked record tables.
 
-Writing: each task streams its rows' payloads into gzip-per-record archives in the shared folder, a block at a time,
-and emits one manifest row per finished archive. The manifest is a table of its own: only archives that it names are
+Writing: payloads go to the writing tasks as rows (record, chunk number, bytes), in order, and are streamed into
+gzip-per-record archives in the shared folder; the writer holds a batch of chunks, not a payload. A task emits one
+manifest row per finished archive. The manifest is a table of its own: only archives that it names are
 read, so what a lost or repeated task left behind does no harm. Archives are rolled at a size, which bounds the work of
 one reading task.
 
-Reading: an archive is decompressed block by block. A record comes out as rows (record, chunk number, bytes, running
+Reading: an archive is decompressed block by block, and its records are counted against the manifest. A record comes out as rows (record, chunk number, bytes, running
 SHA-256, total so far, last); a payload longer than a chunk is never held as a whole, and the digest is carried from
 chunk to chunk, so the last row has the digest and length of the payload without any grouping.
 
@@ -16,8 +17,10 @@ Their counts are aggregated before the shuffle, only digests that occur twice or
 execution can split that join if one payload is a third of all rows.
 
 Defined results: a null payload is empty; empty and short payloads are responses each by themselves; a null url gives a
-record without target; rows that repeat an id are records of their own (equal ones are responses alike); an empty
-table gives no archives and no rows; extra columns are not read.
+record without target, a long one is a long header; a record without id has none in the archive and comes back with a
+null id, it revisits an equal payload that has one; rows that repeat an id are records of their own (equal ones are
+responses alike); an archive that is cut short, or has other records than its manifest says, is an error; an empty
+table gives no archives and no rows; extra columns are not read, whatever their names.
 """
 
 from __future__ import annotations
@@ -42,7 +45,6 @@ BLOCK_BYTES = 256 << 10
 ARCHIVE_BYTES = 256 << 20
 #: Bytes of chunk rows in one Arrow batch.
 BATCH_BYTES = 4 << 20
-MAX_HEADER_BYTES = 1 << 20
 
 CHUNKS = T.StructType(
     [
@@ -76,12 +78,15 @@ class _Archive:
         system.create_dir(path.rsplit("/", 1)[0], recursive=True)
         self.uri, self.out, self.records, self.size = uri, system.open_output_stream(path), 0, 0
 
-    def record(self, header: bytes, payload: memoryview) -> None:
-        z = zlib.compressobj(1, zlib.DEFLATED, 31)
-        self._put(z.compress(header))
-        for a in range(0, len(payload), BLOCK_BYTES):
-            self._put(z.compress(payload[a : a + BLOCK_BYTES]))
-        self._put(z.compress(b"\r\n\r\n") + z.flush())
+    def begin(self, header: bytes) -> None:
+        self.z = zlib.compressobj(1, zlib.DEFLATED, 31)
+        self._put(self.z.compress(header))
+
+    def add(self, chunk) -> None:
+        self._put(self.z.compress(chunk))
+
+    def end(self) -> None:
+        self._put(self.z.compress(b"\r\n\r\n") + self.z.flush())
         self.records += 1
 
     def _put(self, data: bytes) -> None:
@@ -90,11 +95,11 @@ class _Archive:
             self.size += len(data)
 
 
-def _header(record_id: str, kind: str, length: int, digest: str, full_length: int, uri: str | None, refers_to: str | None) -> bytes:
+def _header(record_id: str | None, kind: str, length: int, digest: str, full_length: int, uri: str | None, refers_to: str | None) -> bytes:
     lines = [
         "WARC/1.1",
         f"WARC-Type: {kind}",
-        f"WARC-Record-ID: <urn:record:{record_id}>",
+        f"WARC-Record-ID: <urn:record:{'' if record_id is None else record_id}>",
         "WARC-Date: 1970-01-01T00:00:00Z",
         f"WARC-Payload-Digest: sha256:{digest}",
         f"X-Payload-Length: {full_length}",
@@ -119,26 +124,27 @@ def _write_task(folder: str, archive_bytes: int):
             return pa.RecordBatch.from_pylist([{"archive": archive.uri, "records": archive.records, "bytes": archive.size}], _arrow_schema(MANIFEST))
 
         for batch in batches:
-            ids, uris, refers = (batch.column(c).to_pylist() for c in ("record_id", "uri", "refers_to"))
-            digests, lengths, payloads = batch.column("digest").to_pylist(), batch.column("length").to_pylist(), batch.column("payload")
-            for i in range(batch.num_rows):
-                if archive is None:  # a name that no other attempt of this task uses
-                    archive = _Archive(f"{folder}/{uuid.uuid4().hex}.warc.gz")
-                revisit = refers[i] is not None
-                buffer = None if revisit else payloads[i].as_buffer()
-                payload = memoryview(b"" if buffer is None else buffer)
-                archive.record(_header(ids[i], "revisit" if revisit else "response", len(payload), digests[i], lengths[i], uris[i], refers[i]), payload)
-                if archive.size >= archive_bytes:
-                    yield close()
-                    archive = None
+            fields = [batch.column(c).to_pylist() for c in ("record_id", "uri", "digest", "length", "refers_to", "chunk_no", "chunks")]
+            for record_id, uri, digest, length, refers, number, chunks, chunk in zip(*fields, batch.column("chunk"), strict=True):
+                if number == 0:
+                    if archive is None:  # a name that no other attempt of this task uses
+                        archive = _Archive(f"{folder}/{uuid.uuid4().hex}.warc.gz")
+                    revisit = refers is not None
+                    archive.begin(_header(record_id, "revisit" if revisit else "response", 0 if revisit else length, digest, length, uri, refers))
+                archive.add(memoryview(chunk.as_buffer() or b""))
+                if number == chunks - 1:
+                    archive.end()
+                    if archive.size >= archive_bytes:
+                        yield close()
+                        archive = None
         if archive is not None:
             yield close()
 
     return run
 
 
-def write_archives(pages: DataFrame, id_col: str = "page_id", url: str = "url", payload: str = "html", min_payload: int = 100, folder: str | None = None, archive_bytes: int = ARCHIVE_BYTES) -> DataFrame:
-    """Write a record for every row; returns the manifest (archive, records, bytes)."""
+def write_archives(pages: DataFrame, id_col: str = "page_id", url: str = "url", payload: str = "html", min_payload: int = 100, folder: str | None = None, archive_bytes: int = ARCHIVE_BYTES, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
+    """Write a record for every row; returns the manifest (archive, records, bytes). Ids contain neither `>` nor line ends."""
     spark = prepare(pages.sparkSession)
     body = F.coalesce(F.col(payload).cast("binary"), F.lit(b""))
     rows = pages.select(F.col(id_col).cast("string").alias("record_id"), F.col(id_col).alias("_id"), F.col(url).alias("uri"), body.alias("payload"))
@@ -146,8 +152,12 @@ def write_archives(pages: DataFrame, id_col: str = "page_id", url: str = "url",
     groups = rows.filter(F.col("length") >= min_payload).groupBy("digest").agg(F.count(F.lit(1)).alias("_n"), F.min("_id").alias("_first")).filter("_n > 1")
     groups = materialize(groups.select(F.col("digest").alias("_digest"), "_first"), "payload_groups")
     joined = rows.join(groups, rows["digest"] == groups["_digest"], "left")
-    refers = F.when(F.col("_first") != F.col("_id"), F.col("_first").cast("string"))
-    ready = joined.select("record_id", "uri", "digest", "length", refers.alias("refers_to"), F.when(refers.isNull(), F.col("payload")).alias("payload"))
+    refers = F.when(~F.col("_first").eqNullSafe(F.col("_id")), F.col("_first").cast("string"))
+    ready = joined.select("record_id", "uri", "digest", "length", refers.alias("refers_to"), F.when(refers.isNull(), F.col("payload")).otherwise(F.lit(b"")).alias("payload"))
+    # explode keeps a record's chunks together and in order; what leaves it is a chunk a row
+    starts = F.sequence(F.lit(0), F.greatest(F.floor((F.octet_length("payload") - 1) / chunk_bytes), F.lit(0)).cast("int"))
+    cut = F.transform(starts, lambda i: F.substring(F.col("payload"), i * chunk_bytes + 1, F.lit(chunk_bytes)))
+    ready = ready.select("record_id", "uri", "digest", "length", "refers_to", F.size(starts).alias("chunks"), F.posexplode(cut).alias("chunk_no", "chunk"))
     folder = folder or fresh_path(spark, "warc")
     return materialize(ready.mapInArrow(_write_task(folder, archive_bytes), MANIFEST), "manifest")
 
@@ -178,8 +188,6 @@ class _Stream:
         seen = 0
         while (at := self.buffer.find(mark, max(0, seen - len(mark)))) < 0:
             seen = len(self.buffer)
-            if seen > MAX_HEADER_BYTES:
-                raise ValueError("a record's header is too long")
             if not self.fill():
                 if self.buffer:
                     raise ValueError("the archive ends within a record")
@@ -201,7 +209,7 @@ def read_records(source, chunk_bytes: int = CHUNK_BYTES) -> Iterator[dict]:
     stream = _Stream(source)
     while (head := stream.until(b"\r\n\r\n")) is not None:
         fields = dict(line.split(": ", 1) for line in head.decode().split("\r\n")[1:] if ": " in line)
-        name = lambda key: fields[key].removeprefix("<urn:record:").removesuffix(">") if key in fields else None
+        name = lambda key: fields.get(key, "").removeprefix("<urn:record:").removesuffix(">") or None
         left, digest, done, number = int(fields["Content-Length"]), hashlib.sha256(), 0, 0
         base = {
             "record_id": name("WARC-Record-ID"),
@@ -228,18 +236,21 @@ def _read_task(chunk_bytes: int, with_chunk: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema = _arrow_schema(CHUNKS)
         for batch in batches:
-            for uri in batch.column("archive").to_pylist():
+            for uri, records in zip(batch.column("archive").to_pylist(), batch.column("records").to_pylist(), strict=True):
                 system, path = arrow_fs.FileSystem.from_uri(uri)
                 with system.open_input_stream(path) as source:
-                    rows, size = [], 0
+                    rows, size, found = [], 0, 0
                     for row in read_records(source, chunk_bytes):
                         size += len(row["chunk"]) + 300
+                        found += row["is_last"]
                         if not with_chunk:
                             row["chunk"] = None
                         rows.append(row)
                         if size >= BATCH_BYTES:
                             yield pa.RecordBatch.from_pylist(rows, schema)
                             rows, size = [], 0
+                    if found != records:
+                        raise ValueError(f"{uri} has {found} records, its manifest says {records}")
                     if rows:
                         yield pa.RecordBatch.from_pylist(rows, schema)
 
@@ -250,7 +261,7 @@ def read_archives(manifest: DataFrame, chunk_bytes: int = CHUNK_BYTES, with_chun
     """The chunk table of all archives of a manifest; with_chunk=False leaves the bytes out and keeps their digests."""
     spark = prepare(manifest.sparkSession)
     tasks = max(spark.sparkContext.defaultParallelism, min(manifest.count(), 100_000))
-    spread = manifest.select("archive").repartitionByRange(tasks, "archive")
+    spread = manifest.select("archive", "records").repartitionByRange(tasks, "archive")
     return spread.mapInArrow(_read_task(chunk_bytes, with_chunk), CHUNKS)
 
 

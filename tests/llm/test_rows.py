@@ -77,10 +77,27 @@ def test_archives(spark, tmp_path):
     for k in (0, 150, 299):
         assert chunks[k].running_sha256 == hashlib.sha256(big.encode()[: 1000 * (k + 1)]).hexdigest()
     assert warc.records(warc.write_archives(pages.limit(0))).count() == 0
+    more = manifest.withColumn("records", F.col("records") + 1)
+    with pytest.raises(Exception, match="its manifest says"):
+        warc.records(more).count()
     with pytest.raises(ValueError):
         list(warc.read_records(io.BytesIO(zlib.compress(b"WARC/1.1\r\nWARC-Type: x", wbits=31))))
 
 
+def test_archives_of_odd_rows(spark):
+    """Null and repeated ids, long urls, payloads of one chunk less, equal and more, columns of clashing names."""
+    url, body = "http://h/" + "u" * 2_000_000, "b" * 200
+    rows = [(None, "http://a/", body), (3, url, body), (3, None, body), (5, "x: y", "é" * 50), (None, None, None), (7, "http://c/", "c" * 99), (8, "http://d/", "d" * 1001), (9, "http://e/", "e" * 1000)]
+    pages = spark.createDataFrame([(*r, "z", "z") for r in rows], "page_id long, url string, html string, CHUNK string, digest string")
+    manifest = warc.write_archives(pages.coalesce(1), chunk_bytes=1000)
+    found = [(r.record_id, r.payload_bytes, r.record_type, r.refers_to, r.target_uri) for r in warc.records(manifest).collect()]
+    expected = [(None, 200, "revisit", "3", "http://a/"), ("3", 200, "response", None, url), ("3", 200, "response", None, None), ("5", 100, "response", None, "x: y"), (None, 0, "response", None, None)]
+    expected += [("7", 99, "response", None, "http://c/"), ("8", 1001, "response", None, "http://d/"), ("9", 1000, "response", None, "http://e/")]
+    assert sorted(map(str, found)) == sorted(map(str, expected))
+    alone = spark.createDataFrame([(None, None, body), (None, None, body)], "page_id long, url string, html string")
+    assert [r.record_type for r in warc.records(warc.write_archives(alone)).collect()] == ["response"] * 2
+
+
 def test_url_rules_and_reputation(spark):
     rules = [hosts.Rule("block", "com", "/en/"), hosts.Rule("allow", "example.com", "/en/7"), hosts.Rule("block", "org", "")]
     urls = [None, "no url", "HTTP://A.Example.COM/en/71?x", "http://x.com/en/1#y", "http://notcom/en/1", "http://b.org?q=/en/", "http://good.net/a", "http://bad.net/a", "x://e.co.uk/p#q?r", "http://new.net/"]
