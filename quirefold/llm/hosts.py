@@ -10,9 +10,15 @@ overrides the method.
 All native: counts are aggregated before the shuffle, level tables have a row per host, domain or suffix, and the join
 back to the pages is one that adaptive execution can split when one host holds a third of them.
 
+Registered domains come from a public-suffix list, whose rules (plain, `*.` and `!`) are a parameter: a file of the
+public list's format (`read_suffixes`), or the short list made here. User names and ports do not belong to a name; an
+address in numbers is a domain and suffix of its own.
+
 Defined results: a null url or one without ``://`` has an empty host and path and is judged like any host; pages
 without a label take their host's posterior; several labels of a page all count; null outcomes do not count; without
-any label everything that no rule blocks is allowed; an empty table gives an empty result.
+any label everything that no rule blocks is allowed; very long urls are taken whole; rows that repeat a page are judged
+alike, and each counts for its host; an empty table gives an empty result; extra columns are not read, whatever their
+names.
 """
 
 from __future__ import annotations
@@ -26,8 +32,37 @@ from quirefold.llm.store import materialize
 
 URL_PATTERN = r"(?s)^.*?://([^/?#]*)([^?#]*)"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-#: Suffixes of two labels under which names are registered, besides the one-label suffixes. A parameter.
-TWO_LABEL_SUFFIXES = ("co.uk", "org.uk", "ac.uk", "com.au", "co.jp", "com.br", "co.nz", "co.in", "com.cn")
+# Labels under a country's domain below which names are registered, for countries where that is usual.
+SECOND_LABELS = {
+    "ar": "com edu gob int mil net org",
+    "au": "asn com edu gov id net org",
+    "br": "com edu gov mil net org",
+    "cn": "ac com edu gov mil net org",
+    "hk": "com edu gov idv net org",
+    "id": "ac co go mil net or sch web",
+    "il": "ac co gov muni net org",
+    "in": "ac co edu firm gen gov ind net org res",
+    "jp": "ac ad co ed go gr lg ne or",
+    "ke": "ac co go ne or sc",
+    "kr": "ac co go ne or pe re",
+    "mx": "com edu gob net org",
+    "my": "com edu gov mil net org",
+    "ng": "com edu gov net org",
+    "nz": "ac co geek gen govt iwi maori net org school",
+    "pk": "com edu gov net org",
+    "pl": "com edu gov info net org",
+    "sg": "com edu gov net org per",
+    "th": "ac co go in mi net or",
+    "tr": "bel com edu gov k12 net org",
+    "tw": "com edu gov idv net org",
+    "ua": "com edu gov in net org",
+    "uk": "ac co gov ltd me net nhs org plc police sch",
+    "za": "ac co gov law net nom org web",
+}
+#: Public suffixes of several labels, besides the one-label ones. A parameter.
+SUFFIXES = frozenset(f"{second}.{country}" for country, labels in SECOND_LABELS.items() for second in labels.split())
+#: Largest suffix list, in bytes, and most labels of a suffix.
+MAX_SUFFIX_BYTES, MAX_LABELS = 4 << 20, 6
 #: Strength of a prior, in pages, stays between these whatever the moments say.
 STRENGTH_BOUNDS = (1.0, 1000.0)
 
@@ -51,14 +86,61 @@ def path_of(url: Column) -> Column:
     return F.coalesce(F.regexp_extract(url, URL_PATTERN, 2), F.lit(""))
 
 
-def suffix_of(host: Column, two_label: tuple[str, ...] = TWO_LABEL_SUFFIXES) -> Column:
-    two = F.substring_index(host, ".", -2)
-    return F.when(two.isin(*two_label), two).otherwise(F.substring_index(host, ".", -1))
+def read_suffixes(path: str) -> frozenset[str]:
+    """The rules of a public-suffix list: one a line, `//` begins a comment. The file's size is checked."""
+    with open(path, "rb") as f:
+        data = f.read(MAX_SUFFIX_BYTES + 1)
+    if len(data) > MAX_SUFFIX_BYTES:
+        raise ValueError(f"{path} is larger than {MAX_SUFFIX_BYTES} bytes")
+    lines = (line.split("//")[0].split() for line in data.decode().splitlines())
+    return frozenset(words[0].lower().rstrip(".") for words in lines if words)
+
+
+def name_of(host: Column) -> Column:
+    """A host without user name, port and final dot."""
+    return F.regexp_replace(F.regexp_replace(host, "^.*@", ""), r"(?::[0-9]*|\.)$", "")
+
+
+def is_address(name: Column) -> Column:
+    return name.rlike(r"^[0-9]+(\.[0-9]+)*$") | name.startswith("[")
+
+
+def _suffix_labels(name: Column, suffixes: frozenset[str]) -> Column:
+    """Number of labels of a name's public suffix: the longest rule that fits, one more under a `*.`, one less for a `!`."""
+    labels = F.size(F.split(name, r"\."))
+
+    def among(rules: list[str], value: Column) -> Column:
+        return value.isin(*rules) if rules else F.lit(False)
+
+    by_size: dict[int, list[str]] = {}
+    for r in sorted(suffixes):
+        by_size.setdefault(r.count(".") + 1, []).append(r)
+    known = F.lit(1)
+    for n in sorted(by_size):
+        if n > MAX_LABELS:
+            raise ValueError(f"a suffix has more than {MAX_LABELS} labels")
+        plain, stars = [r for r in by_size[n] if r[0] not in "*!"], [r[2:] for r in by_size[n] if r.startswith("*.")]
+        fits = among(plain, F.substring_index(name, ".", -n)) | (among(stars, F.substring_index(name, ".", -(n - 1))) & (labels >= n))
+        known = F.when(fits & (labels >= n), F.lit(n)).otherwise(known)
+    for n in sorted(by_size):
+        known = F.when(among([r[1:] for r in by_size[n] if r.startswith("!")], F.substring_index(name, ".", -n)), F.lit(n - 1)).otherwise(known)
+    return known
+
+
+def _last_labels(name: Column, n: Column) -> Column:
+    parts = F.split(name, r"\.")
+    return F.array_join(F.slice(parts, F.greatest(F.size(parts) - n + 1, F.lit(1)), F.greatest(n, F.lit(1))), ".")
+
+
+def suffix_of(host: Column, suffixes: frozenset[str] = SUFFIXES) -> Column:
+    name = name_of(host)
+    return F.when(is_address(name), name).otherwise(_last_labels(name, _suffix_labels(name, suffixes)))
 
 
-def domain_of(host: Column, two_label: tuple[str, ...] = TWO_LABEL_SUFFIXES) -> Column:
-    two = F.substring_index(host, ".", -2)
-    return F.when(two.isin(*two_label), F.substring_index(host, ".", -3)).otherwise(two)
+def domain_of(host: Column, suffixes: frozenset[str] = SUFFIXES) -> Column:
+    """The registered domain: the suffix and one label more."""
+    name = name_of(host)
+    return F.when(is_address(name), name).otherwise(_last_labels(name, _suffix_labels(name, suffixes) + 1))
 
 
 def rule_of(host: Column, path: Column, rules: list[Rule]) -> tuple[Column, Column]:
@@ -82,12 +164,12 @@ def _strength(groups: DataFrame, parent_mean: str) -> Column:
     return F.when(rho <= 1 / (high + 1), F.lit(high)).when(rho >= 1 / (low + 1), F.lit(low)).otherwise(1 / rho - 1)
 
 
-def reputation(pages: DataFrame, outcomes: DataFrame, page_id: str = "page_id", url: str = "url") -> DataFrame:
+def reputation(pages: DataFrame, outcomes: DataFrame, page_id: str = "page_id", url: str = "url", suffixes: frozenset[str] = SUFFIXES) -> DataFrame:
     """(host, n, good, a, b): the beta posterior of every host of pages. outcomes: (page_id, good boolean)."""
     good = outcomes.filter("good is not null").groupBy(F.col(page_id).alias("_page")).agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("good").cast("long")).alias("good"))
     rows = pages.select(F.col(page_id).alias("_page"), host_of(F.col(url)).alias("host"))
     hosts = rows.join(good, "_page", "left").groupBy("host").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.coalesce(F.sum("good"), F.lit(0)).alias("good"))
-    hosts = materialize(hosts.withColumn("domain", domain_of(F.col("host"))).withColumn("suffix", suffix_of(F.col("host"))), "hosts")
+    hosts = materialize(hosts.withColumn("domain", domain_of(F.col("host"), suffixes)).withColumn("suffix", suffix_of(F.col("host"), suffixes)), "hosts")
     levels = [["suffix"], ["suffix", "domain"], ["suffix", "domain", "host"]]
     whole = hosts.agg(F.sum("n").alias("n"), F.sum("good").alias("good")).first()
     mean = ((whole["good"] or 0) + 1) / ((whole["n"] or 0) + 2)
@@ -107,9 +189,9 @@ def upper_bound(a: Column, b: Column, z: float) -> Column:
     return 1 / (1 + F.exp(-(F.log(a / b) + z * F.sqrt(1 / a + 1 / b))))
 
 
-def filter_urls(pages: DataFrame, outcomes: DataFrame, rules: list[Rule], min_good: float = 0.5, z: float = 1.96, page_id: str = "page_id", url: str = "url") -> DataFrame:
+def filter_urls(pages: DataFrame, outcomes: DataFrame, rules: list[Rule], min_good: float = 0.5, z: float = 1.96, page_id: str = "page_id", url: str = "url", suffixes: frozenset[str] = SUFFIXES) -> DataFrame:
     """Every page's (page_id, host, path, rule, verdict, good_upper)."""
-    known = reputation(pages, outcomes, page_id, url).select(F.col("host").alias("_host"), upper_bound(F.col("a"), F.col("b"), z).alias("good_upper"))
+    known = reputation(pages, outcomes, page_id, url, suffixes).select(F.col("host").alias("_host"), upper_bound(F.col("a"), F.col("b"), z).alias("good_upper"))
     known = materialize(known, "reputation")
     rows = pages.select(F.col(page_id).alias("page_id"), host_of(F.col(url)).alias("host"), path_of(F.col(url)).alias("path"))
     rule, verdict = rule_of(F.col("host"), F.col("path"), rules)

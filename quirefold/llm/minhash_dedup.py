@@ -11,10 +11,10 @@ that agrees with a centre on both sides is compared with it, first with one cent
 components. So a large group of near copies becomes one component by a number of comparisons that is linear in its size,
 and bands whose members are all in one component are done with. Only documents that still share bands with other
 components on both sides get table keys: all pairs of their open bands. In tables with members of several components the
-rows outside the largest one meet all rows of the table: in a small table as pairs, in a large one in tasks that hold a
-bounded block of either side. There too, sizes and a sketch of 128 min-hash bytes are compared before any text is
-fetched; a pair at the threshold fails the sketch with a probability below 0.00001. Only links leave the tasks. So no
-list of all pairs is ever made, and no bucket is capped.
+rows outside the largest one meet all rows of the table, in tasks that hold a bounded block of either side (or many
+small tables). There too, sizes and a sketch of 128 min-hash bytes are compared before any text is fetched; a pair at
+the threshold fails the sketch with a probability below 0.00001. Of a small table the pairs that pass leave the task, of
+a large one only links. So no list of all pairs is ever made, and no bucket is capped.
 
 Bands, centres and components are aggregated before they are shuffled, joins back are such that adaptive execution
 can split them; intermediate tables are in the shared folder.
@@ -51,6 +51,9 @@ SMALL_TABLE = 32
 #: Rows and shingles that a task of a large table holds on either side, about.
 BLOCK_ROWS = 4096
 BLOCK_SHINGLES = 400_000
+#: Rows of tables of less than a block that go to one task, about, and pairs that it compares at a time.
+TABLE_ROWS_PER_TASK = 100_000
+PAIRS_AT_ONCE = 50_000
 
 _LONG = T.LongType()
 SIGNATURES = T.StructType(
@@ -187,9 +190,10 @@ def _verify_batches(k: int, percent: int):
     return run
 
 
-def _verified(pairs: DataFrame, reps: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
-    """Those of pairs (u, v) whose sets are similar enough. A text is only copied for pairs of like sizes and sketches."""
-    pairs = materialize(_alike(pairs, reps, percent), "alike")
+def _verified(pairs: DataFrame, reps: DataFrame, texts: DataFrame, k: int, percent: int, alike: bool = False) -> DataFrame:
+    """Those of pairs (u, v) whose sets are similar enough. A text is only copied for pairs of like sizes and sketches;
+    alike: that all of them are such is known already."""
+    pairs = materialize(pairs if alike else _alike(pairs, reps, percent), "alike")
     left = pairs.join(texts.select(F.col("_key").alias("u"), F.col("_text").alias("_tu")), "u")
     right = left.join(texts.select(F.col("_key").alias("v"), F.col("_text").alias("_tv")), "v")
     return materialize(right.select("u", "v", "_tu", "_tv").mapInArrow(_verify_batches(k, percent), LINKS), "links")
@@ -213,18 +217,49 @@ def _partners(table: pa.Table, percent: int) -> Iterator[tuple[int, np.ndarray,
         yield x, members[fine], matches[fine]
 
 
-def _possible(percent: int):
-    """Which rows of a block of a table have a possible partner in it."""
+def _of_tables(table: pa.Table) -> tuple[pa.Table, list[int]]:
+    """Rows of several tables in order of their keys, and where each table begins and the last one ends."""
+    table = table.take(pa.array(np.argsort(table.column("key").to_numpy(), kind="stable")))
+    keys = table.column("key").to_numpy()
+    return table, [0, *(np.flatnonzero(np.diff(keys)) + 1).tolist(), len(keys)]
+
+
+def _small_pairs(percent: int):
+    """Pairs of rows of different components within small tables that size and sketch leave, many tables at once."""
+
+    def run(tables: pa.Table) -> pa.Table:
+        rows, bounds = _of_tables(tables)
+        docs, labels, n = (rows.column(c).to_numpy() for c in ("doc", "label", "n_shingles"))
+        sketch, starts, sizes = _sketches(rows.column("sketch")), np.array(bounds[:-1]), np.diff(bounds)
+        found: list[np.ndarray] = []
+        for size in np.unique(sizes).tolist():
+            first, second = np.triu_indices(size, 1)
+            begin = starts[sizes == size]
+            step = max(1, PAIRS_AT_ONCE // max(1, len(first)))
+            for a in range(0, len(begin), step):
+                i, j = ((begin[a : a + step, None] + x).ravel() for x in (first, second))
+                fine = (labels[i] != labels[j]) & (100 * np.minimum(n[i], n[j]) >= percent * np.maximum(n[i], n[j]))
+                i, j = i[fine], j[fine]
+                alike = (sketch[i] == sketch[j]).sum(1) >= least_matches(percent)
+                found.append(np.sort(np.stack([docs[i[alike]], docs[j[alike]]]), 0))
+        u, v = np.unique(np.concatenate(found, 1), axis=1) if found else np.zeros((2, 0), np.int64)
+        return pa.table({"u": pa.array(u, pa.int64()), "v": pa.array(v, pa.int64())})
+
+    return run
 
-    def run(table: pa.Table) -> pa.Table:
-        keys, docs = table.column("key").to_numpy(), table.column("doc").to_numpy()
-        some = np.zeros(len(docs), dtype=bool)
-        for x, found, _ in _partners(table, percent):
-            if len(found):
-                some[x] = True
-                some[found] = True
-        chosen = np.unique(docs[some])
-        return pa.table({"key": pa.array(np.full(len(chosen), keys[0])), "doc": pa.array(chosen)})
+
+def _possible(percent: int):
+    """Which rows of (blocks of) tables have a possible partner there."""
+
+    def run(tables: pa.Table) -> pa.Table:
+        rows, bounds = _of_tables(tables)
+        some = np.zeros(len(rows), dtype=bool)
+        for a, b in zip(bounds[:-1], bounds[1:], strict=True):
+            for x, found, _ in _partners(rows.slice(a, b - a), percent):
+                if len(found):
+                    some[a + x] = True
+                    some[a + found] = True
+        return rows.filter(pa.array(some)).select(["key", "doc"])
 
     return run
 
@@ -270,20 +305,22 @@ def _open_tables(entries: DataFrame, labels: DataFrame) -> DataFrame:
     return materialize(tables.join(shared, "key"), "tables")
 
 
-def _resolved(tables: DataFrame, reps: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
-    """Links between components within tables (key, doc, label, n)."""
-    small = tables.filter(F.col("n") <= SMALL_TABLE).select("key", F.col("doc").alias("u"), F.col("label").alias("_cu"))
-    other = small.select("key", F.col("u").alias("v"), F.col("_cu").alias("_cv"))
-    links = _verified(small.join(other, "key").filter("u < v and _cu <> _cv").select("u", "v").distinct(), reps, texts, k, percent)
+def _resolved(tables: DataFrame, facts: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
+    """Links between components within tables (key, doc, label, n). Tables of less than a block go to tasks together."""
+    rows = tables.count()
+    group = F.pmod(F.xxhash64("key"), F.lit(1 + rows // TABLE_ROWS_PER_TASK))
+    small = tables.filter(F.col("n") <= SMALL_TABLE).join(facts, "doc").withColumn("g", group)
+    pairs = small.groupBy("g").applyInArrow(_small_pairs(percent), LINKS).distinct()
+    links = _verified(pairs, facts, texts, k, percent, alike=True)
     large = tables.filter(F.col("n") > SMALL_TABLE)
     if not large.head(1):
         return links
     sizes = large.groupBy("key", "label").agg(F.count(F.lit(1)).alias("c"))
     top = materialize(sizes.groupBy("key").agg(F.max(F.struct("c", "label")).alias("_t"), F.sum("c").alias("n")).select("key", F.col("_t.label").alias("top"), "n"), "largest")
-    facts = reps.select("doc", "n_shingles", "sketch")
     plan = top.select("key", "top", (1 + F.floor(F.col("n") / BLOCK_ROWS)).alias("blocks"))
-    tasks = _blocks(large.select("key", "doc", "label"), plan, ["key", "doc", "label"]).join(facts, "doc")
-    possible = tasks.groupBy("key", "m", "s").applyInArrow(_possible(percent), "key long, doc long").distinct()
+    tasks = _blocks(large.select("key", "doc", "label"), plan, ["key", "doc", "label", "blocks"]).join(facts, "doc")
+    tasks = tasks.withColumn("g", F.when(F.col("blocks") > 1, F.col("key")).otherwise(group)).withColumn("whole", F.col("blocks") == 1)
+    possible = tasks.groupBy("whole", "g", "m", "s").applyInArrow(_possible(percent), "key long, doc long").distinct()
     possible = materialize(possible.join(large.select("key", "doc", "label"), ["key", "doc"]).join(facts, "doc"), "possible")
     sums = possible.groupBy("key").agg((1 + F.floor(F.greatest(F.sum("n_shingles") / BLOCK_SHINGLES, F.count(F.lit(1)) / BLOCK_ROWS))).alias("blocks"))
     plan = materialize(sums.join(top.select("key", "top"), "key"), "plan")
@@ -298,27 +335,32 @@ def _near(docs: DataFrame, k: int, percent: int, side: int, rows: int) -> DataFr
     # Classes of equal sets; the bands of one member stand for all.
     filled = signed.filter("n_shingles > 0")
     classes = materialize(filled.groupBy("s1", "s2", "n_shingles").agg(F.min("doc").alias("rep")), "classes")
-    reps = filled.join(classes.select(F.col("rep").alias("doc")), "doc", "left_semi")
+    reps = filled.join(classes.select(F.col("rep").alias("doc")), "doc", "left_semi").select("doc", "n_shingles", "bands", "sketch")
+    reps = materialize(reps, "representatives")
 
-    # Bands that several classes have, with the least of these as centre.
+    # Bands that several classes have, with the least of these as centre; members that have such bands on both sides.
     entries = reps.select(F.explode("bands").alias("band"), "doc")
     shared = entries.groupBy("band").agg(F.count(F.lit(1)).alias("n"), F.min("doc").alias("centre")).filter("n > 1").select("band", "centre")
     entries = materialize(entries.join(materialize(shared, "shared_bands"), "band"), "entries")
+    in_b = F.col("band").bitwiseAND(F.lit(1))
+    sides = (F.min(in_b).alias("_lo"), F.max(in_b).alias("_hi"))
+    involved = materialize(entries.groupBy("doc").agg(*sides).filter("_lo < _hi").select("doc"), "involved")
+    facts = materialize(reps.join(involved, "doc", "left_semi").select("doc", "n_shingles", "sketch"), "facts")
+    texts = materialize(docs.join(involved, docs["_key"] == involved["doc"], "left_semi").select("_key", "_text"), "texts")
 
     # Stars: a centre that agrees on both sides, one for each document; then those of other components.
-    in_b = F.col("band").bitwiseAND(F.lit(1))
-    stars = entries.filter("doc <> centre").groupBy("doc", "centre").agg(F.min(in_b).alias("_lo"), F.max(in_b).alias("_hi")).filter("_lo < _hi")
+    stars = entries.filter("doc <> centre").groupBy("doc", "centre").agg(*sides).filter("_lo < _hi")
     stars = materialize(stars.select("doc", "centre"), "stars")
     first = stars.groupBy("doc").agg(F.min("centre").alias("v")).select(F.col("doc").alias("u"), "v")
-    links = _verified(first, reps, docs, k, percent)
+    links = _verified(first, facts, texts, k, percent)
     labels = components(links)
     others = _labelled(_labelled(stars, labels, "doc", "_cu"), labels, "centre", "_cv").filter("_cu <> _cv").select(F.col("doc").alias("u"), F.col("centre").alias("v"))
     tested = first.select(F.col("u").alias("_u"), F.col("v").alias("_v"))
     others = others.join(tested, (F.col("u") == F.col("_u")) & (F.col("v") == F.col("_v")), "left_anti")
-    links = links.unionByName(_verified(others, reps, docs, k, percent))
+    links = links.unionByName(_verified(others, facts, texts, k, percent))
     labels = components(links)
 
-    links = links.unionByName(_resolved(_open_tables(entries.select("band", "doc"), labels), reps, docs, k, percent))
+    links = links.unionByName(_resolved(_open_tables(entries.select("band", "doc"), labels), facts, texts, k, percent))
     labels = components(links)
 
     # Back to all documents: class -> representative -> component.

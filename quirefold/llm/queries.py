@@ -38,7 +38,8 @@ def op2_chunked_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3_host_reputation(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = read_table(spark, sf_dir, "pages").select("page_id", "url")
     labels = read_table(spark, sf_dir, "labels")
-    outcomes = labels.select(F.col("doc_id").alias("page_id"), ((F.col("quality") == 1) & (F.col("toxic") == 0)).alias("good"))
+    known = F.col("quality").isNotNull() & F.col("toxic").isNotNull()
+    outcomes = labels.select(F.col("doc_id").alias("page_id"), F.when(known, (F.col("quality") == 1) & (F.col("toxic") == 0)).alias("good"))
     return hosts.filter_urls(pages, outcomes, URL_RULES).select("page_id", "host", "path", "rule", "verdict")
 
 
@@ -102,7 +103,8 @@ def _op3_sql() -> str:
     fits = [(f"(host = '{r.host}' or ends_with(host, '.{r.host}')) and starts_with(path, '{r.path}')", r) for r in rules]
     case = lambda what: "case " + " ".join(f"when {cond} then '{what(r)}'" for cond, r in fits) + " end"
     low, high = hosts.STRENGTH_BOUNDS
-    two = ", ".join(f"'{s}'" for s in hosts.TWO_LABEL_SUFFIXES)
+    two = ", ".join(f"'{s}'" for s in sorted(hosts.SUFFIXES))
+    address = "regexp_matches(name, '^[0-9]+([.][0-9]+)*$') or starts_with(name, '[')"
 
     def level(k: int, keys: str, parent: str, on: str) -> str:
         return f"""
@@ -120,9 +122,10 @@ def _op3_sql() -> str:
     good as (select doc_id, count(*) n, sum(case when quality = 1 and toxic = 0 then 1 else 0 end) good from labels
         where quality is not null and toxic is not null group by doc_id),
     hosts0 as (select host, coalesce(sum(n), 0)::double n, coalesce(sum(good), 0)::double good from rows0 left join good on page_id = doc_id group by host),
-    hosts1 as (select *, string_split(host, '.') parts, array_to_string(array_slice(string_split(host, '.'), -2, -1), '.') two from hosts0),
-    hosts as (select host, n, good, case when two in ({two}) then two else parts[-1] end suffix,
-        case when two in ({two}) then array_to_string(array_slice(parts, -3, -1), '.') else two end as domain from hosts1),
+    named as (select *, regexp_replace(regexp_replace(host, '^.*@', ''), '(:[0-9]*|[.])$', '') as name from hosts0),
+    hosts1 as (select *, string_split(name, '.') parts, array_to_string(array_slice(string_split(name, '.'), -2, -1), '.') two from named),
+    hosts as (select host, n, good, case when {address} then name when two in ({two}) then two else parts[-1] end suffix,
+        case when {address} then name when two in ({two}) then array_to_string(array_slice(parts, -3, -1), '.') else two end as domain from hosts1),
     g as (select (sum(good) + 1) / (sum(n) + 2) post from hosts),
     {level(0, "suffix", "g", ", g")},
     {level(1, "suffix, domain", "l0", "join l0 using (suffix)")},

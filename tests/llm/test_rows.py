@@ -119,6 +119,43 @@ def test_url_rules_and_reputation(spark):
     assert 0.38 < bound < 0.42  # the beta's own quantile is 0.394
 
 
+def test_registered_domains(spark, tmp_path):
+    names = {
+        "a.b.example.com:8080": ("example.com", "com"), "x@www.shop.co.uk.": ("shop.co.uk", "co.uk"), "co.uk": ("co.uk", "co.uk"), "10.0.0.1:80": ("10.0.0.1", "10.0.0.1"), "[::1]": ("[::1]", "[::1]"),
+        "localhost": ("localhost", "localhost"), "": ("", ""), "a.b.c.ck": ("b.c.ck", "c.ck"), "www.ck": ("www.ck", "ck"), "x.www.ck": ("www.ck", "ck"), "p.q.web.app": ("q.web.app", "web.app"),
+    }
+    path = tmp_path / "suffixes.dat"
+    path.write_text("// comment\ncom\n*.ck\n!www.ck\n\nco.uk // more\nweb.app\n")
+    listed = hosts.read_suffixes(str(path))
+    assert listed == {"com", "*.ck", "!www.ck", "co.uk", "web.app"}
+    rows = spark.createDataFrame([(n,) for n in names], "h string")
+    got = {r.h: (r.d, r.s) for r in rows.select("h", hosts.domain_of(F.col("h"), listed).alias("d"), hosts.suffix_of(F.col("h"), listed).alias("s")).collect()}
+    assert got == names
+    own = rows.select("h", hosts.domain_of(F.col("h")).alias("d")).filter("h = 'x@www.shop.co.uk.'").first()
+    assert own.d == "shop.co.uk"
+
+
+def test_reputation_of_odd_rows(spark, tmp_path):
+    """Null and repeated labels, repeated pages, very long urls, columns of clashing names; null quality is no outcome."""
+    from quirefold.llm import queries
+
+    pages = [(i, f"http://h{i % 3}.net/{'p' * (i * 40_000)}", "z", "z") for i in range(6)] + [(1, "http://h1.net/again", "z", "z"), (None, None, "z", "z")]
+    labels = [(i, q, t) for i, q, t in [(0, None, 1), (0, 1, None), (1, 0, 0), (1, 0, 1), (2, 1, 0), (None, 1, 0), (3, None, None)]]
+    spark.createDataFrame(pages, "page_id long, url string, GOOD string, _host string").write.parquet(f"{tmp_path}/pages.parquet")
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    import duckdb
+
+    con = duckdb.connect()
+    for t in ("pages", "labels"):
+        con.execute(f"create view {t} as select * from '{tmp_path}/{t}.parquet/*.parquet'")
+    cursor = con.execute(queries.oracle_sql()["op3_host_reputation"])
+    names = [c[0] for c in cursor.description]
+    got = queries.op3_host_reputation(spark, str(tmp_path)).select(*names).collect()
+    assert sorted(map(str, map(tuple, got))) == sorted(map(str, cursor.fetchall())) and len(got) == 8
+    odd = hosts.reputation(spark.createDataFrame(pages, "page_id long, url string, GOOD string, _host string"), spark.createDataFrame([(1, None), (1, False)], "page_id long, good boolean"))
+    assert {r.host: (r.n, r.good) for r in odd.collect()} == {"h0.net": (0, 0), "h1.net": (2, 0), "h2.net": (0, 0), "": (0, 0)}
+
+
 MIT = """Copyright (c) 2020 Jo Doe
 
 Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:
