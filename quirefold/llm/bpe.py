@@ -5,11 +5,14 @@ misses: a heap of adjacent pairs over a linked list of bytes merges the pair of
 pair is in the vocabulary; it takes n log n steps however long a pre-token is. Ranks come from a public vocabulary file
 whose path is a parameter; the file is read on the driver and broadcast after a check of its size.
 
-Row-local: no shuffle; a worker holds one Arrow batch, the vocabulary and a memo of bounded size.
+Row-local: no shuffle; a worker holds one Arrow batch, the vocabulary and two memos of bounded bytes. Any pre-token
+pattern of the `regex` library will do; those of chunks.py are faster.
 
 Defined results: a null text counts as empty, has no ids and decodes to the empty string; very long texts and very
-long runs without blanks are encoded whole; decoding inverts encoding byte for byte; an empty table gives an empty
-result.
+long runs without blanks are encoded whole; decoding inverts encoding byte for byte; of other ids, those that the
+vocabulary lacks (null, negative, too large) decode to the replacement character, a null list to the empty string;
+repeated rows are encoded alike; an empty table gives an empty result; extra columns pass through, and the added ones
+avoid their names (`round_trip` leaves out columns that have its names).
 """
 
 from __future__ import annotations
@@ -27,11 +30,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quirefold.llm.chunks import MEMO_ENTRIES, ChunkEncoder, text_slices
+from quirefold.llm.chunks import ChunkEncoder, Memo, text_slices
 from quirefold.llm.quality import broadcast_file
 from quirefold.llm.store import prepare, unused
 
 _MASK = (1 << 64) - 1
+#: What an id without a token decodes to.
+UNKNOWN = "\ufffd".encode()
 #: Odd multipliers of the displacement hash.
 _STEP, _SPREAD = 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93
 
@@ -152,8 +157,8 @@ class Codec:
         for t, i in ranks.items():
             self.token[i] = t
         self.find = regex.compile(pattern).findall
-        self.memo: dict[str, bytes] = {}
-        self.chunks = ChunkEncoder(self.whole, lambda chunks: [self.chunk(c) for c in chunks])
+        self.memo = Memo()
+        self.chunks = ChunkEncoder(self.whole, lambda chunks: [self.chunk(c) for c in chunks], pattern)
 
     def pre_token(self, s: str) -> bytes:
         piece = s.encode()
@@ -162,11 +167,7 @@ class Codec:
 
     def known(self, s: str) -> bytes:
         ids = self.memo.get(s)
-        if ids is None:
-            if len(self.memo) >= MEMO_ENTRIES:
-                self.memo.clear()
-            ids = self.memo[s] = self.pre_token(s)
-        return ids
+        return self.memo.put(s, self.pre_token(s)) if ids is None else ids
 
     def chunk(self, c: str) -> bytes:
         """A chunk after a blank. Words, and words before one mark, need no pattern."""
@@ -186,6 +187,11 @@ class Codec:
     def decode(self, ids: bytes) -> bytes:
         return b"".join(map(self.token.__getitem__, np.frombuffer(ids, dtype="<u4").tolist()))
 
+    def decode_any(self, ids: list[int | None]) -> bytes:
+        """The same for ids of any origin."""
+        n = len(self.token)
+        return b"".join(self.token[i] if i is not None and 0 <= i < n and self.token[i] else UNKNOWN for i in ids)
+
 
 _codecs: dict[tuple[str, str], Codec] = {}
 
@@ -215,7 +221,7 @@ def _run(data, digest: str, pattern: str, column: str, what: str, into: str):
         return pa.ListArray.from_arrays(pa.array(bounds), pa.array(np.frombuffer(b"".join(encoded), dtype="<u4").astype(np.int32)))
 
     def texts_of(codec: Codec, lists: list[list[int] | None]) -> pa.Array:
-        return pa.array([codec.decode(np.array(x or [], dtype="<u4").tobytes()).decode("utf-8", "replace") for x in lists], pa.string())
+        return pa.array([codec.decode_any(x or []).decode("utf-8", "replace") for x in lists], pa.string())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = _codec(data, digest, pattern)
@@ -245,7 +251,7 @@ def encode(df: DataFrame, path: str, pattern: str, text: str = "text", into: str
 
 
 def decode(df: DataFrame, path: str, pattern: str, ids: str = "ids", into: str = "decoded") -> DataFrame:
-    """df with the text of each row's ids; bytes that are no UTF-8 become replacement characters."""
+    """df with the text of each row's ids; bytes that are no UTF-8, and ids without a token, become replacement characters."""
     return _apply(df, path, pattern, ids, "decode", T.StringType(), into)
 
 
@@ -253,5 +259,6 @@ def round_trip(df: DataFrame, path: str, pattern: str, text: str = "text") -> Da
     """df with a struct of the ids' number and digest, and the digest of the decoded bytes, as columns."""
     kind = T.StructType([T.StructField("n_tokens", T.LongType()), T.StructField("ids_sha256", T.StringType()), T.StructField("decoded_sha256", T.StringType())])
     out = _apply(df, path, pattern, text, "digests", kind, "round_trip")
-    kept = [F.col(c) for c in df.columns if c != text]
+    taken = {text.lower(), *(f.name for f in kind.fields)}
+    kept = [F.col(c) for c in df.columns if c.lower() not in taken]
     return out.select(*kept, f"{out.columns[-1]}.*")

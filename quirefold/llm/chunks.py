@@ -2,40 +2,72 @@
 
 Byte-level BPE with the usual pre-token pattern never joins characters across a blank that follows anything but white
 space: ``" word"`` is encoded alike wherever it stands. So a text is split at its blanks, each distinct chunk is
-encoded once per worker (a memo of bounded size), and a text's ids are the chunks' ids put together. A text in which a
-chunk is empty or starts with white space (runs of white space, then) is encoded as a whole by the plain way.
+encoded once per worker (a memo of bounded bytes), and a text's ids are the chunks' ids put together. A text in which a
+chunk is empty, starts with white space (runs of white space, then) or is long is encoded as a whole by the plain way.
+That holds for the patterns listed here; with another one every text is encoded as a whole.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterable
 
-#: Chunks that a worker remembers at most; then it forgets all and goes on. Only speed depends on it.
-MEMO_ENTRIES = 500_000
+# Pre-token patterns for which chunks may be encoded one by one.
+CHUNK_PATTERNS = frozenset([r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"])
+#: Bytes that a worker's memo takes at most, about; then it forgets all and goes on. Only speed depends on it.
+MEMO_BYTES = 96 << 20
+#: What an entry takes besides its characters and ids, and characters of the longest chunk that is remembered.
+ENTRY_BYTES, LONG_CHUNK = 250, 100
+
+
+class Memo(dict):
+    """What is known of short strings, within MEMO_BYTES."""
+
+    used = 0
+
+    def room_for(self, entries: int, size: int) -> None:
+        """Forget all, if so many more entries, of so many characters and bytes together, do not fit."""
+        self.used += entries * ENTRY_BYTES + 4 * size
+        if self.used > MEMO_BYTES:
+            self.clear()
+            self.used = entries * ENTRY_BYTES + 4 * size
+
+    def put(self, key: str, value: bytes) -> bytes:
+        if len(key) <= LONG_CHUNK:
+            self.room_for(1, len(key) + len(value))
+            self[key] = value
+        return value
 
 
 class ChunkEncoder:
     """whole(text) and many(chunks, each to be preceded by a blank) give ids as little-endian unsigned 32-bit bytes."""
 
-    def __init__(self, whole: Callable[[str], bytes], many: Callable[[list[str]], Iterable[bytes]]) -> None:
-        self.whole, self.many = whole, many
-        self.memo: dict[str, bytes] = {}
+    def __init__(self, whole: Callable[[str], bytes], many: Callable[[list[str]], Iterable[bytes]], pattern: str | None) -> None:
+        self.whole, self.many, self.by_chunk = whole, many, pattern in CHUNK_PATTERNS
+        self.memo = Memo()
 
     def encode(self, texts: list[str]) -> list[bytes]:
+        # a memo that cannot hold the chunks of these texts is of no use
+        if not self.by_chunk or ENTRY_BYTES * sum(t.count(" ") for t in texts) > 4 * MEMO_BYTES:
+            return [self.whole(t) for t in texts]
         memo = self.memo
-        if len(memo) >= MEMO_ENTRIES:
-            memo.clear()
         split = [t.split(" ") for t in texts]
-        missing = set().union(*split).difference(memo)
-        plain = [c for c in missing if c and not c[0].isspace()]
+        new = set().union(*(chunks[1:] for chunks in split)).difference(memo)
+        plain = [c for c in new if c and len(c) <= LONG_CHUNK and not c[0].isspace()]
+        if ENTRY_BYTES * len(plain) > MEMO_BYTES:
+            return [self.whole(t) for t in texts]
+        memo.room_for(len(plain), 2 * sum(map(len, plain)))
+        if not memo:  # forgotten: what these texts need is needed again
+            known = set().union(*(chunks[1:] for chunks in split))
+            plain = [c for c in known if c and len(c) <= LONG_CHUNK and not c[0].isspace()]
         memo.update(zip(plain, self.many(plain), strict=True))
         out = []
         for text, chunks in zip(texts, split, strict=True):
-            first = self.whole(chunks[0]) if chunks[0] else b""
             try:  # after a leading blank the first chunk is empty: the blank belongs to the next
-                out.append(b"".join([first, *map(memo.__getitem__, chunks[1:])]))
+                rest = [*map(memo.__getitem__, chunks[1:])]
             except KeyError:
                 out.append(self.whole(text))
+            else:
+                out.append(b"".join([self.whole(chunks[0]) if chunks[0] else b"", *rest]))
         return out
 
 

@@ -8,7 +8,9 @@ spread over as many partitions as keep each below a fixed number of rows, so no
 and no key is involved that could be hot.
 
 Defined results: a null text is the empty document, one end token; each piece appears once; rows that repeat an id are
-documents of their own with the same piece numbers; an empty table gives no sequences.
+documents of their own with the same piece numbers; a null id stays null; of pieces of one length any order will do;
+very long texts are encoded whole and cut; an empty table gives no sequences; extra columns are not read, whatever
+their names.
 """
 
 from __future__ import annotations
@@ -24,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quirefold.llm.chunks import ChunkEncoder, text_slices
+from quirefold.llm.chunks import CHUNK_PATTERNS, ChunkEncoder, text_slices
 from quirefold.llm.quality import broadcast_file
 from quirefold.llm.store import materialize, prepare
 
@@ -46,13 +48,21 @@ _COMMON_CHUNK = re.compile(r"[!-;=-~\u00a1-\u024f]+\Z")
 _COMMON_TEXT = re.compile(r"[\n\t\r !-;=-~\u00a1-\u024f]+\Z")
 
 
+#: The pattern of the library's byte-level pre-tokeniser.
+BYTE_LEVEL_PATTERN = next(iter(CHUNK_PATTERNS))
+
+
 class JsonTokenizer:
     """A vocabulary file of the `tokenizers` library; common chunks take a faster implementation of the same merges."""
 
     def __init__(self, json_bytes: bytes, ranks: bytes | None, pattern: str | None) -> None:
+        import json
+
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_str(json_bytes.decode())
+        before = json.loads(json_bytes).get("pre_tokenizer") or {}
+        usual = before.get("type") == "ByteLevel" and before.get("use_regex", True) and not before.get("add_prefix_space")
         if any("<" not in t.content for t in self.tokenizer.get_added_tokens_decoder().values()):
             ranks = None  # the patterns below tell texts with special tokens by this character only
         self.fast = None
@@ -62,7 +72,7 @@ class JsonTokenizer:
             from quirefold.llm.bpe import parse_ranks
 
             self.fast = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=parse_ranks(ranks), special_tokens={})
-        self.chunks = ChunkEncoder(self.whole, self.many)
+        self.chunks = ChunkEncoder(self.whole, self.many, BYTE_LEVEL_PATTERN if usual and json.loads(json_bytes).get("normalizer") is None else None)
 
     def whole(self, text: str) -> bytes:
         if self.fast is not None and _COMMON_TEXT.match(text):
@@ -215,11 +225,12 @@ def pack(pieces: DataFrame, capacity: int = 1024, slack: int = SLACK, fan_in: in
     while True:
         packed = materialize(dealt.mapInArrow(_pack_partition(capacity, rows_per_task), BINS), "bins")
         under = packed.filter(~full).count()
-        if partitions == 1 or under == 0 or (before is not None and under >= before):
+        least = max(1, -(-under // rows_per_task))
+        if under == 0 or (partitions <= least and (partitions == 1 or (before is not None and under >= before))):
             parts.append(packed)
             break
         parts.append(packed.filter(full))
-        before, partitions = under, max(1, partitions // fan_in, -(-under // rows_per_task))
+        before, partitions = under, max(least, partitions // fan_in)
         dealt = packed.filter(~full).repartition(partitions)
     whole = parts[0]
     for p in parts[1:]:

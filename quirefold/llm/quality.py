@@ -1,13 +1,14 @@
 """Quality rules by tokeniser fertility.
 
-A public vocabulary measures each document: characters per token, share of byte-fallback tokens, token entropy. Bands
-per language (or per script, where no language is given) say which values are acceptable; a document outside its band
+Public vocabularies measure each document. A sentence-piece one gives characters per token, the share of byte-fallback
+tokens and token entropy; a byte-level one, if named, its own characters per token and entropy. Bands per language (or
+per script, where no language is given) say which values are acceptable; a document outside its band in any measure
 is rejected. A language's band is fitted on the measures of all its documents in the table that pass the base rule;
 fixed bands stand in where there are too few. Base counts (words, symbols, repeated lines and word windows) come from
 the same pass.
 
 One narrow pass over the texts without any shuffle: a row is measured by itself, so skew does not matter, and a lost
-executor only repeats its own rows. Memory is bounded by one Arrow batch and a memo of bounded size. To fit the bands,
+executor only repeats its own rows. Memory is bounded by one Arrow batch and memos of bounded bytes. To fit the bands,
 the measured rows are written once and their rounded measures counted by language, which bounds that aggregate by the
 number of different rounded values, not by documents.
 
@@ -18,9 +19,11 @@ the band of the text's script; extra columns pass through, and the added column
 
 from __future__ import annotations
 
+import base64
 import hashlib
+from array import array
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -29,10 +32,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quirefold.llm import textkit as K
+from quirefold.llm.chunks import ChunkEncoder, Memo
 from quirefold.llm.store import materialize, prepare, unused
 
-#: Chunks whose tokens a worker remembers at most; then it forgets all and goes on. Only speed depends on it.
-MEMO_ENTRIES = 400_000
 #: Largest vocabulary file that is broadcast.
 MAX_VOCABULARY_BYTES = 64 << 20
 
@@ -45,6 +47,9 @@ class Band:
     max_chars_per_token: float
     max_byte_share: float
     min_entropy_share: float
+    min_bpe_chars_per_token: float = 0.2
+    max_bpe_chars_per_token: float = 8.0
+    min_bpe_entropy_share: float = 0.3
 
 
 #: Bands by language, and by script for other languages, where no band can be fitted. Parameters, chosen wide enough to
@@ -73,8 +78,8 @@ MIN_SPREAD = 0.01
 FIT_DECIMALS = 3
 
 MEASURES = T.StructType(
-    [T.StructField(n, T.LongType()) for n in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_tokens")]
-    + [T.StructField(n, T.DoubleType()) for n in ("chars_per_token", "byte_share", "entropy", "entropy_share")]
+    [T.StructField(n, T.LongType()) for n in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_tokens", "bpe_tokens")]
+    + [T.StructField(n, T.DoubleType()) for n in ("chars_per_token", "byte_share", "entropy", "entropy_share", "bpe_chars_per_token", "bpe_entropy", "bpe_entropy_share")]
     + [T.StructField("script", T.StringType())]
 )
 
@@ -88,23 +93,29 @@ for _spans, _script in ((((65, 91), (97, 123), (0xC3, 0xCA)), 0), (((0xD0, 0xD4)
         _SCRIPT_OF[_a:_b] = _script
 
 
-class _Memo(dict):
+class _Memo(Memo):
     """Blank-separated chunk -> its token ids as 16-bit integers."""
 
     def __init__(self, encode) -> None:
         self.encode = encode
 
     def __missing__(self, chunk: str) -> bytes:
-        if len(self) >= MEMO_ENTRIES:
-            self.clear()
-        ids = self[chunk] = np.asarray(self.encode(chunk), dtype="<u2").tobytes()
-        return ids
+        return self.put(chunk, np.asarray(self.encode(chunk), dtype="<u2").tobytes())
+
+
+def _entropy(ids: np.ndarray, pieces: int) -> tuple[np.ndarray, float, float]:
+    """Counts of the pieces, the entropy in bits, and its share of the most that so many tokens can have."""
+    n, counts = len(ids), np.bincount(ids, minlength=pieces)
+    used = counts[counts > 0]
+    entropy = float(np.log2(n) - (used * np.log2(used)).sum() / n)
+    most = float(np.log2(min(n, pieces))) if n > 1 else 0.0
+    return counts, max(entropy, 0.0), (entropy / most if most else 1.0)
 
 
 class FertilityMeter:
-    """Token statistics of a text under a sentence-piece model with byte fallback."""
+    """Token statistics of texts under a sentence-piece model with byte fallback, and under a byte-level vocabulary."""
 
-    def __init__(self, model: bytes) -> None:
+    def __init__(self, model: bytes, ranks: bytes | None = None, pattern: str | None = None) -> None:
         import sentencepiece
 
         self.pieces = sentencepiece.SentencePieceProcessor(model_proto=model)
@@ -112,6 +123,14 @@ class FertilityMeter:
         white = {self.pieces.piece_to_id(f"<0x{b:02X}>") for b in (9, 10, 11, 12, 13)}
         self.fallback = np.array([self.pieces.is_byte(i) and i not in white for i in range(n)])
         self.memo = _Memo(self.pieces.encode)
+        self.second = None
+        if ranks is not None:
+            import tiktoken
+
+            known = {base64.b64decode(a): int(b) for a, b in map(bytes.split, ranks.splitlines()) if a}
+            encode = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=known, special_tokens={}).encode_ordinary
+            whole = lambda t: array("I", encode(t)).tobytes()
+            self.second, self.second_size = ChunkEncoder(whole, lambda chunks: [whole(f" {c}") for c in chunks], pattern), max(known.values()) + 1
 
     def token_ids(self, text: str) -> np.ndarray:
         """No piece holds a blank after another character, so chunks between single blanks are encoded one by one."""
@@ -121,16 +140,27 @@ class FertilityMeter:
             return np.asarray(self.pieces.encode(text), dtype="<u2")
         return np.frombuffer(b"".join(map(self.memo.__getitem__, text.split(" "))), dtype="<u2")
 
-    def measure(self, text: str) -> tuple[int, float | None, float | None, float | None, float | None]:
-        ids = self.token_ids(text)
-        n = len(ids)
-        if not n:
-            return 0, None, None, None, None
-        counts = np.bincount(ids, minlength=len(self.fallback))
-        used = counts[counts > 0]
-        entropy = float(np.log2(n) - (used * np.log2(used)).sum() / n)
-        most = float(np.log2(min(n, len(counts)))) if n > 1 else 0.0
-        return n, len(text) / n, float(counts[self.fallback].sum() / n), max(entropy, 0.0), (entropy / most if most else 1.0)
+    def measure(self, texts: list[str]) -> dict[str, list]:
+        """Columns of MEASURES that need a tokeniser; without tokens, or without a second vocabulary, they are null."""
+        out: dict[str, list] = {n: [] for n in ("n_tokens", "chars_per_token", "byte_share", "entropy", "entropy_share", "bpe_tokens", "bpe_chars_per_token", "bpe_entropy", "bpe_entropy_share")}
+
+        def add(*values) -> None:
+            for name, value in zip(out, values, strict=True):
+                out[name].append(value)
+
+        for text, encoded in zip(texts, self.second.encode(texts) if self.second else [None] * len(texts), strict=True):
+            ids = self.token_ids(text)
+            first = second = (0, None, None, None, None)
+            if len(ids):
+                counts, entropy, share = _entropy(ids, len(self.fallback))
+                first = len(ids), len(text) / len(ids), float(counts[self.fallback].sum() / len(ids)), entropy, share
+            if encoded is None:
+                second = (None, None, None, None)
+            elif encoded:
+                own = np.frombuffer(encoded, dtype="<u4")
+                second = len(own), len(text) / len(own), *_entropy(own, self.second_size)[1:]
+            add(*first, *second[:4])
+        return out
 
 
 def base_counts(w: K.Words) -> dict[str, np.ndarray]:
@@ -176,12 +206,13 @@ def base_counts(w: K.Words) -> dict[str, np.ndarray]:
 _meters: dict[str, FertilityMeter] = {}
 
 
-def _measure_batches(model, digest: str, column: str, into: str):
+def _measure_batches(model, digest: str, ranks, pattern: str | None, column: str, into: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if digest not in _meters:  # workers are reused: the memo then is, too
+        key = f"{digest} {ranks and ranks[1]} {pattern}"
+        if key not in _meters:  # workers are reused: the memos then are, too
             _meters.clear()
-            _meters[digest] = FertilityMeter(model.value)
-        meter = _meters[digest]
+            _meters[key] = FertilityMeter(model.value, ranks and ranks[0].value, pattern)
+        meter = _meters[key]
         kind = pa.struct([(f.name, {"bigint": pa.int64(), "double": pa.float64(), "string": pa.string()}[f.dataType.simpleString()]) for f in MEASURES])
         for batch in batches:
             text = batch.column(column)
@@ -189,9 +220,8 @@ def _measure_batches(model, digest: str, column: str, into: str):
             for a, b, w in K.per_slice(text):
                 for name, values in base_counts(w).items():
                     parts[name].extend(values.tolist())
-                for t in text.slice(a, b - a).to_pylist():
-                    for name, value in zip(("n_tokens", "chars_per_token", "byte_share", "entropy", "entropy_share"), meter.measure(t or ""), strict=True):
-                        parts[name].append(value)
+                for name, values in meter.measure([t or "" for t in text.slice(a, b - a).to_pylist()]).items():
+                    parts[name].extend(values)
             struct = pa.StructArray.from_arrays([pa.array(parts[f.name], type=f.type) for f in kind], fields=list(kind))
             yield pa.RecordBatch.from_arrays([*batch.columns, struct], names=[*batch.schema.names, into])
 
@@ -207,12 +237,14 @@ def broadcast_file(spark, path: str):
     return spark.sparkContext.broadcast(data), hashlib.sha256(data).hexdigest()
 
 
-def measure(df: DataFrame, model_path: str, text: str = "text", into: str = "measures") -> DataFrame:
-    """df with a struct of MEASURES; `into` gets leading underscores until no column of df has that name."""
+def measure(df: DataFrame, model_path: str, text: str = "text", into: str = "measures", ranks_path: str | None = None, pattern: str | None = None) -> DataFrame:
+    """df with a struct of MEASURES; `into` gets leading underscores until no column of df has that name. ranks_path and
+    pattern: the byte-level vocabulary and its pre-token pattern."""
     spark = prepare(df.sparkSession)
     into = unused(df, into)
     schema = T.StructType([*df.schema.fields, T.StructField(into, MEASURES)])
-    return df.mapInArrow(_measure_batches(*broadcast_file(spark, model_path), text, into), schema)
+    ranks = broadcast_file(spark, ranks_path) if ranks_path else None
+    return df.mapInArrow(_measure_batches(*broadcast_file(spark, model_path), ranks, pattern, text, into), schema)
 
 
 def base_failed(m: Column) -> Column:
@@ -220,13 +252,16 @@ def base_failed(m: Column) -> Column:
 
 
 def in_band(m: Column, lang: Column | None = None, languages: dict[str, Band] = LANGUAGE_BANDS, scripts: dict[str, Band] = SCRIPT_BANDS) -> Column:
-    """Whether all three measures lie in the band of the language, else of the script."""
+    """Whether all measures lie in the band of the language, else of the script. Those of a vocabulary that was not
+    used do not count."""
 
     def fits(b: Band) -> Column:
+        second = m["bpe_chars_per_token"].between(b.min_bpe_chars_per_token, b.max_bpe_chars_per_token) & (m["bpe_entropy_share"] >= b.min_bpe_entropy_share)
         return (
             m["chars_per_token"].between(b.min_chars_per_token, b.max_chars_per_token)
             & (m["byte_share"] <= b.max_byte_share)
             & (m["entropy_share"] >= b.min_entropy_share)
+            & (m["bpe_tokens"].isNull() | second)
         )
 
     cases = [(lang == name, fits(band)) for name, band in languages.items()] if lang is not None else []
@@ -244,15 +279,18 @@ def fit_bands(measured: DataFrame, into: str, lang: str | None = None) -> dict[s
     m = F.col(into)
     of = F.col(lang).cast("string") if lang else F.lit(None).cast("string")
     good = measured.filter(~base_failed(m)).select(of.alias("_l"), F.when(of.isNull(), m["script"]).alias("_s"), m.alias("_m"))
-    names = ("chars_per_token", "byte_share", "entropy_share")
+    names = ("chars_per_token", "byte_share", "entropy_share", "bpe_chars_per_token", "bpe_entropy_share")
     quartiles = [F.percentile(F.round(F.col("_m")[n], FIT_DECIMALS), F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias(n) for n in names]
     languages, scripts = dict(LANGUAGE_BANDS), dict(SCRIPT_BANDS)
     for r in good.groupBy("_l", "_s").agg(F.count(F.lit(1)).alias("_n"), *quartiles).filter(F.col("_n") >= MIN_FITTED).collect():
-        reach = {n: FENCE * max(r[n][2] - r[n][0], MIN_SPREAD * r[n][1]) for n in names}
-        low, high = ({n: r[n][i] + sign * reach[n] for n in names} for i, sign in ((0, -1), (2, 1)))
+        found = [n for n in names if r[n] is not None]
+        reach = {n: FENCE * max(r[n][2] - r[n][0], MIN_SPREAD * r[n][1]) for n in found}
+        low, high = ({n: r[n][i] + sign * reach[n] for n in found} for i, sign in ((0, -1), (2, 1)))
         fixed = languages.get(r["_l"]) or scripts.get(r["_s"]) or LANGUAGE_BANDS["en"]
         # most texts have no byte-fallback token at all: the fixed limit is the least one
         band = Band(low["chars_per_token"], high["chars_per_token"], max(high["byte_share"], fixed.max_byte_share), low["entropy_share"])
+        if "bpe_chars_per_token" in found:
+            band = replace(band, min_bpe_chars_per_token=low["bpe_chars_per_token"], max_bpe_chars_per_token=high["bpe_chars_per_token"], min_bpe_entropy_share=low["bpe_entropy_share"])
         if r["_l"] is not None:
             languages[r["_l"]] = band
         else:
@@ -260,12 +298,12 @@ def fit_bands(measured: DataFrame, into: str, lang: str | None = None) -> dict[s
     return {"languages": languages, "scripts": scripts}
 
 
-def judge(df: DataFrame, model_path: str, text: str = "text", lang: str | None = "lang", carry: tuple[str, ...] | None = None, **bands) -> DataFrame:
+def judge(df: DataFrame, model_path: str, text: str = "text", lang: str | None = "lang", carry: tuple[str, ...] | None = None, ranks_path: str | None = None, pattern: str | None = None, **bands) -> DataFrame:
     """df with the measures' struct (last column), `base_failed` and `kept` inside it.
 
     carry: the columns of df that the result has, `lang` among them; all by default. bands: `languages`, `scripts` of
     in_band; without any, they are fitted on df."""
-    measured = measure(df, model_path, text)
+    measured = measure(df, model_path, text, ranks_path=ranks_path, pattern=pattern)
     into = measured.columns[-1]
     if carry is not None:
         measured = measured.select(*carry, into)

@@ -23,9 +23,10 @@ URL_RULES = [
 
 def op1_tokeniser_fertility(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
-    judged = quality.judge(docs, public_tokenizers.path("piece_bpe_32k.model"), carry=("doc_id", "lang"))
+    path = public_tokenizers.path
+    judged = quality.judge(docs, path("piece_bpe_32k.model"), carry=("doc_id", "lang"), ranks_path=path("byte_bpe_50k.tiktoken"), pattern=public_tokenizers.PATTERN)
     return judged.select("doc_id", f"{judged.columns[-1]}.*").select(
-        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "n_tokens", "chars_per_token", "byte_share", "entropy"
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "n_tokens", "chars_per_token", "byte_share", "entropy", "bpe_tokens", "bpe_chars_per_token", "bpe_entropy"
     )
 
 

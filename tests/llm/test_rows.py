@@ -30,19 +30,24 @@ def frame(spark, texts, extra="n_words string, measures string, kept string, _ou
 
 
 def test_quality_counts_and_fertility(spark):
-    judged = quality.judge(frame(spark, SAMPLES, "n_words string, measures string, lang string"), V.path("piece_bpe_32k.model"))
+    two = {"ranks_path": V.path("byte_bpe_50k.tiktoken"), "pattern": V.PATTERN}
+    judged = quality.judge(frame(spark, SAMPLES, "n_words string, measures string, lang string"), V.path("piece_bpe_32k.model"), **two)
     into = judged.columns[-1]
     assert into == "_measures"
     model = sentencepiece.SentencePieceProcessor(model_file=V.path("piece_bpe_32k.model"))
+    bpe_model = tiktoken.Encoding("own", pat_str=V.PATTERN, mergeable_ranks=bpe.parse_ranks(open(V.path("byte_bpe_50k.tiktoken"), "rb").read()), special_tokens={})
     for r in judged.collect():
         m, t = r[into], SAMPLES[r.doc_id] or ""
         assert (m.n_words, m.word_chars, m.n_symbols, m.n_dup_lines, m.n_repeat_words) == helpers.base_counts(t), repr(t)
         assert m.base_failed == (m.n_words < 50 or 100 * m.n_repeat_words > 50 * m.n_words)
-        ids = model.encode(t)
-        assert m.n_tokens == len(ids) or not t.isprintable()
-        if ids and m.n_tokens == len(ids):
-            counts = np.bincount(ids)[np.unique(ids)]
-            assert m.entropy == pytest.approx(-(counts / len(ids) * np.log2(counts / len(ids))).sum(), abs=1e-9)
+        for ids, n, per, entropy in ((model.encode(t), m.n_tokens, m.chars_per_token, m.entropy), (bpe_model.encode_ordinary(t), m.bpe_tokens, m.bpe_chars_per_token, m.bpe_entropy)):
+            assert n == len(ids), repr(t)
+            if ids:
+                counts = np.bincount(ids)[np.unique(ids)]
+                assert entropy == pytest.approx(-(counts / len(ids) * np.log2(counts / len(ids))).sum(), abs=1e-9) and per == pytest.approx(len(t) / len(ids))
+        if m.n_tokens:
+            fallback = sum(model.is_byte(i) and not "<0x09>" <= model.id_to_piece(i) <= "<0x0D>" for i in model.encode(t))
+            assert m.byte_share == pytest.approx(fallback / m.n_tokens)
         assert not (m.kept and m.base_failed)
     assert quality.keep_good(frame(spark, SAMPLES, "lang string"), V.path("piece_bpe_32k.model")).columns == ["doc_id", "text", "lang"]
     assert quality.judge(frame(spark, ["x"]).limit(0), V.path("piece_bpe_32k.model")).count() == 0
@@ -236,6 +241,32 @@ def test_bpe_equals_the_library_and_decodes(spark):
         assert r.decoded == (r.text or "")
 
 
+def test_bpe_of_other_patterns_and_ids(spark):
+    """A pattern that splits within words; ids that the vocabulary lacks; repeated rows and clashing names."""
+    path, pattern = V.path("byte_bpe_multi_50k.tiktoken"), r"\p{Lu}?\p{Ll}+|\p{N}|[^\p{L}\p{N}]+|\p{L}"
+    theirs = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=bpe.parse_ranks(open(path, "rb").read()), special_tokens={})
+    texts = ["hello worldWide web", "hello worldWide web", "ABC 123 x", None]
+    rows = spark.createDataFrame([(i, t, "z", "z") for i, t in enumerate(texts)], "doc_id long, text string, N_TOKENS string, ids string")
+    for r in bpe.encode(rows, path, pattern).collect():
+        assert r._ids == theirs.encode_ordinary(r.text or "")
+    found = bpe.round_trip(rows, path, pattern)
+    assert found.columns == ["doc_id", "ids", "n_tokens", "ids_sha256", "decoded_sha256"] and found.count() == 4
+    bad = spark.createDataFrame([(0, [104, -1, 10**9, None, 105]), (1, None), (2, [])], "doc_id long, ids array<int>")
+    assert [r.decoded for r in bpe.decode(bad, path, V.PATTERN).orderBy("doc_id").collect()] == [theirs.decode([104]) + "\ufffd" * 3 + theirs.decode([105]), "", ""]
+
+
+def test_memos_are_bounded_by_bytes(monkeypatch):
+    from quirefold.llm import chunks
+
+    monkeypatch.setattr(chunks, "MEMO_BYTES", 100_000)
+    encoder = chunks.ChunkEncoder(str.encode, lambda many: [f" {c}".encode() for c in many], V.PATTERN)
+    rnd = random.Random(1)
+    texts = [" ".join(str(rnd.randrange(10**6)) for _ in range(60)) for _ in range(40)] + [" ".join(map(str, range(3000)))] + ["日本語" * 100_000, f"a {'x' * 100_000} b", "", " ", "a  b"]
+    for k in range(0, len(texts), 5):
+        assert encoder.encode(texts[k : k + 5]) == [t.encode() for t in texts[k : k + 5]]
+        assert sum(len(c) + len(v) + 200 for c, v in encoder.memo.items()) < 100_000
+
+
 def test_perfect_hash_is_minimal_and_detects_strangers():
     keys = [f"k{i}".encode() for i in range(3000)]
     h = bpe.PerfectHash(keys)
