@@ -21,7 +21,8 @@ from quirefold.llm.store import materialize, read_table
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the base rule or the fertility bands reject go."""
-    return quality.keep_good(docs, public_tokenizers.path("piece_bpe_32k.model"))
+    path = public_tokenizers.path
+    return quality.keep_good(docs, path("piece_bpe_32k.model"), ranks_path=path("byte_bpe_50k.tiktoken"), pattern=public_tokenizers.PATTERN)
 
 
 def exact_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
