@@ -1,20 +1,25 @@
 """Licence scans by sentence rules.
 
 A text is normalised and its sentences are looked up among known licence sentences, which gives a sequence of sentence
-identifiers in text order. A known sentence is a whole line, or several whole lines, or the end or all of a sentence
-that is wrapped over lines; it never reaches beyond a full stop or a blank line. Ordered licence rules are then matched against that sequence: a rule names the
-identifiers that must come one after the other, other known sentences may lie between them. All native and row-local:
-no shuffle, so neither skew nor lost executors matter; memory is one row's sentences.
+identifiers in text order. A known sentence of a few words (a notice, a title) must be a whole line, or several whole
+lines, or the end or all of a sentence that is wrapped over lines; it never reaches beyond a full stop or a blank line.
+A long one may stand anywhere, as licences are also pasted into one line. Ordered licence rules are then matched against
+that sequence: a rule names the identifiers that must come one after the other, other known sentences may lie between
+them. For each rule the sequence is read once, name after name, whatever its length. All native and row-local: no
+shuffle, so neither skew nor lost executors matter; memory is one row's sentences.
 
 Defined results: a null or empty text, or one without known sentences, has no identifiers and no licence; a sentence
-that repeats gives its identifier each time; several rules may match, each is listed once, in the order of the rules;
-known sentences that no matched rule uses leave `unresolved` true; an empty table gives an empty result; extra columns
-are not read.
+that repeats gives its identifier each time; several rules may match, each is listed once, in the order of the rules,
+but for those that a more special licence rules out; known sentences that no matched rule uses leave `unresolved` true;
+very long texts are read whole; repeated rows are judged alike; an empty table gives an empty result; extra columns are
+not read, whatever their names.
 """
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -73,10 +78,70 @@ FULL_SENTENCES = (
 )
 
 
+def normal(sentence: str) -> str:
+    """A sentence as `normal_text` leaves it."""
+    ended = re.sub(r"[.!?]\s+", STOP, sentence.lower())
+    return re.sub(rf" ?{STOP} ?", STOP, re.sub(rf"[^a-z0-9{STOP}]+", " ", ended)).strip()
+
+
+# Identifiers and wordings of further public licences, as they print them.
+_LESSER, _AFFERO = "GNU Lesser General Public License", "GNU Affero General Public License"
+_FREE = "This {what} is free software: you can redistribute it and/or modify it under the terms of the {name} as published by the Free Software Foundation, {end}"
+_HOPE = "This {what} is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE"
+_COPY = "You should have received a copy of the {name} along with this {what}{end}"
+_COPY_ENDS = (". If not, see <https://www.gnu.org/licenses/>", "; if not, see <https://www.gnu.org/licenses/>", ". If not, see <http://www.gnu.org/licenses/>", "; if not, write to the Free Software Foundation, Inc., 51 Franklin Street, Fifth Floor, Boston, MA 02110-1301 USA")
+MORE_SENTENCES = (
+    ("bsd-endorse", "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission"),
+    ("bsd-endorse", "The name of the author may not be used to endorse or promote products derived from this software without specific prior written permission"),
+    ("isc-grant", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies"),
+    ("isc-grant", "Permission to use, copy, modify, and distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies"),
+    ("zlib-grant", "Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions"),
+    ("zlib-origin", "The origin of this software must not be misrepresented; you must not claim that you wrote the original software"),
+    ("unlicense-free", "This is free and unencumbered software released into the public domain"),
+    ("unlicense-anyone", "Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means"),
+    ("boost-notice", "Distributed under the Boost Software License, Version 1.0"),
+    ("boost-grant", "Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and accompanying documentation covered by this license (the \"Software\") to use, reproduce, display, distribute, execute, and transmit the Software, and to prepare derivative works of the Software, and to permit third-parties to whom the Software is furnished to do so, all subject to the following"),
+    ("epl2-notice", "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0 which is available at https://www.eclipse.org/legal/epl-2.0/"),
+    ("lgpl-title", "GNU LESSER GENERAL PUBLIC LICENSE Version 3, 29 June 2007"),
+    ("lgpl-title", "GNU LESSER GENERAL PUBLIC LICENSE Version 2.1, February 1999"),
+    ("agpl-title", "GNU AFFERO GENERAL PUBLIC LICENSE Version 3, 19 November 2007"),
+    ("gpl-title", "GNU GENERAL PUBLIC LICENSE Version 3, 29 June 2007"),
+    ("gpl-title", "GNU GENERAL PUBLIC LICENSE Version 2, June 1991"),
+    ("gnu-verbatim", "Everyone is permitted to copy and distribute verbatim copies of this license document, but changing it is not allowed"),
+    ("apache2-title", "Apache License Version 2.0, January 2004"),
+    ("apache2-terms", "TERMS AND CONDITIONS FOR USE, REPRODUCTION, AND DISTRIBUTION"),
+    ("mpl2-title", "Mozilla Public License Version 2.0"),
+    ("mpl2-covered", "\"Contributor\" means each individual or legal entity that creates, contributes to the creation of, or owns Covered Software"),
+    ("cc0-title", "Creative Commons Legal Code CC0 1.0 Universal"),
+    *((f"{i}-redistribute", _FREE.format(what=w, name=n, end=end)) for i, w, n in (("lgpl", "library", _LESSER), ("lgpl", "program", _LESSER), ("agpl", "program", _AFFERO)) for end in (f"either version {v} of the License, or (at your option) any later version" for v in (("3",) if i == "agpl" else ("2.1", "3")))),
+    ("lgpl-nowarranty", _HOPE.format(what="library")),
+    *((f"{i}-received", _COPY.format(name=n, what=w, end=end)) for i, w, n in (("lgpl", "library", _LESSER), ("lgpl", "program", _LESSER), ("agpl", "program", _AFFERO)) for end in _COPY_ENDS),
+)
+# Parts of the names of the Creative Commons licences.
+CC_PARTS = {"BY": "Attribution", "BY-SA": "Attribution-ShareAlike", "BY-NC": "Attribution-NonCommercial", "BY-ND": "Attribution-NoDerivatives", "BY-NC-SA": "Attribution-NonCommercial-ShareAlike", "BY-NC-ND": "Attribution-NonCommercial-NoDerivatives"}
+CC_VERSIONS = {"4.0": "4.0 International", "3.0": "3.0 Unported"}
+_CC = [(f"CC-{k}-{v}", f"cc{k.lower().replace('-', '')}{v[0]}", f"{name} {full}", f"CC {k} {v}") for v, full in CC_VERSIONS.items() for k, name in CC_PARTS.items()]
+CC_SENTENCES = tuple(
+    (i + part, text)
+    for _, i, name, short in _CC
+    for part, text in (
+        ("-work", f"This work is licensed under a Creative Commons {name} License"),
+        ("-work", f"This work is licensed under the Creative Commons {name} License"),
+        ("-work", f"This work is licensed under {short}"),
+        ("-title", f"Creative Commons {name} Public License"),
+        ("-notice", f"Licensed under {short}"),
+    )
+    if i + part not in SENTENCES
+)
+
+
 @dataclass(frozen=True)
 class LicenceRule:
+    """Sentence identifiers in their order, and more special licences that rule this one out."""
+
     licence: str
     sequence: tuple[str, ...]
+    unless: tuple[str, ...] = ()
 
 
 #: Ordered rules: longer sequences of the same licence come before shorter ones. A parameter.
@@ -88,13 +153,37 @@ RULES = (
     LicenceRule("MIT", ("mit-licensed",)),
     LicenceRule("GPL-3.0", ("gpl3-notice",)),
     LicenceRule("GPL", ("gpl-redistribute", "gpl-nowarranty", "gpl-received")),
-    LicenceRule("BSD", ("bsd-redistribution", "bsd-source", "bsd-binary")),
+    LicenceRule("BSD-3-Clause", ("bsd-redistribution", "bsd-source", "bsd-binary", "bsd-endorse")),
+    LicenceRule("BSD", ("bsd-redistribution", "bsd-source", "bsd-binary"), ("BSD-3-Clause",)),
     LicenceRule("CC-BY-NC-4.0", ("ccbync4-notice",)),
     LicenceRule("CC-BY-4.0", ("ccby4-notice",)),
     LicenceRule("CC-BY-SA-4.0", ("ccbysa4-notice",)),
     LicenceRule("CC0-1.0", ("cc0-notice",)),
     LicenceRule("MPL-2.0", ("mpl2-notice",)),
+    LicenceRule("Apache-2.0", ("apache2-title", "apache2-terms")),
+    LicenceRule("LGPL", ("lgpl-redistribute", "lgpl-nowarranty", "lgpl-received")),
+    LicenceRule("LGPL", ("lgpl-redistribute", "gpl-nowarranty", "lgpl-received")),
+    LicenceRule("AGPL-3.0", ("agpl-redistribute", "gpl-nowarranty", "agpl-received")),
+    LicenceRule("LGPL", ("lgpl-title", "gnu-verbatim")),
+    LicenceRule("AGPL-3.0", ("agpl-title", "gnu-verbatim")),
+    LicenceRule("GPL", ("gpl-title", "gnu-verbatim")),
+    LicenceRule("ISC", ("isc-grant",)),
+    LicenceRule("Zlib", ("zlib-grant", "zlib-origin")),
+    LicenceRule("Unlicense", ("unlicense-free", "unlicense-anyone")),
+    LicenceRule("BSL-1.0", ("boost-notice",)),
+    LicenceRule("BSL-1.0", ("boost-grant",)),
+    LicenceRule("EPL-2.0", ("epl2-notice",)),
+    LicenceRule("MPL-2.0", ("mpl2-title", "mpl2-covered")),
+    LicenceRule("CC0-1.0", ("cc0-title",)),
+    *(LicenceRule(licence, (i + part,)) for licence, i, _, _ in _CC for part in ("-work", "-title", "-notice") if i + part not in SENTENCES),
 )
+#: The identifier after an SPDX tag names the licence itself.
+SPDX_SENTENCES = tuple((f"spdx-{name}", f"SPDX-License-Identifier: {name}") for name in ("Apache-2.0", "MIT", "ISC", "Zlib", "Unlicense", "BSL-1.0", "EPL-2.0", "MPL-2.0", "CC0-1.0", "BSD-3-Clause"))
+RULES = (*RULES, *(LicenceRule(i.removeprefix("spdx-"), (i,)) for i, _ in SPDX_SENTENCES))
+#: All wordings besides SENTENCES: (identifiers, normalised sentence).
+WORDINGS = (*FULL_SENTENCES, *(((i,), normal(text)) for i, text in (*MORE_SENTENCES, *CC_SENTENCES, *SPDX_SENTENCES)))
+#: Known sentences of so many words or more may stand anywhere in a text.
+LONG_WORDS = 9
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 # Of the SQL form, which looks at each line by itself: a sentence ends at a line's end, or at a full stop, question or
@@ -113,33 +202,63 @@ def normal_text(text: Column) -> Column:
     return F.trim(F.regexp_replace(words, r" ?([\n\x01]) ?", "$1"))
 
 
-def sentence_ids(text: Column, known: dict[str, str] = SENTENCES, full: tuple[tuple[tuple[str, ...], str], ...] = FULL_SENTENCES) -> Column:
-    """Identifiers of the known sentences, in text order; of `full`, those whose identifiers are in `known`."""
-    of = {sentence: (name,) for name, sentence in known.items()} | {sentence: names for names, sentence in full if set(names) <= set(known)}
-    # the longest of the sentences that begin at one place
-    longest = "|".join(s.replace(" ", r"[ \n]") for s in sorted(of, key=len, reverse=True))
-    hits = F.regexp_extract_all(normal_text(text), F.lit(rf"(?<![^\n\x01])(?:{longest})(?![^\n\x01])"), F.lit(0))
+def _any_of(sentences: list[str]) -> str:
+    """A pattern for the longest of the sentences that begin at one place. Sentences are tried by their first word."""
+    by_word: dict[str, list[str]] = {}
+    for sentence in sorted(sentences, key=len, reverse=True):
+        word, _, rest = sentence.partition(" ")
+        by_word.setdefault(word, []).append(f" {rest}" if rest else "")
+    groups = [word + "(?:" + "|".join(rests).replace(" ", r"[ \n]") + ")" for word, rests in by_word.items()]
+    return "(?:" + "|".join(groups) + ")"
+
+
+def sentence_pattern(sentences: list[str]) -> str:
+    long = [x for x in sentences if len(x.split()) >= LONG_WORDS]
+    short = [x for x in sentences if len(x.split()) < LONG_WORDS]
+    parts = [rf"(?<![a-z0-9]){_any_of(long)}(?![a-z0-9])"] if long else []
+    parts += [rf"(?<![^\n\x01]){_any_of(short)}(?![^\n\x01])"] if short else []
+    return "|".join(parts)
+
+
+def sentence_ids(text: Column, known: dict[str, str] = SENTENCES, more: tuple[tuple[tuple[str, ...], str], ...] = WORDINGS) -> Column:
+    """Identifiers of the known sentences, in text order: `known` by identifier, and `more` (identifiers, sentence)."""
+    of = {sentence: (name,) for name, sentence in known.items()} | {sentence: names for names, sentence in more}
+    if not of:
+        return F.array().cast("array<string>")
+    hits = F.regexp_extract_all(normal_text(text), F.lit(sentence_pattern(list(of))), F.lit(0))
     names = F.create_map(*[c for sentence, found in of.items() for c in (F.lit(sentence), F.array(*[F.lit(n) for n in found]))])
     return F.flatten(F.transform(hits, lambda s: names[F.translate(s, "\n", " ")]))
 
 
+def matches(ids: Column, rule: LicenceRule) -> Column:
+    """Whether the rule's identifiers are among ids, one after the other: each step leaves what comes after a name."""
+
+    def after(rest: Column, name: Column) -> Column:
+        at = F.array_position(rest, name).cast("int")
+        return F.when(at > 0, F.slice(rest, at + 1, F.size(rest)))
+
+    return F.aggregate(F.array(*[F.lit(n) for n in rule.sequence]), ids, after).isNotNull()
+
+
 def rule_pattern(rule: LicenceRule) -> str:
-    """A regular expression over identifiers that each have a blank before and after."""
+    """A regular expression over identifiers that each have a blank before and after, for the SQL form. Engines that
+    recurse on each repetition (the JVM's) must not run it over long sequences."""
     return "(?: [^ ]+ )*?".join(f" {name} " for name in rule.sequence)
 
 
-def scan(df: DataFrame, id_col: str = "doc_id", text: str = "text", known: dict[str, str] = SENTENCES, rules: tuple[LicenceRule, ...] = RULES) -> DataFrame:
+def scan(df: DataFrame, id_col: str = "doc_id", text: str = "text", known: dict[str, str] = SENTENCES, rules: tuple[LicenceRule, ...] = RULES, more: tuple[tuple[tuple[str, ...], str], ...] = WORDINGS) -> DataFrame:
     """(id, n_known long, sentence_ids, licences, unresolved); lists are joined by one blank, null if empty."""
-    ids = df.select(F.col(id_col), sentence_ids(F.col(text), known).alias("_ids"))
-    spaced = F.concat(F.lit(" "), F.array_join("_ids", "  "), F.lit(" "))
-    hits = [(r, spaced.rlike(rule_pattern(r))) for r in rules]
-    found = F.array_distinct(F.filter(F.array(*[F.when(hit, F.lit(r.licence)) for r, hit in hits]), lambda x: x.isNotNull()))
-    used = F.flatten(F.filter(F.array(*[F.when(hit, F.array(*[F.lit(s) for s in r.sequence])) for r, hit in hits]), lambda x: x.isNotNull()))
-    joined = lambda c: F.when(F.size(c) > 0, F.array_join(c, " "))
-    return ids.select(
+    ids = df.select(F.col(id_col), sentence_ids(F.col(text), known, more).alias("_ids"))
+    some = F.size("_ids") > 0
+    hits = ids.select(id_col, "_ids", F.when(some, F.array(*[matches(F.col("_ids"), r) for r in rules])).alias("_hits"))
+    own = [F.col("_hits")[k] for k in range(len(rules))]
+    hit = [h & ~reduce(Column.__or__, [o for o, other in zip(own, rules, strict=True) if other.licence in r.unless]) if r.unless else h for h, r in zip(own, rules, strict=True)]
+    found = F.array_distinct(F.filter(F.array(*[F.when(h, F.lit(r.licence)) for h, r in zip(hit, rules, strict=True)]), lambda x: x.isNotNull()))
+    used = F.flatten(F.filter(F.array(*[F.when(h, F.array(*[F.lit(n) for n in r.sequence])) for h, r in zip(hit, rules, strict=True)]), lambda x: x.isNotNull()))
+    return hits.select(
         id_col,
         F.size("_ids").cast("long").alias("n_known"),
-        joined(F.col("_ids")).alias("sentence_ids"),
-        joined(found).alias("licences"),
-        (F.size(F.array_except("_ids", used)) > 0).alias("unresolved"),
+        F.when(some, F.array_join("_ids", " ")).alias("sentence_ids"),
+        F.when(some, F.nullif(F.array_join(found, " "), F.lit(""))).alias("licences"),
+        F.when(some, F.size(F.array_except("_ids", used)) > 0).otherwise(F.lit(False)).alias("unresolved"),
     )

@@ -138,11 +138,13 @@ def _op3_sql() -> str:
 
 
 def _op8_sql() -> str:
-    known = "[" + ", ".join(f"'{s}'" for s in licenses.SENTENCES.values()) + "]"
-    of = "map([" + ", ".join(f"'{s}'" for s in licenses.SENTENCES.values()) + "], [" + ", ".join(f"'{n}'" for n in licenses.SENTENCES) + "])"
-    hit = [f"regexp_matches(spaced, '{licenses.rule_pattern(r)}')" for r in licenses.RULES]
+    every = {sentence: name for name, sentence in licenses.SENTENCES.items()} | {sentence: names[0] for names, sentence in licenses.WORDINGS if len(names) == 1 and licenses.STOP not in sentence}
+    known = "[" + ", ".join(f"'{s}'" for s in every) + "]"
+    of = "map([" + ", ".join(f"'{s}'" for s in every) + "], [" + ", ".join(f"'{n}'" for n in every.values()) + "])"
+    raw = [f"regexp_matches(spaced, '{licenses.rule_pattern(r)}')" for r in licenses.RULES]
+    hit = [h + "".join(f" and not {o}" for o, other in zip(raw, licenses.RULES, strict=True) if other.licence in r.unless) for h, r in zip(raw, licenses.RULES, strict=True)]
     names = list(dict.fromkeys(r.licence for r in licenses.RULES))
-    found = ", ".join("case when " + " or ".join(h for h, r in zip(hit, licenses.RULES, strict=True) if r.licence == n) + f" then '{n}' end" for n in names)
+    found = ", ".join("case when " + " or ".join(f"({h})" for h, r in zip(hit, licenses.RULES, strict=True) if r.licence == n) + f" then '{n}' end" for n in names)
     used = " || ".join(f"case when {h} then [" + ", ".join(f"'{s}'" for s in r.sequence) + "] else [] end" for h, r in zip(hit, licenses.RULES, strict=True))
     return f"""
     with cut as (select doc_id, string_split(regexp_replace(translate(coalesce(text, ''), '{licenses.UPPER}', '{licenses.LOWER}'), '{licenses.SENTENCE_END}', '\\1' || chr(10), 'g'), chr(10)) parts from documents),

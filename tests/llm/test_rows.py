@@ -191,7 +191,7 @@ Unless required by applicable law or agreed to in writing, software distributed
 MPL = "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/."
 
 
-@pytest.mark.parametrize("form", ["unwrapped", "wrapped", "crlf", "comment", "titled"])
+@pytest.mark.parametrize("form", ["unwrapped", "wrapped", "crlf", "comment", "titled", "one line"])
 def test_full_licence_texts(spark, form):
     wrap = lambda t: "\n\n".join(textwrap.fill(p, 70) for p in t.split("\n\n"))
     shape = {
@@ -199,6 +199,7 @@ def test_full_licence_texts(spark, form):
         "wrapped": wrap,
         "crlf": lambda t: wrap(t).replace("\n", "\r\n"),
         "comment": lambda t: "/*\n" + "\n".join(f" * {line}" for line in wrap(t).split("\n")) + "\n */\nint main() {}",
+        "one line": lambda t: "The Author, 2020 " + " ".join(t.split()) + " End of file",
         "titled": lambda t: "About this file\n" + wrap(t) + "\nLicensed under CC BY 4.0",
     }[form]
     of = {"MIT": MIT, "GPL": GPL3, "GPL ": GPL2, "BSD": BSD, "Apache-2.0": APACHE, "MPL-2.0": MPL}
@@ -208,6 +209,122 @@ def test_full_licence_texts(spark, form):
     assert not any(x.unresolved for x in r)
 
 
+BSD_3 = BSD.replace("distribution.\n\nTHIS", "distribution.\n\n3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.\n\nTHIS")
+LGPL = """This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version.
+
+This library is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the GNU Lesser General Public License for more details.
+
+You should have received a copy of the GNU Lesser General Public License along with this library; if not, write to the Free Software Foundation, Inc., 51 Franklin Street, Fifth Floor, Boston, MA  02110-1301  USA"""
+AGPL = GPL3.replace("GNU General", "GNU Affero General")
+ISC = """Copyright (c) 2020, Jo Doe
+
+Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.
+
+THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS."""
+ZLIB = """This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software.
+
+Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions:
+
+1. The origin of this software must not be misrepresented; you must not claim that you wrote the original software. If you use this software in a product, an acknowledgment in the product documentation would be appreciated but is not required."""
+UNLICENSE = """This is free and unencumbered software released into the public domain.
+
+Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means."""
+CC_BY = "This work is licensed under the Creative Commons Attribution 4.0 International License. To view a copy of this license, visit http://creativecommons.org/licenses/by/4.0/ or send a letter to Creative Commons, PO Box 1866, Mountain View, CA 94042, USA."
+CC0 = "To the extent possible under law, the author(s) have dedicated all copyright and related and neighboring rights to this software to the public domain worldwide. This software is distributed without any warranty."
+GPL_TITLE = "                    GNU GENERAL PUBLIC LICENSE\n                       Version 3, 29 June 2007\n\n Copyright (C) 2007 Free Software Foundation, Inc. <https://fsf.org/>\n Everyone is permitted to copy and distribute verbatim copies\n of this license document, but changing it is not allowed.\n"
+APACHE_TITLE = "                                 Apache License\n                           Version 2.0, January 2004\n                        http://www.apache.org/licenses/\n\n   TERMS AND CONDITIONS FOR USE, REPRODUCTION, AND DISTRIBUTION\n\n   1. Definitions.\n"
+
+
+def test_further_licences(spark):
+    of = [("BSD", BSD), ("BSD-3-Clause", BSD_3), ("LGPL", LGPL), ("AGPL-3.0", AGPL), ("ISC", ISC), ("Zlib", ZLIB), ("Unlicense", UNLICENSE), ("CC-BY-4.0", CC_BY), ("CC0-1.0", CC0)]
+    forms = [lambda t: t, lambda t: "\n\n".join(textwrap.fill(p, 72) for p in t.split("\n\n")), lambda t: "x " + " ".join(t.split()) + " y"]
+    cases = [(name, form(text)) for name, text in of for form in (forms[:2] if name == "CC-BY-4.0" else forms)]
+    cases += [("GPL", GPL_TITLE), ("Apache-2.0", APACHE_TITLE), ("MIT", "# SPDX-License-Identifier: MIT\nimport x"), ("CC-BY-NC-SA-3.0", "Licensed under CC BY-NC-SA 3.0")]
+    found = licenses.scan(frame(spark, [t for _, t in cases])).orderBy("doc_id").collect()
+    assert [(r.licences, r.unresolved) for r in found] == [(name, False) for name, _ in cases]
+
+
+def brute_licences(text, wordings, rules, long_words):
+    """By lists of words and marks, one place after the other."""
+    out, white = [], " \t\r"
+    lines = (text or "").lower().split("\n")
+    parts, blank = [], True
+    for k, line in enumerate(lines):  # words, "|" for the end of a sentence or paragraph, "/" for a line's end
+        if k:
+            parts.append("/")
+        if not any(c.isascii() and c.isalnum() for c in line) and not any(c in ".!?" for c in line):
+            parts.append("|" if 0 < k < len(lines) - 1 else "/")
+            continue
+        word = ""
+        for i, c in enumerate(line + " "):
+            if c.isascii() and c.isalnum():
+                word += c
+                continue
+            if word:
+                parts.append(word)
+            word = ""
+            if c in ".!?" and i < len(line) and (line + "\n")[i + 1] in white + "\n" and (k < len(lines) - 1 or i + 1 < len(line)):
+                parts.append("|")
+    words = []
+    for x in parts:  # a run of marks is the strongest of them
+        if x in "|/" and words and words[-1] in "|/":
+            words[-1] = min(words[-1], x, key="|/".index)
+        else:
+            words.append(x)
+    i, known = 0, sorted(wordings, key=lambda w: -len(w[1]))
+    while i < len(words):
+        for names, sentence in known:
+            plan, j = sentence.split(" "), i
+            for w in plan:
+                if j < len(words) and words[j] == "/" and j > i:
+                    j += 1
+                if j >= len(words) or words[j] != w:
+                    break
+                j += 1
+            else:
+                edges = (i == 0 or words[i - 1] in "|/") and (j == len(words) or words[j] in "|/")
+                if edges or len(plan) >= long_words:
+                    out += names
+                    i = j
+                    break
+        else:
+            i += 1
+    hits = {}
+    for r in rules:
+        at = 0
+        for name in r.sequence:
+            at = out.index(name, at) + 1 if name in out[at:] else None
+            if at is None:
+                break
+        hits[r] = at is not None
+    licences = [r.licence for r in rules if hits[r] and not any(hits[o] for o in rules if o.licence in r.unless)]
+    return out, list(dict.fromkeys(licences))
+
+
+def test_licences_against_brute_force(spark):
+    wordings = (("a",), "one two"), (("a",), "one two three"), (("b",), "four five six seven eight nine ten eleven twelve"), (("c",), "red green"), (("c", "b"), "four five six seven eight nine ten eleven twelve red")
+    rules = tuple(licenses.LicenceRule(n, tuple(q), tuple(u)) for n, q, u in (("X", "ab", ""), ("Y", "ba", ""), ("Z", "cab", "X"), ("W", "aac", ("Z", "Y"))))
+    rnd = random.Random(12)
+    bits = ["One two", "one two three", "four, five six\nseven eight nine ten eleven twelve", "four five six seven eight nine ten eleven twelve red", "red Green", "one", "blue", "twelve"]
+    texts = ["".join(rnd.choice(bits) + rnd.choice([".\n", "\n", " ", "\n\n", ". ", ", ", "\n--\n", "\r\n", "! "]) for _ in range(rnd.randint(0, 9))) for _ in range(400)] + [None, ""]
+    found = licenses.scan(frame(spark, texts), known={}, rules=rules, more=wordings).orderBy("doc_id").collect()
+    for r, t in zip(found, texts, strict=True):
+        ids, licences = brute_licences(t, wordings, rules, licenses.LONG_WORDS)
+        assert ((r.sentence_ids or "").split(), (r.licences or "").split()) == (ids, licences), repr(t)
+        assert r.n_known == len(ids) and r.unresolved == bool(set(ids) - {n for q in rules if q.licence in licences for n in q.sequence if brute_licences(t, wordings, (q,), 9)[1]})
+
+
+def test_licences_of_very_long_texts(spark):
+    """100,000 known sentences in one text; repeated rows; columns of clashing names."""
+    long = "All rights reserved.\n" * 99_997 + APACHE + "\n" + "Released under the MIT License\n"
+    rows = frame(spark, [long, "x" * 3_000_000, "\n" * 1_000_000, "a. " * 300_000, GPL3, GPL3], "LICENCES string, _ids string, n_known string")
+    licenses.scan(frame(spark, [MIT])).collect()
+    began = time.time()
+    r = licenses.scan(rows).orderBy("doc_id").collect()
+    assert time.time() - began < 30
+    assert (r[0].n_known, r[0].licences) == (100_001, "Apache-2.0 MIT") and [x.n_known for x in r[1:4]] == [0, 0, 0] and r[4][1:] == r[5][1:]
+
+
 def test_licence_sentences_end_at_stops_and_blank_lines(spark):
     texts = ["Released under\nthe MIT License", "Released under\n\nthe MIT License", "Released. Under the MIT License", "Not released under the MIT License", "A note\nReleased under the MIT License\nand more"]
     assert [x.licences for x in licenses.scan(frame(spark, texts)).orderBy("doc_id").collect()] == ["MIT", None, None, None, "MIT"]
