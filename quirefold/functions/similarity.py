@@ -20,8 +20,12 @@ def char_counts(df: DataFrame, keys: list[str], text: str) -> DataFrame:
     return chars.groupBy(*keys, "size", "word").agg(F.count(F.lit(1)).alias("n"))
 
 
-def multiset_jaccard(left: DataFrame, right: DataFrame, left_keys: list[str], right_keys: list[str]) -> DataFrame:
-    """(left keys, right keys, similarity) of pairs that share a word: an inverted-index join, no cross join."""
-    r = right.select(*right_keys, "word", F.col("n").alias("_n"), F.col("size").alias("_size"))
-    shared = left.join(r, "word").groupBy(*left_keys, *right_keys, "size", "_size").agg(F.sum(F.least("n", "_n")).alias("_both"))
-    return shared.select(*left_keys, *right_keys, (F.col("_both") / (F.col("size") + F.col("_size") - F.col("_both"))).alias("similarity"))
+def multiset_jaccard(left: DataFrame, right: DataFrame, left_keys: list[str], right_keys: list[str], same: list[str] | None = None) -> DataFrame:
+    """(left keys, right keys, similarity) of pairs that share a word: an inverted-index join, no cross join.
+
+    same: columns of both sides that must agree too, part of the left keys or not."""
+    same = same or []
+    keys = [*left_keys, *[k for k in right_keys if k not in left_keys]]
+    r = right.select(*same, *[k for k in right_keys if k not in same], "word", F.col("n").alias("_n"), F.col("size").alias("_size"))
+    shared = left.join(r, [*same, "word"]).groupBy(*keys, "size", "_size").agg(F.sum(F.least("n", "_n")).alias("_both"))
+    return shared.select(*keys, (F.col("_both") / (F.col("size") + F.col("_size") - F.col("_both"))).alias("similarity"))

@@ -7,21 +7,31 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from quirefold.functions.similarity import multiset_jaccard, word_counts
+from quirefold.functions.text import tokens
 
 TRAILING_PAGE = r"\t[0-9]+$"
 
 
 def similarities(lines: DataFrame, headings: DataFrame) -> DataFrame:
-    """(doc_id, line_num, heading_id, level, similarity) of lines and headings that share a word."""
-    left = word_counts(lines, ["doc_id", "line_num"], F.col("text"))
-    right = word_counts(headings, ["heading_id", "level"], F.regexp_replace("heading", TRAILING_PAGE, ""))
-    return multiset_jaccard(left, right, ["doc_id", "line_num"], ["heading_id", "level"])
+    """(doc_id, line_num, heading_id, level, similarity) of a document's lines and its headings that share a word.
 
+    headings (doc_id, heading_id, level, heading). Only words of the document's own headings leave a line, so what is
+    shuffled follows the headings, and a word that is everywhere meets only its own document."""
+    right = word_counts(headings, ["doc_id", "heading_id", "level"], F.regexp_replace("heading", TRAILING_PAGE, ""))
+    known = right.groupBy("doc_id").agg(F.collect_set("word").alias("_known"))
+    words = tokens(F.lower(F.col("text")))
+    met = lines.join(known, "doc_id").select("doc_id", "line_num", F.size(words).cast("long").alias("size"), F.filter(words, lambda w: F.array_contains("_known", w)).alias("_w"))
+    left = met.select("doc_id", "line_num", "size", F.explode("_w").alias("word")).groupBy("doc_id", "line_num", "size", "word").agg(F.count(F.lit(1)).alias("n"))
+    return multiset_jaccard(left, right, ["doc_id", "line_num"], ["heading_id", "level"], ["doc_id"])
 
-def best_heading(pairs: DataFrame) -> DataFrame:
-    """The most similar heading of each line; of equals the one of lower level, then smaller id."""
+
+def best_heading(pairs: DataFrame, lines: DataFrame | None = None) -> DataFrame:
+    """The most similar heading of each line; of equals the one of lower level, then smaller id.
+
+    lines: those that share no word with a heading come out too, with similarity, level and heading 0."""
     top = F.max(F.struct("similarity", (-F.col("level")).alias("l"), (-F.col("heading_id")).alias("h"))).alias("_t")
-    return pairs.groupBy("doc_id", "line_num").agg(top).select("doc_id", "line_num", F.col("_t.similarity").alias("similarity"), (-F.col("_t.l")).alias("level"), (-F.col("_t.h")).alias("heading_id"))
+    best = pairs.groupBy("doc_id", "line_num").agg(top).select("doc_id", "line_num", F.col("_t.similarity").alias("similarity"), (-F.col("_t.l")).alias("level"), (-F.col("_t.h")).alias("heading_id"))
+    return best if lines is None else lines.select("doc_id", "line_num").join(best, ["doc_id", "line_num"], "left").fillna(0, ["similarity", "level", "heading_id"])
 
 
 def match_headings(best: DataFrame, least: float) -> DataFrame:
@@ -52,11 +62,19 @@ def bookmarks(matched: DataFrame, toc_pages: DataFrame) -> DataFrame:
     order = W.partitionBy("doc_id").orderBy("line_num")
     one = F.when(F.col("level") == 1, F.col("heading_id"))
     parent = F.when(F.col("level") == 2, F.last(one, True).over(order.rowsBetween(W.unboundedPreceding, W.currentRow)))
-    tree = matched.select("doc_id", (F.row_number().over(order) + 1).cast("long").alias("ord"), parent.alias("parent"), "heading_id", "page_num")
-    none = F.lit(None).cast("long")
-    title = matched.select("doc_id").distinct().select("doc_id", F.lit(0).cast("long").alias("ord"), none.alias("parent"), F.lit(-1).cast("long").alias("heading_id"), F.lit(1).cast("long").alias("page_num"))
-    toc = toc_pages.join(matched.select("doc_id").distinct(), "doc_id", "left_semi").select("doc_id", F.lit(1).cast("long").alias("ord"), none.alias("parent"), F.lit(-2).cast("long").alias("heading_id"), "page_num")
-    return title.unionByName(toc).unionByName(tree)
+    placed = matched.select("doc_id", F.row_number().over(order).cast("long").alias("_n"), parent.cast("long").alias("parent"), "heading_id", "page_num")
+    both = placed.join(toc_pages.select("doc_id", F.col("page_num").alias("_toc")), "doc_id", "left")
+
+    def mark(ord_, parent_, heading, page):
+        return F.struct(F.lit(ord_).cast("long").alias("ord") if isinstance(ord_, int) else ord_.alias("ord"), parent_.cast("long").alias("parent"), heading.cast("long").alias("heading_id"), page.cast("long").alias("page_num"))
+
+    none, first = F.lit(None), F.col("_n") == 1
+    marks = F.array(
+        F.when(first, mark(0, none, F.lit(-1), F.lit(1))),
+        F.when(first & F.col("_toc").isNotNull(), mark(1, none, F.lit(-2), F.col("_toc"))),
+        mark(F.col("_n") + 1, F.col("parent"), F.col("heading_id"), F.col("page_num")),
+    )
+    return both.select("doc_id", F.explode(F.filter(marks, lambda m: m.isNotNull())).alias("_m")).select("doc_id", "_m.*")
 
 
 def link_rectangles(lines: DataFrame, width: float, height: float) -> DataFrame:

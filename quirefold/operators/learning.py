@@ -9,8 +9,11 @@ from pyspark.ml.classification import DecisionTreeClassifier, LogisticRegression
 from pyspark.ml.feature import IDF, CountVectorizer, NGram, RegexTokenizer, SQLTransformer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from quirefold.sources.shared import materialize
+
 
 @dataclass(frozen=True)
 class ModelCard:
@@ -110,32 +113,53 @@ def term_counts(docs: DataFrame, key: str, text: str, ngrams: int = 1) -> DataFr
 
 
 def tfidf(counts: DataFrame, key: str) -> DataFrame:
-    """(key, term, weight): tf * (ln((1 + n) / (1 + df)) + 1), each row of unit length."""
+    """(key, term, weight): tf * (ln((1 + n) / (1 + df)) + 1), each row of unit length. The counts are written once."""
+    counts = materialize(counts, "term_counts")
     n = counts.select(key).distinct().count()
-    df = counts.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    raw = counts.join(df, "term").select(key, "term", (F.col("tf") * (F.log((1 + F.lit(n)) / (1 + F.col("df"))) + 1)).alias("w"))
-    norm = raw.groupBy(key).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("_n"))
-    return raw.join(norm, key).select(key, "term", (F.col("w") / F.col("_n")).alias("weight"))
+    idf = counts.groupBy("term").agg((F.log((1 + F.lit(n)) / (1 + F.count(F.lit(1)))) + 1).alias("_idf"))
+    raw = counts.join(idf, "term").select(key, "term", (F.col("tf") * F.col("_idf")).alias("w"))
+    length = F.sqrt(F.sum(F.col("w") * F.col("w")).over(W.partitionBy(key)))
+    return raw.select(key, "term", (F.col("w") / length).alias("weight"))
+
+
+#: Classes that a text model may have.
+MAX_CLASSES = 1000
+
+
+def classes_of(rows: DataFrame, y: str = "y") -> list:
+    """The classes in order; there may be MAX_CLASSES at most, as each is a column or a literal of a model."""
+    found = sorted(r[0] for r in rows.select(y).filter(F.col(y).isNotNull()).distinct().limit(MAX_CLASSES + 1).collect())
+    if len(found) > MAX_CLASSES:
+        raise ValueError(f"more than {MAX_CLASSES} classes")
+    return found
 
 
 def complement_weights(weights: DataFrame, labels: DataFrame, key: str, alpha: float = 1.0, norm: bool = False) -> DataFrame:
     """(y, term, w) of complement naive Bayes; labels (key, y)."""
+    classes = classes_of(labels)
     known = weights.join(labels, key)
-    per = known.groupBy("y", "term").agg(F.sum("weight").alias("s"))
-    total = per.groupBy("term").agg(F.sum("s").alias("t"))
-    classes = labels.select("y").distinct()
-    grid = total.join(F.broadcast(classes))  # a handful of classes
-    rest = grid.join(per, ["y", "term"], "left").select("y", "term", (F.lit(alpha) + F.col("t") - F.coalesce("s", F.lit(0.0))).alias("c"))
-    sums = rest.groupBy("y").agg(F.sum("c").alias("_all"))
-    logs = rest.join(F.broadcast(sums), "y").select("y", "term", F.log(F.col("c") / F.col("_all")).alias("w"))
+    per = [F.sum(F.when(F.col("y") == c, F.col("weight")).otherwise(F.lit(0.0))) for c in classes]
+    grid = known.groupBy("term").agg(F.sum("weight").alias("_t"), F.array(*per).alias("_s"))
+    rest = grid.select("term", F.transform("_s", lambda s: F.lit(alpha) + F.col("_t") - s).alias("c"))
+    sums = rest.agg(*[F.sum(F.col("c")[i]).alias(f"s{i}") for i in range(len(classes))]).first() if classes else []
+    logs = [F.log(F.col("c")[i] / F.lit(sums[i])) for i in range(len(classes))]
     if norm:
-        return logs.join(F.broadcast(logs.groupBy("y").agg(F.sum("w").alias("_s"))), "y").select("y", "term", (F.col("w") / F.col("_s")).alias("w"))
-    return logs.select("y", "term", (-F.col("w")).alias("w"))
+        totals = rest.agg(*[F.sum(x).alias(f"s{i}") for i, x in enumerate(logs)]).first() if classes else []
+        logs = [x / F.lit(totals[i]) for i, x in enumerate(logs)]
+    else:
+        logs = [-x for x in logs]
+    pairs = F.array(*[F.struct(F.lit(c).alias("y"), x.alias("w")) for c, x in zip(classes, logs, strict=True)])
+    return rest.select("term", F.explode(pairs).alias("_p")).select("_p.y", "term", "_p.w")
 
 
 def complement_scores(weights: DataFrame, model: DataFrame, key: str) -> DataFrame:
-    """(key, y, score) summed over the terms that the model knows."""
-    return weights.join(model, "term").groupBy(key, "y").agg(F.sum(F.col("weight") * F.col("w")).alias("score"))
+    """(key, y, score) summed over the terms that the model knows, one model row per term."""
+    model = materialize(model, "model")
+    classes = classes_of(model)
+    wide = model.groupBy("term").agg(*[F.sum(F.when(F.col("y") == c, F.col("w"))).alias(f"w{i}") for i, c in enumerate(classes)])
+    sums = weights.join(wide, "term").groupBy(key).agg(*[F.sum(F.col("weight") * F.col(f"w{i}")).alias(f"s{i}") for i in range(len(classes))])
+    scores = F.array(*[F.struct(F.lit(c).alias("y"), F.col(f"s{i}").alias("score")) for i, c in enumerate(classes)])
+    return sums.select(key, F.explode(scores).alias("_p")).select(key, "_p.y", "_p.score").filter("score is not null")
 
 
 def predict_class(scores: DataFrame, key: str) -> DataFrame:
@@ -160,7 +184,7 @@ def classify_texts(docs: DataFrame, labels: DataFrame, key: str, text: str, ngra
     idf = train.groupBy("term").agg(F.count(F.lit(1)).alias("df")).filter(F.col("df") >= min_df).select("term", (F.log(F.lit(1 + n) / (1 + F.col("df"))) + 1).alias("idf"))
     raw = train.join(idf, "term").select(key, "term", (F.col("tf") * F.col("idf")).alias("w"))
     norm = raw.groupBy(key).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("_n"))
-    weights = raw.join(norm, key).select(key, "term", (F.col("w") / F.col("_n")).alias("weight"))
+    weights = materialize(raw.join(norm, key).select(key, "term", (F.col("w") / F.col("_n")).alias("weight")), "weights")
     model = complement_weights(weights, known.select(key, "y"), key, alpha).groupBy("term").pivot("y", classes).agg(F.first("w")).toDF("term", *[f"w{i}" for i in range(len(classes))])
     x = term_counts(docs.repartition(F.col(key)), key, text, ngrams).join(idf.join(model, "term"), "term").withColumn("x", F.col("tf") * F.col("idf"))
     length = F.sqrt(F.sum(F.col("x") * F.col("x")))
@@ -180,9 +204,11 @@ def padded_ids(docs: DataFrame, vocabulary: DataFrame, key: str, text: str, leng
 
 
 def first_seen_codes(rows: DataFrame, label: str, order: str) -> DataFrame:
-    """(label, code): labels numbered from 0 by their first appearance."""
+    """(label, code): labels numbered from 0 by their first appearance. Ranges of labels are numbered apart, and only the
+    ranges' sizes meet in one task."""
     first = rows.filter(F.col(label).isNotNull()).groupBy(label).agg(F.min(order).alias("_o"))
-    ranked = first.agg(F.transform(F.array_sort(F.collect_list(F.struct("_o", label))), lambda x: x[label]).alias("_l"))
-    return ranked.select(F.posexplode("_l").alias("code", label)).select(label, F.col("code").cast("long").alias("code"))
-
-
+    ranges = materialize(first.repartitionByRange("_o").withColumn("_r", F.spark_partition_id()), "label_ranges")
+    before = W.orderBy("_r").rowsBetween(W.unboundedPreceding, -1)
+    starts = ranges.groupBy("_r").agg(F.count(F.lit(1)).alias("_n")).select(F.col("_r"), F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
+    place = F.row_number().over(W.partitionBy("_r").orderBy("_o", label)) - 1
+    return ranges.withColumn("_p", place).join(starts, "_r").select(label, (F.col("_start") + F.col("_p")).cast("long").alias("code"))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from quirefold.functions import text as X
@@ -43,15 +44,16 @@ def best_page(pages: DataFrame, predicted: Column, score: Column) -> DataFrame:
 
 
 def carry(pages: DataFrame) -> DataFrame:
-    """pages (doc_id, page_num, f0, f1) -> is_toc: f1 where the page before came out 1, else f0, page after page."""
-    kind = "array<struct<page_num:bigint,is_toc:int>>"
-    doc = pages.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("page_num", "f0", "f1"))).alias("_p"))
-
-    def step(acc: Column, x: Column) -> Column:
-        before = F.coalesce(F.try_element_at(acc, F.lit(-1))["is_toc"], F.lit(0))
-        return F.concat(acc, F.array(F.struct(x["page_num"].alias("page_num"), F.when(before == 1, x["f1"]).otherwise(x["f0"]).alias("is_toc"))))
-
-    return doc.select("doc_id", F.explode(F.aggregate("_p", F.array().cast(kind), step)).alias("x")).select("doc_id", "x.page_num", "x.is_toc")
+    """pages (doc_id, page_num, f0, f1) -> is_toc: f1 where the page before came out 1, else f0, page after page.
+
+    A page either fixes the state (f0 = f1), keeps it, or turns it round (f0 = 1, f1 = 0), so the state is that of the
+    last page that fixed it, turned round as often as pages since then say: running sums, no fold."""
+    order = W.partitionBy("doc_id").orderBy("page_num").rowsBetween(W.unboundedPreceding, W.currentRow)
+    turns = F.sum(F.when((F.col("f0") == 1) & (F.col("f1") == 0), 1).otherwise(0)).over(order)
+    marked = pages.withColumn("_t", turns)
+    fixed = F.last(F.when(F.col("f0") == F.col("f1"), F.struct(F.col("f0").alias("s"), F.col("_t").alias("t"))), True).over(order)
+    state = (F.coalesce(F.col("_f.s"), F.lit(0)) + F.col("_t") - F.coalesce(F.col("_f.t"), F.lit(0))) % 2
+    return marked.withColumn("_f", fixed).select("doc_id", "page_num", state.cast("int").alias("is_toc"))
 
 
 def tag_after_contents(pages: DataFrame) -> DataFrame:

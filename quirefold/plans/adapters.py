@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from quirefold.functions.text import tokens
+
 LINES_PER_PAGE = 5
 
 
@@ -24,25 +26,35 @@ LINES = f"""lines as (select doc_id, ((ord - 1) // {LINES_PER_PAGE} + 1)::bigint
     from documents, unnest(string_split(documents.text, chr(10))) with ordinality t(line, ord))"""
 
 
+#: Boxes of a page, headings' words, and rows of a table: what one page, heading or table holds does not grow with the data.
+BOXES_PER_PAGE, HEADING_WORDS, ROWS_PER_TABLE = 50, 5, 40
+
+
 def boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Text boxes of pages: (doc_id, page_num, ord, text, confidence, left, top, width, height)."""
     e = table(spark, sf_dir, "events")
     order = W.partitionBy("user_id").orderBy("ts", "event_id")
     k = F.col("event_id")
-    boxed = e.select(F.col("user_id").alias("doc_id"), F.lit(1).cast("long").alias("page_num"), F.row_number().over(order).cast("long").alias("ord"), F.col("event_type").alias("text"), F.col("value").alias("confidence"), ((k % 2) * F.lit(0.8) + (k % 10) / F.lit(100.0)).alias("left"), ((1 + k % 7) / F.lit(100.0)).alias("width"), F.lit(0.01).alias("height"))
+    numbered = e.withColumn("_n", F.row_number().over(order) - 1)
+    page, place = F.floor(F.col("_n") / BOXES_PER_PAGE).cast("long") + 1, (F.col("_n") % BOXES_PER_PAGE).cast("long") + 1
+    boxed = numbered.select(F.col("user_id").alias("doc_id"), page.alias("page_num"), place.alias("ord"), F.col("event_type").alias("text"), F.col("value").alias("confidence"), ((k % 2) * F.lit(0.8) + (k % 10) / F.lit(100.0)).alias("left"), ((1 + k % 7) / F.lit(100.0)).alias("width"), F.lit(0.01).alias("height"))
     return boxed.withColumn("top", F.col("ord") * F.lit(0.004))
 
 
-BOXES = """boxes as (select *, ord * 0.004::double as top from (select user_id doc_id, 1::bigint page_num, row_number() over (partition by user_id order by ts, event_id) ord,
-    event_type as text, value confidence, (event_id % 2) * 0.8::double + (event_id % 10) / 100.0::double as left, (1 + event_id % 7) / 100.0::double width, 0.01::double height from events))"""
+BOXES = f"""boxes as (select * exclude (n), ord * 0.004::double as top from (select user_id doc_id, n, (n // {BOXES_PER_PAGE} + 1)::bigint page_num, (n % {BOXES_PER_PAGE} + 1)::bigint ord,
+    event_type as text, value confidence, (event_id % 2) * 0.8::double + (event_id % 10) / 100.0::double as left, (1 + event_id % 7) / 100.0::double width, 0.01::double height
+    from (select *, row_number() over (partition by user_id order by ts, event_id) - 1 n from events)))"""
 
 
 def headings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(heading_id, level, heading)."""
-    return table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("heading_id"), (1 + F.col("item_id") % 2).cast("long").alias("level"), F.col("text").alias("heading"))
+    """A document's contents: (doc_id, heading_id, level, heading), the first words of the first line of each page."""
+    first = lines(spark, sf_dir).filter("line_on_page = 1")
+    words = F.slice(tokens(F.col("text")), 1, HEADING_WORDS)
+    return first.select("doc_id", F.col("page_num").alias("heading_id"), (1 + F.col("page_num") % 2).alias("level"), F.array_join(words, " ").alias("heading")).filter("heading <> ''")
 
 
-HEADINGS = "headings as (select item_id heading_id, (1 + item_id % 2)::bigint as level, text heading from benchmark)"
+HEADINGS = f"""headings as (select * from (select doc_id, page_num heading_id, 1 + page_num % 2 as level,
+    array_to_string(list_filter(regexp_split_to_array(text, '\\s+'), lambda w: w <> '')[1:{HEADING_WORDS}], ' ') heading from lines where line_on_page = 1) where heading <> '')"""
 
 
 def reports(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -58,16 +70,17 @@ COLUMNS = ("p_name", "p_type", "p_size", "p_retailprice")
 
 
 def cells(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Tables in long form: (table_id, row, col, header, value); the table is a brand."""
-    p = table(spark, sf_dir, "part").withColumn("row", F.row_number().over(W.partitionBy("p_brand").orderBy("p_partkey")).cast("long"))
+    """Tables in long form: (table_id, row, col, header, value); a table is a stretch of parts of one brand."""
+    p = table(spark, sf_dir, "part").withColumn("table_id", F.concat("p_brand", F.lit("-"), F.floor(F.col("p_partkey") / (25 * ROWS_PER_TABLE)).cast("string")))
+    p = p.withColumn("row", F.row_number().over(W.partitionBy("table_id").orderBy("p_partkey")).cast("long"))
     values = F.array(*[F.struct(F.lit(i + 1).cast("long").alias("col"), F.lit(c).alias("header"), (F.round(c, 0).cast("long") if c == "p_retailprice" else F.col(c)).cast("string").alias("value")) for i, c in enumerate(COLUMNS)])
-    return p.select(F.col("p_brand").alias("table_id"), "row", F.explode(values).alias("c")).select("table_id", "row", "c.col", "c.header", "c.value")
+    return p.select("table_id", "row", F.explode(values).alias("c")).select("table_id", "row", "c.col", "c.header", "c.value")
 
 
-CELLS = """part_rows as (select *, row_number() over (partition by p_brand order by p_partkey) as row from part),
-    cells as (select p_brand table_id, row, 1::bigint col, 'p_name' header, p_name as value from part_rows
-        union all select p_brand, row, 2, 'p_type', p_type from part_rows union all select p_brand, row, 3, 'p_size', p_size::varchar from part_rows
-        union all select p_brand, row, 4, 'p_retailprice', round(p_retailprice, 0)::bigint::varchar from part_rows)"""
+CELLS = f"""part_rows as (select *, row_number() over (partition by brand order by p_partkey) as row from (select *, p_brand || '-' || (p_partkey // {25 * ROWS_PER_TABLE})::varchar brand from part)),
+    cells as (select brand table_id, row, 1::bigint col, 'p_name' header, p_name as value from part_rows
+        union all select brand, row, 2, 'p_type', p_type from part_rows union all select brand, row, 3, 'p_size', p_size::varchar from part_rows
+        union all select brand, row, 4, 'p_retailprice', round(p_retailprice, 0)::bigint::varchar from part_rows)"""
 
 
 def labelled(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -298,15 +298,16 @@ def name_parts(spark, d):
 
 _COUNTS = "select {k}, len(w)::bigint size, u.word, count(*) n from (select {k}, list_filter(regexp_split_to_array(lower({t}), '\\s+'), lambda x: x <> '') w from {f}), unnest(w) u(word) group by all"
 PAIRS = f"""{A.LINES}, {A.HEADINGS}, lw as ({_COUNTS.format(k="doc_id, line_num", t="text", f="lines")}),
-    hw as ({_COUNTS.format(k="heading_id, level", t="regexp_replace(heading, '\\t[0-9]+$', '')", f="headings")}),
-    shared as (select doc_id, line_num, heading_id, level, lw.size ls, hw.size hs, sum(least(lw.n, hw.n)) b from lw join hw using (word) group by all),
+    hw as ({_COUNTS.format(k="doc_id, heading_id, level", t="regexp_replace(heading, '\\t[0-9]+$', '')", f="headings")}),
+    shared as (select doc_id, line_num, heading_id, level, lw.size ls, hw.size hs, sum(least(lw.n, hw.n)) b from lw join hw using (doc_id, word) group by all),
     pairs as (select doc_id, line_num, heading_id, level, b / (ls + hs - b) similarity from shared),
     best as (select doc_id, line_num, similarity, level, heading_id from (select *, row_number() over (partition by doc_id, line_num order by similarity desc, level, heading_id) k from pairs) where k = 1),
     matched as (select doc_id, heading_id, line_num, similarity, level from (select *, row_number() over (partition by doc_id, heading_id order by similarity desc, line_num) k from best where similarity >= {LEAST}) where k = 1)"""
 
 
-def _best(spark, d):
-    return H.best_heading(H.similarities(A.lines(spark, d), A.headings(spark, d)))
+def _best(spark, d, every: bool = False):
+    lines = A.lines(spark, d)
+    return H.best_heading(H.similarities(lines, A.headings(spark, d)), lines if every else None)
 
 
 def _matched(spark, d):
@@ -318,9 +319,9 @@ def heading_similarity(spark, d):
     return H.similarities(A.lines(spark, d), A.headings(spark, d)).select("doc_id", "line_num", "heading_id", r6("similarity").alias("similarity"))
 
 
-@query(f"with {PAIRS} select doc_id, line_num, level, heading_id, round(similarity, 6) similarity from best")
+@query(f"with {PAIRS} select doc_id, line_num, coalesce(level, 0) as level, coalesce(heading_id, 0) heading_id, coalesce(round(similarity, 6), 0) similarity from lines left join best using (doc_id, line_num)")
 def best_heading_per_line(spark, d):
-    return _best(spark, d).withColumn("similarity", r6("similarity"))
+    return _best(spark, d, every=True).withColumn("similarity", r6("similarity"))
 
 
 @query(f"with {PAIRS} select doc_id, heading_id, line_num, level, round(similarity, 6) similarity from matched")
@@ -450,7 +451,7 @@ def _site_cells(spark, d):
     return A.cells(spark, d).withColumn("value", numbered)
 
 
-_SITE_CELLS = MATCHES.replace("cells as (select p_brand", "cells0 as (select p_brand", 1).replace(f", {_VOCAB}", f", cells as (select table_id, row, col, header, case when header = 'p_type' and row % 3 > 0 then value || ' ' || row::varchar else value end as value from cells0), {_VOCAB}", 1)
+_SITE_CELLS = MATCHES.replace("cells as (select brand", "cells0 as (select brand", 1).replace(f", {_VOCAB}", f", cells as (select table_id, row, col, header, case when header = 'p_type' and row % 3 > 0 then value || ' ' || row::varchar else value end as value from cells0), {_VOCAB}", 1)
 
 
 @query(f"with {_SITE_CELLS}, {_SLOTS} select * from by_column")

@@ -11,6 +11,7 @@ from quirefold.operators import lines as L
 from quirefold.operators import metadata as M
 from quirefold.operators import pages as P
 from quirefold.plans import adapters as A
+from quirefold.sources.shared import materialize
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -50,7 +51,7 @@ def tfidf_scores(spark, d):
     select doc_id, y::int predicted from (select doc_id, y, row_number() over (partition by doc_id order by round(score, 9) desc, y) k from sc) where k = 1"""
 )
 def cnb_predict(spark, d):
-    w = _weights(spark, d)
+    w = materialize(_weights(spark, d), "weights")
     model = N.complement_weights(w, A.table(spark, d, "labels").select("doc_id", F.col("quality").alias("y")), "doc_id")
     return N.predict_class(N.complement_scores(w, model, "doc_id"), "doc_id")
 
@@ -83,7 +84,7 @@ def _pair_predict_sql(alpha: float, norm: bool) -> str:
 
 
 def _pair_predict(spark, d, alpha: float, norm: bool):
-    w = _pair_weights(spark, d)
+    w = materialize(_pair_weights(spark, d), "weights")
     model = N.complement_weights(w, A.table(spark, d, "labels").select("doc_id", F.col("quality").alias("y")), "doc_id", alpha, norm)
     return N.predict_class(N.complement_scores(w, model, "doc_id"), "doc_id")
 
