@@ -206,15 +206,19 @@ def _labelled(rows: DataFrame, labels: DataFrame, node: str, into: str) -> DataF
 
 
 def _partners(table: pa.Table, percent: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """For each row of side 1: the rows of side 0 of other components that size and sketch leave, and their matches."""
-    labels, side, n = (table.column(c).to_numpy() for c in ("label", "side", "n_shingles"))
-    sketch, members = _sketches(table.column("sketch")), np.flatnonzero(side == 0)
-    own, least = sketch[members], least_matches(percent)
-    for x in np.flatnonzero(side == 1).tolist():
-        matches = (own == sketch[x]).sum(1)
-        sizes = n[members]
-        fine = (matches >= least) & (labels[members] != labels[x]) & (100 * np.minimum(sizes, n[x]) >= percent * np.maximum(sizes, n[x]))
-        yield x, members[fine], matches[fine]
+    """For each row outside the table's largest component: the rows of other components that size and sketch leave, and
+    their matches. In a block of a table `side` tells rows that are looked for (1) from those that are searched (0)."""
+    labels, n, top = (table.column(c).to_numpy() for c in ("label", "n_shingles", "top"))
+    side = table.column("side").to_numpy()
+    sketch, least = _sketches(table.column("sketch")), least_matches(percent)
+    members = np.flatnonzero(side != 1)
+    members = members[np.argsort(n[members], kind="stable")]
+    sizes, own, other = n[members], sketch[members], labels[members]
+    for x in np.flatnonzero((side != 0) & (labels != top)).tolist():
+        lo, hi = np.searchsorted(sizes, -(-percent * n[x] // 100), "left"), np.searchsorted(sizes, 100 * n[x] // percent, "right")
+        matches = (own[lo:hi] == sketch[x]).sum(1)
+        fine = (matches >= least) & (other[lo:hi] != labels[x])
+        yield x, members[lo:hi][fine], matches[fine]
 
 
 def _of_tables(table: pa.Table) -> tuple[pa.Table, list[int]]:
@@ -265,7 +269,7 @@ def _possible(percent: int):
 
 
 def _exact_block(k: int, percent: int):
-    """Links between rows outside their table's largest component (side 1) and rows of the table, one for each component."""
+    """Links between rows outside their table's largest component and rows of the table, one for each component."""
 
     def run(table: pa.Table) -> pa.Table:
         sets = _sets_of(pa.concat_arrays(table.column("_text").chunks), k)
@@ -284,13 +288,17 @@ def _exact_block(k: int, percent: int):
 
 
 def _blocks(tables: DataFrame, blocks: DataFrame, columns: list[str]) -> DataFrame:
-    """Rows of tables (key, doc, label) for each task (key, m, s): every block of rows (side 0) meets every block of the
-    rows outside the largest component (side 1). blocks: (key, top, blocks)."""
-    planned = tables.join(blocks, "key").withColumn("_own", F.pmod(F.xxhash64("doc"), F.col("blocks")))
+    """Rows of tables (key, doc, label) for each task (key, m, s): a table of one block is one task (side -1); of a larger
+    one every block of rows (side 0) meets every block of the rows outside the largest component (side 1).
+    blocks: (key, top, blocks)."""
+    planned = tables.join(blocks, "key")
+    zero = F.lit(0).cast("long")
+    whole = planned.filter("blocks = 1").select(*columns, F.lit(-1).alias("side"), zero.alias("m"), zero.alias("s"))
+    several = planned.filter("blocks > 1").withColumn("_own", F.pmod(F.xxhash64("doc"), F.col("blocks")))
     sides = F.when(F.col("label") == F.col("top"), F.array(F.lit(0))).otherwise(F.array(F.lit(0), F.lit(1)))
-    met = planned.withColumn("side", F.explode(sides)).withColumn("_other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    met = several.withColumn("side", F.explode(sides)).withColumn("_other", F.explode(F.sequence(zero, F.col("blocks") - 1)))
     m, s = (F.when(F.col("side") == k, F.col("_own")).otherwise(F.col("_other")) for k in (0, 1))
-    return met.select(*columns, "side", m.alias("m"), s.alias("s"))
+    return whole.unionByName(met.select(*columns, "side", m.alias("m"), s.alias("s")))
 
 
 def _open_tables(entries: DataFrame, labels: DataFrame) -> DataFrame:
@@ -318,13 +326,13 @@ def _resolved(tables: DataFrame, facts: DataFrame, texts: DataFrame, k: int, per
     sizes = large.groupBy("key", "label").agg(F.count(F.lit(1)).alias("c"))
     top = materialize(sizes.groupBy("key").agg(F.max(F.struct("c", "label")).alias("_t"), F.sum("c").alias("n")).select("key", F.col("_t.label").alias("top"), "n"), "largest")
     plan = top.select("key", "top", (1 + F.floor(F.col("n") / BLOCK_ROWS)).alias("blocks"))
-    tasks = _blocks(large.select("key", "doc", "label"), plan, ["key", "doc", "label", "blocks"]).join(facts, "doc")
+    tasks = _blocks(large.select("key", "doc", "label"), plan, ["key", "doc", "label", "top", "blocks"]).join(facts, "doc")
     tasks = tasks.withColumn("g", F.when(F.col("blocks") > 1, F.col("key")).otherwise(group)).withColumn("whole", F.col("blocks") == 1)
     possible = tasks.groupBy("whole", "g", "m", "s").applyInArrow(_possible(percent), "key long, doc long").distinct()
     possible = materialize(possible.join(large.select("key", "doc", "label"), ["key", "doc"]).join(facts, "doc"), "possible")
     sums = possible.groupBy("key").agg((1 + F.floor(F.greatest(F.sum("n_shingles") / BLOCK_SHINGLES, F.count(F.lit(1)) / BLOCK_ROWS))).alias("blocks"))
     plan = materialize(sums.join(top.select("key", "top"), "key"), "plan")
-    tasks = _blocks(possible, plan, ["key", "doc", "label", "n_shingles", "sketch"]).join(texts.select(F.col("_key").alias("doc"), "_text"), "doc")
+    tasks = _blocks(possible, plan, ["key", "doc", "label", "top", "n_shingles", "sketch"]).join(texts.select(F.col("_key").alias("doc"), "_text"), "doc")
     return links.unionByName(materialize(tasks.groupBy("key", "m", "s").applyInArrow(_exact_block(k, percent), LINKS), "resolved"))
 
 

@@ -9,6 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from quirefold.functions import text as X
+from quirefold.operators import blocks as B
 from quirefold.operators import headings as H
 from quirefold.operators import lines as L
 from quirefold.operators import metadata as M
@@ -410,6 +411,33 @@ def kv_search(spark, d):
     return T.search_key(pairs, ["doc_id"], "^P.*SE$")
 
 
+@query(f"with {A.BLOCK_CELLS} select doc_id, table_num, row, 1::bigint col, c1 as text from block_cells union all select doc_id, table_num, row, 2, c2 from block_cells")
+def cells_from_blocks(spark, d):
+    """Tables of the block graph: table to cells to words."""
+    return B.table_cells(A.blocks(spark, d)).select("doc_id", "table_num", "row", "col", "text")
+
+
+@query(f"with {A.BLOCK_CELLS} select doc_id, p || ' ' as key, max_by(k::varchar || ' ' || case when k % 5 = 0 then 'X ' else '' end, k) as value from block_rows group by doc_id, p")
+def kv_from_blocks(spark, d):
+    """Forms of the block graph: key to value to words."""
+    return B.key_values(A.blocks(spark, d))
+
+
+@query(
+    f"""with {A.BLOCK_CELLS}, t as (select doc_id, table_num, 'Table: Table_' || table_num::varchar || chr(10) || chr(10) || string_agg(c1 || '`' || c2 || '`' || chr(10), '' order by k) || repeat(chr(10), 5) as content from block_cells group by doc_id, table_num),
+    w as (select doc_id, string_agg(content, '' order by table_num) as content from t group by doc_id)
+    select doc_id, coalesce(content, '{T.NO_TABLE}') as content from (select distinct doc_id from block_rows) left join w using (doc_id)"""
+)
+def tables_text_from_blocks(spark, d):
+    """The framed text of all tables of a response, or the mark that there are none."""
+    return B.table_files(A.blocks(spark, d))
+
+
+@query(f"with {A.BLOCK_CELLS} select doc_id, 'l-' || k::varchar id, p || ' ' || k::varchar as text, row_number() over (partition by doc_id order by k) line_num from block_rows where k % 7 <> 0")
+def page_lines_from_blocks(spark, d):
+    return B.page_lines(A.blocks(spark, d)).select("doc_id", "id", "text", "line_num")
+
+
 # Words of the driver's tables stand for the domain's terms.
 TERMS = {"site": ("p names, p_type, standard",), "geo": ("p size, psizes",), "grid": ("retail price, p_retail_prices, standard anodized tin",)}
 
@@ -441,7 +469,9 @@ def fuzzy_headers(spark, d):
 _SLOTS = """known as (select cells.*, role from cells join roles using (header)),
     slots as (select *, row_number() over (partition by table_id, role order by col) o, max(col) over (partition by table_id, role) m from (select distinct table_id, role, col from known)),
     wide as (select k.table_id, row, max(case when s.role = 'site' and s.col = m then value end) site_name, max(case when s.role = 'grid' and o = 1 then value end) grid_loc_1, max(case when s.role = 'grid' and o = 2 then value end) grid_loc_2,
-        max(case when s.role = 'geo' and o = 1 then value end) geo_loc_1, max(case when s.role = 'geo' and o = 2 then value end) geo_loc_2 from known k join slots s using (table_id, col) group by all),
+        max(case when s.role = 'geo' and o = 1 then value end) geo_loc_1, max(case when s.role = 'geo' and o = 2 then value end) geo_loc_2,
+        max(case when s.role = 'site' and s.col = m then header end) site_name_source, max(case when s.role = 'grid' and o = 1 then header end) grid_loc_1_source, max(case when s.role = 'grid' and o = 2 then header end) grid_loc_2_source,
+        max(case when s.role = 'geo' and o = 1 then header end) geo_loc_1_source, max(case when s.role = 'geo' and o = 2 then header end) geo_loc_2_source from known k join slots s using (table_id, col) group by all),
     by_column as (select * from wide where site_name is not null and regexp_matches(lower(site_name), '\\p{Nd}') and not contains(lower(site_name), 'unnamed'))"""
 
 
@@ -459,15 +489,20 @@ def column_extract(spark, d):
     return S.extract_columns(_site_cells(spark, d), S.header_roles(_roles(spark, d)))
 
 
-_KEYS = """marked as (select c.*, role, case when value is null then 'nan' when not regexp_matches(lower(value), '\\p{Nd}') then 'no_num' when contains(lower(value), 'unnamed') then 'nan' else 'valid' end k,
+_KEYS = """every as (select distinct table_id, 0::bigint as row, col::bigint col, header as value from cells union all select table_id, row, col, value from cells),
+    marked as (select c.*, role, case when value is null then 'nan' when not regexp_matches(lower(value), '\\p{Nd}') then 'no_num' when contains(lower(value), 'unnamed') then 'nan' else 'valid' end k,
+        case when value is null or trim(value) = '' then 'nan' when regexp_matches(regexp_replace(replace(trim(lower(value)), 'amg', ''), '[snewm]', '', 'g'), '\\p{Ll}') then 'bad' else 'valid' end l,
         case when lead(c.col) over (partition by table_id, row order by c.col) = c.col + 1 then lead(value) over (partition by table_id, row order by c.col) end x
-        from cells c left join roles on c.value = roles.header),
-    walked as (select *, first_value(case when k <> 'nan' then {'v': value, 'k': k, 'x': x} end ignore nulls) over (partition by table_id, row order by col rows between 1 following and unbounded following) r,
-        first_value(case when k <> 'nan' then {'v': value, 'k': k, 'x': x} end ignore nulls) over (partition by table_id, col order by row rows between 1 following and unbounded following) w from marked),
+        from every c left join roles on c.value = roles.header),
+    walked as (select *, first_value(case when k <> 'nan' then {'v': value, 'k': k, 'x': x} end ignore nulls) over right_of r, first_value(case when k <> 'nan' then {'v': value, 'k': k, 'x': x} end ignore nulls) over below w,
+        first_value(case when l <> 'nan' then {'v': value, 'l': l} end ignore nulls) over right_of lr, first_value(case when l <> 'nan' then {'v': value, 'l': l} end ignore nulls) over below lw
+        from marked window right_of as (partition by table_id, row order by col rows between 1 following and unbounded following), below as (partition by table_id, col order by row rows between 1 following and unbounded following)),
     named as (select *, case when r.k = 'valid' then r.v when r.k = 'no_num' and r.x is not null and not regexp_matches(lower(r.x), '\\p{Ll}') then r.v || ' ' || r.x end rv,
         case when w.k = 'valid' then w.v when w.k = 'no_num' and w.x is not null and not regexp_matches(lower(w.x), '\\p{Ll}') then w.v || ' ' || w.x end wv from walked where role = 'site'),
     chosen as (select table_id, value source, coalesce(rv, wv) site_name, row_number() over (partition by table_id order by row desc, col desc) o from named),
-    by_key as (select table_id, site_name, source from chosen where o = 1 and site_name is not null)"""
+    places as (select table_id, role, value source, coalesce(case when lr.l = 'valid' then lr.v end, case when lw.l = 'valid' then lw.v end) v, row_number() over (partition by table_id, role order by row, col) o from walked where role in ('geo', 'grid')),
+    placed as (select table_id, """ + ", ".join(f"max(case when role = '{k}' and o = {i} then v end) {k}_loc_{i}, max(case when role = '{k}' and o = {i} then source end) {k}_loc_{i}_source" for k in ("grid", "geo") for i in (1, 2)) + """ from places group by table_id),
+    by_key as (select table_id, site_name, source site_name_source, """ + ", ".join(f"{k}_loc_{i}, {k}_loc_{i}_source" for k in ("grid", "geo") for i in (1, 2)) + """ from chosen left join placed using (table_id) where o = 1 and site_name is not null)"""
 
 
 @query(f"with {MATCHES}, {_KEYS} select * from by_key")
@@ -475,6 +510,12 @@ def key_extract(spark, d):
     return S.extract_keys(A.cells(spark, d), S.header_roles(_roles(spark, d)))
 
 
+@query(f"with {_SITE_CELLS.replace('select distinct p_type from part', 'select distinct value from cells')}, {_SLOTS}, {_KEYS} select distinct table_id, {', '.join(S.VALUES + S.SOURCES)} from (select * exclude (row) from by_column union all by name select * from by_key)")
+def site_extract(spark, d):
+    """Both modes over all tables, with locations and sources."""
+    return S.extract_sites(_site_cells(spark, d), S.vocabulary(spark, TERMS))
+
+
 @query(f"with {_SITE_CELLS}, {_SLOTS}, {_KEYS} select distinct * from (select table_id, site_name from by_column union all select table_id, site_name from by_key)")
 def site_union_dedup(spark, d):
     cells, roles = _site_cells(spark, d), S.header_roles(_roles(spark, d))
