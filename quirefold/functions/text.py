@@ -45,6 +45,7 @@ def contains_word(text: Column, *words: str) -> Column:
     return flag(found)
 
 
+# Patterns of section numbers and page numbers.
 PREFIX = r"^([0-9]+\.*[0-9]*\.*[0-9]*)"
 PAGE_NUMBER = r"(\t[0-9]+)$"
 
@@ -100,6 +101,11 @@ def token_shapes(text: Column, literal_small: bool = False) -> Column:
     return F.array_join(F.transform(parts, shape), "")
 
 
+def number_words(text: Column) -> Column:
+    """Tokens that begin with a digit become one word; the others stay, single blanks between."""
+    return F.array_join(F.transform(tokens(text), lambda t: F.when(t.rlike("^[0-9]"), "smallNum").otherwise(t)), " ")
+
+
 def normalized_header(text: Column) -> Column:
     """Lower case, no punctuation, no blanks around, no line ends."""
     return F.regexp_replace(F.trim(F.regexp_replace(F.lower(text), PUNCTUATION, "")), "\n", "")
@@ -131,13 +137,17 @@ def padded_number(value: Column, width: int = 3) -> Column:
     return F.when(F.length(value) < width, F.lpad(value, width, "0")).otherwise(value)
 
 
+# Patterns of numbered headings and of figure captions.
+SUBHEADING, HEADING, FIGURE = r"(?U)^[0-9]+\.[0-9]+\s+\w+", r"(?U)^[0-9]+\.*\s+\w+", r"(Figure|FIGURE)\s\d+\.*\s*\w*"
+
+
 def rule_heading(text: Column) -> Column:
     """Weak label of a contents line: 2 for a.b and a word, 1 for a number and a word, else 0."""
-    return F.when(text.rlike(r"(?U)^[0-9]+\.[0-9]+\s+\w+"), 2).when(text.rlike(r"(?U)^[0-9]+\.*\s+\w+"), 1).otherwise(0)
+    return F.when(text.rlike(SUBHEADING), 2).when(text.rlike(HEADING), 1).otherwise(0)
 
 
 def figure_line(text: Column) -> Column:
-    return flag(text.rlike(r"(Figure|FIGURE)\s\d+\.*\s*\w*"))
+    return flag(text.rlike(FIGURE))
 
 
 def digit_tokens(text: Column) -> Column:

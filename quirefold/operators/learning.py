@@ -12,6 +12,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from quirefold.operators.metadata import confusion, stable_key, uncertain
+from quirefold.operators.pages import carry
 from quirefold.sources.shared import materialize
 
 
@@ -32,6 +34,7 @@ CARDS = {
     c.name: c
     for c in (
         ModelCard("toc", ("page_num", "num_children", "contains_toc_phrase", "contains_contents_word", "contains_list_of"), "toc_page", "tree"),
+        ModelCard("toc_carried", ("page_num", "num_children", "contains_toc_phrase", "contains_contents_word", "contains_list_of", "prev_toc"), "toc_page", "tree"),
         ModelCard("fig", ("page_num", "med_confidence", "avg_confidence", "range_confidence", "iqr_confidence", "med_line_len", "contains_fig_word", "contains_fig_ln", "fig_pos"), "fig_page", "forest"),
         ModelCard("marginal_lines", ("page_num", "line_num", "normed_line_num", "words2width", "words_width", "width", "height", "left", "top", "contains_num", "contains_tab", "contains_page"), "marginal", "forest"),
         ModelCard("heading_id_toc", ("left", "top"), "heading", "text", "processed"),
@@ -85,6 +88,77 @@ def classify(model: PipelineModel, rows: DataFrame, label: str, masked: bool = F
     return out.filter(F.col(label) > 0) if masked else out
 
 
+def features_only(rows: DataFrame, *drop: str) -> DataFrame:
+    """rows without columns that are no features; names that they lack are ignored."""
+    return rows.drop("doc_id", "tag_method", *drop)
+
+
+def carried_pages(model: PipelineModel, pages: DataFrame, label: str) -> DataFrame:
+    """Contents pages by a model that knows whether the page before is one: (doc_id, page_num, is_toc).
+
+    Each page is predicted for both cases, and the state is carried from page to page."""
+    both = pages.drop("prev_toc").withColumn("prev_toc", F.explode(F.array(F.lit(0), F.lit(1))))
+    given = both.withColumn("_p", F.col("prev_toc"))
+    found = model.transform(given).select("doc_id", "page_num", "_p", F.col("prediction").cast("int").alias("_y"))
+    sides = found.groupBy("doc_id", "page_num").agg(*[F.max(F.when(F.col("_p") == k, F.col("_y"))).alias(f"f{k}") for k in (0, 1)])
+    return carry(sides)
+
+
+def teach(rows: DataFrame, answers: DataFrame, keys: list[str], label: str) -> DataFrame:
+    """rows with human labels: answers (keys, answer) replace the label and set tag_method to manual."""
+    given = answers.filter(F.col("answer").isNotNull()).groupBy(*keys).agg(F.max("answer").alias("_answer"))
+    out = rows.join(given, keys, "left")
+    taught = F.col("_answer").isNotNull()
+    out = out.withColumn(label, F.coalesce("_answer", label)).withColumn("tag_method", F.when(taught, "manual").otherwise(F.col("tag_method")))
+    return out.drop("_answer")
+
+
+def queue(rows: DataFrame, model: PipelineModel, label: str, key: str, n: int) -> DataFrame:
+    """The n unlabelled rows that the model is least certain of, with `uncertainty`."""
+    scored = model.transform(rows.filter(F.col(label).isNull()))
+    return uncertain(scored, F.array_max(vector_to_array("probability")), key, n)
+
+
+def score(model: PipelineModel, rows: DataFrame, label: str) -> DataFrame:
+    """(y, predicted, n): the confusion counts of the rows with a label, of which accuracy and the rest follow."""
+    out = model.transform(rows.dropna(subset=[label]))
+    return confusion(out.select(F.col(label).cast("int").alias("y"), F.col("prediction").cast("int").alias("predicted")))
+
+
+def human_rows(rows: DataFrame) -> DataFrame:
+    """Rows whose labels people gave: on these a passively trained model is evaluated."""
+    return rows.filter(F.col("tag_method").isin("manual", "legacy"))
+
+
+def reset_auto(rows: DataFrame, label: str) -> DataFrame:
+    """rows with automatic labels unset."""
+    auto = F.coalesce(F.col("tag_method") == "auto", F.lit(False))
+    return rows.withColumn(label, F.when(~auto, F.col(label)))
+
+
+def training_plan(rows: DataFrame, label: str, n_queries: int) -> tuple[DataFrame, int]:
+    """The rows and the number of questions of a training round: as many as are unlabelled at most; where everything is
+    labelled, automatic labels are unset and asked for again."""
+    unlabelled = rows.filter(F.col(label).isNull()).limit(max(n_queries, 1)).count()
+    if unlabelled == 0:
+        return reset_auto(rows, label), n_queries
+    return rows, min(n_queries, unlabelled)
+
+
+def round_of_learning(card: ModelCard, rows: DataFrame, key: str, n_queries: int, answers: DataFrame | None = None, **options) -> dict:
+    """One round: without questions fit on all labelled rows and evaluate on those that people labelled; else fit, ask
+    for the least certain rows, and with answers (key, answer) teach them and fit again.
+
+    {"model", "rows", "queue", "confusion"}."""
+    rows, n = training_plan(rows, card.label, n_queries) if n_queries else (rows, 0)
+    model = fit(card, rows, **options)
+    asked = queue(rows, model, card.label, key, n) if n else None
+    if answers is not None:
+        rows = teach(rows, answers, [key], card.label)
+        model = fit(card, rows, **options)
+    return {"model": model, "rows": rows, "queue": asked, "confusion": score(model, rows if n else human_rows(rows), card.label)}
+
+
 def save(model: PipelineModel, folder: str, name: str, mode: str) -> str:
     path = f"{folder}/{mode}/{name}"
     model.write().overwrite().save(path)
@@ -96,8 +170,8 @@ def load(folder: str, name: str, mode: str) -> PipelineModel:
 
 
 def hold_out(rows: DataFrame, key: str, percent: int = 20) -> tuple[DataFrame, DataFrame]:
-    """(train, test) by a hash of the key: the same at every run, whatever the partitions."""
-    bucket = F.pmod(F.xxhash64(key), F.lit(100))
+    """(train, test) by a scrambled whole-number key: the same at every run, whatever the partitions."""
+    bucket = stable_key(F.col(key)) % 100
     return rows.filter(bucket >= percent), rows.filter(bucket < percent)
 
 

@@ -13,8 +13,8 @@ def open_reports(reports: DataFrame, mark: str = "C") -> DataFrame:
     return reports.filter(~F.col("rstatus").contains(mark))
 
 
-def filter_reports(reports: DataFrame, after: str | None = None, submitter: str | None = None, include: list[str] | None = None, exclude: list[str] | None = None, legacy: bool = False) -> DataFrame:
-    """Date after, submitter contains, type contains any (legacy: all) of include and none of exclude."""
+def filter_reports(reports: DataFrame, after: str | None = None, submitter: str | None = None, include: list[str] | None = None, exclude: list[str] | None = None, legacy: bool = False, exclude_titles: list[str] | None = None) -> DataFrame:
+    """Date after, submitter contains, type contains any (legacy: all) of include and none of exclude, title none of exclude_titles."""
     if after:
         reports = reports.filter(F.col("repdate") > F.to_date(F.lit(after)))
     if submitter:
@@ -24,6 +24,8 @@ def filter_reports(reports: DataFrame, after: str | None = None, submitter: str
         reports = reports.filter(reduce(lambda a, b: a & b if legacy else a | b, has))
     for t in exclude or []:
         reports = reports.filter(~F.col("rtype").contains(t))
+    for t in exclude_titles or []:
+        reports = reports.filter(~F.col("rtitle").contains(t))
     return reports
 
 

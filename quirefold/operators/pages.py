@@ -57,6 +57,12 @@ def carry(pages: DataFrame) -> DataFrame:
 
 
 def tag_after_contents(pages: DataFrame) -> DataFrame:
-    """pages (doc_id, page_num, toc): prev_toc is 1 on the page after a contents page (pages may be missing)."""
+    """pages (doc_id, page_num, toc): prev_toc is 1 on the page after a contents page (pages may be missing).
+
+    Where pages have a tag_method, an automatic label 0 of such a page is unset, to be given anew."""
     after = pages.filter("toc = 1").select("doc_id", (F.col("page_num") + 1).alias("page_num"), F.lit(1).alias("_after")).distinct()
-    return pages.join(after, ["doc_id", "page_num"], "left").withColumn("prev_toc", F.coalesce("_after", F.lit(0))).drop("_after")
+    out = pages.join(after, ["doc_id", "page_num"], "left").withColumn("prev_toc", F.coalesce("_after", F.lit(0))).drop("_after")
+    if "tag_method" not in pages.columns:
+        return out
+    again = (F.col("prev_toc") == 1) & F.coalesce(F.col("tag_method") == "auto", F.lit(False)) & (F.col("toc") == 0)
+    return out.withColumn("toc", F.when(~F.coalesce(again, F.lit(False)), F.col("toc")))

@@ -55,6 +55,42 @@ def parse_table_text(files: DataFrame) -> DataFrame:
     return full.select("file_id", "table_num", F.col("row").cast("long").alias("row"), (F.col("_i") + 1).cast("long").alias("col"), "header", "value")
 
 
+#: What a file without tables holds.
+NO_TABLES = "[NO TABLES]"
+
+
+def selected_tables(cells: DataFrame, chosen: DataFrame) -> DataFrame:
+    """Cells of the tables that a prediction chose. chosen (file_id, table_num)."""
+    return cells.join(chosen.select("file_id", "table_num").distinct(), ["file_id", "table_num"], "left_semi")
+
+
+def table_files(cells: DataFrame, files: DataFrame | None = None) -> DataFrame:
+    """(file_id, content): a file's tables as comma-separated text, each under a banner and with a blank line after it,
+    numbered anew from 1. files (file_id): those without a table hold a mark that says so."""
+    quoted = lambda c: F.when(c.rlike('[",\\n\\r]'), F.concat(F.lit('"'), F.regexp_replace(c, '"', '""'), F.lit('"'))).otherwise(F.coalesce(c, F.lit("")))
+    keys = ["file_id", "table_num"]
+    heads = cells.select(*keys, F.lit(0).cast("long").alias("row"), F.col("col").cast("long").alias("col"), F.col("header").alias("value")).distinct()
+    every = heads.unionByName(cells.select(*keys, F.col("row").cast("long").alias("row"), F.col("col").cast("long").alias("col"), "value"))
+    cell = F.struct("col", quoted(F.col("value")).alias("v"))
+    rows = every.groupBy(*keys, "row").agg(F.array_join(F.transform(F.array_sort(F.collect_list(cell)), lambda x: x["v"]), ",").alias("line"))
+    tables = rows.groupBy(*keys).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("row", "line"))), lambda x: x["line"]), "\n").alias("body"))
+    ordered = F.array_sort(F.collect_list(F.struct("table_num", "body")))
+    text = F.transform(ordered, lambda x, i: F.concat(F.lit("Table: Table "), (i + 1).cast("string"), F.lit("\n"), x["body"], F.lit('\n""\n')))
+    whole = tables.groupBy("file_id").agg(F.array_join(text, "").alias("content"))
+    if files is None:
+        return whole
+    return files.select("file_id").distinct().join(whole, "file_id", "left").withColumn("content", F.coalesce("content", F.lit(NO_TABLES + "\n")))
+
+
+def table_similarity(cells: DataFrame) -> DataFrame:
+    """(table_id, row, col, other_row, other_col, similarity) of all pairs of cells of a table, header row included: cosine
+    of character counts. A table's cells are bounded by what one page or sheet holds."""
+    sized = cell_vectors(cells)
+    other = sized.select("table_id", F.col("row").alias("other_row"), F.col("col").alias("other_col"), F.col("n").alias("m"), F.col("s").alias("t"))
+    pairs = sized.join(other, "table_id").filter((F.col("row") < F.col("other_row")) | ((F.col("row") == F.col("other_row")) & (F.col("col") < F.col("other_col"))))
+    return pairs.select("table_id", "row", "col", "other_row", "other_col", count_cosine().alias("similarity"))
+
+
 def key_values(pairs: DataFrame, keys: list[str]) -> DataFrame:
     """pairs (keys, key, ord, value): the last value of each key."""
     return pairs.groupBy(*keys, "key").agg(F.max_by("value", "ord").alias("value"))
@@ -93,19 +129,29 @@ def neighbours(cells: DataFrame, klass: Column, key: Column) -> DataFrame:
     return found.select("table_id", "row", "col", "value", *both)
 
 
-def line_similarity(cells: DataFrame) -> DataFrame:
-    """(table_id, line, row, col, other_row, other_col, similarity): cosine of character counts of all pairs of cells in
-    a row or in a column (`line`), each pair once; the header is row 0. Letter case and the length of white space do not
-    count; pairs without a common character, empty cells among them, have 0."""
+def cell_vectors(cells: DataFrame) -> DataFrame:
+    """(table_id, row, col, n, s): character counts of each cell and their length, headers as row 0."""
     body = cells.select("table_id", F.col("row").cast("long").alias("row"), F.col("col").cast("long").alias("col"), "value")
     header = cells.select("table_id", F.lit(0).cast("long").alias("row"), F.col("col").cast("long").alias("col"), F.col("header").alias("value")).distinct()
     text = F.regexp_replace(F.lower(F.coalesce("value", F.lit(""))), r"\s\s+", " ")
     chars = F.filter(F.split(text, ""), lambda c: c != "")
     counts = F.map_from_arrays(F.array_distinct(chars), F.transform(F.array_distinct(chars), lambda c: F.size(F.filter(chars, lambda x: x == c)).cast("double")))
-    sized = body.unionByName(header).withColumn("n", counts).withColumn("s", F.sqrt(F.aggregate(F.map_values("n"), F.lit(0.0), lambda a, x: a + x * x)))
-    other = sized.select("table_id", F.col("row").alias("other_row"), F.col("col").alias("other_col"), F.col("n").alias("m"), F.col("s").alias("t"))
+    vectors = body.unionByName(header).select("table_id", "row", "col", counts.alias("n"))
+    return vectors.withColumn("s", F.sqrt(F.aggregate(F.map_values("n"), F.lit(0.0), lambda a, x: a + x * x)))
+
+
+def count_cosine() -> Column:
+    """Of the counts n and m of lengths s and t."""
     dot = F.aggregate(F.map_entries("n"), F.lit(0.0), lambda a, x: a + x["value"] * F.coalesce(F.try_element_at("m", x["key"]), F.lit(0.0)))
-    cosine = F.when((F.col("s") > 0) & (F.col("t") > 0), dot / (F.col("s") * F.col("t"))).otherwise(F.lit(0.0))
+    return F.when((F.col("s") > 0) & (F.col("t") > 0), dot / (F.col("s") * F.col("t"))).otherwise(F.lit(0.0))
+
+
+def line_similarity(cells: DataFrame) -> DataFrame:
+    """(table_id, line, row, col, other_row, other_col, similarity): cosine of character counts of all pairs of cells in
+    a row or in a column (`line`), each pair once; the header is row 0. Letter case and the length of white space do not
+    count; pairs without a common character, empty cells among them, have 0."""
+    sized, cosine = cell_vectors(cells), count_cosine()
+    other = sized.select("table_id", F.col("row").alias("other_row"), F.col("col").alias("other_col"), F.col("n").alias("m"), F.col("s").alias("t"))
 
     def pairs(line: str, same: str, apart: str) -> DataFrame:
         joined = sized.join(other.withColumnRenamed(f"other_{same}", same), ["table_id", same]).filter(F.col(apart) < F.col(f"other_{apart}"))

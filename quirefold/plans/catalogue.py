@@ -11,12 +11,16 @@ from pyspark.sql import functions as F
 from quirefold.functions import text as X
 from quirefold.operators import blocks as B
 from quirefold.operators import headings as H
+from quirefold.operators import learning as N
 from quirefold.operators import lines as L
 from quirefold.operators import metadata as M
 from quirefold.operators import pages as P
+from quirefold.operators import report as RP
 from quirefold.operators import sites as S
 from quirefold.operators import tables as T
 from quirefold.plans import adapters as A
+from quirefold.sources import readers as R
+from quirefold.sources.shared import materialize
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -288,11 +292,11 @@ def page_number_pick(spark, d):
     return A.numbered_lines(spark, d).select("line_id", X.page_number(F.col("text"), position).alias("page_number"))
 
 
-@query("select o_orderkey, case when length(o_custkey::varchar) < 3 then lpad(o_custkey::varchar, 3, '0') else o_custkey::varchar end padded, 'pdf' extension, regexp_extract('cr_' || o_orderkey::varchar || '_' || o_custkey::varchar || '_x.json', 'cr_([0-9]+)_([0-9]+)', 2) file_num from orders")
+@query("select o_orderkey, case when length(o_custkey::varchar) < 3 then lpad(o_custkey::varchar, 3, '0') else o_custkey::varchar end padded, 'json' extension, regexp_extract('cr_' || o_orderkey::varchar || '_' || o_custkey::varchar || '_x.json', 'cr_([0-9]+)_([0-9]+)', 2) file_num from orders")
 def name_parts(spark, d):
     c = F.col("o_custkey").cast("string")
     name = F.concat(F.lit("cr_"), F.col("o_orderkey").cast("string"), F.lit("_"), c, F.lit("_x.json"))
-    return A.table(spark, d, "orders").select("o_orderkey", X.padded_number(c).alias("padded"), X.file_extension(F.lit("a.pdf")).alias("extension"), F.regexp_extract(name, "cr_([0-9]+)_([0-9]+)", 2).alias("file_num"))
+    return A.table(spark, d, "orders").select("o_orderkey", X.padded_number(c).alias("padded"), X.file_extension(name).alias("extension"), F.regexp_extract(name, "cr_([0-9]+)_([0-9]+)", 2).alias("file_num"))
 
 
 # ---- headings and sections ---------------------------------------------------------------------------------------
@@ -716,9 +720,10 @@ def keyword_pool(spark, d):
     return M.keyword_pool(A.table(spark, d, "documents"), "text", ["licensed", "released"]).select("doc_id").distinct()
 
 
-@query("select doc_id, case when (doc_id * 2654435761) % 4294967296 % 10 < 8 then 'train' else 'test' end split from labels")
+@query("select doc_id, case when (doc_id * 2654435761) % 4294967296 % 100 >= 20 then 'train' else 'test' end split from labels")
 def train_test_split(spark, d):
-    return A.table(spark, d, "labels").select("doc_id", F.when(M.stable_key(F.col("doc_id")) % 10 < 8, "train").otherwise("test").alias("split"))
+    train, test = N.hold_out(A.table(spark, d, "labels").select("doc_id"), "doc_id")
+    return train.withColumn("split", F.lit("train")).unionByName(test.withColumn("split", F.lit("test")))
 
 
 @query("with w as (select doc_id, unnest(list_filter(regexp_split_to_array(lower(text), '\\s+'), lambda x: x <> '')) w from documents) select count(distinct w) n_words, (select max(n)::bigint from (select count(*) n from w group by doc_id)) longest from w")
@@ -730,6 +735,165 @@ def corpus_vocab(spark, d):
     return distinct.withColumn("_k", F.lit(1)).join(longest.withColumn("_k", F.lit(1)), "_k").drop("_k")
 
 
+@query(f"with {A.CELLS}, v as (select table_id, row, col, value from cells union all select distinct table_id, 0, col, header from cells), n as (select table_id, row, col, c, count(*) n from v, unnest(string_split(lower(value), '')) u(c) where c <> '' group by all), s as (select table_id, row, col, sqrt(sum(n * n)) s from n group by all), p as (select a.table_id, a.row r, a.col c, b.row r2, b.col c2 from s a join s b on a.table_id = b.table_id and (a.row < b.row or a.row = b.row and a.col < b.col)), d as (select a.table_id, a.row r, a.col c, b.row r2, b.col c2, sum(a.n * b.n) d from n a join n b on a.table_id = b.table_id and a.c = b.c and (a.row < b.row or a.row = b.row and a.col < b.col) group by all) select p.table_id, count(*) n_pairs, round(max(coalesce(d, 0) / (x.s * y.s)), 6) closest, round(avg(coalesce(d, 0) / (x.s * y.s)), 6) average from p left join d using (table_id, r, c, r2, c2) join s x on x.table_id = p.table_id and x.row = r and x.col = c join s y on y.table_id = p.table_id and y.row = r2 and y.col = c2 group by p.table_id")
+def cell_table_similarity(spark, d):
+    """All pairs of cells of each table, headers included, summed up by table."""
+    pairs = T.table_similarity(A.cells(spark, d))
+    return pairs.groupBy("table_id").agg(F.count(F.lit(1)).alias("n_pairs"), r6(F.max("similarity")).alias("closest"), r6(F.avg("similarity")).alias("average"))
+
+
+_FILES = "file_cells as (select *, p_brand file_id, split_part(table_id, '-', 2)::bigint + 1 table_num from cells join (select distinct p_brand from part) on starts_with(table_id, p_brand || '-'))"
+
+
+def _file_cells(spark, d):
+    """Cells by file (a brand) and number of the table within it."""
+    parts = F.split("table_id", "-")
+    return A.cells(spark, d).select(parts[0].alias("file_id"), (parts[1].cast("long") + 1).alias("table_num"), "row", "col", "header", "value")
+
+
+def _chosen_tables(spark, d):
+    """What stands for a prediction: tables with a cell of a certain text."""
+    return _file_cells(spark, d).filter("value = 'hot bolt' and file_id <> 'Brand#1'").select("file_id", "table_num").distinct()
+
+
+_CHOSEN = f"{A.CELLS}, {_FILES}, chosen as (select distinct file_id, table_num from file_cells where value = 'hot bolt' and file_id <> 'Brand#1')"
+
+
+@query(f"with {_CHOSEN} select file_id, table_num, row, col, value from file_cells semi join chosen using (file_id, table_num)")
+def selected_tables(spark, d):
+    """The tables that a classifier chose."""
+    return T.selected_tables(_file_cells(spark, d), _chosen_tables(spark, d)).select("file_id", "table_num", "row", "col", "value")
+
+
+@query(
+    f"""with {_CHOSEN}, kept as (select * from file_cells semi join chosen using (file_id, table_num)), every as (select distinct file_id, table_num, 0::bigint as row, col, header as value from kept union all select file_id, table_num, row, col, value from kept),
+    lines as (select file_id, table_num, row, string_agg(value, ',' order by col) line from every group by all), bodies as (select file_id, table_num, string_agg(line, chr(10) order by row) body from lines group by all),
+    numbered as (select *, row_number() over (partition by file_id order by table_num) k from bodies), texts as (select file_id, string_agg('Table: Table ' || k::varchar || chr(10) || body || chr(10) || '""' || chr(10), '' order by k) content from numbered group by file_id)
+    select file_id, coalesce(content, '{T.NO_TABLES}' || chr(10)) as content from (select distinct file_id from file_cells) left join texts using (file_id)"""
+)
+def table_csv(spark, d):
+    """Chosen tables of each file as text with banners, or the mark that there are none."""
+    cells = _file_cells(spark, d)
+    return T.table_files(T.selected_tables(cells, _chosen_tables(spark, d)), cells)
+
+
+@query("with k as (select 'cr_' || (o_custkey % 97)::varchar || '_' || o_orderkey::varchar || '.' || case o_orderkey % 3 when 0 then 'pdf' when 1 then 'tif.gz' else 'txt' end as key from orders), w as (select distinct 'cr_' || (o_custkey % 89)::varchar || '_' || o_orderkey::varchar prefix from orders) select prefix, min(key) as key from w join k on split_part(key, '.', 1) = prefix group by prefix")
+def first_keys(spark, d):
+    """The first key of each wanted prefix."""
+    o = A.table(spark, d, "orders")
+    name = lambda n: F.concat(F.lit("cr_"), (F.col("o_custkey") % n).cast("string"), F.lit("_"), F.col("o_orderkey").cast("string"))
+    ending = F.when(F.col("o_orderkey") % 3 == 0, "pdf").when(F.col("o_orderkey") % 3 == 1, "tif.gz").otherwise("txt")
+    return R.first_with_prefix(o.select(F.concat(name(97), F.lit("."), ending).alias("key")), o.select(name(89).alias("prefix")).distinct())
+
+
+@query("select o_custkey::varchar doc_id, case when o_orderkey % 3 = 0 then '1' else o_orderkey::varchar end file_num from orders where o_orderkey % 4 <> 1")
+def numbered_names(spark, d):
+    """Document and file numbers of names, those with letters left out."""
+    o = A.table(spark, d, "orders")
+    k = F.col("o_orderkey")
+    doc = F.concat(F.col("o_custkey").cast("string"), F.when(k % 4 == 1, "a").otherwise(""))
+    key = F.concat(F.lit("docs/cr_"), doc, F.when(k % 3 == 0, "").otherwise(F.concat(F.lit("_"), k.cast("string"))), F.lit(".docx"))
+    return R.numbered_names(o.select(key.alias("key")))
+
+
+@query(f"with {A.NUMBERED}, t as (select line_id, list_filter(regexp_split_to_array(text, '\\s+'), lambda w: w <> '') w from numbered) select line_id, array_to_string(list_transform(w, lambda x: case when regexp_matches(x, '^[0-9]') then 'smallNum' else x end), ' ') words from t")
+def num2word(spark, d):
+    return A.numbered_lines(spark, d).select("line_id", X.number_words(F.col("text")).alias("words"))
+
+
+@query(f"with {A.LABELLED} select doc_id, coalesce(a, y) y, case when a is not null then 'manual' else tag_method end tag_method from labelled left join (select doc_id, toxic::bigint a from labels where doc_id % 7 = 0) using (doc_id)")
+def teach_labels(spark, d):
+    """Human answers become labels."""
+    answers = A.table(spark, d, "labels").filter("doc_id % 7 = 0").select("doc_id", F.col("toxic").cast("long").alias("answer"))
+    return N.teach(A.labelled(spark, d), answers, ["doc_id"], "y")
+
+
+@query(f"with {A.LABELLED} select doc_id, case when tag_method = 'auto' then null else y end y, tag_method from labelled")
+def reset_auto_tags(spark, d):
+    return N.reset_auto(A.labelled(spark, d), "y")
+
+
+@query(
+    f"""with {A.LINES}, {TOC}, p as (select doc_id, page_num, contains_toc_phrase toc, case when page_num % 2 = 0 then 'auto' end tag_method from toc),
+    a as (select p.*, case when b.doc_id is null then 0 else 1 end prev_toc from p left join (select distinct doc_id, page_num from p where toc = 1) b on p.doc_id = b.doc_id and p.page_num = b.page_num + 1)
+    select doc_id, page_num, prev_toc, tag_method, case when prev_toc = 1 and tag_method = 'auto' and toc = 0 then null else toc end toc from a"""
+)
+def tag_prev_reset(spark, d):
+    """Pages after a contents page; their automatic labels 0 are asked again."""
+    pages = _toc(spark, d).select("doc_id", "page_num", F.col("contains_toc_phrase").alias("toc"), F.when(F.col("page_num") % 2 == 0, "auto").alias("tag_method"))
+    return P.tag_after_contents(pages)
+
+
+_TOC_PAGE = "toc_page as (select doc_id, min(page_num) page_num from toc where contains_toc_phrase = 1 group by doc_id)"
+
+
+def _toc_page(spark, d):
+    return _toc(spark, d).filter("contains_toc_phrase = 1").groupBy("doc_id").agg(F.min("page_num").alias("page_num"))
+
+
+@query(
+    f"""with {A.LINES}, {TOC}, {_TOC_PAGE}, body as (select * from lines anti join toc_page using (doc_id, page_num)), {A.HEADINGS},
+    lw as ({_COUNTS.format(k="doc_id, line_num", t="text", f="body")}), hw as ({_COUNTS.format(k="doc_id, heading_id, level", t="regexp_replace(heading, '\\t[0-9]+$', '')", f="headings")}),
+    shared as (select doc_id, line_num, heading_id, level, lw.size ls, hw.size hs, sum(least(lw.n, hw.n)) b from lw join hw using (doc_id, word) group by all),
+    best as (select * from (select *, row_number() over (partition by doc_id, line_num order by b / (ls + hs - b) desc, level, heading_id) k from shared) where k = 1)
+    select doc_id, line_num, page_num, case when regexp_matches(text, '^[0-9]+.*?\\s[\\p{{L}}\\p{{N}}_]') then 1 else 0 end contains_num, coalesce(round(b / (ls + hs - b), 6), 0) matches_heading, coalesce(level, 0) matches_type, coalesce(heading_id, 0) matches_id
+    from body left join best using (doc_id, line_num)"""
+)
+def intext_frame(spark, d):
+    """Features of body lines for the in-text heading model."""
+    out = RP.intext_frame(A.lines(spark, d), _toc_page(spark, d), A.headings(spark, d))
+    return out.select("doc_id", "line_num", "page_num", "contains_num", r6("matches_heading").alias("matches_heading"), "matches_type", "matches_id")
+
+
+@query(
+    f"""with {A.LINES}, {TOC}, {_TOC_PAGE}, t as (select * from lines semi join toc_page using (doc_id, page_num)), p as (select *, regexp_extract(text, '(\\t[0-9]+)$', 1) page from t), q as (select *, left(text, length(text) - length(page)) body from p),
+    r as (select *, regexp_extract(body, '{X.PREFIX}', 1) prefix from q)
+    select doc_id, line_num, prefix section_prefix, substr(body, length(prefix) + 1) section_text, page section_page, {_coded('prefix', False)} || substr(body, length(prefix) + 1) || {_coded('page', False)} processed from r"""
+)
+def toc_heading_frame(spark, d):
+    """Lines of contents pages, taken apart for their model."""
+    rows = A.lines(spark, d).withColumn("left", F.lit(0.0)).withColumn("top", F.lit(0.0))
+    return RP.toc_heading_frame(rows, _toc_page(spark, d)).drop("left", "top", "text")
+
+
+_PLACED = "*, (line_num % 7) / 10.0::double \"left\", line_on_page / 10.0::double top, 0.5::double width, 0.01::double height"
+
+
+def _placed_lines(spark, d):
+    rows = A.lines(spark, d)
+    return rows.select("*", ((F.col("line_num") % 7) / 10).alias("left"), (F.col("line_on_page") / 10).alias("top"), F.lit(0.5).alias("width"), F.lit(0.01).alias("height"))
+
+
+@query(
+    f"""with {PAIRS}, placed as (select {_PLACED} from lines), heads as (select matched.doc_id, matched.heading_id, page_num from matched join lines using (doc_id, line_num))
+    select doc_id, heading_id, heads.page_num, round(595.0 * "left", 6) x0, round(842.0 * (1 - top), 6) y0, round(595.0 * ("left" + width), 6) x1, round(842.0 * (1 - top) - 842.0 * height, 6) y1
+    from heads join placed using (doc_id) where placed.page_num = heading_id and line_on_page = 1"""
+)
+def toc_link_boxes(spark, d):
+    """Links from the contents' lines to the pages of their headings."""
+    places = A.headings(spark, d).join(A.lines(spark, d).filter("line_on_page = 1").select("doc_id", F.col("page_num").alias("heading_id"), "page_num", "line_num"), ["doc_id", "heading_id"])
+    found = _matched(spark, d).select("doc_id", "heading_id", "line_num").join(A.lines(spark, d).select("doc_id", "line_num", "page_num"), ["doc_id", "line_num"])
+    rows = RP.toc_link_boxes(places, found, _placed_lines(spark, d), 595.0, 842.0)
+    return rows.select("doc_id", "heading_id", "page_num", *[r6(c).alias(c) for c in ("x0", "y0", "x1", "y1")])
+
+
+@query(f"with {A.LINES} select doc_id, page_num, line_num, round((line_num % 7) / 10.0::double, 6) \"left\", 'marginal' kind from lines where line_on_page = 1 or line_on_page = 5")
+def boxes_at_pages(spark, d):
+    """Boxes of marked lines by page, as an overlay draws them."""
+    marks = A.lines(spark, d).filter("line_on_page in (1, 5)").select("doc_id", "page_num", "line_num", F.lit("marginal").alias("kind"))
+    return RP.boxes_at_pages(_placed_lines(spark, d), marks).select("doc_id", "page_num", "line_num", r6("left").alias("left"), "kind")
+
+
+@query()
+def report_objects(spark, d):
+    """Each document as one JSON object: pages, contents page, sections and bookmarks."""
+    matched = materialize(_matched(spark, d), "matched")
+    lines = A.lines(spark, d)
+    heads = matched.join(lines.select("doc_id", "line_num", "page_num"), ["doc_id", "line_num"])
+    tree = H.bookmarks(heads, _toc_page(spark, d))
+    return RP.report_objects(H.section_texts(H.section_lines(lines, matched)), tree, _toc_page(spark, d), lines)
+
+
 @query("select page_id, regexp_extract(html, '<title>(.*?)</title>', 1) title, regexp_extract(html, '(?s)<h1>(.*?)</h1>', 1) h1, len(regexp_extract_all(html, '<li>'))::bigint n_nav, regexp_extract(html, '(?s)<footer>(.*?)</footer>', 1) footer from pages")
 def html_outline(spark, d):
     h = F.col("html")

@@ -10,6 +10,7 @@ from quirefold.operators import learning as N
 from quirefold.operators import lines as L
 from quirefold.operators import metadata as M
 from quirefold.operators import pages as P
+from quirefold.operators import report as RP
 from quirefold.plans import adapters as A
 from quirefold.sources.shared import materialize
 
@@ -192,3 +193,34 @@ def labelling_queue(spark, d):
     card, rows = N.CARDS["toc"], _pages(spark, d)
     scored = N.fit(card, rows).transform(rows).withColumn("_key", F.col("doc_id") * 100000 + F.col("page_num"))
     return M.uncertain(scored, F.array_max(vector_to_array("probability")), "_key", 20).select("doc_id", "page_num", F.round("uncertainty", 6).alias("uncertainty"))
+
+
+@query()
+def toc_model_carry(spark, d):
+    """Contents pages by a tree that knows of the page before, carried from page to page."""
+    card = N.CARDS["toc_carried"]
+    pages = materialize(_pages(spark, d), "pages")
+    tagged = P.tag_after_contents(pages.withColumn("toc", F.col("toc_page")))
+    return N.carried_pages(N.fit(card, tagged), pages, card.label)
+
+
+@query()
+def heading_full_model(spark, d):
+    """In-text headings with match features where a document has a contents page, else without: the two stacked models."""
+    toc = P.contents_features(A.lines(spark, d), ("licensed",), ("of the",), ("la ",)).filter("contains_toc_phrase = 1").groupBy("doc_id").agg(F.min("page_num").alias("page_num"))
+    t, n = F.col("text"), F.col("line_num")
+    lines = A.lines(spark, d).select("doc_id", "page_num", "line_num", "text", X.word_count(t).alias("word_count"), ((n % 9) / F.lit(9.0)).alias("words2width"), ((n % 7) / F.lit(7.0)).alias("width"), F.lit(0.01).alias("height"), ((n % 5) / F.lit(5.0)).alias("left"))
+    frame = RP.intext_frame(lines, toc, A.headings(spark, d)).withColumn("text", F.substring("text", 1, 80))
+    frame = materialize(frame.withColumn("heading", F.when(F.col("matches_heading") > 0.5, F.col("matches_type")).otherwise(F.lit(0)).cast("int")), "frame")
+    full, plain = N.CARDS["heading_id_intext"], N.CARDS["heading_id_intext_no_toc"]
+    found = [N.classify(N.fit(c, frame, min_df=5.0), frame, c.label) for c in (full, plain)]
+    return RP.intext_headings(found[0], found[1], toc).select("doc_id", "line_num", "heading")
+
+
+@query()
+def learning_round(spark, d):
+    """A training round with answers to its questions: confusion counts after teaching."""
+    card = N.CARDS["toc"]
+    rows = materialize(_pages(spark, d).withColumn("_key", F.col("doc_id") * 100000 + F.col("page_num")), "rows")
+    known = rows.withColumn("answer", F.col(card.label)).withColumn(card.label, F.when(F.col("doc_id") % 3 > 0, F.col(card.label))).withColumn("tag_method", F.lit("legacy"))
+    return N.round_of_learning(card, known, "_key", 20, known.select("_key", "answer").filter("_key % 2 = 0"))["confusion"]

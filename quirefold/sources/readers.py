@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -87,3 +87,45 @@ def listing(spark: SparkSession, path: str, glob: str = "*", kinds: tuple[str, .
 def report_numbers(keys: DataFrame) -> DataFrame:
     """keys (key) with the file number in its name: what stands between the last underscore and the extension."""
     return keys.withColumn("report_num", F.regexp_extract("key", r"_([^_.]*)\.[^_]*$", 1))
+
+
+def first_with_prefix(keys: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(prefix, key): the first key, in key order, that begins with a wanted prefix and a full stop. Keys meet prefixes by
+    what stands before one of their stops, so there is no comparison of all with all."""
+    stops = F.split("key", r"\.")
+    starts = F.transform(F.sequence(F.lit(1), F.size(stops) - 1), lambda i: F.array_join(F.slice(stops, 1, i), "."))
+    cut = keys.filter(F.col("key").contains(".")).select("key", F.explode(starts).alias("prefix"))
+    return cut.join(wanted.select("prefix").distinct(), "prefix").groupBy("prefix").agg(F.min("key").alias("key"))
+
+
+def numbered_names(keys: DataFrame) -> DataFrame:
+    """(doc_id, file_num) of file names such as cr_12_3.docx; names whose numbers hold letters are left out."""
+    stem = F.regexp_extract("key", r"([^/]*?)(\.[^./]*)?$", 1)
+    parts = F.split(stem, "_")
+    named = keys.select(F.try_element_at(parts, F.lit(2)).alias("doc_id"), F.coalesce(F.try_element_at(parts, F.lit(3)), F.lit("1")).alias("file_num"))
+    return named.filter(F.col("doc_id").rlike("^[0-9]+$") & F.col("file_num").rlike("^[0-9]+$"))
+
+
+def file_path(folder: str, kind: str, ending: str, mode: str | None = None) -> Column:
+    """Where a document's file of a kind lies: folder/[mode/]kind/cr_<doc_id>_<file_num><ending>."""
+    parts = [p for p in (folder.rstrip("/"), mode, kind) if p]
+    return F.concat(F.lit("/".join(parts) + "/cr_"), F.col("doc_id").cast("string"), F.lit("_"), F.col("file_num").cast("string"), F.lit(ending))
+
+
+# Headers of the delimited files of drilling data, by kind of file.
+DRILLING = {
+    "collar": {"site": ("HOLEID", "HOLE_ID", "HOLE"), "east": ("EAST", "EASTING"), "north": ("NORTH", "NORTHING"), "level": ("RL", "ELEVATION", "LEVEL")},
+    "lithology": {"site": ("HOLEID", "HOLE_ID", "HOLE"), "from": ("FROM", "SAMPFROM", "DEPTH_FROM"), "to": ("TO", "SAMPTO", "DEPTH_TO"), "rock": ("LITH", "LITHOLOGY", "ROCK")},
+    "assay": {"site": ("HOLEID", "HOLE_ID", "HOLE"), "from": ("FROM", "SAMPFROM", "DEPTH_FROM"), "to": ("TO", "SAMPTO", "DEPTH_TO"), "sample": ("SAMPLE", "SAMPLEID", "SAMPLE_NO")},
+}
+
+
+def drilling(spark: SparkSession, path: str, kind: str, sep: str = ",") -> DataFrame:
+    """Delimited drilling data under common names, all other columns as they are, texts trimmed; numbers where they are."""
+    raw = spark.read.csv(path, header=True, sep=sep, multiLine=True, escape='"')
+    upper = {c.strip().upper(): c for c in raw.columns}
+    found = {name: next((upper[h] for h in headers if h in upper), None) for name, headers in DRILLING[kind].items()}
+    texts = ("site", "rock", "sample")
+    value = lambda name, c: F.trim(F.col(f"`{c}`")) if name in texts else F.trim(F.col(f"`{c}`")).try_cast("double")
+    known = [(value(n, c) if c else F.lit(None).cast("string" if n in texts else "double")).alias(n) for n, c in found.items()]
+    return raw.select(*known, *[F.trim(F.col(f"`{c}`")).alias(c) for c in raw.columns if c not in found.values() and c.strip().lower() not in found])

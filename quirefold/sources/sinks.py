@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quirefold.sources.shared import materialize
+
 
 def page_text(blocks: DataFrame) -> DataFrame:
     """(doc_id, content): the text of LINE blocks, an empty line for each PAGE, in block order."""
@@ -21,9 +23,35 @@ def section_text(sections: DataFrame) -> DataFrame:
 
 
 def append_rows(df: DataFrame, path: str) -> None:
+    """Add rows to a dataset. Every part file has the header, as a reader of the folder expects it; `single_csv` renders
+    one file with one header."""
     df.write.mode("append").option("header", "true").csv(path)
 
 
+def single_csv(df: DataFrame, order: list[str]) -> DataFrame:
+    """(part, content): comma-separated text in order, in parts whose contents make one file one after the other; only the
+    first has the header."""
+    quoted = lambda c: F.when(c.rlike('[",\\n\\r]'), F.concat(F.lit('"'), F.regexp_replace(c, '"', '""'), F.lit('"'))).otherwise(F.coalesce(c, F.lit("")))
+    line = F.concat_ws(",", *[quoted(F.col(c).cast("string")) for c in df.columns])
+    parts = materialize(df.repartitionByRange(*order).select(F.spark_partition_id().alias("part"), F.struct(*order, line.alias("_line")).alias("_r")), "csv_parts")
+    text = parts.groupBy("part").agg(F.array_join(F.transform(F.array_sort(F.collect_list("_r")), lambda x: F.concat(x["_line"], F.lit("\n"))), "").alias("content"))
+    head = df.sparkSession.createDataFrame([(-1, ",".join(df.columns) + "\n")], "part int, content string")
+    return head.unionByName(text)
+
+
+def pair_text(pairs: DataFrame, keys: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """(keys, content): form entries, a key and its value a line."""
+    line = F.concat("key", F.lit(","), "value", F.lit("\n"))
+    return pairs.groupBy(*keys).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("key", line.alias("_l")))), lambda x: x["_l"]), "").alias("content"))
+
+
+def line_maps(lines: DataFrame) -> DataFrame:
+    """(doc_id, content): a document's lines as JSON, a list of lines for each page."""
+    fields = [c for c in lines.columns if c not in ("doc_id", "page_num")]
+    pages = lines.groupBy("doc_id", "page_num").agg(F.array_sort(F.collect_list(F.struct("line_num", *[c for c in fields if c != "line_num"]))).alias("_l"))
+    return pages.groupBy("doc_id").agg(F.to_json(F.map_from_entries(F.array_sort(F.collect_list(F.struct(F.col("page_num").cast("string"), "_l"))))).alias("content"))
+
+
 def write_dataset(df: DataFrame, path: str, kind: str = "parquet") -> None:
     """Overwrite a dataset; it must not be one that df reads."""
     if any(f.rstrip("/").removeprefix("file://").startswith(path.rstrip("/").removeprefix("file://") + "/") for f in df.inputFiles()):
@@ -32,8 +60,14 @@ def write_dataset(df: DataFrame, path: str, kind: str = "parquet") -> None:
     (writer.option("header", "true") if kind == "csv" else writer).format(kind).save(path)
 
 
-def write_lines(lines: DataFrame, path: str) -> None:
-    lines.write.mode("overwrite").partitionBy("doc_id").json(path)
+#: Folders over which lines are spread.
+LINE_BUCKETS = 256
+
+
+def write_lines(lines: DataFrame, path: str, buckets: int = LINE_BUCKETS) -> None:
+    """Lines as JSON in a fixed number of folders by a hash of the document, whatever the number of documents."""
+    spread = lines.withColumn("bucket", F.pmod(F.xxhash64("doc_id"), F.lit(buckets)))
+    spread.repartition("bucket").write.mode("overwrite").partitionBy("bucket").json(path)
 
 
 def unprocessed(inputs: DataFrame, done: DataFrame, keys: list[str], force: bool = False) -> DataFrame:

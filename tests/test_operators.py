@@ -42,12 +42,12 @@ def sequential(boxes):
 def test_reconstruction_equals_a_loop_for_any_partitions(spark, data):
     boxes = A.boxes(spark, data).withColumn("text", F.concat("text", F.col("ord").cast("string")))
     expected = {}
-    for r in boxes.orderBy("doc_id", "ord").collect():
-        expected.setdefault(r.doc_id, []).append((r.ord, r.left, r.top, r.width, r.text))
+    for r in boxes.orderBy("doc_id", "page_num", "ord").collect():
+        expected.setdefault((r.doc_id, r.page_num), []).append((r.ord, r.left, r.top, r.width, r.text))
     for n in (1, 8):
         got = {}
-        for r in L.merge_lines(L.assign_lines(boxes.repartition(n))).orderBy("doc_id", "line_num").collect():
-            got.setdefault(r.doc_id, []).append(r.text)
+        for r in L.merge_lines(L.assign_lines(boxes.repartition(n))).orderBy("doc_id", "page_num", "line_num").collect():
+            got.setdefault((r.doc_id, r.page_num), []).append(r.text)
         assert got == {k: sequential(v) for k, v in expected.items()}
 
 
@@ -59,7 +59,7 @@ def test_cell_walk(spark):
     r = neighbours(cells, X.site_name_class(F.col("value")), F.col("value") == "hole name").first()
     assert (r.right_value, r.down_value) == ("BH 7", "X9")
     roles = S.header_roles(S.match_headers(cells.select(F.col("value").alias("header")), S.vocabulary(spark)))
-    assert [(x.site_name, x.source) for x in S.extract_keys(cells, roles).collect()] == [("BH 7", "hole name")]
+    assert [(x.site_name, x.site_name_source) for x in S.extract_keys(cells, roles).collect()] == [("BH 7", "hole name")]
     apart = spark.createDataFrame([("t", 1, 1, "hole name"), ("t", 1, 2, "Mary"), ("t", 1, 3, "12")], "table_id string, row long, col long, value string").withColumn("header", F.lit("h"))
     assert [x.site_name for x in S.extract_keys(apart, roles).collect()] == ["Mary 12"]
 
