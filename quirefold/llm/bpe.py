@@ -5,7 +5,7 @@ misses: a heap of adjacent pairs over a linked list of bytes merges the pair of
 pair is in the vocabulary; it takes n log n steps however long a pre-token is. Ranks come from a public vocabulary file
 whose path is a parameter; the file is read on the driver and broadcast after a check of its size.
 
-Row-local: no shuffle; a worker holds one Arrow batch, the vocabulary and two memos of bounded bytes. Any pre-token
+Row-local: no shuffle; a worker holds one Arrow batch, the vocabulary and memos of bounded bytes. Any pre-token
 pattern of the `regex` library will do; those of chunks.py are faster.
 
 Defined results: a null text counts as empty, has no ids and decodes to the empty string; very long texts and very
@@ -172,11 +172,16 @@ class Codec:
     def chunk(self, c: str) -> bytes:
         """A chunk after a blank. Words, and words before one mark, need no pattern."""
         if c.isalpha():
-            return self.known(f" {c}")
+            return self.chunks.memo.get(c) or self.pre_token(f" {c}")
         if c[-1] in ".,;:!?" and c[:-1].isalpha():
-            return self.known(f" {c[:-1]}") + self.known(c[-1])
+            return self.word(c[:-1]) + self.known(c[-1])
         return self.whole(f" {c}")
 
+    def word(self, c: str) -> bytes:
+        """A word after a blank; it goes to the memo of chunks."""
+        ids = self.chunks.memo.get(c)
+        return self.chunks.memo.put(c, self.pre_token(f" {c}")) if ids is None else ids
+
     def whole(self, text: str) -> bytes:
         return b"".join(map(self.known, self.find(text)))
 

@@ -9,27 +9,35 @@ That holds for the patterns listed here; with another one every text is encoded
 
 from __future__ import annotations
 
+import re
+from array import array
 from collections.abc import Callable, Iterable
 
+import numpy as np
+
+_NO_WHITE = re.compile(r"\S+\Z")
+
 # Pre-token patterns for which chunks may be encoded one by one.
 CHUNK_PATTERNS = frozenset([r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"])
 #: Bytes that a worker's memo takes at most, about; then it forgets all and goes on. Only speed depends on it.
-MEMO_BYTES = 96 << 20
+MEMO_BYTES = 192 << 20
 #: What an entry takes besides its characters and ids, and characters of the longest chunk that is remembered.
-ENTRY_BYTES, LONG_CHUNK = 250, 100
+ENTRY_BYTES, LONG_CHUNK = 200, 100
 
 
 class Memo(dict):
-    """What is known of short strings, within MEMO_BYTES."""
+    """What is known of short strings, within a number of bytes."""
 
-    used = 0
+    def __init__(self, limit: int | None = None) -> None:
+        super().__init__()
+        self.limit, self.used = limit or MEMO_BYTES, 0
 
     def room_for(self, entries: int, size: int) -> None:
         """Forget all, if so many more entries, of so many characters and bytes together, do not fit."""
-        self.used += entries * ENTRY_BYTES + 4 * size
-        if self.used > MEMO_BYTES:
+        self.used += entries * ENTRY_BYTES + 2 * size
+        if self.used > self.limit:
             self.clear()
-            self.used = entries * ENTRY_BYTES + 4 * size
+            self.used = entries * ENTRY_BYTES + 2 * size
 
     def put(self, key: str, value: bytes) -> bytes:
         if len(key) <= LONG_CHUNK:
@@ -71,6 +79,33 @@ class ChunkEncoder:
         return out
 
 
+class RankEncoder:
+    """A byte-level vocabulary given as ranks, by the library; for `ChunkEncoder`."""
+
+    def __init__(self, ranks: dict[bytes, int], pattern: str) -> None:
+        import tiktoken
+
+        self.encoding = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+        self.size, self.line_end = max(ranks.values()) + 1, ranks.get(b"\n")
+
+    def whole(self, text: str) -> bytes:
+        return array("I", self.encoding.encode_ordinary(text)).tobytes()
+
+    def many(self, chunks: list[str]) -> list[bytes]:
+        """Chunks without white space are encoded in one go, a line each; a line's end is a token of its own."""
+        plain = [i for i, c in enumerate(chunks) if _NO_WHITE.match(c)] if self.line_end is not None else []
+        out: list[bytes | None] = [None] * len(chunks)
+        for a in range(0, len(plain), 20_000):
+            part = plain[a : a + 20_000]
+            ids = np.asarray(self.encoding.encode_to_numpy("".join(f" {chunks[i]}\n" for i in part), disallowed_special=()), dtype="<u4")
+            ends = np.flatnonzero(ids == self.line_end).tolist()
+            start = 0
+            for i, end in zip(part, ends, strict=True):
+                out[i] = ids[start:end].tobytes()
+                start = end + 1
+        return [self.whole(f" {c}") if x is None else x for c, x in zip(chunks, out, strict=True)]
+
+
 def text_slices(texts: list[str], most: int = 2_000_000) -> Iterable[tuple[int, int]]:
     """Ranges of about `most` characters, or one longer text."""
     a = size = 0
