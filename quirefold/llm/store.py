@@ -1,61 +1,27 @@
-"""Shared storage and code shipping for the operators of this subpackage.
+"""Code shipping, keys and intermediate tables for the operators of this subpackage.
 
-Intermediate tables go to the folder that the cluster names in ``spark.checkpoint.dir``: executors may be
-lost at any time and do not see each other's local disks, so nothing is kept in local folders. All tables of one
-application are in one folder there; results are lazy and read them, so they stay until `release` is called.
+Intermediate tables go to the folder that the cluster names in ``spark.checkpoint.dir`` (see sources/shared.py):
+executors may be lost at any time and do not see each other's local disks, so nothing is kept in local folders.
 """
 
 from __future__ import annotations
 
-import atexit
 import os
-import re
-import shutil
 import tempfile
-import uuid
 import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quirefold.sources.shared import fresh_path, release
+
+__all__ = ["fresh_path", "keyed", "materialize", "prepare", "read_table", "release", "unused"]
+
 #: Rows of a table that go to a Python worker at once. Texts may be long, so this is far below Spark's default.
 ARROW_ROWS = 512
 #: Bytes of such a batch, where the Spark version knows the setting.
 ARROW_BYTES = 16 << 20
 
-_own_dirs: dict[str, str] = {}
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share. A session that names none gets a temporary one if all of it runs in
-    one process (tests); elsewhere that is an error, as executors would write where nobody else can read."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        return named.rstrip("/")
-    app, master = spark.sparkContext.applicationId, spark.sparkContext.master
-    if not re.fullmatch(r"local(\[[^\]]*\])?", master):
-        raise ValueError(f"spark.checkpoint.dir must name a shared folder on {master}")
-    if app not in _own_dirs:
-        _own_dirs[app] = tempfile.mkdtemp(prefix="quirefold-")
-        atexit.register(shutil.rmtree, _own_dirs[app], ignore_errors=True)
-    return f"file://{_own_dirs[app]}"
-
-
-def own_folder(spark: SparkSession) -> str:
-    """The folder of this application's intermediate tables."""
-    return f"{shared_dir(spark)}/quirefold/{spark.sparkContext.applicationId}"
-
-
-def fresh_path(spark: SparkSession, name: str) -> str:
-    return f"{own_folder(spark)}/{uuid.uuid4().hex}/{name}"
-
-
-def release(spark: SparkSession) -> None:
-    """Delete this application's intermediate tables, once no result that reads them is needed any more."""
-    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(own_folder(spark))
-    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
-
-
 #: Rows of a table of a few narrow columns that one task writes at most, where the number of rows is known.
 NARROW_ROWS_PER_TASK = 200_000
 
