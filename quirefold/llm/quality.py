@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quirefold.llm import textkit as K
-from quirefold.llm.chunks import ChunkEncoder, Memo
+from quirefold.llm.chunks import CHUNK_PATTERNS, ENTRY_BYTES, LONG_CHUNK, MEMO_BYTES, Memo, RankEncoder
 from quirefold.llm.store import materialize, prepare, unused
 
 #: Largest vocabulary file that is broadcast.
@@ -93,23 +93,18 @@ for _spans, _script in ((((65, 91), (97, 123), (0xC3, 0xCA)), 0), (((0xD0, 0xD4)
         _SCRIPT_OF[_a:_b] = _script
 
 
-class _Memo(Memo):
-    """Blank-separated chunk -> its token ids as 16-bit integers."""
-
-    def __init__(self, encode) -> None:
-        self.encode = encode
-
-    def __missing__(self, chunk: str) -> bytes:
-        return self.put(chunk, np.asarray(self.encode(chunk), dtype="<u2").tobytes())
-
-
-def _entropy(ids: np.ndarray, pieces: int) -> tuple[np.ndarray, float, float]:
-    """Counts of the pieces, the entropy in bits, and its share of the most that so many tokens can have."""
-    n, counts = len(ids), np.bincount(ids, minlength=pieces)
-    used = counts[counts > 0]
+def _entropy(ids: np.ndarray, pieces: int) -> tuple[float, float]:
+    """The entropy of the pieces in bits, and its share of the most that so many tokens can have."""
+    n = len(ids)
+    if n < 4000:
+        ordered = np.sort(ids)
+        used = np.diff(np.concatenate([[0], np.flatnonzero(ordered[1:] != ordered[:-1]) + 1, [n]]))
+    else:
+        used = np.bincount(ids)
+        used = used[used > 0]
     entropy = float(np.log2(n) - (used * np.log2(used)).sum() / n)
     most = float(np.log2(min(n, pieces))) if n > 1 else 0.0
-    return counts, max(entropy, 0.0), (entropy / most if most else 1.0)
+    return max(entropy, 0.0), (entropy / most if most else 1.0)
 
 
 class FertilityMeter:
@@ -122,23 +117,46 @@ class FertilityMeter:
         n = self.pieces.get_piece_size()
         white = {self.pieces.piece_to_id(f"<0x{b:02X}>") for b in (9, 10, 11, 12, 13)}
         self.fallback = np.array([self.pieces.is_byte(i) and i not in white for i in range(n)])
-        self.memo = _Memo(self.pieces.encode)
-        self.second = None
+        self.first, self.second = Memo(MEMO_BYTES // 2), Memo(MEMO_BYTES // 2)
+        self.ranks = None
         if ranks is not None:
-            import tiktoken
-
-            known = {base64.b64decode(a): int(b) for a, b in map(bytes.split, ranks.splitlines()) if a}
-            encode = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=known, special_tokens={}).encode_ordinary
-            whole = lambda t: array("I", encode(t)).tobytes()
-            self.second, self.second_size = ChunkEncoder(whole, lambda chunks: [whole(f" {c}") for c in chunks], pattern), max(known.values()) + 1
-
-    def token_ids(self, text: str) -> np.ndarray:
+            self.ranks = RankEncoder({base64.b64decode(a): int(b) for a, b in map(bytes.split, ranks.splitlines()) if a}, pattern)
+            self.by_chunk = pattern in CHUNK_PATTERNS
+
+    def _learn(self, split: list[list[str]]) -> None:
+        """Encode the short chunks of some texts that are not known yet, by both vocabularies at once."""
+        new = set().union(*split).difference(self.first)
+        size = sum(map(len, new))
+        if ENTRY_BYTES * len(new) > MEMO_BYTES // 2:
+            return  # too many to be remembered: such texts are encoded as a whole
+        self.first.room_for(len(new), size)
+        self.second.room_for(len(new), size)
+        if not (self.first and self.second):  # forgotten: what these texts need is needed again
+            self.first.clear()
+            self.second.clear()
+            new = set().union(*split)
+        chunks = [c for c in new if c and len(c) <= LONG_CHUNK]
+        self.first.update(zip(chunks, (array("H", x).tobytes() for x in self.pieces.encode(chunks, num_threads=1)), strict=True))
+        if self.ranks is not None and self.by_chunk:
+            plain = [c for c in chunks if not c[0].isspace()]
+            self.second.update(zip(plain, self.ranks.many(plain), strict=True))
+
+    def _pieces_of(self, text: str, chunks: list[str]) -> np.ndarray:
         """No piece holds a blank after another character, so chunks between single blanks are encoded one by one."""
         if not text:
             return np.zeros(0, dtype="<u2")
-        if text[0] == " " or text[-1] == " " or "  " in text:
+        try:
+            return np.frombuffer(b"".join(map(self.first.__getitem__, chunks)), dtype="<u2")
+        except KeyError:  # an empty chunk, or a long one
             return np.asarray(self.pieces.encode(text), dtype="<u2")
-        return np.frombuffer(b"".join(map(self.memo.__getitem__, text.split(" "))), dtype="<u2")
+
+    def _ranks_of(self, text: str, chunks: list[str]) -> np.ndarray:
+        """After a leading blank the first chunk is empty: the blank belongs to the next."""
+        try:
+            rest = [*map(self.second.__getitem__, chunks[1:])]
+        except KeyError:
+            return np.frombuffer(self.ranks.whole(text), dtype="<u4")
+        return np.frombuffer(b"".join([self.ranks.whole(chunks[0]) if chunks[0] else b"", *rest]), dtype="<u4")
 
     def measure(self, texts: list[str]) -> dict[str, list]:
         """Columns of MEASURES that need a tokeniser; without tokens, or without a second vocabulary, they are null."""
@@ -148,18 +166,17 @@ class FertilityMeter:
             for name, value in zip(out, values, strict=True):
                 out[name].append(value)
 
-        for text, encoded in zip(texts, self.second.encode(texts) if self.second else [None] * len(texts), strict=True):
-            ids = self.token_ids(text)
-            first = second = (0, None, None, None, None)
+        split = [t.split(" ") for t in texts]
+        self._learn(split)
+        for text, chunks in zip(texts, split, strict=True):
+            ids = self._pieces_of(text, chunks)
+            first, second = (0, None, None, None, None), (None, None, None, None) if self.ranks is None else (0, None, None, None)
             if len(ids):
-                counts, entropy, share = _entropy(ids, len(self.fallback))
-                first = len(ids), len(text) / len(ids), float(counts[self.fallback].sum() / len(ids)), entropy, share
-            if encoded is None:
-                second = (None, None, None, None)
-            elif encoded:
-                own = np.frombuffer(encoded, dtype="<u4")
-                second = len(own), len(text) / len(own), *_entropy(own, self.second_size)[1:]
-            add(*first, *second[:4])
+                first = len(ids), len(text) / len(ids), float(np.count_nonzero(self.fallback[ids]) / len(ids)), *_entropy(ids, len(self.fallback))
+            if self.ranks is not None and text:
+                own = self._ranks_of(text, chunks)
+                second = len(own), len(text) / len(own), *_entropy(own, self.ranks.size)
+            add(*first, *second)
         return out
 
 
