@@ -5,8 +5,11 @@ from __future__ import annotations
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from quirefold.sources.shared import materialize
+
 
 def open_reports(reports: DataFrame, mark: str = "C") -> DataFrame:
     """Without confidential ones; an unknown status is confidential."""
@@ -95,3 +98,36 @@ def histogram(rows: DataFrame, value: str, bins: int) -> DataFrame:
     width = (high - low) / bins or 1
     bucket = F.least(F.floor((F.col(value) - low) / F.lit(float(width))) + 1, F.lit(bins)).cast("long")
     return rows.filter(F.col(value).isNotNull()).groupBy(bucket.alias("bucket")).agg(F.count(F.lit(1)).alias("n"))
+
+
+def exact_quantiles(rows: DataFrame, key: str, value: str, shares: dict[str, float]) -> DataFrame:
+    """(key, a column for each share): quantiles with linear interpolation between neighbours, nulls apart.
+
+    Equal values are counted before anything else; ranges of values are ranked apart, and only the ranges' sizes meet. So
+    neither a key nor a value with very many rows is held by one task."""
+    counts = rows.filter(F.col(value).isNotNull()).groupBy(F.col(key).alias("_k"), F.col(value).alias("_v")).agg(F.count(F.lit(1)).alias("_c"))
+    ranges = materialize(counts.repartitionByRange("_k", "_v").withColumn("_r", F.spark_partition_id()), "value_ranges")
+    sizes = ranges.groupBy("_k", "_r").agg(F.sum("_c").alias("_n"))
+    order = W.partitionBy("_k").orderBy("_r").rowsBetween(W.unboundedPreceding, -1)
+    sizes = sizes.select("_k", "_r", F.coalesce(F.sum("_n").over(order), F.lit(0)).alias("_start"), F.sum("_n").over(W.partitionBy("_k")).alias("_all"))
+    within = W.partitionBy("_r", "_k").orderBy("_v").rowsBetween(W.unboundedPreceding, W.currentRow)
+    placed = ranges.withColumn("_end", F.sum("_c").over(within)).join(sizes, ["_k", "_r"]).withColumn("_end", F.col("_end") + F.col("_start"))
+    first = F.col("_end") - F.col("_c")  # ranks first .. end - 1, from 0, have the value
+
+    def at(rank: Column) -> Column:
+        return F.max(F.when((first <= rank) & (rank < F.col("_end")), F.col("_v")))
+
+    out = []
+    for name, share in shares.items():
+        place = (F.col("_all") - 1) * F.lit(share)
+        low, high = F.floor(place), F.ceil(place)
+        part = F.max(place - low)
+        out.append((at(low) * (1 - part) + at(high) * part).alias(name))
+    return placed.groupBy(F.col("_k").alias(key)).agg(*out)
+
+
+def modes(rows: DataFrame, key: str, value: str) -> DataFrame:
+    """(key, mode): the most frequent value of each key, the least of equals."""
+    counts = rows.filter(F.col(value).isNotNull()).groupBy(key, value).agg(F.count(F.lit(1)).alias("_c"))
+    most = counts.groupBy(key).agg(F.max("_c").alias("_m"))
+    return counts.join(most, key).filter("_c = _m").groupBy(key).agg(F.min(value).alias("mode"))

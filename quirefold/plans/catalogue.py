@@ -593,7 +593,10 @@ def distinct_submitters(spark, d):
     select o_orderpriority rtype, round(avg(o_totalprice), 4) mean, round(median(o_totalprice), 4) median, any_value(m.mode) as mode from orders join m on rtype = o_orderpriority group by o_orderpriority"""
 )
 def rating_stats(spark, d):
-    return A.table(spark, d, "orders").groupBy(F.col("o_orderpriority").alias("rtype")).agg(F.round(F.avg("o_totalprice"), 4).alias("mean"), F.round(F.median("o_totalprice"), 4).alias("median"), F.mode(F.col("o_custkey") % 10, True).alias("mode"))
+    rows = A.table(spark, d, "orders").select(F.col("o_orderpriority").alias("rtype"), "o_totalprice", (F.col("o_custkey") % 10).alias("rating"))
+    means = rows.groupBy("rtype").agg(F.round(F.avg("o_totalprice"), 4).alias("mean"))
+    middle = M.exact_quantiles(rows, "rtype", "o_totalprice", {"median": 0.5}).withColumn("median", F.round("median", 4))
+    return means.join(middle, "rtype").join(M.modes(rows, "rtype", "rating"), "rtype")
 
 
 @query("with r as (select min(n_chars) lo, max(n_chars) hi from documents) select least(floor((n_chars - lo) / ((hi - lo) / 9::double)) + 1, 9)::bigint bucket, count(*) n from documents, r group by all")

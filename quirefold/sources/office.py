@@ -10,6 +10,7 @@ import io
 import re
 import struct
 import zipfile
+import zlib
 from collections.abc import Iterator
 from xml.etree import ElementTree
 
@@ -65,11 +66,26 @@ def word_parts(data: bytes) -> Iterator[tuple[str, int | None, int, int, str]]:
                     yield "cell", table, r, c, "\n".join(text(p) for p in cell.iter(f"{WORD}p"))
 
 
+_PAGE = re.compile(rb"/Type\s*/Page(?![a-zA-Z])")
+_OBJECTS = re.compile(rb"<<[^<>]*?/Type\s*/ObjStm\b(?:[^<>]|<<[^<>]*>>)*>>\s*stream\r?\n")
+
+
+def pdf_pages(data: bytes) -> int | None:
+    """Page objects of a PDF, those in compressed object streams too; None if there are none or a stream cannot be read."""
+    found = len(_PAGE.findall(data))
+    for m in _OBJECTS.finditer(data):
+        try:
+            found += len(_PAGE.findall(zlib.decompressobj().decompress(data[m.end() :])))
+        except zlib.error:
+            return None
+    return found or None
+
+
 def page_count(name: str, data: bytes) -> int | None:
     """Pages of a PDF (its page objects) or TIFF (its directories); other files have one page."""
     ext = name.rsplit(".", 1)[-1].lower()
     if ext == "pdf":
-        return len(re.findall(rb"/Type\s*/Page(?![a-zA-Z])", data)) or None
+        return pdf_pages(data)
     if ext in ("tif", "tiff"):
         order = {b"II": "<", b"MM": ">"}.get(data[:2])
         if order is None:

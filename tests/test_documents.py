@@ -2,6 +2,8 @@
 
 import json
 import random
+import statistics
+import zlib
 
 import pytest
 from pyspark.sql import functions as F
@@ -13,7 +15,7 @@ from quirefold.operators import pages as P
 from quirefold.operators import report as RP
 from quirefold.operators import sites as S
 from quirefold.operators import tables as T
-from quirefold.sources import readers, shared, sinks
+from quirefold.sources import office, readers, shared, sinks
 
 
 def block(i, kind, rels=(), **more):
@@ -228,3 +230,25 @@ def test_shared_folder_is_needed_on_a_cluster():
 
     with pytest.raises(ValueError, match="spark.checkpoint.dir"):
         shared.shared_dir(Session())
+
+
+def test_pages_of_compressed_pdfs():
+    plain = b"%PDF-1.4 1 0 obj <</Type /Pages /Count 2>> <</Type /Page>> <</Type/Page /x 1>>"
+    packed = zlib.compress(b"5 0 6 20 <</Type/Page/Parent 1 0 R>> <</Type /Page>> <</Type/Pages>>")
+    streams = b"7 0 obj <</Type /ObjStm /N 3 /First 8 /DecodeParms <</X 1>> /Filter /FlateDecode>> stream\r\n" + packed + b"\nendstream"
+    assert office.page_count("a.pdf", plain) == 2 and office.page_count("a.pdf", plain + streams) == 4
+    assert office.page_count("a.pdf", streams.replace(packed, b"damaged")) is None and office.page_count("a.pdf", b"") is None
+
+
+def test_quantiles_and_modes(spark):
+    rnd = random.Random(4)
+    rows = [(k, float(rnd.choice([rnd.randint(0, 5), rnd.random() * 100]))) for k in "abc" for _ in range(501 if k == "a" else 200)] + [("d", 1.5), ("e", None)]
+    df = spark.createDataFrame(rows, "k string, v double").repartition(6)
+    got = {r.k: (r.lo, r.mid, r.hi) for r in M.exact_quantiles(df, "k", "v", {"lo": 0.0, "mid": 0.5, "hi": 0.9}).collect()}
+    for k, own in got.items():
+        values = sorted(v for key, v in rows if key == k and v is not None)
+        place = 0.9 * (len(values) - 1)
+        hi = values[int(place)] + (place - int(place)) * (values[min(int(place) + 1, len(values) - 1)] - values[int(place)])
+        assert own == pytest.approx((values[0], statistics.median(values), hi))
+    assert set(got) == {"a", "b", "c", "d"}
+    assert {r.k: r.mode for r in M.modes(df, "k", "v").collect()} == {k: min(statistics.multimode(sorted(v for key, v in rows if key == k))) for k in "abcd"}
