@@ -277,6 +277,34 @@ def test_bands_are_fitted_by_language_else_script(spark):
     assert fitted["languages"]["en"] == quality.LANGUAGE_BANDS["en"]  # too few rows
 
 
+def test_verdicts_against_brute_force(spark, data):
+    """Bands by plain quartiles over the registered query's own measures decide as the query does."""
+    larger = data.replace("sf0.001", "sf0.01")
+    rows = [r.asDict(recursive=True) for r in quality.judge(read_table(spark, larger, "documents").select("doc_id", "lang", "text"), V.path("piece_bpe_32k.model"), ranks_path=V.path("byte_bpe_50k.tiktoken"), pattern=V.PATTERN).collect()]
+    names = ("chars_per_token", "byte_share", "entropy_share", "bpe_chars_per_token", "bpe_entropy_share")
+    limits = {}
+    for lang in {r["lang"] for r in rows}:
+        own = [r["measures"] for r in rows if r["lang"] == lang and not r["measures"]["base_failed"]]
+        if len(own) < quality.MIN_FITTED:
+            b = quality.LANGUAGE_BANDS[lang]
+            limits |= {(lang, "chars_per_token"): (b.min_chars_per_token, b.max_chars_per_token), (lang, "bpe_chars_per_token"): (b.min_bpe_chars_per_token, b.max_bpe_chars_per_token)}
+            limits |= {(lang, "byte_share"): (0, 0), (lang, "entropy_share"): (b.min_entropy_share, 9), (lang, "bpe_entropy_share"): (b.min_bpe_entropy_share, 9)}
+            continue
+        for n in names:
+            low, mid, high = np.quantile([round(m[n], quality.FIT_DECIMALS) for m in own], [0.25, 0.5, 0.75])
+            reach = quality.FENCE * max(high - low, quality.MIN_SPREAD * mid)
+            limits[lang, n] = low - reach, high + reach
+    rejected = 0
+    for r in rows:
+        m, lang = r["measures"], r["lang"]
+        inside = not m["base_failed"] and m["byte_share"] <= max(limits[lang, "byte_share"][1], quality.LANGUAGE_BANDS[lang].max_byte_share)
+        inside = inside and all(limits[lang, n][0] <= m[n] <= limits[lang, n][1] for n in ("chars_per_token", "bpe_chars_per_token")) and all(limits[lang, n][0] <= m[n] for n in ("entropy_share", "bpe_entropy_share"))
+        edge = not m["base_failed"] and any(abs(m[n] - x) < 1e-9 for n in names for x in limits[lang, n])
+        assert edge or m["kept"] == inside
+        rejected += not m["kept"] and not m["base_failed"]
+    assert rejected > 20
+
+
 def test_piece_checksums_of_registered_packing(spark, data):
     from tokenizers import Tokenizer
 

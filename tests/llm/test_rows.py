@@ -415,6 +415,30 @@ def test_packing(spark):
     assert packing.pack_documents(frame(spark, ["x"]).limit(0), V.path("byte_bpe_50k.json")).count() == 0
 
 
+def test_packing_of_odd_rows(spark):
+    """Ties, repeated and null ids, a very long text, columns of clashing names."""
+    from tokenizers import Tokenizer
+
+    theirs = Tokenizer.from_file(V.path("byte_bpe_50k.json"))
+    long = " ".join(f"v{i % 977}" for i in range(200_000))
+    texts = [(1, "same text"), (1, "same text"), (None, "other text"), (2, long), (3, "日本" * 30_000)] + [(10 + i, "a b c d") for i in range(500)]
+    rows = spark.createDataFrame([(d, t, "z", "z") for d, t in texts], "doc_id long, text string, PIECE string, fill string")
+    packed = packing.pack_documents(rows, V.path("byte_bpe_50k.json"), V.path("byte_bpe_50k.tiktoken"), V.PATTERN).collect()
+    want = sorted((str(d), len(theirs.encode(t, add_special_tokens=False).ids) + 1) for d, t in texts)
+    got = {}
+    for r in packed:
+        got[str(r.doc_id)] = got.get(str(r.doc_id), 0) + r.length
+    sums = {}
+    for d, n in want:
+        sums[d] = sums.get(d, 0) + n
+    assert got == sums and sum(r.doc_id == 1 for r in packed) == 2
+    bins = {}
+    for r in packed:
+        bins.setdefault(r.sequence_id, []).append((r.offset, r.length))
+    assert all(o == sum(n for p, n in b if p < o) for b in bins.values() for o, _ in b) and max(sum(n for _, n in b) for b in bins.values()) <= 1024
+    assert len(bins) <= -(-sum(sums.values()) // 1024) + 2
+
+
 def test_packing_rounds_merge_underfull_bins(spark):
     rows = spark.createDataFrame([(i, 0, 0, 30 + i % 41, 0) for i in range(2000)], "doc_id long, piece int, start long, length long, ids_crc32 long").repartition(16)
     packed = packing.pack(rows, capacity=128, fan_in=4)
