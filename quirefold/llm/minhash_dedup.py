@@ -10,9 +10,10 @@ that one class only has are dropped before any table is formed. Of each band's m
 that agrees with a centre on both sides is compared with it, first with one centre each, then with those of other
 components. So a large group of near copies becomes one component by a number of comparisons that is linear in its size,
 and bands whose members are all in one component are done with. Only documents that still share bands with other
-components on both sides get table keys: all pairs of their open bands. In tables with members of several components the
-rows outside the largest one meet all rows of the table, in tasks that hold a bounded block of either side (or many
-small tables). There too, sizes and a sketch of 128 min-hash bytes are compared before any text is fetched; a pair at
+components on both sides get table keys: the pairs of their open bands. Tables are dealt to tasks by their band of A, and
+where that has very many members by the pair; two documents are compared in the first table that they share. In tables
+with members of several components the rows outside the largest one meet all rows of the table, in tasks that hold a
+bounded block of either side (or many small tables). There too, sizes and a sketch of 256 min-hash bytes are compared before any text is fetched; a pair at
 the threshold fails the sketch with a probability below 0.00001. Of a small table the pairs that pass leave the task, of
 a large one only links. So no list of all pairs is ever made, and no bucket is capped.
 
@@ -43,7 +44,7 @@ from quirefold.llm.store import keyed, materialize, prepare
 ROWS_PER_BAND = 6
 SIDE = 26
 #: Min-hashes whose lowest bytes are a document's sketch.
-SKETCH = 128
+SKETCH = 256
 #: Standard deviations below the threshold at which a sketch speaks against a link.
 SKETCH_DEVIATIONS = 5.0
 #: Tables of at most so many rows are compared as pairs.
@@ -205,12 +206,26 @@ def _labelled(rows: DataFrame, labels: DataFrame, node: str, into: str) -> DataF
     return rows.join(named, rows[node] == named["_n"], "left").withColumn(into, F.coalesce("_c", node)).drop("_n", "_c")
 
 
+def _bands(column: pa.Array) -> np.ndarray:
+    """(rows, 2, side) bands of A and of B."""
+    lists = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    return lists.flatten().to_numpy().reshape(len(lists), 2, -1)
+
+
+def _meet_here(bands: np.ndarray, i: np.ndarray, j: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Whether rows i and j of a table (a, b) are to be compared there: the first band of A that they share is a, and they
+    share a band of B, of which the first is b (0: any)."""
+    same = bands[i] == bands[j]
+    first, some, rows = same.argmax(2), same.any(2).all(1), np.arange(len(i))
+    return some & (bands[i, 0, first[:, 0]][rows] == a) & ((b == 0) | (bands[i, 1, first[:, 1]][rows] == b))
+
+
 def _partners(table: pa.Table, percent: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """For each row outside the table's largest component: the rows of other components that size and sketch leave, and
     their matches. In a block of a table `side` tells rows that are looked for (1) from those that are searched (0)."""
-    labels, n, top = (table.column(c).to_numpy() for c in ("label", "n_shingles", "top"))
+    labels, n, top, a, b = (table.column(c).to_numpy() for c in ("label", "n_shingles", "top", "a", "b"))
     side = table.column("side").to_numpy()
-    sketch, least = _sketches(table.column("sketch")), least_matches(percent)
+    sketch, least, bands = _sketches(table.column("sketch")), least_matches(percent), _bands(table.column("bands"))
     members = np.flatnonzero(side != 1)
     members = members[np.argsort(n[members], kind="stable")]
     sizes, own, other = n[members], sketch[members], labels[members]
@@ -218,7 +233,9 @@ def _partners(table: pa.Table, percent: int) -> Iterator[tuple[int, np.ndarray,
         lo, hi = np.searchsorted(sizes, -(-percent * n[x] // 100), "left"), np.searchsorted(sizes, 100 * n[x] // percent, "right")
         matches = (own[lo:hi] == sketch[x]).sum(1)
         fine = (matches >= least) & (other[lo:hi] != labels[x])
-        yield x, members[lo:hi][fine], matches[fine]
+        found, matches = members[lo:hi][fine], matches[fine]
+        here = _meet_here(bands, np.full(len(found), x), found, a[x], b[x])
+        yield x, found[here], matches[here]
 
 
 def _of_tables(table: pa.Table) -> tuple[pa.Table, list[int]]:
@@ -233,19 +250,21 @@ def _small_pairs(percent: int):
 
     def run(tables: pa.Table) -> pa.Table:
         rows, bounds = _of_tables(tables)
-        docs, labels, n = (rows.column(c).to_numpy() for c in ("doc", "label", "n_shingles"))
-        sketch, starts, sizes = _sketches(rows.column("sketch")), np.array(bounds[:-1]), np.diff(bounds)
+        docs, labels, n, a, b = (rows.column(c).to_numpy() for c in ("doc", "label", "n_shingles", "a", "b"))
+        sketch, bands, starts, sizes = _sketches(rows.column("sketch")), _bands(rows.column("bands")), np.array(bounds[:-1]), np.diff(bounds)
         found: list[np.ndarray] = []
         for size in np.unique(sizes).tolist():
             first, second = np.triu_indices(size, 1)
             begin = starts[sizes == size]
             step = max(1, PAIRS_AT_ONCE // max(1, len(first)))
-            for a in range(0, len(begin), step):
-                i, j = ((begin[a : a + step, None] + x).ravel() for x in (first, second))
+            for k in range(0, len(begin), step):
+                i, j = ((begin[k : k + step, None] + x).ravel() for x in (first, second))
                 fine = (labels[i] != labels[j]) & (100 * np.minimum(n[i], n[j]) >= percent * np.maximum(n[i], n[j]))
                 i, j = i[fine], j[fine]
                 alike = (sketch[i] == sketch[j]).sum(1) >= least_matches(percent)
-                found.append(np.sort(np.stack([docs[i[alike]], docs[j[alike]]]), 0))
+                i, j = i[alike], j[alike]
+                here = _meet_here(bands, i, j, a[i], b[i])
+                found.append(np.sort(np.stack([docs[i[here]], docs[j[here]]]), 0))
         u, v = np.unique(np.concatenate(found, 1), axis=1) if found else np.zeros((2, 0), np.int64)
         return pa.table({"u": pa.array(u, pa.int64()), "v": pa.array(v, pa.int64())})
 
@@ -302,37 +321,46 @@ def _blocks(tables: DataFrame, blocks: DataFrame, columns: list[str]) -> DataFra
 
 
 def _open_tables(entries: DataFrame, labels: DataFrame) -> DataFrame:
-    """(key, doc, label, n) of the tensored tables with members of several components."""
+    """(key, a, b, doc, label, n) of the tensored tables with members of several components.
+
+    A task forms the tables of one band of A itself, from the bands of B that its rows have (b is 0), as long as the rows
+    that have the band fit in a block; bands of A with more rows are dealt by pairs of bands."""
     marked = _labelled(entries, labels, "doc", "label")
-    open_bands = marked.groupBy("band").agg(F.min("label").alias("_lo"), F.max("label").alias("_hi")).filter("_lo <> _hi").select("band")
-    side = lambda k: F.collect_list(F.when(F.col("band").bitwiseAND(F.lit(1)) == k, F.col("band")))
-    both = marked.join(open_bands, "band", "left_semi").groupBy("doc", "label").agg(side(0).alias("_a"), side(1).alias("_b"))
-    keys = F.flatten(F.transform("_a", lambda x: F.transform("_b", lambda y: F.xxhash64(x, y))))
-    tables = materialize(both.select(F.explode(keys).alias("key"), "doc", "label"), "table_keys")
-    shared = tables.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("label").alias("_lo"), F.max("label").alias("_hi")).filter("_lo <> _hi").select("key", "n")
-    return materialize(tables.join(shared, "key"), "tables")
+    several = lambda df, *keys: df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.min("label").alias("_lo"), F.max("label").alias("_hi")).filter("_lo <> _hi").select(*keys, "n")
+    marked = materialize(marked.join(several(marked, "band").select("band"), "band", "left_semi"), "open_entries")
+    in_b = F.col("band").bitwiseAND(F.lit(1)) == 1
+    of_b = marked.filter(in_b).select("doc", F.col("band").alias("b"))
+    of_a = marked.filter(~in_b).select(F.col("band").alias("a"), "doc", "label").join(of_b.select("doc").distinct(), "doc", "left_semi")
+    of_a = materialize(of_a.join(several(of_a, "a"), "a"), "bands_of_a")
+    whole = of_a.filter(F.col("n") <= BLOCK_ROWS).select(F.col("a").alias("key"), "a", F.lit(0).cast("long").alias("b"), "doc", "label", "n")
+    large = of_a.filter(F.col("n") > BLOCK_ROWS)
+    if not large.head(1):
+        return whole
+    pairs = materialize(large.drop("n").join(of_b, "doc").select(F.xxhash64("a", "b").alias("key"), "a", "b", "doc", "label"), "pairs_of_bands")
+    return whole.unionByName(materialize(pairs.join(several(pairs, "key"), "key").select(whole.columns), "tables"))
 
 
 def _resolved(tables: DataFrame, facts: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
-    """Links between components within tables (key, doc, label, n). Tables of less than a block go to tasks together."""
+    """Links between components within tables (key, a, b, doc, label, n). Tables of less than a block go to tasks together."""
     rows = tables.count()
     group = F.pmod(F.xxhash64("key"), F.lit(1 + rows // TABLE_ROWS_PER_TASK))
     small = tables.filter(F.col("n") <= SMALL_TABLE).join(facts, "doc").withColumn("g", group)
-    pairs = small.groupBy("g").applyInArrow(_small_pairs(percent), LINKS).distinct()
+    pairs = small.groupBy("g").applyInArrow(_small_pairs(percent), LINKS)
     links = _verified(pairs, facts, texts, k, percent, alike=True)
     large = tables.filter(F.col("n") > SMALL_TABLE)
     if not large.head(1):
         return links
+    columns = ["key", "a", "b", "doc", "label"]
     sizes = large.groupBy("key", "label").agg(F.count(F.lit(1)).alias("c"))
     top = materialize(sizes.groupBy("key").agg(F.max(F.struct("c", "label")).alias("_t"), F.sum("c").alias("n")).select("key", F.col("_t.label").alias("top"), "n"), "largest")
-    plan = top.select("key", "top", (1 + F.floor(F.col("n") / BLOCK_ROWS)).alias("blocks"))
-    tasks = _blocks(large.select("key", "doc", "label"), plan, ["key", "doc", "label", "top", "blocks"]).join(facts, "doc")
+    plan = top.select("key", "top", (1 + F.floor(F.col("n") / (BLOCK_ROWS + 1))).alias("blocks"))
+    tasks = _blocks(large.select(*columns), plan, [*columns, "top", "blocks"]).join(facts, "doc")
     tasks = tasks.withColumn("g", F.when(F.col("blocks") > 1, F.col("key")).otherwise(group)).withColumn("whole", F.col("blocks") == 1)
     possible = tasks.groupBy("whole", "g", "m", "s").applyInArrow(_possible(percent), "key long, doc long").distinct()
-    possible = materialize(possible.join(large.select("key", "doc", "label"), ["key", "doc"]).join(facts, "doc"), "possible")
-    sums = possible.groupBy("key").agg((1 + F.floor(F.greatest(F.sum("n_shingles") / BLOCK_SHINGLES, F.count(F.lit(1)) / BLOCK_ROWS))).alias("blocks"))
+    possible = materialize(possible.join(large.select(*columns), ["key", "doc"]).join(facts, "doc"), "possible")
+    sums = possible.groupBy("key").agg((1 + F.floor(F.greatest(F.sum("n_shingles") / BLOCK_SHINGLES, F.count(F.lit(1)) / (BLOCK_ROWS + 1)))).alias("blocks"))
     plan = materialize(sums.join(top.select("key", "top"), "key"), "plan")
-    tasks = _blocks(possible, plan, ["key", "doc", "label", "top", "n_shingles", "sketch"]).join(texts.select(F.col("_key").alias("doc"), "_text"), "doc")
+    tasks = _blocks(possible, plan, [*columns, "top", "n_shingles", "sketch", "bands"]).join(texts.select(F.col("_key").alias("doc"), "_text"), "doc")
     return links.unionByName(materialize(tasks.groupBy("key", "m", "s").applyInArrow(_exact_block(k, percent), LINKS), "resolved"))
 
 
@@ -353,7 +381,7 @@ def _near(docs: DataFrame, k: int, percent: int, side: int, rows: int) -> DataFr
     in_b = F.col("band").bitwiseAND(F.lit(1))
     sides = (F.min(in_b).alias("_lo"), F.max(in_b).alias("_hi"))
     involved = materialize(entries.groupBy("doc").agg(*sides).filter("_lo < _hi").select("doc"), "involved")
-    facts = materialize(reps.join(involved, "doc", "left_semi").select("doc", "n_shingles", "sketch"), "facts")
+    facts = materialize(reps.join(involved, "doc", "left_semi").select("doc", "n_shingles", "sketch", "bands"), "facts")
     texts = materialize(docs.join(involved, docs["_key"] == involved["doc"], "left_semi").select("_key", "_text"), "texts")
 
     # Stars: a centre that agrees on both sides, one for each document; then those of other components.
