@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from quirefold.llm import bpe, exact_dedup, hosts, html_extract, licenses, minhash_dedup, packing, quality, substring_dedup, warc
 from quirefold.llm.store import read_table
+from quirefold.sources.shared import spread
 
 #: op3's ordered policy.
 URL_RULES = [
@@ -22,7 +23,7 @@ URL_RULES = [
 
 
 def op1_tokeniser_fertility(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    docs = spread(read_table(spark, sf_dir, "documents").select("doc_id", "text", "lang"))
     path = public_tokenizers.path
     judged = quality.judge(docs, path("piece_bpe_32k.model"), carry=("doc_id", "lang"), ranks_path=path("byte_bpe_50k.tiktoken"), pattern=public_tokenizers.PATTERN)
     return judged.select("doc_id", f"{judged.columns[-1]}.*").select(
@@ -31,7 +32,7 @@ def op1_tokeniser_fertility(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_chunked_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    manifest = warc.write_archives(read_table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+    manifest = warc.write_archives(spread(read_table(spark, sf_dir, "pages").select("page_id", "url", "html")))
     found = warc.records(manifest)
     return found.select(F.col("record_id").cast("long").alias("page_id"), "payload_bytes", "payload_digest", "record_type", F.col("refers_to").cast("long").alias("refers_to"))
 
@@ -45,7 +46,7 @@ def op3_host_reputation(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_progressive_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    docs = spread(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
     groups = exact_dedup.duplicate_groups(docs).withColumnRenamed("text_sha256", "_sha")
     rows = docs.select("doc_id", exact_dedup.content_sha(F.col("text")).alias("text_sha256"))
     keep = F.when(F.col("_sha").isNull(), F.col("doc_id")).otherwise(F.col("keep_id"))
@@ -54,32 +55,32 @@ def op4_progressive_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_residual_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    docs = spread(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
     path = public_tokenizers.path
     packed = packing.pack_documents(docs, path("byte_bpe_50k.json"), path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
     return packed.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
 
 
 def op6_suffix_automata(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return substring_dedup.repeated_passages(read_table(spark, sf_dir, "documents").select("doc_id", "text"), length=35)
+    return substring_dedup.repeated_passages(spread(read_table(spark, sf_dir, "documents").select("doc_id", "text")), length=35)
 
 
 def op7_two_tier_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    docs = spread(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
     return bpe.round_trip(docs, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
 def op8_licence_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return licenses.scan(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return licenses.scan(spread(read_table(spark, sf_dir, "documents").select("doc_id", "text")))
 
 
 def op9_tensored_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    docs = spread(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
     return minhash_dedup.near_duplicates(docs, k=4, percent=80)
 
 
 def op10_boosted_html(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = html_extract.extract(read_table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+    found = html_extract.extract(spread(read_table(spark, sf_dir, "pages").select("page_id", "url", "html")))
     return found.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
 
 
