@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from quirefold.functions.text import tokens
+from quirefold.sources.shared import spread
 
 LINES_PER_PAGE = 5
 
@@ -15,9 +16,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(doc_id, text), spread over the cores."""
+    return spread(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id")
+
+
 def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(doc_id, page_num, line_num of the document, line_on_page, text)."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("_p", "text"))
+    docs = texts(spark, sf_dir).select("doc_id", F.posexplode(F.split("text", "\n")).alias("_p", "text"))
     line = F.col("_p") + 1
     return docs.select("doc_id", F.ceil(line / LINES_PER_PAGE).cast("long").alias("page_num"), line.cast("long").alias("line_num"), (F.col("_p") % LINES_PER_PAGE + 1).cast("long").alias("line_on_page"), "text")
 
@@ -94,7 +100,7 @@ LABELLED = "labelled as (select doc_id, quality::bigint y, case doc_id % 3 when
 
 def numbered_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Contents-like lines with numbers and tabs: (line_id, text)."""
-    o = table(spark, sf_dir, "orders")
+    o = spread(table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderpriority", "o_orderstatus"))
     k, c = F.col("o_orderkey"), F.col("o_custkey")
     number = F.when(k % 3 == 0, F.concat((k % 9 + 1).cast("string"), F.lit("."), (c % 10).cast("string"))).when(k % 3 == 1, F.concat((k % 12).cast("string"), F.lit("."))).otherwise(F.lit(""))
     name = F.concat(F.lit(" "), F.lower("o_orderpriority"), F.lit(" Of "), F.col("o_orderstatus"))

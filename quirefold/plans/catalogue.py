@@ -678,7 +678,7 @@ _PREDICTED = "select doc_id, quality y, case when contains(text, '!!') or contai
 
 def _predicted(spark, d):
     rule = F.when(F.col("text").contains("!!") | F.col("text").contains("###"), 0).otherwise(1)
-    return A.table(spark, d, "labels").join(A.table(spark, d, "documents").select("doc_id", "text"), "doc_id").select("doc_id", F.col("quality").alias("y"), rule.alias("predicted"))
+    return A.table(spark, d, "labels").join(A.texts(spark, d), "doc_id").select("doc_id", F.col("quality").alias("y"), rule.alias("predicted"))
 
 
 @query(f"select y, predicted, count(*) n from ({_PREDICTED}) group by all")
@@ -732,7 +732,7 @@ def train_test_split(spark, d):
 @query("with w as (select doc_id, unnest(list_filter(regexp_split_to_array(lower(text), '\\s+'), lambda x: x <> '')) w from documents) select count(distinct w) n_words, (select max(n)::bigint from (select count(*) n from w group by doc_id)) longest from w")
 def corpus_vocab(spark, d):
     """Distinct words and the longest document; words are counted by an aggregate of their own, not by one task."""
-    words = A.table(spark, d, "documents").select("doc_id", X.tokens(F.lower("text")).alias("w"))
+    words = A.texts(spark, d).select("doc_id", X.tokens(F.lower("text")).alias("w"))
     distinct = words.select(F.explode("w").alias("x")).distinct().agg(F.count(F.lit(1)).alias("n_words"))
     longest = words.agg(F.max(F.size("w")).cast("long").alias("longest"))
     return distinct.withColumn("_k", F.lit(1)).join(longest.withColumn("_k", F.lit(1)), "_k").drop("_k")

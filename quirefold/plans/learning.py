@@ -35,7 +35,7 @@ TERMS = """tc as (select doc_id, term, count(*) tf from (select doc_id, unnest(r
 
 
 def _weights(spark, d):
-    return N.tfidf(N.term_counts(A.table(spark, d, "documents"), "doc_id", "text"), "doc_id")
+    return N.tfidf(N.term_counts(A.texts(spark, d).repartition("doc_id"), "doc_id", "text"), "doc_id")
 
 
 @query(f"with {TERMS} select doc_id, count(*) n_terms, round(sum(weight), 5) total, round(max(weight), 5) top from tfidf group by doc_id")
@@ -66,7 +66,7 @@ PAIR_TERMS = TERMS.replace(
 
 
 def _pair_weights(spark, d):
-    return N.tfidf(N.term_counts(A.table(spark, d, "documents"), "doc_id", "text", ngrams=2), "doc_id")
+    return N.tfidf(N.term_counts(A.texts(spark, d).repartition("doc_id"), "doc_id", "text", ngrams=2), "doc_id")
 
 
 @query(f"with {PAIR_TERMS} select doc_id, count(*) n_terms, round(sum(weight), 5) total, round(max(weight), 5) top from tfidf group by doc_id")
@@ -201,7 +201,7 @@ def quality_model(spark, d):
     """Table-content classifier (TF-IDF, complement naive Bayes) applied to documents: fit on labelled, predict all.
 
     The vocabulary of documents grows with their number, so it is a table here and not a vectoriser's."""
-    docs, labels = A.table(spark, d, "documents"), A.table(spark, d, "labels")
+    docs, labels = A.texts(spark, d), A.table(spark, d, "labels")
     found = N.classify_texts(docs, labels.select("doc_id", F.col("quality").alias("y")), "doc_id", "text", ngrams=2, min_df=3, alpha=0.2)
     return found.select("doc_id", F.col("predicted").cast("int").alias("class"))
 

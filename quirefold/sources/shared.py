@@ -53,3 +53,12 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     path = fresh_path(df.sparkSession, name)
     df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """df, read from files, in at least as many partitions as there are cores; rows that are moved go by the keys, if any.
+
+    A file of few row groups is read by few tasks, which would also do all work up to the next exchange. Larger inputs
+    have more parts than cores and are left as they are."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores, *keys) if df.rdd.getNumPartitions() < cores else df
