@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from quirefold.llm import exact_dedup, minhash_dedup, packing, quality, substring_dedup
 from quirefold.llm.store import materialize, read_table
+from quirefold.sources.shared import spread
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -62,7 +63,7 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over documents, each written and read again before the next."""
-    docs = read_table(spark, sf_dir, "documents")
+    docs = spread(read_table(spark, sf_dir, "documents"))
     for k, (_, stage) in enumerate(STAGES):
         docs = materialize(stage(spark, docs, sf_dir), f"stage{k}")
     return docs
