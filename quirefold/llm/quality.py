@@ -2,10 +2,10 @@
 
 Public vocabularies measure each document. A sentence-piece one gives characters per token, the share of byte-fallback
 tokens and token entropy; a byte-level one, if named, its own characters per token and entropy. Bands per language (or
-per script, where no language is given) say which values are acceptable; a document outside its band in any measure
-is rejected. A language's band is fitted on the measures of all its documents in the table that pass the base rule;
-fixed bands stand in where there are too few. Base counts (words, symbols, repeated lines and word windows) come from
-the same pass.
+per script, where no language is given) say which values are acceptable; a document is rejected if a measure lies
+outside its band by every vocabulary that has it, so what is odd to one vocabulary alone stays. A language's band is fitted on the
+measures of all its documents in the table that pass the base rule; fixed bands stand in where there are too few. Base
+counts (words, symbols, repeated lines and word windows) come from the same pass.
 
 One narrow pass over the texts without any shuffle: a row is measured by itself, so skew does not matter, and a lost
 executor only repeats its own rows. Memory is bounded by one Arrow batch and memos of bounded bytes. To fit the bands,
@@ -269,17 +269,14 @@ def base_failed(m: Column) -> Column:
 
 
 def in_band(m: Column, lang: Column | None = None, languages: dict[str, Band] = LANGUAGE_BANDS, scripts: dict[str, Band] = SCRIPT_BANDS) -> Column:
-    """Whether all measures lie in the band of the language, else of the script. Those of a vocabulary that was not
-    used do not count."""
+    """Whether the measures lie in the band of the language, else of the script: characters per token and entropy by one
+    vocabulary at least, the share of byte-fallback tokens by the one that has them."""
 
     def fits(b: Band) -> Column:
-        second = m["bpe_chars_per_token"].between(b.min_bpe_chars_per_token, b.max_bpe_chars_per_token) & (m["bpe_entropy_share"] >= b.min_bpe_entropy_share)
-        return (
-            m["chars_per_token"].between(b.min_chars_per_token, b.max_chars_per_token)
-            & (m["byte_share"] <= b.max_byte_share)
-            & (m["entropy_share"] >= b.min_entropy_share)
-            & (m["bpe_tokens"].isNull() | second)
-        )
+        by_second = lambda c: F.coalesce(c, F.lit(False))  # null: that vocabulary was not used
+        length = m["chars_per_token"].between(b.min_chars_per_token, b.max_chars_per_token) | by_second(m["bpe_chars_per_token"].between(b.min_bpe_chars_per_token, b.max_bpe_chars_per_token))
+        entropy = (m["entropy_share"] >= b.min_entropy_share) | by_second(m["bpe_entropy_share"] >= b.min_bpe_entropy_share)
+        return length & (m["byte_share"] <= b.max_byte_share) & entropy
 
     cases = [(lang == name, fits(band)) for name, band in languages.items()] if lang is not None else []
     cases += [(m["script"] == name, fits(band)) for name, band in scripts.items() if name != "other"]
@@ -296,7 +293,8 @@ def fit_bands(measured: DataFrame, into: str, lang: str | None = None) -> dict[s
     m = F.col(into)
     of = F.col(lang).cast("string") if lang else F.lit(None).cast("string")
     good = measured.filter(~base_failed(m)).select(of.alias("_l"), F.when(of.isNull(), m["script"]).alias("_s"), m.alias("_m"))
-    names = ("chars_per_token", "byte_share", "entropy_share", "bpe_chars_per_token", "bpe_entropy_share")
+    has = measured.schema[into].dataType.names
+    names = [n for n in ("chars_per_token", "byte_share", "entropy_share", "bpe_chars_per_token", "bpe_entropy_share") if n in has]
     quartiles = [F.percentile(F.round(F.col("_m")[n], FIT_DECIMALS), F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias(n) for n in names]
     languages, scripts = dict(LANGUAGE_BANDS), dict(SCRIPT_BANDS)
     for r in good.groupBy("_l", "_s").agg(F.count(F.lit(1)).alias("_n"), *quartiles).filter(F.col("_n") >= MIN_FITTED).collect():
