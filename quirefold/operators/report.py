@@ -92,3 +92,14 @@ def report_objects(sections: DataFrame, tree: DataFrame, toc_pages: DataFrame, p
     toc = toc_pages.groupBy("doc_id").agg(F.min("page_num").alias("toc_page"))
     whole = count.join(toc, "doc_id", "left").join(listed, "doc_id", "left").join(marks, "doc_id", "left")
     return whole.select("doc_id", F.to_json(F.struct("doc_id", "n_pages", "toc_page", "sections", "bookmarks")).alias("report"))
+
+
+def page_id_rows(marginals: DataFrame) -> DataFrame:
+    """Rows of the page-number models from header and footer lines: token shapes, once with small numbers as they are."""
+    t = F.col("text")
+    return marginals.select("doc_id", "page_num", "line_num", "text", X.token_shapes(t).alias("shapes"), X.token_shapes(t, literal_small=True).alias("transformed"), X.page_number(t).alias("page_text"))
+
+
+def training_frames(dataset: DataFrame, toc_pages: DataFrame, headings: DataFrame) -> dict[str, DataFrame]:
+    """The line datasets of all models by model card."""
+    return {"marginal_lines": marginal_frame(dataset), "heading_id_toc": toc_heading_frame(dataset, toc_pages), "heading_id_intext": intext_frame(dataset, toc_pages, headings)}

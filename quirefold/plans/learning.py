@@ -244,3 +244,20 @@ def learning_round(spark, d):
     rows = materialize(_pages(spark, d).withColumn("_key", F.col("doc_id") * 100000 + F.col("page_num")), "rows")
     known = rows.withColumn("answer", F.col(card.label)).withColumn(card.label, F.when(F.col("doc_id") % 3 > 0, F.col(card.label))).withColumn("tag_method", F.lit("legacy"))
     return N.round_of_learning(card, known, "_key", 20, known.select("_key", "answer").filter("_key % 2 = 0"))["confusion"]
+
+
+@query()
+def page_id_model(spark, d):
+    """Which lines hold a page number, by token shapes."""
+    card = N.CARDS["page_id"]
+    t = F.col("text")
+    rows = A.numbered_lines(spark, d).select("line_id", X.token_shapes(t).alias("shapes"), X.contains_word(t, "page").alias("tag"))
+    return N.classify(N.fit(card, rows, min_df=2.0), rows, card.label).select("line_id", "tag")
+
+
+@query()
+def heading_topic_model(spark, d):
+    """Topics of headings by words and word pairs."""
+    card = N.CARDS["heading_classification"]
+    rows = A.reports(spark, d).select("repno", F.concat(F.regexp_replace("rtype", "[0-9]-", "about "), F.lit(" in "), F.lower("submitby")).alias("text"), (F.col("rtype").substr(1, 1).cast("int") - 1).alias("heading_class"))
+    return N.classify(N.fit(card, rows, min_df=2.0), rows, card.label).select("repno", "heading_class")

@@ -252,3 +252,48 @@ def test_quantiles_and_modes(spark):
         assert own == pytest.approx((values[0], statistics.median(values), hi))
     assert set(got) == {"a", "b", "c", "d"}
     assert {r.k: r.mode for r in M.modes(df, "k", "v").collect()} == {k: min(statistics.multimode(sorted(v for key, v in rows if key == k))) for k in "abcd"}
+
+
+def test_text_models_learn_their_labels(spark, data):
+    from quirefold.plans import adapters as A
+    from quirefold.plans import learning
+
+    rows = {r.line_id: r.text for r in A.numbered_lines(spark, data).collect()}
+    found = {r.line_id: r.tag for r in learning.page_id_model(spark, data).collect()}
+    assert sum(found[i] == ("page" in t) for i, t in rows.items()) > 0.98 * len(rows)
+    topics = {r.repno: r.rtype for r in A.reports(spark, data).collect()}
+    got = {r.repno: r.heading_class for r in learning.heading_topic_model(spark, data).collect()}
+    assert sum(got[k] == int(v[0]) - 1 for k, v in topics.items()) > 0.98 * len(topics)
+
+
+def test_sections_leave_marginals_out(spark):
+    from quirefold.operators import headings as H
+
+    lines = spark.createDataFrame([(1, n, f"l{n}") for n in range(1, 8)], "doc_id long, line_num long, text string")
+    matched = spark.createDataFrame([(1, 2, 10, 1.0, 1), (1, 5, 11, 1.0, 2)], "doc_id long, line_num long, heading_id long, similarity double, level long")
+    marginals = spark.createDataFrame([(1, 4), (1, 7)], "doc_id long, line_num long")
+    assigned = H.section_lines(lines, matched, marginals)
+    assert sorted((r.line_num, r.heading_id) for r in assigned.collect()) == [(3, 10), (6, 11)]
+    sections = H.section_texts(assigned).withColumn("heading", F.concat(F.lit("h"), "heading_id")).withColumn("ord", F.col("heading_id"))
+    assert sinks.section_text(sections).first().content == "h10\nl3\n\nh11\nl6"
+
+
+def test_frames_of_all_line_models(spark):
+    dataset = spark.createDataFrame([(1, 1, 1, "1.1 Geology \t4", 0.1, 0.2), (1, 2, 2, "1.1 Geology", 0.1, 0.2), (1, 2, 3, "page 12", 0.1, 0.9), (2, 1, 1, "free text", 0.1, 0.2)], "doc_id long, page_num long, line_num long, text string, left double, top double")
+    toc = spark.createDataFrame([(1, 1)], "doc_id long, page_num long")
+    headings = spark.createDataFrame([(1, 1, 2, "1.1 Geology \t4")], "doc_id long, heading_id long, level long, heading string")
+    frames = RP.training_frames(dataset, toc, headings)
+    assert {(r.line_num, r.contains_num, r.contains_tab, r.contains_page) for r in frames["marginal_lines"].filter("doc_id = 1").collect()} == {(1, 1, 1, 0), (2, 0, 0, 0), (3, 1, 0, 1)}
+    assert [(r.section_prefix, r.section_text, r.section_page) for r in frames["heading_id_toc"].collect()] == [("1.1", " Geology ", "\t4")]
+    assert {(r.doc_id, r.line_num, r.contains_num, r.matches_heading, r.matches_type, r.matches_id) for r in frames["heading_id_intext"].collect()} == {(1, 2, 1, 1.0, 2, 1), (1, 3, 0, 0.0, 0, 0), (2, 1, 0, 0.0, 0, 0)}
+    r = RP.page_id_rows(dataset.filter("line_num = 3")).first()
+    assert (r.shapes, r.transformed, r.page_text) == ("page smallNum ", "page 12 ", "12")
+
+
+def test_metadata_sources(spark, tmp_path):
+    (tmp_path / "metadata.json").write_text(json.dumps([{"key": "RTITLE", "label": "Title", "value": "Coal"}, {"key": "EMPTY", "label": "x"}]))
+    (tmp_path / "components.json").write_text(json.dumps([{"compID": "1", "type": "BODY", "sizeKB": "12", "docType": "pdf"}, {"compID": "2", "sizeKB": "n/a"}]))
+    assert readers.report_metadata(spark, str(tmp_path / "metadata.json")).first().fields == {"RTITLE": "Coal", "EMPTY": None}
+    assert [(r.compID, r.size_kb) for r in readers.components(spark, str(tmp_path / "components.json")).orderBy("compID").collect()] == [("1", 12), ("2", None)]
+    keys = spark.createDataFrame([("x/cr_7_12.pdf",), ("x/cr_7_3.tar.gz",)], "key string")
+    assert [r.report_num for r in readers.report_numbers(keys).orderBy("key").collect()][0] == "12"
