@@ -49,9 +49,9 @@ SKETCH = 256
 SKETCH_DEVIATIONS = 5.0
 #: Tables of at most so many rows are compared as pairs.
 SMALL_TABLE = 32
-#: Rows and shingles that a task of a large table holds on either side, about.
+#: Rows of a large table that a task holds on either side, about; rows and shingles, where it has their texts.
 BLOCK_ROWS = 4096
-BLOCK_SHINGLES = 400_000
+BLOCK_TEXTS, BLOCK_SHINGLES = 512, 400_000
 #: Rows of tables of less than a block that go to one task, about, and pairs that it compares at a time.
 TABLE_ROWS_PER_TASK = 100_000
 PAIRS_AT_ONCE = 50_000
@@ -358,7 +358,7 @@ def _resolved(tables: DataFrame, facts: DataFrame, texts: DataFrame, k: int, per
     tasks = tasks.withColumn("g", F.when(F.col("blocks") > 1, F.col("key")).otherwise(group)).withColumn("whole", F.col("blocks") == 1)
     possible = tasks.groupBy("whole", "g", "m", "s").applyInArrow(_possible(percent), "key long, doc long").distinct()
     possible = materialize(possible.join(large.select(*columns), ["key", "doc"]).join(facts, "doc"), "possible")
-    sums = possible.groupBy("key").agg((1 + F.floor(F.greatest(F.sum("n_shingles") / BLOCK_SHINGLES, F.count(F.lit(1)) / (BLOCK_ROWS + 1)))).alias("blocks"))
+    sums = possible.groupBy("key").agg((1 + F.floor(F.greatest(F.sum("n_shingles") / BLOCK_SHINGLES, F.count(F.lit(1)) / (BLOCK_TEXTS + 1)))).alias("blocks"))
     plan = materialize(sums.join(top.select("key", "top"), "key"), "plan")
     tasks = _blocks(possible, plan, [*columns, "top", "n_shingles", "sketch", "bands"]).join(texts.select(F.col("_key").alias("doc"), "_text"), "doc")
     return links.unionByName(materialize(tasks.groupBy("key", "m", "s").applyInArrow(_exact_block(k, percent), LINKS), "resolved"))
