@@ -14,12 +14,6 @@ def word_counts(df: DataFrame, keys: list[str], text: Column) -> DataFrame:
     return words.select(*keys, F.size("_w").cast("long").alias("size"), F.explode("_w").alias("word")).groupBy(*keys, "size", "word").agg(F.count(F.lit(1)).alias("n"))
 
 
-def char_counts(df: DataFrame, keys: list[str], text: str) -> DataFrame:
-    """The same for characters."""
-    chars = df.select(*keys, F.length(text).cast("long").alias("size"), F.explode(F.filter(F.split(text, ""), lambda c: c != "")).alias("word"))
-    return chars.groupBy(*keys, "size", "word").agg(F.count(F.lit(1)).alias("n"))
-
-
 def multiset_jaccard(left: DataFrame, right: DataFrame, left_keys: list[str], right_keys: list[str], same: list[str] | None = None) -> DataFrame:
     """(left keys, right keys, similarity) of pairs that share a word: an inverted-index join, no cross join.
 

@@ -12,6 +12,7 @@ import re
 import shutil
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -44,17 +45,41 @@ def fresh_path(spark: SparkSession, name: str) -> str:
 
 def release(spark: SparkSession) -> None:
     """Delete this application's intermediate tables, once no result that reads them is needed any more."""
-    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(own_folder(spark))
-    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    _delete(spark, own_folder(spark))
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
+#: Tables written within the calls of `settle` that are under way, the innermost last.
+_scopes: list[list[str]] = []
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write df once and read it back: cuts lineage, survives lost executors."""
     path = fresh_path(df.sparkSession, name)
+    if _scopes:
+        _scopes[-1].append(path)
     df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def settle(spark: SparkSession, name: str, compute: Callable[[], DataFrame]) -> DataFrame:
+    """compute()'s rows, written; the tables that it wrote on the way are deleted, as nothing reads them any more."""
+    _scopes.append([])
+    try:
+        out = materialize(compute(), name)
+    finally:
+        written = _scopes.pop()
+    for path in written[:-1]:
+        _delete(spark, path)
+    if _scopes:
+        _scopes[-1].append(written[-1])
+    return out
+
+
 def spread(df: DataFrame, *keys: str) -> DataFrame:
     """df, read from files, in at least as many partitions as there are cores; rows that are moved go by the keys, if any.
 
