@@ -22,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quirefold.llm.store import keyed, materialize
+from quirefold.llm.store import keyed, materialize, settle
 
 #: The white space that does not count.
 WHITE = " \t\n\x0b\x0c\r"
@@ -71,15 +71,20 @@ def _rows(df: DataFrame, id_col: str, text: str) -> tuple[DataFrame, str, DataFr
 
 def duplicate_groups(df: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per text that several rows have: (text_sha256, keep_id, group_size)."""
-    return _groups(_finalists(_rows(df.select(id_col, text), id_col, text)[2])).select(F.col("_sha").alias("text_sha256"), "keep_id", "group_size")
+    rows = _rows(df.select(id_col, text), id_col, text)[2]
+    return settle(df.sparkSession, "groups", lambda: _groups(_finalists(rows))).select(F.col("_sha").alias("text_sha256"), "keep_id", "group_size")
 
 
 def drop_duplicates(df: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """One row of each group of equal texts, with df's columns. Only the keys of rows that go meet df again, so texts are
     neither hashed nor compared a second time, and not moved unless those keys are too many to be sent to every task."""
     whole, key, rows = _rows(df, id_col, text)
-    finalists = _finalists(rows)
-    members = finalists.join(_groups(finalists).select("_sha", "keep_key"), "_sha")
-    gone = materialize(members.filter("_key <> keep_key").select(F.col("_key").alias("_gone")), "gone")
+
+    def losers() -> DataFrame:
+        finalists = _finalists(rows)
+        members = finalists.join(_groups(finalists).select("_sha", "keep_key"), "_sha")
+        return members.filter("_key <> keep_key").select(F.col("_key").alias("_gone"))
+
+    gone = settle(df.sparkSession, "gone", losers)
     out = whole.join(gone, whole[key] == gone["_gone"], "left_anti")
     return out if key == id_col else out.drop(key)

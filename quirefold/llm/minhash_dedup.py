@@ -18,7 +18,7 @@ the threshold fails the sketch with a probability below 0.00001. Of a small tabl
 a large one only links. So no list of all pairs is ever made, and no bucket is capped.
 
 Bands, centres and components are aggregated before they are shuffled, joins back are such that adaptive execution
-can split them; intermediate tables are in the shared folder.
+can split them; intermediate tables are in the shared folder and are deleted once the components are written.
 
 Defined results: words are lower-cased in A-Z only; a document with fewer words than a shingle has its whole sequence
 as one; a null or wordless text has no shingle, is linked with nothing and kept; equal texts are linked, and of them the
@@ -39,7 +39,7 @@ from pyspark.sql import types as T
 
 from quirefold.llm import textkit as K
 from quirefold.llm.graph import components
-from quirefold.llm.store import keyed, materialize, prepare
+from quirefold.llm.store import keyed, materialize, prepare, settle
 
 ROWS_PER_BAND = 6
 SIDE = 26
@@ -424,7 +424,7 @@ def _members(docs: DataFrame, found: DataFrame) -> DataFrame:
 def near_duplicates(df: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id", text: str = "text", side: int = SIDE, rows: int = ROWS_PER_BAND) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) of every document."""
     _, key, docs = _documents(df.select(id_col, text), id_col, text)
-    found = _near(docs, k, percent, side, rows)
+    found = settle(df.sparkSession, "near", lambda: _near(docs, k, percent, side, rows))
     if key == id_col:
         return found.select(F.col("doc").alias("doc_id"), "n_shingles", F.col("component").alias("component_id"), (F.col("doc") == F.col("component")).alias("kept"))
     least = F.col("_least.id")
@@ -434,7 +434,7 @@ def near_duplicates(df: DataFrame, k: int = 5, percent: int = 80, id_col: str =
 def drop_near_duplicates(df: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id", text: str = "text", side: int = SIDE, rows: int = ROWS_PER_BAND) -> DataFrame:
     """One row of each component, that of the smallest id, with df's columns."""
     whole, key, docs = _documents(df, id_col, text)
-    found = _near(docs, k, percent, side, rows)
+    found = settle(df.sparkSession, "near", lambda: _near(docs, k, percent, side, rows))
     stays = F.col("doc") == F.col("component") if key == id_col else F.col("doc") == F.col("_least.doc")
     gone = (found if key == id_col else _members(docs, found)).filter(~stays).select(F.col("doc").alias("_gone"))
     gone = materialize(gone, "gone")

@@ -33,7 +33,7 @@ from pyspark.sql import types as T
 
 from quirefold.llm import textkit as K
 from quirefold.llm.chunks import CHUNK_PATTERNS, ENTRY_BYTES, LONG_CHUNK, MEMO_BYTES, Memo, RankEncoder
-from quirefold.llm.store import materialize, prepare, unused
+from quirefold.llm.store import keyed, materialize, prepare, settle, unused
 
 #: Largest vocabulary file that is broadcast.
 MAX_VOCABULARY_BYTES = 64 << 20
@@ -332,7 +332,15 @@ def judge(df: DataFrame, model_path: str, text: str = "text", lang: str | None =
     return measured.withColumn(into, m.withField("base_failed", failed).withField("kept", kept))
 
 
-def keep_good(df: DataFrame, model_path: str, **options) -> DataFrame:
-    """The rows of df that pass, with df's columns."""
-    judged = judge(df, model_path, **options)
-    return judged.filter(F.col(judged.columns[-1])["kept"]).drop(judged.columns[-1])
+def keep_good(df: DataFrame, model_path: str, id_col: str = "doc_id", lang: str | None = "lang", **options) -> DataFrame:
+    """The rows of df that pass, with df's columns. Only keys and measures are written, no text."""
+    whole, key = keyed(df, id_col)
+    lang = lang if lang and lang in whole.columns else None
+
+    def rejected() -> DataFrame:
+        judged = judge(whole, model_path, lang=lang, carry=(key, lang) if lang else (key,), **options)
+        return judged.filter(~F.col(judged.columns[-1])["kept"]).select(F.col(key).alias("_gone"))
+
+    gone = settle(df.sparkSession, "rejected", rejected)
+    out = whole.join(gone, whole[key] == gone["_gone"], "left_anti")
+    return out if key == id_col else out.drop(key)

@@ -13,13 +13,14 @@ import zipfile
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quirefold.sources.shared import fresh_path, release
+from quirefold.sources import shared
+from quirefold.sources.shared import fresh_path, release, settle
 
-__all__ = ["fresh_path", "keyed", "materialize", "prepare", "read_table", "release", "unused"]
+__all__ = ["fresh_path", "keyed", "materialize", "prepare", "read_table", "release", "settle", "unused"]
 
 #: Rows of a table that go to a Python worker at once. Texts may be long, so this is far below Spark's default.
 ARROW_ROWS = 512
-#: Bytes of such a batch, where the Spark version knows the setting.
+#: Bytes of such a batch.
 ARROW_BYTES = 16 << 20
 
 #: Rows of a table of a few narrow columns that one task writes at most, where the number of rows is known.
@@ -30,12 +31,9 @@ def materialize(df: DataFrame, name: str, rows: int | None = None) -> DataFrame:
     """Write df once to the shared folder and read it back: cuts lineage and survives lost executors.
 
     rows: about how many rows of a few narrow columns it has at most, if known; few rows then go to few files."""
-    spark = df.sparkSession
-    path = fresh_path(spark, name)
     if rows is not None:
-        df = df.coalesce(max(spark.sparkContext.defaultParallelism, -(-rows // NARROW_ROWS_PER_TASK)))
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+        df = df.coalesce(max(df.sparkSession.sparkContext.defaultParallelism, -(-rows // NARROW_ROWS_PER_TASK)))
+    return shared.materialize(df, name)
 
 
 def prepare(spark: SparkSession) -> SparkSession:

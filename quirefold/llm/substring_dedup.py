@@ -39,7 +39,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quirefold.llm import textkit as K
-from quirefold.llm.store import keyed, materialize, prepare, unused
+from quirefold.llm.store import keyed, materialize, prepare, settle, unused
 
 #: Words of a shard's reference text, about.
 SHARD_WORDS = 250_000
@@ -388,14 +388,18 @@ def _keyed_docs(df: DataFrame, id_col: str, text: str) -> tuple[DataFrame, str,
 def repeated_passages(df: DataFrame, length: int = 35, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, n_words, n_removed, kept_sha256) of every document."""
     whole, key, docs = _keyed_docs(df.select(id_col, text), id_col, text)
-    found = Repeats(docs, length)
-    changed = found.candidates.select("doc_id", "_text").join(found.spans, "doc_id").mapInArrow(_digest_kept, RESULT)
-    nothing = F.sha2(F.lit(""), 256)
-    gone = found.copies.select(F.col("doc_id").alias("_id"), F.lit(True).alias("_gone"))
-    changed = changed.select(F.col("doc_id").alias("_changed"), F.col("n_removed").alias("_n"), F.col("kept_sha256").alias("_sha"))
-    rows = found.ones.join(gone, F.col("doc_id") == F.col("_id"), "left").join(changed, F.col("doc_id") == F.col("_changed"), "left")
-    removed = F.when(F.col("_gone"), F.col("n_words")).otherwise(F.coalesce("_n", F.lit(0)))
-    out = rows.select("doc_id", "n_words", removed.alias("n_removed"), F.when(F.col("_gone"), nothing).otherwise(F.coalesce("_sha", "sha")).alias("kept_sha256"))
+
+    def judged() -> DataFrame:
+        found = Repeats(docs, length)
+        changed = found.candidates.select("doc_id", "_text").join(found.spans, "doc_id").mapInArrow(_digest_kept, RESULT)
+        nothing = F.sha2(F.lit(""), 256)
+        gone = found.copies.select(F.col("doc_id").alias("_id"), F.lit(True).alias("_gone"))
+        changed = changed.select(F.col("doc_id").alias("_changed"), F.col("n_removed").alias("_n"), F.col("kept_sha256").alias("_sha"))
+        rows = found.ones.join(gone, F.col("doc_id") == F.col("_id"), "left").join(changed, F.col("doc_id") == F.col("_changed"), "left")
+        removed = F.when(F.col("_gone"), F.col("n_words")).otherwise(F.coalesce("_n", F.lit(0)))
+        return rows.select("doc_id", "n_words", removed.alias("n_removed"), F.when(F.col("_gone"), nothing).otherwise(F.coalesce("_sha", "sha")).alias("kept_sha256"))
+
+    out = settle(df.sparkSession, "repeats", judged)
     if key == id_col:
         return out
     names = whole.select(F.col(key).alias("_key"), F.col(id_col).alias("_name"))
@@ -405,11 +409,15 @@ def repeated_passages(df: DataFrame, length: int = 35, id_col: str = "doc_id", t
 def remove_repeats(df: DataFrame, length: int = 35, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """df with the words of repeated passages taken out of its texts, and the white space after them."""
     whole, key, docs = _keyed_docs(df, id_col, text)
-    found = Repeats(docs, length)
-    words = found.ones.select("doc_id", "n_words")
-    gone = found.copies.select("doc_id").join(words, "doc_id").select("doc_id", F.array(F.lit(0).cast("long"), F.col("n_words")).alias("spans"))
+
+    def spans_of() -> DataFrame:
+        found = Repeats(docs, length)
+        words = found.ones.select("doc_id", "n_words")
+        gone = found.copies.select("doc_id").join(words, "doc_id").select("doc_id", F.array(F.lit(0).cast("long"), F.col("n_words")).alias("spans"))
+        return found.spans.unionByName(gone)
+
     doc, into = unused(whole, "_doc"), unused(whole, "_spans")
-    spans = materialize(found.spans.unionByName(gone), "all_spans").select(F.col("doc_id").alias(doc), F.col("spans").alias(into))
+    spans = settle(df.sparkSession, "all_spans", spans_of).select(F.col("doc_id").alias(doc), F.col("spans").alias(into))
     rows = whole.join(spans, whole[key] == spans[doc], "left").drop(doc)
     out = rows.mapInArrow(_kept_text(text, into), rows.schema).drop(into)
     return out if key == id_col else out.drop(key)
