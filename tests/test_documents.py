@@ -297,3 +297,19 @@ def test_metadata_sources(spark, tmp_path):
     assert [(r.compID, r.size_kb) for r in readers.components(spark, str(tmp_path / "components.json")).orderBy("compID").collect()] == [("1", 12), ("2", None)]
     keys = spark.createDataFrame([("x/cr_7_12.pdf",), ("x/cr_7_3.tar.gz",)], "key string")
     assert [r.report_num for r in readers.report_numbers(keys).orderBy("key").collect()][0] == "12"
+
+
+def test_settle_keeps_only_the_result(spark):
+    from pathlib import Path
+
+    def inner():
+        shared.materialize(spark.range(3), "a")
+        return shared.settle(spark, "b", lambda: shared.materialize(spark.range(4), "c").filter("id > 0"))
+
+    before = set(Path(shared.own_folder(spark).removeprefix("file://")).glob("*/*")) if Path(shared.own_folder(spark).removeprefix("file://")).exists() else set()
+    out = shared.settle(spark, "d", lambda: inner().filter("id > 1"))
+    assert sorted(r.id for r in out.collect()) == [2, 3]
+    assert [p.name for p in set(Path(shared.own_folder(spark).removeprefix("file://")).glob("*/*")) - before] == ["d"]
+    with pytest.raises(ZeroDivisionError):
+        shared.settle(spark, "e", lambda: 1 // 0)
+    assert not shared._scopes
