@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quirefold.llm import bpe, exact_dedup, hosts, html_extract, licenses, minhash_dedup, packing, quality, substring_dedup, warc
+from quirefold.llm import bpe, exact_dedup, hosts, html_extract, itemsets, licenses, minhash_dedup, packing, quality, substring_dedup, warc
 from quirefold.llm.store import read_table
 from quirefold.sources.shared import spread
 
@@ -84,6 +84,16 @@ def op10_boosted_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
 
 
+def op11_key_itemsets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lines = read_table(spark, sf_dir, "sale_lines").filter(~F.col("flag").eqNullSafe("returned")).select("sale_id", "item_id")
+    found = itemsets.with_rules(*itemsets.closed_itemsets(lines, "sale_id", "item_id"))
+    text = F.array_join(F.transform("rules", lambda r: F.concat_ws(":", r["c"], r["a"], r["s"])), ";")
+    best = F.array_min(F.transform("rules", lambda r: F.struct(r["a"], r["c"])))["c"]
+    return found.select(
+        F.array_join("items", ",").alias("items"), F.size("items").cast("long").alias("n_items"), "support", F.size("rules").cast("long").alias("n_rules"), best.alias("best_item"), F.sha2(text, 256).alias("rules_sha256")
+    )
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     all_of_them = (
         op1_tokeniser_fertility,
@@ -96,6 +106,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         op8_licence_sentences,
         op9_tensored_minhash,
         op10_boosted_html,
+        op11_key_itemsets,
     )
     return {f.__name__: f for f in all_of_them}
 
@@ -158,6 +169,27 @@ def _op8_sql() -> str:
     from spaced"""
 
 
+OP11_SQL = """
+    with recursive lines as materialized (select distinct sale_id b, item_id i from sale_lines where flag is distinct from 'returned' and sale_id is not null and item_id is not null),
+    total as (select count(distinct b) n from lines),
+    single as materialized (select i, count(*) s, list(b) own from lines group by i having count(*) >= 12 and count(*) * 10000 >= (select n from total)),
+    kept as (select b, i from lines semi join single using (i)),
+    pair as materialized (select x.i a, y.i c from kept x join kept y on x.b = y.b and x.i < y.i group by all having count(*) >= 12 and count(*) * 10000 >= (select n from total)),
+    sets as (
+        select [i] items, i last, own, s from single
+        union all
+        select * from (select list_append(sets.items, c) items, c as last, list_intersect(sets.own, single.own) own, len(list_intersect(sets.own, single.own))::bigint s
+            from sets join pair on a = last join single on single.i = c) where s >= 12 and s * 10000 >= (select n from total)),
+    every as materialized (select items, s from sets),
+    parts as materialized (select items, s, c, list_filter(items, lambda x: x <> c) rest from (select items, s, unnest(items) c from every where len(items) > 1)),
+    closed as (select items, s from every anti join (select distinct rest, s from parts) p on every.items = p.rest and every.s = p.s),
+    rules as (select parts.items, c, r.s a, single.s from parts semi join closed using (items) join every r on r.items = rest join single on single.i = c
+        where 100 * parts.s >= 30 * r.s and parts.s * (select n from total) > r.s * single.s),
+    by_set as (select items, count(*) n_rules, first(c order by a, c) best_item, string_agg(c || ':' || a || ':' || s, ';' order by c) t from rules group by items)
+    select array_to_string(closed.items, ',') items, len(closed.items)::bigint n_items, closed.s support, coalesce(n_rules, 0) n_rules, best_item, sha256(coalesce(t, '')) rules_sha256
+    from closed left join by_set using (items)"""
+
+
 def oracle_sql() -> dict[str, str]:
     white = r"[\x20\x09-\x0D]"
     return {
@@ -173,4 +205,5 @@ def oracle_sql() -> dict[str, str]:
                 doc_id = first_value(doc_id) over w as kept, text_sha256
             from d window w as (partition by text_sha256 order by points desc, doc_id)""",
         "op8_licence_sentences": _op8_sql(),
+        "op11_key_itemsets": OP11_SQL,
     }
