@@ -8,8 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quirefold.llm import bpe, exact_dedup, hosts, html_extract, itemsets, licenses, minhash_dedup, packing, quality, substring_dedup, warc
-from quirefold.llm.store import read_table
+from quirefold.llm import bpe, exact_dedup, hosts, html_extract, itemsets, licenses, minhash_dedup, packing, prefix_trie, quality, substring_dedup, warc
+from quirefold.llm.store import materialize, read_table
 from quirefold.sources.shared import spread
 
 #: op3's ordered policy.
@@ -94,6 +94,15 @@ def op11_key_itemsets(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op13_patricia_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    own = materialize(prefix_trie.sequences(read_table(spark, sf_dir, "conversations")), "conversations")
+    first = own.select(F.col("conv").alias("_base"), F.slice("turns", 1, 5).alias("_first"))
+    rows = own.withColumn("_base", F.col("conv") - F.col("conv") % 100).withColumn("_h", (F.crc32(F.col("conv").cast("string").cast("binary")) % 6).cast("int"))
+    borrowed = F.coalesce(F.slice("_first", F.lit(1), F.col("_h")), F.slice("turns", 1, 0))
+    rest = F.slice("turns", F.col("_h") + 1, F.size("turns"))
+    return prefix_trie.prefix_trie(rows.join(first, "_base", "left").select("conv", F.concat(borrowed, rest).alias("turns")))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     all_of_them = (
         op1_tokeniser_fertility,
@@ -107,6 +116,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         op9_tensored_minhash,
         op10_boosted_html,
         op11_key_itemsets,
+        op13_patricia_trie,
     )
     return {f.__name__: f for f in all_of_them}
 
@@ -190,6 +200,26 @@ OP11_SQL = """
     from closed left join by_set using (items)"""
 
 
+OP13_SQL = """
+    with said as (select conv_id c, row_number() over (partition by conv_id order by turn nulls first, coalesce(role, ''), coalesce(text, '')) rn,
+        md5(length(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, '')) t, length(coalesce(text, '')) chars from conversations where conv_id is not null),
+    convs as (select c, c - c % 100 base, count(*) n, xor(4294967295, list_reduce(list_prepend(4294967295::bigint, list_transform(string_split(c::varchar, ''), lambda x: ascii(x)::bigint)),
+        lambda r, b: list_reduce(list_prepend(xor(r, b), [0::bigint, 0, 0, 0, 0, 0, 0, 0]), lambda x, z: case when x % 2 = 1 then xor(x >> 1, 3988292384) else x >> 1 end))) % 6 h from said group by c),
+    given as (select convs.c, h, convs.n, least(h, coalesce(b.n, 0)) taken from convs left join (select c as bc, n from convs) b on b.bc = base),
+    rebuilt as (
+        select g.c, rn d, t, chars from given g join convs using (c) join said s on s.c = base and rn <= g.h
+        union all select g.c, rn - g.h + taken, t, chars from given g join said s on s.c = g.c and rn > g.h),
+    ways as (select c, d, chars, array_to_string(list(t) over (partition by c order by d), '') k from rebuilt),
+    path as materialized (select c, d, chars, k, left(k, 32 * (d - 1)::int) up from ways union all select c, 0, 0, '', null from convs),
+    nodes as materialized (select k, d, any_value(up) up, any_value(chars) chars, min(c) c, count(*) n from path group by k, d),
+    kids as (select up k, count(*) n_children from nodes where up is not null group by 1),
+    below as (select p.k, sum((n.n - 1) * n.chars)::bigint saved_tokens, count(*) filter (where n.k not in (select k from kids)) n_leaves
+        from nodes n join path p on p.c = n.c and p.d <= n.d group by 1),
+    ends as (select k, sha256(string_agg(c::varchar, ',' order by c)) ends_sha256 from (select c, arg_max(k, d) k from path group by c) group by 1)
+    select nodes.c conv_id, nodes.d::bigint depth, a.c parent_conv_id, nodes.n n_convs, coalesce(n_children, 0) n_children, n_leaves, saved_tokens, coalesce(ends_sha256, sha256('')) ends_sha256
+    from nodes left join (select k up, c from nodes) a using (up) left join kids using (k) join below using (k) left join ends using (k)"""
+
+
 def oracle_sql() -> dict[str, str]:
     white = r"[\x20\x09-\x0D]"
     return {
@@ -206,4 +236,5 @@ def oracle_sql() -> dict[str, str]:
             from d window w as (partition by text_sha256 order by points desc, doc_id)""",
         "op8_licence_sentences": _op8_sql(),
         "op11_key_itemsets": OP11_SQL,
+        "op13_patricia_trie": OP13_SQL,
     }
