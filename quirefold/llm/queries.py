@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quirefold.llm import bpe, exact_dedup, hosts, html_extract, itemsets, licenses, minhash_dedup, packing, prefix_trie, quality, substring_dedup, warc
+from quirefold.llm import bpe, exact_dedup, hosts, html_extract, itemsets, lexicon, licenses, minhash_dedup, packing, prefix_trie, quality, substring_dedup, warc
 from quirefold.llm.store import materialize, read_table
 from quirefold.sources.shared import spread
 
@@ -94,6 +94,12 @@ def op11_key_itemsets(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op12_transducer_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spread(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    path = public_tokenizers.path("word_bpe_49k.json")
+    return lexicon.round_trip(docs, path, lexicon.compile_lexicon(docs, path))
+
+
 def op13_patricia_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     own = materialize(prefix_trie.sequences(read_table(spark, sf_dir, "conversations")), "conversations")
     first = own.select(F.col("conv").alias("_base"), F.slice("turns", 1, 5).alias("_first"))
@@ -116,6 +122,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         op9_tensored_minhash,
         op10_boosted_html,
         op11_key_itemsets,
+        op12_transducer_bpe,
         op13_patricia_trie,
     )
     return {f.__name__: f for f in all_of_them}
