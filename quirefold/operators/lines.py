@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from quirefold.functions import text as X
+from quirefold.operators.keys import document_keys, page_keys
 
 # Margins of scanning noise, and tolerances of line reconstruction, in page units.
 NOISE_LEFT, NOISE_WIDTH = 0.04, 0.02
@@ -20,49 +25,58 @@ def drop_margin_noise(boxes: DataFrame) -> DataFrame:
 
 
 def child_lines(blocks: DataFrame, edges: DataFrame) -> DataFrame:
-    """LINE blocks that are children of a PAGE, numbered within their page. edges: (src, type, ord, dst)."""
-    pages = blocks.filter(F.col("block_type") == "PAGE").select(F.col("id").alias("src"))
-    kids = edges.filter(F.col("type") == "CHILD").join(pages, "src", "left_semi").select(F.col("dst").alias("id")).distinct()
-    found = blocks.filter(F.col("block_type") == "LINE").join(kids, "id", "left_semi")
-    return found.withColumn("line_num", F.row_number().over(W.partitionBy("doc_id", "page_num").orderBy("ord")))
+    """LINE blocks that are children of a PAGE, numbered within their page. edges: (src, type, ord, dst), and the keys of
+    the document where ids are not unique among documents."""
+    own = [k for k in document_keys(blocks) if k in edges.columns]
+    pages = blocks.filter(F.col("block_type") == "PAGE").select(*own, F.col("id").alias("src"))
+    kids = edges.filter(F.col("type") == "CHILD").join(pages, [*own, "src"], "left_semi").select(*own, F.col("dst").alias("id")).distinct()
+    found = blocks.filter(F.col("block_type") == "LINE").join(kids, [*own, "id"], "left_semi")
+    return found.withColumn("line_num", F.row_number().over(W.partitionBy(*page_keys(blocks)).orderBy("ord")))
 
 
-def assign_lines(boxes: DataFrame) -> DataFrame:
-    """boxes (doc_id, page_num, ord, left, top, width, ...) with the line (n) and place (pos) that reconstruction gives.
+def assign_lines(boxes: DataFrame, keys: tuple[str, ...] | None = None) -> DataFrame:
+    """boxes (keys of a page, ord, left, top, width, ...) with the line (line_num) and place (pos) that reconstruction gives.
 
     Boxes of a page are taken in order. A box joins the line if it is at the height of the line's first box (before it,
-    if it starts left of the last one) or on a slight slope to its right; else it begins a new line. The order of a
-    page's boxes is all that must be together: one array per page."""
-    page = boxes.groupBy("doc_id", "page_num").agg(F.array_sort(F.collect_list(F.struct("ord", "left", "top", "width"))).alias("_b"))
-    empty = F.expr("named_struct('n', 0L, 'fy', 0D, 'pl', 0D, 'pw', 0D, 'lo', 0L, 'hi', 0L, 'out', cast(array() as array<struct<ord:bigint,n:bigint,pos:bigint>>))")
-
-    def step(s: Column, b: Column) -> Column:
-        end = s["pl"] + s["pw"]
-        level = (s["n"] > 0) & (b["top"] >= s["fy"] - F.lit(SAME_LINE)) & (b["top"] <= s["fy"] + F.lit(SAME_LINE))
-        slope = (s["n"] > 0) & ~level & (b["left"] > end) & (F.abs(s["fy"] - b["top"]) / F.when(b["left"] > end, b["left"] - end) < F.lit(SLOPE))
-        before = level & (b["left"] < s["pl"])
-        after = (level & ~before) | F.coalesce(slope, F.lit(False))
-
-        def state(n: Column, fy: Column, pl: Column, pw: Column, lo: Column, hi: Column, pos: Column) -> Column:
-            placed = F.struct(b["ord"].alias("ord"), n.alias("n"), pos.alias("pos"))
-            return F.struct(n.alias("n"), fy.alias("fy"), pl.alias("pl"), pw.alias("pw"), lo.alias("lo"), hi.alias("hi"), F.concat(s["out"], F.array(placed)).alias("out"))
-
-        zero = F.lit(0).cast("long")
-        return (
-            F.when(before, state(s["n"], s["fy"], s["pl"], s["pw"], s["lo"] - 1, s["hi"], s["lo"] - 1))
-            .when(after, state(s["n"], s["fy"], b["left"], b["width"], s["lo"], s["hi"] + 1, s["hi"] + 1))
-            .otherwise(state(s["n"] + 1, b["top"], b["left"], b["width"], zero, zero, zero))
-        )
-
-    placed = page.select("doc_id", "page_num", F.explode(F.aggregate("_b", empty, step, lambda s: s["out"])).alias("p"))
-    placed = placed.select("doc_id", "page_num", "p.ord", F.col("p.n").alias("line_num"), "p.pos")
-    return boxes.join(placed, ["doc_id", "page_num", "ord"])
-
-
-def merge_lines(placed: DataFrame) -> DataFrame:
+    if it starts left of the last one) or on a slight slope to its right; else it begins a new line. Each box needs the
+    one before, so pages are sorted and read once, with a state of a few numbers: a page's boxes are never held together."""
+    keys = keys or page_keys(boxes)
+    same, slight = SAME_LINE, SLOPE
+    schema = T.StructType([*boxes.schema.fields, T.StructField("line_num", T.LongType()), T.StructField("pos", T.LongType())])
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        page, n, first, left_of, width_of, lo, hi = None, 0, None, None, None, 0, 0
+        for batch in batches:
+            numbers, places = [], []
+            for *own, left, top, width in zip(*(batch.column(c).to_pylist() for c in (*keys, "left", "top", "width")), strict=True):
+                if own != page:
+                    page, n = own, 0
+                level = sloping = False
+                if n and first is not None and top is not None:
+                    level = first - same <= top <= first + same
+                    end = None if left_of is None or width_of is None else left_of + width_of
+                    sloping = not level and left is not None and end is not None and left > end and abs(first - top) / (left - end) < slight
+                if level and left is not None and left_of is not None and left < left_of:
+                    lo -= 1
+                    place = lo
+                elif level or sloping:
+                    hi += 1
+                    place, left_of, width_of = hi, left, width
+                else:
+                    n, first, left_of, width_of, lo, hi, place = n + 1, top, left, width, 0, 0, 0
+                numbers.append(n)
+                places.append(place)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(numbers, pa.int64()), pa.array(places, pa.int64())], names=[*batch.schema.names, "line_num", "pos"])
+
+    in_order = boxes.repartition(*keys).sortWithinPartitions(*keys, "ord", "left", "top", "width")
+    return in_order.mapInArrow(fold, schema)
+
+
+def merge_lines(placed: DataFrame, keys: tuple[str, ...] | None = None) -> DataFrame:
     """One row per reconstructed line, from `assign_lines`."""
+    keys = keys or page_keys(placed)
     last = F.max_by(F.struct("left", "width"), F.when(F.col("pos") >= 0, F.col("pos")))
-    merged = placed.groupBy("doc_id", "page_num", "line_num").agg(
+    merged = placed.groupBy(*keys, "line_num").agg(
         F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "text"))), lambda x: x["text"]), SEPARATOR).alias("text"),
         F.avg("confidence").alias("confidence"),
         F.sum("width").alias("words_width"),
@@ -88,8 +102,8 @@ def line_features(lines: DataFrame) -> DataFrame:
     return lines.select(
         "*",
         F.try_divide("words_width", "width").alias("words2width"),
-        min_max(centre, "doc_id").alias("centrality"),
-        min_max(F.col("line_num"), "doc_id", "page_num").alias("normed_line_num"),
+        min_max(centre, *document_keys(lines)).alias("centrality"),
+        min_max(F.col("line_num"), *page_keys(lines)).alias("normed_line_num"),
         *text_flags(F.col("text")),
     )
 

@@ -10,12 +10,13 @@ from quirefold.functions import text as X
 from quirefold.operators import blocks as B
 from quirefold.operators import headings as H
 from quirefold.operators import lines as L
+from quirefold.operators.keys import page_keys
 
 
 def clean_lines(blocks: DataFrame) -> DataFrame:
     """Reconstructed lines of documents from their blocks: the page's own lines, without margin noise, put together."""
     boxes = L.drop_margin_noise(B.page_lines(blocks)).withColumn("ord", F.col("line_num"))
-    return L.merge_lines(L.assign_lines(boxes.select("doc_id", "page_num", "ord", "text", "confidence", "left", "top", "width", "height")))
+    return L.merge_lines(L.assign_lines(boxes.select(*page_keys(blocks), "ord", "text", "confidence", "left", "top", "width", "height")))
 
 
 def toc_lines(lines: DataFrame, toc_pages: DataFrame) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from quirefold.functions.text import tokens
+from quirefold.operators.blocks import in_file
 from quirefold.sources.shared import spread
 
 LINES_PER_PAGE = 5
@@ -112,43 +113,57 @@ NUMBERED = """numbered as (select o_orderkey line_id, (case o_orderkey % 3 when
     || ' ' || lower(o_orderpriority) || ' Of ' || o_orderstatus || case when o_orderkey % 2 = 0 then ' ' || chr(9) || (o_orderkey % 100)::varchar else ' page 1998 may' end as text from orders)"""
 
 
+#: Orders whose blocks one result page holds.
+ORDERS_PER_RESPONSE = 3
+
+
 def blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The block graph of a document a customer: a table per order status but P, a row an order, and a form entry an order."""
-    o = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("doc_id"), F.col("o_orderkey").alias("k"), F.col("o_orderstatus").alias("s"), F.col("o_orderpriority").alias("p"))
-    o = o.withColumn("row", F.row_number().over(W.partitionBy("doc_id", "s").orderBy("k")))
+    """The block graph of two files a customer: a table per order status but P, a row an order, and a form entry and a
+    line an order. As in stored responses, ids repeat from file to file and places from result page to result page."""
+    o = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("doc_id"), (F.col("o_orderkey") % 2 + 1).alias("file_num"), F.col("o_orderkey").alias("k"), F.col("o_orderstatus").alias("s"), F.col("o_orderpriority").alias("p"))
+    file = W.partitionBy("doc_id", "file_num")
+    o = o.withColumn("row", F.row_number().over(W.partitionBy("doc_id", "file_num", "s").orderBy("k"))).withColumn("n", F.row_number().over(file.orderBy("k")) - 1)
     none, key = F.lit(None).cast("string"), F.col("k").cast("string")
     name = lambda prefix: F.concat(F.lit(prefix), key)
     rel = lambda kind, *ids: F.struct(F.lit(kind).alias("type"), F.array(*ids).alias("ids"))
     no_rel = F.array().cast("array<struct<type:string,ids:array<string>>>")
 
-    def block(kind, place, ident, text=none, row=None, col=None, ticked=none, entity=None, rels=no_rel):
+    def block(kind, page, place, ident, text=none, row=None, col=None, ticked=none, entity=None, rels=no_rel, box=(None,) * 4):
         whole = lambda x: (F.lit(None) if x is None else x).cast("long")
+        size = [(F.lit(None) if x is None else x).cast("double").alias(c) for c, x in zip(("left", "top", "width", "height"), box, strict=True)]
         return F.struct(
-            place.cast("long").alias("ord"), ident.alias("id"), F.lit(kind).alias("block_type"), text.alias("text"), whole(row).alias("row_index"), whole(col).alias("col_index"),
+            page.cast("long").alias("response"), place.cast("long").alias("place"), ident.alias("id"), F.lit(kind).alias("block_type"), text.alias("text"), whole(row).alias("row_index"), whole(col).alias("col_index"),
             ticked.alias("selection_status"), (F.array(F.lit(entity)) if entity else F.array().cast("array<string>")).alias("entity_types"), rels.alias("relationships"), F.lit(1).cast("long").alias("page_num"),
+            F.lit(90.0).alias("confidence"), *size,
         )
 
-    at = lambda i: F.col("k") * 20 + i
+    page = F.floor(F.col("n") / ORDERS_PER_RESPONSE)
+    at = lambda i: F.col("n") % ORDERS_PER_RESPONSE * 20 + 10 + i
+    noise = F.col("k") % 11 == 0
+    box = (F.when(noise, 0.01).otherwise(0.1 + F.col("k") % 3 * 0.3), F.floor(F.col("n") / 2) * 0.02, F.when(noise, 0.01).otherwise(0.2), F.lit(0.01))
     of_order = F.array(
-        block("WORD", at(1), name("w1-"), F.col("p")),
-        block("WORD", at(2), name("w2-"), key),
-        block("SELECTION_ELEMENT", at(3), name("s-"), ticked=F.when(F.col("k") % 5 == 0, "SELECTED").otherwise("NOT_SELECTED")),
-        block("CELL", at(4), name("c1-"), row=F.col("row"), col=F.lit(1), rels=F.array(rel("CHILD", name("w1-"), name("w2-")))),
-        block("CELL", at(5), name("c2-"), row=F.col("row"), col=F.lit(2), rels=F.array(rel("CHILD", name("s-"), name("w2-")))),
-        block("KEY_VALUE_SET", at(6), name("k-"), entity="KEY", rels=F.array(rel("VALUE", name("v-")), rel("CHILD", name("w1-")))),
-        block("KEY_VALUE_SET", at(7), name("v-"), entity="VALUE", rels=F.array(rel("CHILD", name("w2-"), name("s-")))),
-        block("LINE", at(8), name("l-"), F.concat(F.col("p"), F.lit(" "), key)),
+        block("WORD", page, at(1), name("w1-"), F.col("p")),
+        block("WORD", page, at(2), name("w2-"), key),
+        block("SELECTION_ELEMENT", page, at(3), name("s-"), ticked=F.when(F.col("k") % 5 == 0, "SELECTED").otherwise("NOT_SELECTED")),
+        block("CELL", page, at(4), name("c1-"), row=F.col("row"), col=F.lit(1), rels=F.array(rel("CHILD", name("w1-"), name("w2-")))),
+        block("CELL", page, at(5), name("c2-"), row=F.col("row"), col=F.lit(2), rels=F.array(rel("CHILD", name("s-"), name("w2-")))),
+        block("KEY_VALUE_SET", page, at(6), name("k-"), entity="KEY", rels=F.array(rel("VALUE", name("v-")), rel("CHILD", name("w1-")))),
+        block("KEY_VALUE_SET", page, at(7), name("v-"), entity="VALUE", rels=F.array(rel("CHILD", name("w2-"), name("s-")))),
+        block("LINE", page, at(8), name("l-"), F.concat(F.col("p"), F.lit(" "), key), box=box),
     )
-    every = o.select("doc_id", F.explode(of_order).alias("b")).select("doc_id", "b.*")
+    own = ("doc_id", "file_num")
+    every = o.select(*own, F.explode(of_order).alias("b")).select(*own, "b.*")
     ids = lambda cond, *parts: F.transform(F.array_sort(F.collect_list(F.when(cond, F.col("k")))), lambda k: F.array(*[F.concat(F.lit(x), k.cast("string")) for x in parts]))
-    status = F.array_position(F.array(F.lit("F"), F.lit("O")), F.col("s"))
-    tables = o.filter("s <> 'P'").groupBy("doc_id", "s").agg(F.flatten(ids(F.lit(True), "c1-", "c2-")).alias("_ids"))
-    tables = tables.select("doc_id", block("TABLE", status, F.concat(F.lit("t-"), "s"), rels=F.array(F.struct(F.lit("CHILD").alias("type"), F.col("_ids").alias("ids")))).alias("b")).select("doc_id", "b.*")
-    pages = o.groupBy("doc_id").agg(F.flatten(ids(F.col("k") % 7 != 0, "l-")).alias("_ids"))
-    pages = pages.select("doc_id", block("PAGE", F.lit(0), F.lit("p-1"), rels=F.array(F.struct(F.lit("CHILD").alias("type"), F.col("_ids").alias("ids")))).alias("b")).select("doc_id", "b.*")
-    return every.unionByName(tables).unionByName(pages)
-
-
-BLOCK_CELLS = """block_rows as (select o_custkey doc_id, o_orderkey k, o_orderpriority p, o_orderstatus s, row_number() over (partition by o_custkey, o_orderstatus order by o_orderkey) as row from orders),
-    block_tables as (select doc_id, s, row_number() over (partition by doc_id order by s) table_num from (select distinct doc_id, s from block_rows where s <> 'P')),
-    block_cells as (select doc_id, table_num, row, k, p || ' ' || k::varchar || ' ' c1, case when k % 5 = 0 then 'X ' else '' end || k::varchar || ' ' c2 from block_rows join block_tables using (doc_id, s))"""
+    tables = o.filter("s <> 'P'").groupBy(*own, "s").agg(F.flatten(ids(F.lit(True), "c1-", "c2-")).alias("_ids"))
+    # the table of F is the first block of the second result page, that of O stands later on the first
+    late = F.col("s") == "F"
+    tables = tables.select(*own, block("TABLE", late.cast("int"), F.when(late, 0).otherwise(5), F.concat(F.lit("t-"), "s"), rels=F.array(F.struct(F.lit("CHILD").alias("type"), F.col("_ids").alias("ids")))).alias("b")).select(*own, "b.*")
+    pages = o.groupBy(*own).agg(F.flatten(ids(F.col("k") % 7 != 0, "l-")).alias("_ids"))
+    pages = pages.select(*own, block("PAGE", F.lit(0), F.lit(1), F.lit("p-1"), rels=F.array(F.struct(F.lit("CHILD").alias("type"), F.col("_ids").alias("ids")))).alias("b")).select(*own, "b.*")
+    return in_file(every.unionByName(tables).unionByName(pages))
+
+
+BLOCK_CELLS = """block_rows as (select o_custkey doc_id, o_orderkey % 2 + 1 file_num, o_orderkey k, o_orderpriority p, o_orderstatus s,
+        row_number() over (partition by o_custkey, o_orderkey % 2, o_orderstatus order by o_orderkey) as row, row_number() over (partition by o_custkey, o_orderkey % 2 order by o_orderkey) - 1 as n from orders),
+    block_tables as (select doc_id, file_num, s, row_number() over (partition by doc_id, file_num order by s desc) table_num from (select distinct doc_id, file_num, s from block_rows where s <> 'P')),
+    block_cells as (select doc_id, file_num, table_num, row, k, p || ' ' || k::varchar || ' ' c1, case when k % 5 = 0 then 'X ' else '' end || k::varchar || ' ' c2 from block_rows join block_tables using (doc_id, file_num, s))"""

@@ -72,8 +72,7 @@ def margin_noise_filter(spark, d):
 
 
 # The fold of line reconstruction as a recursive expression: one step for each box of a page.
-PLACED = f"""{A.BOXES}, base as (select doc_id, page_num, ord, "left" l, top t, width w from boxes),
-    walk(doc_id, page_num, ord, n, fy, pl, pw, lo, hi, pos) as (
+WALK = """walk(doc_id, page_num, ord, n, fy, pl, pw, lo, hi, pos) as (
         select doc_id, page_num, ord, 1::bigint, t, l, w, 0::bigint, 0::bigint, 0::bigint from base where ord = 1
         union all
         select b.doc_id, b.page_num, b.ord,
@@ -85,6 +84,7 @@ PLACED = f"""{A.BOXES}, base as (select doc_id, page_num, ord, "left" l, top t,
         from walk s join (select * from base) b on b.doc_id = s.doc_id and b.page_num = s.page_num and b.ord = s.ord + 1,
             lateral (select t >= s.fy - 0.0075::double and t <= s.fy + 0.0075::double as level) x1,
             lateral (select not level and l > s.pl + s.pw and abs(s.fy - t) / (l - (s.pl + s.pw)) < 0.014::double as slope) x2)"""
+PLACED = f"""{A.BOXES}, base as (select doc_id, page_num, ord, "left" l, top t, width w from boxes), {WALK}"""
 
 
 @query(
@@ -414,31 +414,44 @@ def kv_search(spark, d):
     return T.search_key(pairs, ["doc_id"], "^P.*SE$")
 
 
-@query(f"with {A.BLOCK_CELLS} select doc_id, table_num, row, 1::bigint col, c1 as text from block_cells union all select doc_id, table_num, row, 2, c2 from block_cells")
+@query(f"with {A.BLOCK_CELLS} select doc_id, file_num, table_num, row, 1::bigint col, c1 as text from block_cells union all select doc_id, file_num, table_num, row, 2, c2 from block_cells")
 def cells_from_blocks(spark, d):
     """Tables of the block graph: table to cells to words."""
-    return B.table_cells(A.blocks(spark, d)).select("doc_id", "table_num", "row", "col", "text")
+    return B.table_cells(A.blocks(spark, d)).select("doc_id", "file_num", "table_num", "row", "col", "text")
 
 
-@query(f"with {A.BLOCK_CELLS} select doc_id, p || ' ' as key, max_by(k::varchar || ' ' || case when k % 5 = 0 then 'X ' else '' end, k) as value from block_rows group by doc_id, p")
+@query(f"with {A.BLOCK_CELLS} select doc_id, file_num, p || ' ' as key, max_by(k::varchar || ' ' || case when k % 5 = 0 then 'X ' else '' end, k) as value from block_rows group by doc_id, file_num, p")
 def kv_from_blocks(spark, d):
     """Forms of the block graph: key to value to words."""
     return B.key_values(A.blocks(spark, d))
 
 
 @query(
-    f"""with {A.BLOCK_CELLS}, t as (select doc_id, table_num, 'Table: Table_' || table_num::varchar || chr(10) || chr(10) || string_agg(c1 || '`' || c2 || '`' || chr(10), '' order by k) || repeat(chr(10), 5) as content from block_cells group by doc_id, table_num),
-    w as (select doc_id, string_agg(content, '' order by table_num) as content from t group by doc_id)
-    select doc_id, coalesce(content, '{T.NO_TABLE}') as content from (select distinct doc_id from block_rows) left join w using (doc_id)"""
+    f"""with {A.BLOCK_CELLS}, t as (select doc_id, file_num, table_num, 'Table: Table_' || table_num::varchar || chr(10) || chr(10) || string_agg(c1 || '`' || c2 || '`' || chr(10), '' order by k) || repeat(chr(10), 5) as content from block_cells group by doc_id, file_num, table_num),
+    w as (select doc_id, file_num, string_agg(content, '' order by table_num) as content from t group by doc_id, file_num)
+    select doc_id, file_num, coalesce(content, '{T.NO_TABLE}') as content from (select distinct doc_id, file_num from block_rows) left join w using (doc_id, file_num)"""
 )
 def tables_text_from_blocks(spark, d):
     """The framed text of all tables of a response, or the mark that there are none."""
     return B.table_files(A.blocks(spark, d))
 
 
-@query(f"with {A.BLOCK_CELLS} select doc_id, 'l-' || k::varchar id, p || ' ' || k::varchar as text, row_number() over (partition by doc_id order by k) line_num from block_rows where k % 7 <> 0")
+@query(f"with {A.BLOCK_CELLS} select doc_id, file_num, 'l-' || k::varchar id, p || ' ' || k::varchar as text, row_number() over (partition by doc_id, file_num order by k) line_num from block_rows where k % 7 <> 0")
 def page_lines_from_blocks(spark, d):
-    return B.page_lines(A.blocks(spark, d)).select("doc_id", "id", "text", "line_num")
+    return B.page_lines(A.blocks(spark, d)).select("doc_id", "file_num", "id", "text", "line_num")
+
+
+# A file is one page here, so it stands where the walk has the page.
+@query(
+    f"""with recursive {A.BLOCK_CELLS}, boxes as (select doc_id, file_num page_num, row_number() over (partition by doc_id, file_num order by k) ord, p || ' ' || k::varchar as text, k % 3 * 0.3::double + 0.1 as "left", (n // 2) * 0.02::double top
+        from block_rows where k % 7 <> 0 and k % 11 <> 0), base as (select doc_id, page_num, ord, "left" l, top t, 0.2::double w from boxes), {WALK}
+    select doc_id, page_num file_num, n line_num, string_agg(text, ' ' || chr(9) order by pos) as text, count(*) n_boxes, round(count(*) * 0.2::double, 6) words_width, round(min("left"), 6) "left", round(avg(top), 6) top
+    from walk join boxes using (doc_id, page_num, ord) group by doc_id, page_num, n"""
+)
+def clean_lines_from_blocks(spark, d):
+    """Reconstructed lines of each file of a report, from blocks of several result pages."""
+    found = RP.clean_lines(A.blocks(spark, d))
+    return found.select("doc_id", "file_num", "line_num", "text", "n_boxes", *[r6(c).alias(c) for c in ("words_width", "left", "top")])
 
 
 # Words of the driver's tables stand for the domain's terms.

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from quirefold.operators.blocks import in_file
 from quirefold.operators.tables import parse_table_text
 
 BOX = T.StructType([T.StructField(n, T.DoubleType()) for n in ("Width", "Height", "Left", "Top")])
@@ -37,9 +38,12 @@ def with_ids(df: DataFrame, path: str = "_path") -> DataFrame:
 
 
 def ocr_blocks(spark: SparkSession, path: str) -> DataFrame:
-    """One row per block of stored OCR responses (lists of result pages), with its place in the response."""
-    pages = spark.read.schema(RESPONSE).json(path, multiLine=True).select(F.col("_metadata.file_path").alias("_path"), "Blocks")
-    return with_ids(pages).select("doc_id", "file_num", F.posexplode("Blocks").alias("ord", "b")).select("doc_id", "file_num", "ord", "b.*")
+    """One row per block of stored OCR responses (lists of result pages, or one page), with its place among all blocks of
+    its file. A file is read whole, as the order of its result pages is that of a JSON list."""
+    raw = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("_path"), "value")
+    pages = with_ids(raw).select("doc_id", "file_num", F.posexplode(F.from_json("value", T.ArrayType(RESPONSE))).alias("response", "_r"))
+    found = pages.select("doc_id", "file_num", "response", F.posexplode("_r.Blocks").alias("place", "b"))
+    return in_file(found).select("doc_id", "file_num", "ord", "b.*")
 
 
 def block_edges(blocks: DataFrame) -> DataFrame:
@@ -67,9 +71,10 @@ def dataset(spark: SparkSession, path: str, schema: T.StructType | str) -> DataF
 
 
 def report_metadata(spark: SparkSession, path: str) -> DataFrame:
-    """(doc key columns) one row per metadata file: its key-value list as a map."""
-    raw = spark.read.schema(PAIR).json(path, multiLine=True).select(F.col("_metadata.file_path").alias("_path"), "key", "value")
-    return raw.filter("key is not null").groupBy("_path").agg(F.map_from_entries(F.collect_list(F.struct("key", "value"))).alias("fields"))
+    """(doc key columns) one row per metadata file: its key-value list as a map; of a repeated key the last value counts."""
+    raw = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("_path"), F.posexplode(F.from_json("value", T.ArrayType(PAIR))).alias("_ord", "_p"))
+    last = raw.filter("_p.key is not null").groupBy("_path", F.col("_p.key").alias("key")).agg(F.max_by("_p.value", "_ord").alias("value"))
+    return last.groupBy("_path").agg(F.map_from_entries(F.collect_list(F.struct("key", "value"))).alias("fields"))
 
 
 def components(spark: SparkSession, path: str) -> DataFrame:

@@ -5,14 +5,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quirefold.operators.keys import document_keys
 from quirefold.sources.shared import materialize
 
 
 def page_text(blocks: DataFrame) -> DataFrame:
-    """(doc_id, content): the text of LINE blocks, an empty line for each PAGE, in block order."""
+    """(document's keys, content): the text of LINE blocks, an empty line for each PAGE, in block order."""
+    keys = document_keys(blocks)
     line = F.when(F.col("BlockType") == "LINE", F.coalesce("Text", F.lit(""))).when(F.col("BlockType") == "PAGE", F.lit(""))
-    kept = blocks.select("doc_id", "ord", line.alias("_l")).filter("_l is not null")
-    return kept.groupBy("doc_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ord", "_l"))), lambda x: x["_l"]), "\n").alias("content"))
+    kept = blocks.select(*keys, "ord", line.alias("_l")).filter("_l is not null")
+    return kept.groupBy(*keys).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ord", "_l"))), lambda x: x["_l"]), "\n").alias("content"))
 
 
 def section_text(sections: DataFrame) -> DataFrame:
@@ -39,17 +41,19 @@ def single_csv(df: DataFrame, order: list[str]) -> DataFrame:
     return head.unionByName(text)
 
 
-def pair_text(pairs: DataFrame, keys: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+def pair_text(pairs: DataFrame, keys: tuple[str, ...] | None = None) -> DataFrame:
     """(keys, content): form entries, a key and its value a line."""
+    keys = keys or document_keys(pairs)
     line = F.concat("key", F.lit(","), "value", F.lit("\n"))
     return pairs.groupBy(*keys).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("key", line.alias("_l")))), lambda x: x["_l"]), "").alias("content"))
 
 
 def line_maps(lines: DataFrame) -> DataFrame:
-    """(doc_id, content): a document's lines as JSON, a list of lines for each page."""
-    fields = [c for c in lines.columns if c not in ("doc_id", "page_num")]
-    pages = lines.groupBy("doc_id", "page_num").agg(F.array_sort(F.collect_list(F.struct("line_num", *[c for c in fields if c != "line_num"]))).alias("_l"))
-    return pages.groupBy("doc_id").agg(F.to_json(F.map_from_entries(F.array_sort(F.collect_list(F.struct(F.col("page_num").cast("string"), "_l"))))).alias("content"))
+    """(document's keys, content): a document's lines as JSON, a list of lines for each page; lines of no page are left out."""
+    keys = document_keys(lines)
+    fields = [c for c in lines.columns if c not in (*keys, "page_num")]
+    pages = lines.filter("page_num is not null").groupBy(*keys, "page_num").agg(F.array_sort(F.collect_list(F.struct("line_num", *[c for c in fields if c != "line_num"]))).alias("_l"))
+    return pages.groupBy(*keys).agg(F.to_json(F.map_from_entries(F.array_sort(F.collect_list(F.struct(F.col("page_num").cast("string"), "_l"))))).alias("content"))
 
 
 def write_dataset(df: DataFrame, path: str, kind: str = "parquet") -> None:

@@ -1,6 +1,7 @@
 """The block graph, composed report steps, the learning loop, and the sources and sinks around them."""
 
 import json
+import time
 import random
 import statistics
 import zlib
@@ -10,6 +11,7 @@ from pyspark.sql import functions as F
 
 from quirefold.operators import blocks as B
 from quirefold.operators import learning as N
+from quirefold.operators import lines as L
 from quirefold.operators import metadata as M
 from quirefold.operators import pages as P
 from quirefold.operators import report as RP
@@ -78,6 +80,67 @@ def test_clean_lines_of_a_response(blocks):
     assert [(x.doc_id, x.page_num, x.line_num, x.text, x.n_boxes) for x in r] == [(7, 1, 1, "Total \t12", 2)]
 
 
+def test_result_pages_and_files_of_a_report(spark, tmp_path):
+    """Order within a file goes over its result pages; files of a report do not meet, though their ids repeat."""
+    word = lambda i, t: block(i, "WORD", Text=t)
+
+    def pages(names, top):
+        first = [
+            block("p1", "PAGE", [("CHILD", ["l1", "l2", "l3", "l4"])]), block("l1", "LINE", Text=names[0], top=top), block("l2", "LINE", Text=names[1], top=top + 0.1),
+            block("t1", "TABLE", [("CHILD", ["c1"])]), block("c1", "CELL", [("CHILD", ["w1"])], RowIndex=1, ColumnIndex=1), word("w1", names[0]),
+            block("k1", "KEY_VALUE_SET", [("VALUE", ["v1"]), ("CHILD", ["w9"])], EntityTypes=["KEY"]), block("v1", "KEY_VALUE_SET", [("CHILD", ["w1"])], EntityTypes=["VALUE"]),
+        ]
+        second = [
+            block("t2", "TABLE", [("CHILD", ["c2"])]), block("c2", "CELL", [("CHILD", ["w2"])], RowIndex=1, ColumnIndex=1), word("w2", names[2]), word("w9", "hole"),
+            block("l3", "LINE", Text=names[2], top=top + 0.2), block("l4", "LINE", Text=names[3], top=top + 0.3),
+            block("k2", "KEY_VALUE_SET", [("VALUE", ["v2"]), ("CHILD", ["w9"])], EntityTypes=["KEY"]), block("v2", "KEY_VALUE_SET", [("CHILD", ["w2"])], EntityTypes=["VALUE"]),
+        ]
+        return [{"Blocks": first}, {"NextToken": None}, {"Blocks": second}]
+
+    names = {1: ["first", "second", "third", "fourth"], 2: ["one", "two", "three", "four"]}
+    for n, x in names.items():
+        (tmp_path / f"cr_7_{n}_full.json").write_text(json.dumps(pages(x, 0.1 * n), indent=1))
+    (tmp_path / "cr_9_1_full.json").write_text(json.dumps({"JobStatus": "SUCCEEDED", "Blocks": [block("p1", "PAGE", [("CHILD", ["l1"])]), block("l1", "LINE", Text="alone")]}))
+    (tmp_path / "cr_9_2_full.json").write_text("no json")
+    blocks = B.from_response(readers.ocr_blocks(spark, str(tmp_path))).cache()
+    for n, x in names.items():
+        flat = [b["Id"] for page in pages(x, 0) for b in page.get("Blocks", [])]
+        assert [r.id for r in blocks.filter(F.col("file_num") == n).filter("doc_id = 7").orderBy("ord").collect()] == flat
+    lines = {}
+    for r in RP.clean_lines(blocks).orderBy("doc_id", "file_num", "page_num", "line_num").collect():
+        lines.setdefault((r.doc_id, r.file_num), []).append(r.text)
+    assert lines == {(7, 1): names[1], (7, 2): names[2], (9, 1): ["alone"]}
+    cells = sorted((r.file_num, r.table_num, r.text) for r in B.table_cells(blocks).collect())
+    assert cells == [(1, 1, "first "), (1, 2, "third "), (2, 1, "one "), (2, 2, "three ")]
+    assert sorted((r.file_num, r.key, r.value) for r in B.key_values(blocks).collect()) == [(1, "hole ", "third "), (2, "hole ", "three ")]
+    assert sorted((r.file_num, r.content) for r in sinks.pair_text(B.key_values(blocks)).collect()) == [(1, "hole ,third \n"), (2, "hole ,three \n")]
+    text = {(r.doc_id, r.file_num): r.content for r in sinks.page_text(readers.ocr_blocks(spark, str(tmp_path))).collect()}
+    assert text[7, 2] == "\none\ntwo\nthree\nfour"
+    numbered = {(r.file_num, r.id): r.line_num for r in L.child_lines(blocks.filter("doc_id = 7"), B.edges(blocks).withColumn("ord", F.lit(0))).collect()}
+    assert numbered == {(n, f"l{k}"): k for n in (1, 2) for k in (1, 2, 3, 4)}
+
+
+def test_a_page_of_very_many_boxes(spark):
+    """Lines are folded in one pass: 100,000 boxes of one page, three a line, each starting left of the one before."""
+    n = 100_000
+    k = F.col("id")
+    boxes = spark.range(n).select(F.lit(1).alias("doc_id"), F.lit(2).alias("file_num"), F.lit(1).alias("page_num"), k.alias("ord"), (0.7 - k % 3 * 0.3).alias("left"), F.floor(k / 3).alias("top"), F.lit(0.1).alias("width"), F.lit("extra").alias("n"))
+    began = time.time()
+    found = L.assign_lines(boxes)
+    assert found.columns == [*boxes.columns, "line_num", "pos"]
+    wrong = found.filter((F.col("line_num") != F.floor(F.col("ord") / 3) + 1) | (F.col("pos") != -(F.col("ord") % 3)))
+    assert wrong.count() == 0 and found.count() == n
+    assert time.time() - began < 60
+    odd = spark.createDataFrame([(1, 1, 1, 0.1, None, 0.1), (1, 1, 2, 0.5, 0.1, 0.1), (1, 1, 3, None, 0.1, 0.1), (1, None, 1, 0.1, 0.1, 0.1)], "doc_id int, page_num int, ord int, left double, top double, width double")
+    assert sorted((str(r.page_num), r.ord, r.line_num, r.pos) for r in L.assign_lines(odd).collect()) == [("1", 1, 1, 0), ("1", 2, 2, 0), ("1", 3, 2, 1), ("None", 1, 1, 0)]
+    assert L.assign_lines(odd.limit(0)).count() == 0
+
+
+def test_repeated_metadata_keys(spark, tmp_path):
+    (tmp_path / "metadata.json").write_text(json.dumps([{"key": "a", "value": "1"}, {"key": "b", "label": "x"}, {"key": "a", "value": "2"}, {"value": "no key"}]))
+    assert readers.report_metadata(spark, str(tmp_path)).first().fields == {"a": "2", "b": None}
+
+
 def test_sites_of_files(spark):
     by_key = "Table: Table_1\n\nReport`of`1999`\nHole name`Mary`12`\nEasting`` 5000 `\nNorthing`6000`x`\nLatitude`20 deg S`x`\n\n\n\n"
     by_column = "Table: Table_2\n\nHole No`East`North`RL`\nA1`10`20`3`\nnone`11`21`3`\nA2`12``3`\n\n\n\n"
