@@ -4,7 +4,8 @@ The vocabulary is a public tokenizer file of kind "BPE with word ends" whose nor
 space; its path is a parameter. The words of all texts are counted; the most frequent ones are merged once and compiled
 into a minimal acyclic transducer: words that end alike share states, the ids stand on the arcs as early as they are
 certain. It is written as flat arrays to one file, which executors fetch and map into memory. Words that it lacks are
-merged exactly: a heap of neighbouring pairs over linked symbols, lowest rank first, leftmost of equal ones.
+merged exactly: of neighbouring pairs of linked symbols the lowest rank first, leftmost of equal ones. New words of a
+batch walk the transducer and are merged together, in arrays; a word of more than `LONG` symbols has a heap of its own.
 
 Texts are cut at ASCII white space, across which nothing is merged or composed. Parts of visible ASCII are normalised
 and cut here; all others by the normaliser and pre-tokeniser of the file, in the library's own classes of letters.
@@ -32,6 +33,7 @@ import uuid
 from collections import Counter
 from collections.abc import Iterable, Iterator
 from heapq import heapify, heappop, heappush
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -41,15 +43,25 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quirefold.llm.quality import broadcast_file
-from quirefold.llm.store import prepare, unused
+from quirefold.llm.store import materialize, prepare, unused
 
 #: Bytes of the longest word of a lexicon, and of the longest part that a memo keeps.
 LONG = 100
 #: Parts of texts that a worker remembers.
-MEMO = 250_000
-#: The pattern of words within visible ASCII, lower case.
-_ASCII_WORD = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^a-z0-9]+")
+MEMO = 600_000
+#: Bytes of texts whose new parts are learnt together (a longer text is one group).
+GROUP_BYTES = 4 << 20
+#: No rank.
+_NONE = 1 << 40
+#: Words that are merged at once.
+TOGETHER = 16_384
+#: The pattern of words within visible ASCII, lower case, parts ending in a new line.
+_ASCII_WORD = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^a-z0-9\n]+|\n")
 _VISIBLE = re.compile(rb"[\x21-\x7e]+").fullmatch
+#: Ends a part among words. Within text for the library it is a byte that stands alone there, as `_MARK_WORD`.
+_END, _MARK, _MARK_WORD = "\n", "\x01", "\u0101"
+#: Parts that the library cuts at once.
+PARTS = 4096
 
 
 class Builder:
@@ -101,25 +113,30 @@ class Builder:
             self.open[-1][0] = ids
 
     def pack(self) -> bytes:
-        """The transducer as flat arrays: bounds of states' arcs, what ends add, arcs' targets, ids, labels, and the
-        distinct sequences of ids; the root is the last state."""
+        """The transducer as flat arrays: what ends add, arcs in order of state and label (both as one number, target, what
+        they add), and the distinct sequences of ids; the root is the last state. Sequence 0 is empty; ends are counted
+        from 1, 0 is no end."""
         self._freeze(0)
         end, arcs = self.open[0]
         states = [*self.frozen, (end, tuple((label, to, ids) for label, (to, ids) in sorted(arcs.items())))]
-        numbers: dict[tuple, int] = {}
+        numbers: dict[tuple, int] = {(): 0}
         number = lambda ids: numbers.setdefault(ids, len(numbers))
-        bounds, ends, targets, added, labels = [0], [], [], [], bytearray()
-        for end, arcs in states:
+        ends, keys, targets, added = [], [], [], []
+        for state, (end, arcs) in enumerate(states):
             ends.append(0 if end is None else 1 + number(end))
             for label, to, ids in arcs:
-                labels.append(label)
+                keys.append(state << 8 | label)
                 targets.append(to)
                 added.append(number(ids))
-            bounds.append(len(labels))
         starts = np.cumsum([0, *map(len, numbers)])
-        parts = [bounds, ends, targets, added, starts, [x for ids in numbers for x in ids]]
-        flat = [np.asarray(p, dtype="<u4").tobytes() for p in parts] + [bytes(labels)]
-        return struct.pack("<7q", *map(len, flat)) + b"".join(flat)
+        parts = [np.asarray(x, dtype="<i8").tobytes() for x in (ends, keys, targets, added, starts, [x for ids in numbers for x in ids])]
+        return struct.pack("<6q", *map(len, parts)) + b"".join(parts)
+
+
+def ragged(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """starts[0], starts[0] + 1, ... as many as lengths[0], then the same for the next, and so on."""
+    before = np.cumsum(lengths) - lengths
+    return np.arange(lengths.sum()) + np.repeat(starts - before, lengths)
 
 
 class Lexicon:
@@ -128,30 +145,47 @@ class Lexicon:
     def __init__(self, path: str) -> None:
         with open(path, "rb") as f:
             self.map = mmap.mmap(f.fileno(), 0, access=mmap.ACCESS_READ)
-        at, views = 56, []
-        for size in struct.unpack("<7q", self.map[:56]):
-            views.append((at, at + size))
+        at, arrays = 48, []
+        for size in struct.unpack("<6q", self.map[:48]):
+            arrays.append(np.frombuffer(self.map, "<i8", size // 8, at))
             at += size
-        view = memoryview(self.map)
-        self.bounds, self.ends, self.targets, self.added, self.starts, self.ids = (view[a:b].cast("I") for a, b in views[:-1])
-        self.labels = views[-1][0]
-        self.root = len(self.ends) - 1
-
-    def get(self, word: bytes) -> list[int] | None:
-        """The word's ids, or None."""
-        state, out = self.root, []
-        find, first, bounds = self.map.find, self.labels, self.bounds
-        for label in word:
-            k = find(label.to_bytes(), first + bounds[state], first + bounds[state + 1]) - first
-            if k < 0:
-                return None
-            out += self._sequence(self.added[k])
-            state = self.targets[k]
-        end = self.ends[state]
-        return out + self._sequence(end - 1) if end else None
-
-    def _sequence(self, k: int) -> list[int]:
-        return self.ids[self.starts[k] : self.starts[k + 1]].tolist()
+        self.ends, self.keys, self.targets, self.added, self.starts, self.ids = arrays
+
+    def get(self, words: list[bytes]) -> list[list[int] | None]:
+        """The words' ids, or None. All words take their steps through the transducer together."""
+        if not words or not len(self.keys):
+            return [None] * len(words)
+        sizes = np.fromiter(map(len, words), np.int64, len(words))
+        first, letters = np.cumsum(sizes) - sizes, np.frombuffer(b"".join(words), np.uint8)
+        state = np.full(len(words), len(self.ends) - 1)
+        alive, steps = np.flatnonzero(sizes > 0), []
+        state[sizes == 0] = -1
+        for k in range(int(sizes.max())):
+            if not len(alive):
+                break
+            key = state[alive] << 8 | letters[first[alive] + k]
+            arc = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+            there = self.keys[arc] == key
+            state[alive[~there]] = -1
+            alive, arc = alive[there], arc[there]
+            state[alive] = self.targets[arc]
+            adds = self.added[arc]
+            steps.append((alive[adds > 0], adds[adds > 0]))
+            alive = alive[sizes[alive] > k + 1]
+        known = np.flatnonzero(state >= 0)
+        known = known[self.ends[state[known]] > 0]
+        steps.append((known, self.ends[state[known]] - 1))
+        word, seq = (np.concatenate([s[i] for s in steps]) for i in (0, 1))
+        found = np.zeros(len(words), dtype=bool)
+        found[known] = True
+        kept = np.flatnonzero(found[word])
+        order = kept[np.argsort(word[kept], kind="stable")]  # a word's steps stay in order
+        lengths = self.starts[seq[order] + 1] - self.starts[seq[order]]
+        ids = self.ids[ragged(self.starts[seq[order]], lengths)].tolist()
+        bounds = np.zeros(len(words) + 1, np.int64)
+        np.cumsum(np.bincount(word[order], weights=lengths, minlength=len(words)).astype(np.int64), out=bounds[1:])
+        bounds = bounds.tolist()
+        return [ids[bounds[i] : bounds[i + 1]] if f else None for i, f in enumerate(found.tolist())]
 
 
 class Words:
@@ -172,11 +206,15 @@ class Words:
         self.special = {t["content"]: t["id"] for t in added}
         self.find_special = re.compile("|".join(f"({re.escape(s)})" for s in sorted(self.special, key=len, reverse=True)) or "(?!)").split
         self.token = {i: t for t, i in [*self.vocab.items(), *self.special.items()]}
+        keys = np.fromiter(self.rank, np.int64, len(self.rank))
+        order = np.argsort(keys)
+        self.pair_keys, self.pair_ranks = keys[order], np.fromiter(self.rank.values(), np.int64, len(keys))[order]
+        self.made_of = np.asarray(self.made, np.int64)
+        #: Ids of single symbols by code point, within a word and at its end.
+        self.inner, self.last = (np.asarray([self.vocab.get(chr(c) + e, -1) for c in range(512)], np.int64) for e in ("", self.end))
 
     def words(self, part: bytes) -> list[str | int]:
         """Words of a part without ASCII white space, as strings of byte characters; special tokens as ids."""
-        if _VISIBLE(part) and b"<|" not in part:
-            return _ASCII_WORD.findall(part.decode().lower())
         out: list[str | int] = []
         for piece in filter(None, self.find_special(part.decode())):
             if piece in self.special:
@@ -185,6 +223,24 @@ class Words:
                 out += [w for w, _ in self.cut(self.normal(piece))]
         return out
 
+    def cut_all(self, parts: list[bytes]) -> Iterator[tuple[list[bytes], list[str | int]]]:
+        """Groups of these parts and their `words`, an end after each part's. Nothing is composed or joined across a blank,
+        so parts are cut together."""
+        ascii_, odd, special = [], [], []
+        for p in parts:
+            (special if b"<|" in p or b"\x01" in p else ascii_ if p.isascii() else odd).append(p)
+        if ascii_ and not _VISIBLE(b"".join(ascii_)):
+            odd += [p for p in ascii_ if not _VISIBLE(p)]
+            ascii_ = [p for p in ascii_ if _VISIBLE(p)]
+        if ascii_:
+            yield ascii_, _ASCII_WORD.findall(b"\n".join([*ascii_, b""]).decode().lower())
+        for a in range(0, len(odd), PARTS):
+            group = odd[a : a + PARTS]
+            text = self.normal(f" {_MARK} ".join([*map(bytes.decode, group), ""]))
+            yield group, [_END if w == _MARK_WORD else w for w, _ in self.cut(text)]
+        if special:
+            yield special, [w for p in special for w in [*self.words(p), _END]]
+
     def merge(self, word: str) -> list[int]:
         """The word's symbols, the last with the word's end, merged by rank, then from the left."""
         part = [i for s in [*word[:-1], word[-1] + self.end] if (i := self.vocab.get(s)) is not None]
@@ -213,39 +269,113 @@ class Words:
         return [i for i in part if i >= 0]
 
 
+    def _ranks(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        key = a << 32 | b
+        at = np.minimum(np.searchsorted(self.pair_keys, key), len(self.pair_keys) - 1)
+        return np.where(self.pair_keys[at] == key, self.pair_ranks[at], _NONE)
+
+    def merge_all(self, words: list[str]) -> list[list[int]]:
+        """`merge` of each word; words of like lengths are merged together, a pair of each at a time."""
+        out: list[list[int] | None] = [None] * len(words)
+        by_size = sorted(range(len(words)), key=lambda i: len(words[i]))
+        for a in range(0, len(by_size), TOGETHER):
+            group = by_size[a : a + TOGETHER]
+            short = [i for i in group if 0 < len(words[i]) <= LONG and len(self.pair_keys)]
+            for i, ids in zip(short, self._merge_together([words[i] for i in short]), strict=True):
+                out[i] = ids
+        return [self.merge(w) if ids is None else ids for w, ids in zip(words, out, strict=True)]
+
+    def _merge_together(self, words: list[str]) -> list[list[int] | None]:
+        """None for a word with a symbol that has no id."""
+        if not words:
+            return []
+        sizes = np.fromiter(map(len, words), np.int64, len(words))
+        n, width = len(words), int(sizes.max())
+        codes = np.frombuffer("".join(words).encode("utf-32-le"), "<u4").astype(np.int64)
+        row, place = np.repeat(np.arange(n), sizes), ragged(np.zeros(n, np.int64), sizes)
+        at_end = place == sizes[row] - 1
+        plain = np.minimum(codes, 511)
+        ids = np.where(codes < 512, np.where(at_end, self.last[plain], self.inner[plain]), -1)
+        part = np.full((n, width + 1), -1)
+        part[row, place] = ids
+        odd = np.zeros(n, dtype=bool)
+        odd[row[ids < 0]] = True
+        after = np.tile(np.arange(1, width + 2), (n, 1))
+        before = np.tile(np.arange(-1, width), (n, 1))
+        rank = np.full((n, width + 1), _NONE)
+        inner = np.flatnonzero(~at_end)
+        rank[row[inner], place[inner]] = self._ranks(part[row[inner], place[inner]], part[row[inner], place[inner] + 1])
+        rows = np.flatnonzero(~odd)
+        while len(rows):
+            i = rank[rows].argmin(1)
+            r = rank[rows, i]
+            going = r < _NONE
+            rows, i, r = rows[going], i[going], r[going]
+            j = after[rows, i]
+            e = after[rows, j]
+            after[rows, i] = e
+            part[rows, i] = made = self.made_of[r]
+            part[rows, j] = -1
+            rank[rows, j] = rank[rows, i] = _NONE
+            on = e < sizes[rows]
+            x, at, to = rows[on], i[on], e[on]
+            before[x, to] = at
+            rank[x, at] = self._ranks(made[on], part[x, to])
+            p = before[rows, i]
+            on = p >= 0
+            x, at = rows[on], p[on]
+            rank[x, at] = self._ranks(part[x, at], made[on])
+        kept = part >= 0
+        bounds = np.concatenate([[0], np.cumsum(kept.sum(1))]).tolist()
+        flat = part[kept].tolist()
+        return [None if o else flat[bounds[k] : bounds[k + 1]] for k, o in enumerate(odd.tolist())]
+
+
 class Codec:
     def __init__(self, words: Words, lexicon: Lexicon) -> None:
         self.words, self.lexicon = words, lexicon
-        self.ids_of: dict[bytes, bytes] = {}  # part -> its ids, in decimals
-        self.tokens_of: dict[bytes, bytes] = {}  # part -> what they decode to
-
-    def part(self, part: bytes) -> list[int]:
-        out: list[int] = []
-        for w in self.words.words(part):
-            if isinstance(w, int):
-                out.append(w)
-            else:
-                found = self.lexicon.get(w.encode())
-                out += self.words.merge(w) if found is None else found
-        return out
-
-    def encode(self, text: bytes) -> tuple[bytes, bytes]:
-        """The text's ids, in decimals joined by blanks, and what they decode to."""
-        parts = text.split()  # at ASCII white space
-        new = set(parts).difference(self.ids_of)
-        if len(self.ids_of) + len(new) > MEMO:
-            self.ids_of.clear()
-            self.tokens_of.clear()
-            new = set(parts)
-        for p in new:
-            ids = self.part(p)
-            self.ids_of[p] = b" ".join([b"%d" % i for i in ids])
-            self.tokens_of[p] = self.decode(ids).encode()
-        out = b" ".join(filter(None, map(self.ids_of.__getitem__, parts))), b" ".join(filter(None, map(self.tokens_of.__getitem__, parts)))
-        for p in new:
-            if len(p) > LONG:
-                del self.ids_of[p], self.tokens_of[p]
-        return out
+        self.memo: dict[bytes, tuple[bytes, bytes]] = {}  # part -> its ids, in decimals, and what they decode to
+        self.end = -1
+        self.decimal = {i: b"%d" % i for i in words.token} | {self.end: b"\n"}
+        self.token = {i: t.encode() for i, t in words.token.items()} | {self.end: b"\n"}
+
+    def learn(self, parts: list[bytes]) -> None:
+        """Encode and decode these parts of texts for the memo."""
+        for group, words in self.words.cut_all(parts):
+            number = {w: k for k, w in enumerate(dict.fromkeys(words))}
+            new = [w for w in number if isinstance(w, str) and w != _END]
+            ids_of: dict[str | int, list[int]] = dict(zip(new, self.lexicon.get([w.encode() for w in new]), strict=True))
+            unseen = [w for w, ids in ids_of.items() if ids is None]
+            ids_of.update(zip(unseen, self.words.merge_all(unseen), strict=True))
+            every = [[self.end] if w == _END else [w] if isinstance(w, int) else ids_of[w] for w in number]
+            lengths = np.fromiter(map(len, every), np.int64, len(every))
+            flat, at = np.fromiter(chain.from_iterable(every), np.int64, lengths.sum()), np.fromiter(map(number.__getitem__, words), np.int64, len(words))
+            ids = flat[ragged((np.cumsum(lengths) - lengths)[at], lengths[at])].tolist()
+            written = [map(bytes.strip, b" ".join(map(name.__getitem__, ids)).split(b"\n")) for name in (self.decimal, self.token)]
+            self.memo.update(zip(group, zip(*written, strict=True), strict=False))
+
+    def encode(self, texts: list[bytes]) -> Iterator[tuple[bytes, bytes]]:
+        """Each text's ids, in decimals joined by blanks, and what they decode to. The new parts of a few texts are learnt
+        together; the memo forgets only between such groups, and keeps no long parts."""
+        a = 0
+        while a < len(texts):
+            b, split, size = a, [], 0
+            while b < len(texts) and (b == a or size + len(texts[b]) <= GROUP_BYTES):
+                split.append(texts[b].split())  # at ASCII white space
+                size += len(texts[b])
+                b += 1
+            new = set().union(*split).difference(self.memo)
+            if len(self.memo) + len(new) > MEMO:
+                self.memo.clear()
+                new = set().union(*split)
+            self.learn([*new])
+            for parts in split:
+                ids, tokens = zip(*map(self.memo.__getitem__, parts), strict=True) if parts else ((), ())
+                yield b" ".join(filter(None, ids)), b" ".join(filter(None, tokens))
+            for p in new:
+                if len(p) > LONG:
+                    del self.memo[p]
+            a = b
 
     def decode(self, ids: Iterable[int | None]) -> str:
         return " ".join([t for t in map(self.words.token.get, ids) if t is not None])
@@ -283,10 +413,16 @@ def word_counts(df: DataFrame, path: str, text: str = "text") -> DataFrame:
 
         def taken() -> pa.RecordBatch:
             words: Counter = Counter()
-            for p, n in parts.items():
-                for w in vocabulary.words(p):
-                    if isinstance(w, str) and len(w) <= LONG and len(w.encode()) <= LONG:
-                        words[w] += n
+            for group, cut in vocabulary.cut_all([*parts]):
+                number = {w: k for k, w in enumerate(dict.fromkeys(cut))}
+                at = np.fromiter(map(number.__getitem__, cut), np.int64, len(cut))
+                ends = at == number[_END]
+                part = np.cumsum(ends) - ends
+                times = np.fromiter(map(parts.__getitem__, group), np.int64, len(group))
+                sums = np.bincount(at, weights=times[part]).astype(np.int64).tolist()
+                for w, k in number.items():
+                    if isinstance(w, str) and w != _END and len(w) <= LONG and len(w.encode()) <= LONG:
+                        words[w] += sums[k]
             parts.clear()
             return pa.RecordBatch.from_arrays([pa.array([*words], pa.string()), pa.array([*words.values()], pa.int64())], names=["word", "n"])
 
@@ -303,14 +439,23 @@ def word_counts(df: DataFrame, path: str, text: str = "text") -> DataFrame:
 
 def compile_lexicon(df: DataFrame, path: str, text: str = "text", most: int = 30_000, least: int = 2) -> str:
     """The name under which executors find the transducer of the most frequent words: at most `most` of them go to the
-    driver, which writes the file and gives it to Spark."""
+    driver, which writes the file and gives it to Spark. Words of like frequency (to an eighth of a power of two) are
+    taken together, from the most frequent on, as far as all of them fit."""
     spark = df.sparkSession
-    frequent = word_counts(df, path, text).filter(F.col("n") >= least).orderBy(F.desc("n"), "word").limit(most).collect()
+    class_of = F.floor(F.log2("n") * 8)
+    counts = materialize(word_counts(df, path, text).filter(F.col("n") >= least), "words")
+    room, lowest = most, None
+    for r in sorted(counts.groupBy(class_of.alias("c")).count().collect(), reverse=True):  # at most 8 rows a power of two
+        if (room := room - r["count"]) < 0:
+            break
+        lowest = r["c"]
+    frequent = counts.filter(class_of >= lowest).collect() if lowest is not None else []
     with open(path, "rb") as f:
         words = Words(f.read())
     builder = Builder()
-    for key, word in sorted((r["word"].encode(), r["word"]) for r in frequent):
-        builder.add(key, tuple(words.merge(word)))
+    known = sorted((r["word"].encode(), r["word"]) for r in frequent)
+    for (key, _), ids in zip(known, words.merge_all([word for _, word in known]), strict=True):
+        builder.add(key, tuple(ids))
     file = os.path.join(tempfile.mkdtemp(prefix="quirefold-lexicon-"), f"{uuid.uuid4().hex}.lexicon")
     with open(file, "wb") as f:
         f.write(builder.pack())
@@ -324,7 +469,7 @@ def _apply(df: DataFrame, path: str, lexicon: str, column: str, what: str, kind:
     into = unused(df, into)
 
     def digests(codec: Codec, batch: pa.RecordBatch) -> pa.Array:
-        found = [codec.encode(t) for t in _texts(batch, column)]
+        found = [*codec.encode(_texts(batch, column))]
         return pa.StructArray.from_arrays(
             [
                 pa.array([ids.count(b" ") + (ids != b"") for ids, _ in found], pa.int64()),
@@ -340,7 +485,7 @@ def _apply(df: DataFrame, path: str, lexicon: str, column: str, what: str, kind:
             if what == "digests":
                 out = digests(codec, batch)
             elif what == "ids":
-                out = pa.array([[int(i) for i in codec.encode(t)[0].split()] for t in _texts(batch, column)], pa.list_(pa.int32()))
+                out = pa.array([[int(i) for i in ids.split()] for ids, _ in codec.encode(_texts(batch, column))], pa.list_(pa.int32()))
             else:
                 out = pa.array([codec.decode(x or []) for x in batch.column(column).to_pylist()], pa.string())
             yield pa.RecordBatch.from_arrays([*batch.columns, out], names=[*batch.schema.names, into])

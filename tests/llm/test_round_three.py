@@ -183,10 +183,10 @@ def test_lexicon_file(tmp_path):
     built, words, ids = transducer()
     (tmp_path / "x").write_bytes(built.pack())
     found = lexicon.Lexicon(str(tmp_path / "x"))
-    assert all(found.get(w) == list(ids[w]) for w in words)
+    assert found.get(words) == [list(ids[w]) for w in words]
     known = set(words)
     every = {bytes(w) for n in range(7) for w in itertools.product(b"abc", repeat=n)}
-    assert all(found.get(w) is None for w in every - known)
+    assert found.get([b"", *(every - known), b"zz", words[0]]) == [None] * (len(every - known) + 2) + [list(ids[words[0]])]
     plain = {w: (1,) for w in [b"walking", b"talking", b"talks", b"walks"]}
     small = lexicon.Builder()
     for w in sorted(plain):
@@ -194,7 +194,7 @@ def test_lexicon_file(tmp_path):
     small.pack()
     assert len(small.frozen) == 7  # alk, then ing or s, are shared
     (tmp_path / "e").write_bytes(lexicon.Builder().pack())
-    assert lexicon.Lexicon(str(tmp_path / "e")).get(b"a") is None
+    assert lexicon.Lexicon(str(tmp_path / "e")).get([b"a", b""]) == [None, None]
 
 
 def expected(texts):
@@ -254,7 +254,16 @@ def test_word_bpe_of_all_letters(tmp_path):
         texts.append(" ".join(f"{c} a{c}B {c}́ 1{c}'S" for c in part))
     plain = Tokenizer.from_file(WORD_BPE)
     for t, e in zip(texts[::3], plain.encode_batch(texts[::3], add_special_tokens=False), strict=True):
-        assert [int(i) for i in codec.encode(t.encode())[0].split()] == e.ids
+        assert [int(i) for i in next(codec.encode([t.encode()]))[0].split()] == e.ids
+
+
+def test_words_merged_together_and_alone():
+    with open(WORD_BPE, "rb") as f:
+        words = lexicon.Words(f.read())
+    rnd = random.Random(8)
+    some = ["".join(rnd.choice("abcdeiounrst'.") for _ in range(rnd.randrange(1, 40))) for _ in range(3000)] + ["aaaaaaa", "a" * 150, "Ã©tÃ©", "日", "a日b", "x"]
+    assert words.merge_all(some) == [words.merge(w) for w in some]
+    assert words.merge_all([]) == []
 
 
 def test_lexicon_counts_all_words(spark):
