@@ -5,18 +5,23 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import DecisionTreeClassifier, LogisticRegression, NaiveBayes, RandomForestClassifier
-from pyspark.ml.feature import IDF, CountVectorizer, NGram, RegexTokenizer, SQLTransformer, VectorAssembler
+from pyspark.ml.classification import DecisionTreeClassifier, RandomForestClassifier
+from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from quirefold.operators import embedding, sequence
+from quirefold.operators.keys import page_keys
 from quirefold.operators.metadata import confusion, stable_key, uncertain
 from quirefold.operators.pages import carry
+from quirefold.operators.textmodel import CodedNumbers, TextBayes
 from quirefold.sources.shared import materialize
 
 
+
+
 @dataclass(frozen=True)
 class ModelCard:
     """What a model is trained on: numeric features, an optional text column, the label, and the kind of estimator."""
@@ -24,8 +29,10 @@ class ModelCard:
     name: str
     features: tuple[str, ...]
     label: str
-    kind: str  # tree, forest, text or stacked
+    kind: str  # tree, forest, text, stacked, sequence or tokens
     text: str | None = None
+    alpha: float = 1.0
+    norm: bool = False
 
 
 # Features of each model by name.
@@ -37,51 +44,74 @@ CARDS = {
         ModelCard("toc_carried", ("page_num", "num_children", "contains_toc_phrase", "contains_contents_word", "contains_list_of", "prev_toc"), "toc_page", "tree"),
         ModelCard("fig", ("page_num", "med_confidence", "avg_confidence", "range_confidence", "iqr_confidence", "med_line_len", "contains_fig_word", "contains_fig_ln", "fig_pos"), "fig_page", "forest"),
         ModelCard("marginal_lines", ("page_num", "line_num", "normed_line_num", "words2width", "words_width", "width", "height", "left", "top", "contains_num", "contains_tab", "contains_page"), "marginal", "forest"),
-        ModelCard("heading_id_toc", ("left", "top"), "heading", "text", "processed"),
-        ModelCard("heading_id_intext", (*_LINE, "matches_heading", "matches_type"), "heading", "stacked", "text"),
-        ModelCard("heading_id_intext_no_toc", _LINE, "heading", "stacked", "text"),
-        ModelCard("heading_classification", (), "heading_class", "text", "text"),
-        ModelCard("page_id", (), "tag", "text", "shapes"),
-        ModelCard("page_extraction", (), "position", "text", "shapes"),
-        ModelCard("tables", (), "class", "text", "content"),
+        ModelCard("heading_id_toc", ("left",), "heading", "sequence", "processed"),
+        ModelCard("heading_id_intext", (*_LINE, "matches_heading", "matches_type"), "heading", "stacked", "text", norm=True),
+        ModelCard("heading_id_intext_no_toc", _LINE, "heading", "stacked", "text", norm=True),
+        ModelCard("heading_classification", (), "heading_class", "text", "text", norm=True),
+        ModelCard("page_id", (), "tag", "tokens", "shapes"),
+        ModelCard("page_extraction", (), "position", "tokens", "shapes"),
+        ModelCard("tables", (), "class", "text", "content", alpha=0.2),
     )
 }
 
 
-#: The most that CountVectorizer takes: no term that min_df leaves is dropped. Its vocabulary is held by the driver; for
-#: texts whose vocabulary may not fit there, see classify_texts.
-ALL_TERMS = 2**31 - 1
+def pipeline(card: ModelCard, seed: int = 1) -> Pipeline:
+    """The estimator of a card. Text models are complement naive Bayes over tables; stacked ones code the text's numbers and
+    feed the text's class to a forest. Sequence and token models are no pipelines: see sequence.py and embedding.py."""
+    assembler = VectorAssembler(inputCols=list(card.features), outputCol="features")
+    if card.kind == "tree":
+        return Pipeline(stages=[assembler, DecisionTreeClassifier(labelCol=card.label, seed=seed)])
+    if card.kind == "forest":
+        return Pipeline(stages=[assembler, RandomForestClassifier(labelCol=card.label, numTrees=30, seed=seed)])
+    if card.kind == "text":
+        return Pipeline(stages=[TextBayes(inputCol=card.text, labelCol=card.label, alpha=card.alpha, norm=card.norm)])
+    if card.kind != "stacked":
+        raise ValueError(f"{card.name} is no pipeline")
+    coded = CodedNumbers(inputCol=card.text, outputCol="_coded")
+    bayes = TextBayes(inputCol="_coded", labelCol=card.label, alpha=card.alpha, norm=card.norm, predictionCol="_nb", rawPredictionCol="_nbr", probabilityCol="_nbp")
+    assembler = VectorAssembler(inputCols=["_nb", *card.features], outputCol="features")
+    return Pipeline(stages=[coded, bayes, assembler, RandomForestClassifier(labelCol=card.label, numTrees=30, seed=seed)])
+
+
+@dataclass(frozen=True)
+class SequenceStage:
+    """A sequence model over the lines of each page, with a pipeline model's `transform`."""
 
+    model: sequence.SequenceModel
+    text: str
 
-def _text_stages(column: str, min_df: float, prefix: str) -> list:
-    """Words of two characters or more, n-grams (1, 2), TF-IDF."""
-    token = RegexTokenizer(inputCol=column, outputCol=f"{prefix}w", gaps=False, pattern=r"(?U)\b\w\w+\b")
-    pair = NGram(n=2, inputCol=f"{prefix}w", outputCol=f"{prefix}w2")
-    both = SQLTransformer(statement=f"SELECT *, concat({prefix}w, {prefix}w2) AS {prefix}g FROM __THIS__")
-    return [token, pair, both, CountVectorizer(inputCol=f"{prefix}g", outputCol=f"{prefix}tf", minDF=min_df, vocabSize=ALL_TERMS), IDF(inputCol=f"{prefix}tf", outputCol=f"{prefix}x")]
+    def transform(self, rows: DataFrame) -> DataFrame:
+        return self.model.predict(_line_pages(rows, self.text))
 
 
-def pipeline(card: ModelCard, min_df: float = 1.0, seed: int = 1) -> Pipeline:
-    """The estimator of a card. Text models are complement naive Bayes; stacked ones feed its prediction to a forest."""
-    if card.kind == "tree":
-        return Pipeline(stages=[VectorAssembler(inputCols=list(card.features), outputCol="features"), DecisionTreeClassifier(labelCol=card.label, seed=seed)])
-    if card.kind == "forest":
-        return Pipeline(stages=[VectorAssembler(inputCols=list(card.features), outputCol="features"), RandomForestClassifier(labelCol=card.label, numTrees=30, seed=seed)])
-    text = _text_stages(card.text, min_df, "_")
-    if card.kind == "text" and not card.features:
-        return Pipeline(stages=[*text, NaiveBayes(modelType="complement", smoothing=0.2, featuresCol="_x", labelCol=card.label)])
-    if card.kind == "text":  # text and geometry together
-        return Pipeline(stages=[*text, VectorAssembler(inputCols=["_x", *card.features], outputCol="features"), LogisticRegression(labelCol=card.label, maxIter=50)])
-    bayes = NaiveBayes(modelType="complement", featuresCol="_x", labelCol=card.label, predictionCol="_nb", rawPredictionCol="_nbr", probabilityCol="_nbp")
-    return Pipeline(stages=[*text, bayes, VectorAssembler(inputCols=["_nb", *card.features], outputCol="features"), RandomForestClassifier(labelCol=card.label, numTrees=30, seed=seed)])
-
-
-def fit(card: ModelCard, rows: DataFrame, **options) -> PipelineModel:
-    """Fit on the rows that have a label."""
+@dataclass(frozen=True)
+class TokenStage:
+    """A token model, with a pipeline model's `transform`."""
+
+    model: embedding.TokenModel
+    text: str
+
+    def transform(self, rows: DataFrame) -> DataFrame:
+        return self.model.predict(rows, self.text)
+
+
+def _line_pages(rows: DataFrame, text: str, label: str | None = None) -> DataFrame:
+    """Rows of contents lines by page; those without a page number are a page a document."""
+    keys = tuple(k for k in page_keys(rows) if k in rows.columns)
+    left = F.col("left") if "left" in rows.columns else None
+    return sequence.pages_of(rows, keys, "line_num", sequence.line_features(F.col(text), left), label)
+
+
+def fit(card: ModelCard, rows: DataFrame, **options) -> PipelineModel | SequenceStage | TokenStage:
+    """Fit on the rows that have a label. A sequence model takes the pages whose lines all have one."""
+    if card.kind == "sequence":
+        return SequenceStage(sequence.fit(_line_pages(rows, card.text, card.label), **options), card.text)
+    if card.kind == "tokens":
+        return TokenStage(embedding.fit(rows, card.text, card.label, **options), card.text)
     return pipeline(card, **options).fit(rows.dropna(subset=[card.label]))
 
 
-def classify(model: PipelineModel, rows: DataFrame, label: str, masked: bool = False) -> DataFrame:
+def classify(model: PipelineModel | SequenceStage | TokenStage, rows: DataFrame, label: str, masked: bool = False) -> DataFrame:
     """rows with the predicted label and `proba`, the probability of class 1; masked: only rows of a class above 0."""
     kept = [c for c in rows.columns if c != label]
     out = model.transform(rows).select(*kept, F.col("prediction").cast("int").alias(label), F.try_element_at(vector_to_array("probability"), F.lit(2)).alias("proba"))
@@ -159,14 +189,23 @@ def round_of_learning(card: ModelCard, rows: DataFrame, key: str, n_queries: int
     return {"model": model, "rows": rows, "queue": asked, "confusion": score(model, rows if n else human_rows(rows), card.label)}
 
 
-def save(model: PipelineModel, folder: str, name: str, mode: str) -> str:
+def save(model: PipelineModel | SequenceStage | TokenStage, folder: str, name: str, mode: str) -> str:
     path = f"{folder}/{mode}/{name}"
-    model.write().overwrite().save(path)
+    if isinstance(model, PipelineModel):
+        model.write().overwrite().save(path)
+    else:
+        model.model.save(SparkSession.active(), path)
     return path
 
 
-def load(folder: str, name: str, mode: str) -> PipelineModel:
-    return PipelineModel.load(f"{folder}/{mode}/{name}")
+def load(folder: str, name: str, mode: str) -> PipelineModel | SequenceStage | TokenStage:
+    """The model that was saved; sequence and token models by their card's name."""
+    path, card = f"{folder}/{mode}/{name}", CARDS.get(name)
+    if card and card.kind == "sequence":
+        return SequenceStage(sequence.SequenceModel.load(SparkSession.active(), path), card.text)
+    if card and card.kind == "tokens":
+        return TokenStage(embedding.TokenModel.load(SparkSession.active(), path), card.text)
+    return PipelineModel.load(path)
 
 
 def hold_out(rows: DataFrame, key: str, percent: int = 20) -> tuple[DataFrame, DataFrame]:
@@ -175,100 +214,6 @@ def hold_out(rows: DataFrame, key: str, percent: int = 20) -> tuple[DataFrame, D
     return rows.filter(bucket >= percent), rows.filter(bucket < percent)
 
 
-def term_counts(docs: DataFrame, key: str, text: str, ngrams: int = 1) -> DataFrame:
-    """(key, term, tf): words of two characters or more, lower case, and their pairs if ngrams is 2."""
-    words = F.regexp_extract_all(F.lower(text), F.lit(r"(?U)\b\w\w+\b"), F.lit(0))
-    rows = docs.select(key, words.alias("_w"))
-    terms = F.col("_w")
-    if ngrams == 2:
-        pairs = F.zip_with(F.slice("_w", 1, F.greatest(F.size("_w") - 1, F.lit(0))), F.slice("_w", 2, F.size("_w")), lambda a, b: F.concat(a, F.lit(" "), b))
-        terms = F.concat("_w", F.when(F.size("_w") > 1, pairs).otherwise(F.array().cast("array<string>")))
-    return rows.select(key, F.explode(terms).alias("term")).groupBy(key, "term").agg(F.count(F.lit(1)).alias("tf"))
-
-
-def tfidf(counts: DataFrame, key: str) -> DataFrame:
-    """(key, term, weight): tf * (ln((1 + n) / (1 + df)) + 1), each row of unit length. The counts are written once."""
-    counts = materialize(counts, "term_counts")
-    n = counts.select(key).distinct().count()
-    idf = counts.groupBy("term").agg((F.log((1 + F.lit(n)) / (1 + F.count(F.lit(1)))) + 1).alias("_idf"))
-    raw = counts.join(idf, "term").select(key, "term", (F.col("tf") * F.col("_idf")).alias("w"))
-    length = F.sqrt(F.sum(F.col("w") * F.col("w")).over(W.partitionBy(key)))
-    return raw.select(key, "term", (F.col("w") / length).alias("weight"))
-
-
-#: Classes that a text model may have.
-MAX_CLASSES = 1000
-
-
-def classes_of(rows: DataFrame, y: str = "y") -> list:
-    """The classes in order; there may be MAX_CLASSES at most, as each is a column or a literal of a model."""
-    found = sorted(r[0] for r in rows.select(y).filter(F.col(y).isNotNull()).distinct().limit(MAX_CLASSES + 1).collect())
-    if len(found) > MAX_CLASSES:
-        raise ValueError(f"more than {MAX_CLASSES} classes")
-    return found
-
-
-def complement_weights(weights: DataFrame, labels: DataFrame, key: str, alpha: float = 1.0, norm: bool = False) -> DataFrame:
-    """(y, term, w) of complement naive Bayes; labels (key, y)."""
-    classes = classes_of(labels)
-    known = weights.join(labels, key)
-    per = [F.sum(F.when(F.col("y") == c, F.col("weight")).otherwise(F.lit(0.0))) for c in classes]
-    grid = known.groupBy("term").agg(F.sum("weight").alias("_t"), F.array(*per).alias("_s"))
-    rest = grid.select("term", F.transform("_s", lambda s: F.lit(alpha) + F.col("_t") - s).alias("c"))
-    sums = rest.agg(*[F.sum(F.col("c")[i]).alias(f"s{i}") for i in range(len(classes))]).first() if classes else []
-    logs = [F.log(F.col("c")[i] / F.lit(sums[i])) for i in range(len(classes))]
-    if norm:
-        totals = rest.agg(*[F.sum(x).alias(f"s{i}") for i, x in enumerate(logs)]).first() if classes else []
-        logs = [x / F.lit(totals[i]) for i, x in enumerate(logs)]
-    else:
-        logs = [-x for x in logs]
-    pairs = F.array(*[F.struct(F.lit(c).alias("y"), x.alias("w")) for c, x in zip(classes, logs, strict=True)])
-    return rest.select("term", F.explode(pairs).alias("_p")).select("_p.y", "term", "_p.w")
-
-
-def complement_scores(weights: DataFrame, model: DataFrame, key: str) -> DataFrame:
-    """(key, y, score) summed over the terms that the model knows, one model row per term."""
-    model = materialize(model, "model")
-    classes = classes_of(model)
-    wide = model.groupBy("term").agg(*[F.sum(F.when(F.col("y") == c, F.col("w"))).alias(f"w{i}") for i, c in enumerate(classes)])
-    sums = weights.join(wide, "term").groupBy(key).agg(*[F.sum(F.col("weight") * F.col(f"w{i}")).alias(f"s{i}") for i in range(len(classes))])
-    scores = F.array(*[F.struct(F.lit(c).alias("y"), F.col(f"s{i}").alias("score")) for i, c in enumerate(classes)])
-    return sums.select(key, F.explode(scores).alias("_p")).select(key, "_p.y", "_p.score").filter("score is not null")
-
-
-def predict_class(scores: DataFrame, key: str) -> DataFrame:
-    """The class of the highest score, the smaller of equals."""
-    return scores.groupBy(key).agg(F.max(F.struct(F.round("score", 9).alias("s"), (-F.col("y")).alias("c"))).alias("_t")).select(key, (-F.col("_t.c")).alias("predicted"))
-
-
-def classify_texts(docs: DataFrame, labels: DataFrame, key: str, text: str, ngrams: int = 2, min_df: int = 1, alpha: float = 0.2) -> DataFrame:
-    """(key, predicted) of every row of docs by complement naive Bayes on TF-IDF, fitted on the rows with a label
-    (key, y). The vocabulary, all terms of min_df labelled texts or more, is a table without a bound; idf comes from the
-    labelled texts. A text without a known term has the smallest class. The key is unique in both tables."""
-    labels = labels.filter(F.col("y").isNotNull())
-    docs = docs.select(key, text)
-    known = docs.join(labels, key)
-    sizes = {r["y"]: r["n"] for r in known.groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}
-    if not sizes:
-        raise ValueError("no text has a label")
-    classes = sorted(sizes)
-    # partitions by key carry texts once instead of their terms; the counts by (key, term) then need no other exchange
-    train = term_counts(known.select(key, text).repartition(F.col(key)), key, text, ngrams)
-    n = sum(sizes.values())
-    idf = train.groupBy("term").agg(F.count(F.lit(1)).alias("df")).filter(F.col("df") >= min_df).select("term", (F.log(F.lit(1 + n) / (1 + F.col("df"))) + 1).alias("idf"))
-    raw = train.join(idf, "term").select(key, "term", (F.col("tf") * F.col("idf")).alias("w"))
-    norm = raw.groupBy(key).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("_n"))
-    weights = materialize(raw.join(norm, key).select(key, "term", (F.col("w") / F.col("_n")).alias("weight")), "weights")
-    model = complement_weights(weights, known.select(key, "y"), key, alpha).groupBy("term").pivot("y", classes).agg(F.first("w")).toDF("term", *[f"w{i}" for i in range(len(classes))])
-    x = term_counts(docs.repartition(F.col(key)), key, text, ngrams).join(idf.join(model, "term"), "term").withColumn("x", F.col("tf") * F.col("idf"))
-    length = F.sqrt(F.sum(F.col("x") * F.col("x")))
-    scores = [F.round(F.sum(F.col("x") * F.col(f"w{i}")) / length, 9).alias(f"s{i}") for i in range(len(classes))]
-    best = F.array_position(F.array(*[F.col(f"s{i}") for i in range(len(classes))]), F.greatest(*[F.col(f"s{i}") for i in range(len(classes))]) if len(classes) > 1 else F.col("s0"))
-    predicted = F.element_at(F.array(*[F.lit(c) for c in classes]), best.cast("int"))
-    found = x.groupBy(key).agg(*scores).select(key, predicted.alias("predicted"))
-    return docs.select(key).join(found, key, "left").select(key, F.coalesce("predicted", F.lit(classes[0])).alias("predicted"))
-
-
 def padded_ids(docs: DataFrame, vocabulary: DataFrame, key: str, text: str, length: int) -> DataFrame:
     """Each text as `length` word numbers of a vocabulary (word, id): unknown words are left out, zeros fill the left."""
     words = docs.select(key, F.posexplode(F.split(F.lower(F.col(text)), r"\s+")).alias("_p", "word"))

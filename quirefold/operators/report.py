@@ -3,7 +3,7 @@ and the whole report as one JSON object."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quirefold.functions import text as X
@@ -36,13 +36,19 @@ def marginal_frame(dataset: DataFrame) -> DataFrame:
     return dataset.drop("word_count", *flags).select("*", *[c.alias(n) for n, c in flags.items()])
 
 
+def coded_heading(text: Column) -> Column:
+    """A contents line with its section number and its page as coded numbers."""
+    body, page = X.split_page_number(text)
+    prefix, rest = X.split_prefix(body)
+    return F.concat(X.coded_number(prefix), rest, X.coded_number(page))
+
+
 def toc_heading_frame(dataset: DataFrame, toc_pages: DataFrame) -> DataFrame:
     """(doc_id, line_num, left, top, text) of contents lines, with their section prefix, text, page and coded text."""
     rows = toc_lines(dataset, toc_pages).select("doc_id", "line_num", "left", "top", "text")
     body, page = X.split_page_number(F.col("text"))
     prefix, rest = X.split_prefix(body)
-    coded = F.concat(X.coded_number(prefix), rest, X.coded_number(page))
-    return rows.select("*", prefix.alias("section_prefix"), rest.alias("section_text"), page.alias("section_page"), coded.alias("processed"))
+    return rows.select("*", prefix.alias("section_prefix"), rest.alias("section_text"), page.alias("section_page"), coded_heading(F.col("text")).alias("processed"))
 
 
 def contents(predicted: DataFrame) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from quirefold.functions.text import tokens
+from quirefold.functions.text import rule_heading, tokens, word_count
 from quirefold.operators.blocks import in_file
 from quirefold.sources.shared import spread
 
@@ -113,6 +113,43 @@ NUMBERED = """numbered as (select o_orderkey line_id, (case o_orderkey % 3 when
     || ' ' || lower(o_orderpriority) || ' Of ' || o_orderstatus || case when o_orderkey % 2 = 0 then ' ' || chr(9) || (o_orderkey % 100)::varchar else ' page 1998 may' end as text from orders)"""
 
 
+def contents_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A customer's orders as the lines of a contents page: (doc_id, line_num, text, left, heading). A line with a number
+    has the level of its number and is indented by it, one without belongs to the level above it, so the level depends on
+    the lines before."""
+    o = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("doc_id"), "o_orderkey").join(numbered_lines(spark, sf_dir), F.col("o_orderkey") == F.col("line_id"))
+    order = W.partitionBy("doc_id").orderBy("line_id")
+    level = F.nullif(rule_heading(F.col("text")), F.lit(0))
+    known = F.last(level, True).over(order.rowsBetween(W.unboundedPreceding, W.currentRow))
+    return o.select("doc_id", F.row_number().over(order).cast("long").alias("line_num"), "text", F.when(level.isNull(), 0.12).otherwise(0.06 + level * 0.04).alias("left"), F.coalesce(known, F.lit(0)).cast("int").alias("heading"))
+
+
+def marginal_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Headers and footers in eight layouts: (line_id, text, position: that of the page number from the end, from 0; null
+    where there is none). Layouts have the same tokens in other places."""
+    o = spread(table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderpriority", "o_orderstatus"))
+    page, year, name = (F.col("o_orderkey") % 90 + 1).cast("string"), (F.lit(1950) + F.col("o_custkey") % 60).cast("string"), F.lower(F.regexp_replace("o_orderpriority", "[0-9]-| ", ""))
+    # the places of page number (p), year (y), name (n) and other words in each layout
+    layouts = ["page p", "p \t n", "n p \t y", "p of n y", "p \t n y may", "n \t y", "report n p may", "y n of n"]
+    what = {"p": page, "y": year, "n": name}
+    texts = F.array(*[F.array_join(F.array(*[what.get(w, F.lit(w)) for w in x.split(" ")]), " ") for x in layouts])
+    places = F.array(*[F.lit(x.split(" ")[::-1].index("p") if "p" in x.split(" ") else None).cast("int") for x in layouts])
+    k = (F.xxhash64("o_orderkey") % len(layouts) + len(layouts)) % len(layouts)
+    return o.select(F.col("o_orderkey").alias("line_id"), F.get(texts, k.cast("int")).alias("text"), F.get(places, k.cast("int")).alias("position"))
+
+
+#: Part of a page's width that a character takes in print, left margin, and the longest line.
+CHARACTER, MARGIN, LONGEST = 0.008, 0.1, 0.8
+
+
+def printed_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines of documents with the box that their text would have in print."""
+    t = F.col("text")
+    width = F.least(F.greatest(F.length(t) * CHARACTER, F.lit(CHARACTER)), F.lit(LONGEST))
+    ink = F.least(F.length(F.regexp_replace(t, r"\s", "")) * CHARACTER, F.lit(LONGEST))
+    return lines(spark, sf_dir).select("doc_id", "page_num", "line_num", "text", word_count(t).alias("word_count"), (ink / width).alias("words2width"), width.alias("width"), F.lit(0.01).alias("height"), F.when(t.rlike("^[a-z]"), MARGIN).otherwise(F.lit(MARGIN / 2)).alias("left"))
+
+
 #: Orders whose blocks one result page holds.
 ORDERS_PER_RESPONSE = 3
 

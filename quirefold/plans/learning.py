@@ -11,6 +11,7 @@ from quirefold.operators import lines as L
 from quirefold.operators import metadata as M
 from quirefold.operators import pages as P
 from quirefold.operators import report as RP
+from quirefold.operators import textmodel as TM
 from quirefold.plans import adapters as A
 from quirefold.sources.shared import materialize
 
@@ -34,14 +35,32 @@ TERMS = """tc as (select doc_id, term, count(*) tf from (select doc_id, unnest(r
     tfidf as (select doc_id, term, w / sqrt(sum(w * w) over (partition by doc_id)) weight from raw)"""
 
 
-def _weights(spark, d):
-    return N.tfidf(N.term_counts(A.texts(spark, d).repartition("doc_id"), "doc_id", "text"), "doc_id")
+def _counts(spark, d, ngrams=1):
+    """Terms of all documents, written once, and the number of documents with terms."""
+    counts = materialize(TM.term_counts(A.texts(spark, d).repartition("doc_id"), "doc_id", "text", ngrams), "term_counts")
+    return counts, counts.select("doc_id").distinct().count()
+
+
+def _tfidf_scores(spark, d, ngrams=1):
+    """Weights of length one are never written: their sums are sums of the raw ones over the length."""
+    counts, n = _counts(spark, d, ngrams)
+    w = F.col("tf") * F.col("idf")
+    length = F.sqrt(F.sum(w * w))
+    met = counts.join(TM.idf_of(counts, n), "term")
+    return met.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_terms"), F.round(F.sum(w) / length, 5).alias("total"), F.round(F.max(w) / length, 5).alias("top"))
+
+
+def _cnb(spark, d, ngrams=1, alpha=1.0, norm=False):
+    counts, n = _counts(spark, d, ngrams)
+    labels = A.table(spark, d, "labels").select("doc_id", F.col("quality").alias("y"))
+    classes = TM.classes_of(labels)
+    table = TM.complement_table(counts, labels, "doc_id", TM.idf_of(counts, n), classes, alpha, norm)
+    return TM.score_texts(counts, table, "doc_id", len(classes)).select("doc_id", TM.best_class(F.col("scores"), classes).alias("predicted"))
 
 
 @query(f"with {TERMS} select doc_id, count(*) n_terms, round(sum(weight), 5) total, round(max(weight), 5) top from tfidf group by doc_id")
 def tfidf_scores(spark, d):
-    w = _weights(spark, d)
-    return w.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_terms"), F.round(F.sum("weight"), 5).alias("total"), F.round(F.max("weight"), 5).alias("top"))
+    return _tfidf_scores(spark, d)
 
 
 @query(
@@ -52,9 +71,7 @@ def tfidf_scores(spark, d):
     select doc_id, y::int predicted from (select doc_id, y, row_number() over (partition by doc_id order by round(score, 9) desc, y) k from sc) where k = 1"""
 )
 def cnb_predict(spark, d):
-    w = materialize(_weights(spark, d), "weights")
-    model = N.complement_weights(w, A.table(spark, d, "labels").select("doc_id", F.col("quality").alias("y")), "doc_id")
-    return N.predict_class(N.complement_scores(w, model, "doc_id"), "doc_id")
+    return _cnb(spark, d)
 
 
 # The reference's features: words and pairs of neighbouring words; its table classifier's alpha, its heading classifier's norm.
@@ -65,14 +82,9 @@ PAIR_TERMS = TERMS.replace(
 )
 
 
-def _pair_weights(spark, d):
-    return N.tfidf(N.term_counts(A.texts(spark, d).repartition("doc_id"), "doc_id", "text", ngrams=2), "doc_id")
-
-
 @query(f"with {PAIR_TERMS} select doc_id, count(*) n_terms, round(sum(weight), 5) total, round(max(weight), 5) top from tfidf group by doc_id")
 def tfidf_pair_scores(spark, d):
-    w = _pair_weights(spark, d)
-    return w.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_terms"), F.round(F.sum("weight"), 5).alias("total"), F.round(F.max("weight"), 5).alias("top"))
+    return _tfidf_scores(spark, d, 2)
 
 
 def _pair_predict_sql(alpha: float, norm: bool) -> str:
@@ -84,20 +96,14 @@ def _pair_predict_sql(alpha: float, norm: bool) -> str:
     select doc_id, y::int predicted from (select doc_id, y, row_number() over (partition by doc_id order by round(score, 9) desc, y) k from sc) where k = 1"""
 
 
-def _pair_predict(spark, d, alpha: float, norm: bool):
-    w = materialize(_pair_weights(spark, d), "weights")
-    model = N.complement_weights(w, A.table(spark, d, "labels").select("doc_id", F.col("quality").alias("y")), "doc_id", alpha, norm)
-    return N.predict_class(N.complement_scores(w, model, "doc_id"), "doc_id")
-
-
 @query(_pair_predict_sql(0.2, False))
 def cnb_pair_predict(spark, d):
-    return _pair_predict(spark, d, 0.2, False)
+    return _cnb(spark, d, 2, 0.2)
 
 
 @query(_pair_predict_sql(1.0, True))
 def cnb_pair_norm_predict(spark, d):
-    return _pair_predict(spark, d, 1.0, True)
+    return _cnb(spark, d, 2, 1.0, True)
 
 
 @query(
@@ -166,34 +172,39 @@ def heading_model(spark, d):
 
 @query()
 def toc_heading_model(spark, d):
-    """Headings of contents lines by coded text and place."""
+    """Levels of contents lines by coded text, place and the lines before and behind."""
     card = N.CARDS["heading_id_toc"]
-    t = F.col("text")
-    rows = A.numbered_lines(spark, d).select("line_id", X.coded_number(t, remove_words=False).alias("processed"), X.rule_heading(t).alias("heading"), (F.col("line_id") % 7 / F.lit(7.0)).alias("left"), (F.col("line_id") % 50 / F.lit(50.0)).alias("top"))
-    return N.classify(N.fit(card, rows, min_df=2.0), rows, card.label).select("line_id", "heading")
+    rows = A.contents_lines(spark, d).withColumn("processed", RP.coded_heading(F.col("text")))
+    return N.classify(N.fit(card, rows), rows, card.label).select("doc_id", "line_num", "heading")
 
 
 @query()
 def page_number_model(spark, d):
-    """Position of the page number by token shapes."""
+    """Which of the last five tokens of a header or footer is the page number, by the places of token shapes."""
     card = N.CARDS["page_extraction"]
-    t = F.col("text")
-    rows = A.numbered_lines(spark, d).select("line_id", X.token_shapes(t, literal_small=False).alias("shapes"), (F.size(X.digit_tokens(t)) % 3).alias("position"))
-    return N.classify(N.fit(card, rows, min_df=2.0), rows, card.label).select("line_id", "position")
+    rows = A.marginal_lines(spark, d).filter("position is not null").withColumn("shapes", X.token_shapes(F.col("text"), literal_small=False))
+    found = N.classify(N.fit(card, rows), rows, card.label)
+    return found.select("line_id", (-1 - F.col("position")).alias("position"))
+
+
+def _bayes_sql(texts: str, key: str, out: str, alpha: float, norm: bool = False, min_df: int = 1) -> str:
+    """texts: a select of (key, text, y: null where unlabelled)."""
+    w = "l / sum(l) over (partition by y)" if norm else "-l"
+    return f"""with texts as ({texts}), ws as (select {key}, regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}_]{{2,}}') w from texts),
+    tc as (select {key}, term, count(*) tf from (select {key}, unnest(w) term from ws union all select {key}, unnest(list_transform(list_zip(w[:-2], w[2:]), lambda p: p[1] || ' ' || p[2])) from ws where len(w) > 1) group by all),
+    known as (select {key}, y from texts where y is not null), n as (select count(*) n from known),
+    idf as (select term, ln((1 + any_value(n.n))::double / (1 + count(*))) + 1 idf from tc semi join known using ({key}), n group by term having count(*) >= {min_df}),
+    raw as (select {key}, term, tf * idf w from tc semi join known using ({key}) join idf using (term)), tfidf as (select {key}, term, w / sqrt(sum(w * w) over (partition by {key})) weight from raw),
+    per as (select y, term, sum(weight) s from tfidf join known using ({key}) group by all), tot as (select term, sum(s) t from per group by term),
+    grid as (select y, term, {alpha}::double + t - coalesce(s, 0) c from tot cross join (select distinct y from known) left join per using (y, term)),
+    logs as (select y, term, ln(c / sum(c) over (partition by y)) l from grid), w as (select y, term, {w} w from logs), x as (select {key}, term, tf * idf x from tc join idf using (term)),
+    len as (select {key}, sqrt(sum(x * x)) l from x semi join tot using (term) group by {key}),
+    sc as (select {key}, y, round(sum(x * w) / any_value(l), 9) score from x join w using (term) join len using ({key}) group by {key}, y),
+    best as (select {key}, y from (select *, row_number() over (partition by {key} order by score desc, y) k from sc) where k = 1)
+    select {key}, coalesce(best.y, (select min(y) from known))::int as {out} from texts left join best using ({key})"""
 
 
-_QUALITY_SQL = """with ws as (select doc_id, regexp_extract_all(lower(text), '[\\p{L}\\p{N}_]{2,}') w from documents),
-    tc as (select doc_id, term, count(*) tf from (select doc_id, unnest(w) term from ws union all select doc_id, unnest(list_transform(list_zip(w[:-2], w[2:]), lambda p: p[1] || ' ' || p[2])) from ws where len(w) > 1) group by all),
-    known as (select doc_id, quality y from documents join labels using (doc_id) where quality is not null), n as (select count(*) n from known),
-    idf as (select term, ln((1 + any_value(n.n))::double / (1 + count(*))) + 1 idf from tc semi join known using (doc_id), n group by term having count(*) >= 3),
-    raw as (select doc_id, term, tf * idf w from tc semi join known using (doc_id) join idf using (term)), tfidf as (select doc_id, term, w / sqrt(sum(w * w) over (partition by doc_id)) weight from raw),
-    per as (select y, term, sum(weight) s from tfidf join known using (doc_id) group by all), tot as (select term, sum(s) t from per group by term),
-    grid as (select y, term, 0.2::double + t - coalesce(s, 0) c from tot cross join (select distinct y from known) left join per using (y, term)),
-    w as (select y, term, -ln(c / sum(c) over (partition by y)) w from grid), x as (select doc_id, term, tf * idf x from tc join idf using (term)),
-    len as (select doc_id, sqrt(sum(x * x)) l from x semi join tot using (term) group by doc_id),
-    sc as (select doc_id, y, round(sum(x * w) / any_value(l), 9) score from x join w using (term) join len using (doc_id) group by doc_id, y),
-    best as (select doc_id, y from (select *, row_number() over (partition by doc_id order by score desc, y) k from sc) where k = 1)
-    select doc_id, coalesce(best.y, (select min(y) from known))::int as class from documents left join best using (doc_id)"""
+_QUALITY_SQL = _bayes_sql("select doc_id, text, quality y from documents left join labels using (doc_id)", "doc_id", "class", 0.2, min_df=3)
 
 
 @query(_QUALITY_SQL)
@@ -202,7 +213,7 @@ def quality_model(spark, d):
 
     The vocabulary of documents grows with their number, so it is a table here and not a vectoriser's."""
     docs, labels = A.texts(spark, d), A.table(spark, d, "labels")
-    found = N.classify_texts(docs, labels.select("doc_id", F.col("quality").alias("y")), "doc_id", "text", ngrams=2, min_df=3, alpha=0.2)
+    found = TM.classify_texts(docs, labels.select("doc_id", F.col("quality").alias("y")), "doc_id", "text", ngrams=2, min_df=3, alpha=0.2)
     return found.select("doc_id", F.col("predicted").cast("int").alias("class"))
 
 
@@ -228,12 +239,10 @@ def toc_model_carry(spark, d):
 def heading_full_model(spark, d):
     """In-text headings with match features where a document has a contents page, else without: the two stacked models."""
     toc = P.contents_features(A.lines(spark, d), ("licensed",), ("of the",), ("la ",)).filter("contains_toc_phrase = 1").groupBy("doc_id").agg(F.min("page_num").alias("page_num"))
-    t, n = F.col("text"), F.col("line_num")
-    lines = A.lines(spark, d).select("doc_id", "page_num", "line_num", "text", X.word_count(t).alias("word_count"), ((n % 9) / F.lit(9.0)).alias("words2width"), ((n % 7) / F.lit(7.0)).alias("width"), F.lit(0.01).alias("height"), ((n % 5) / F.lit(5.0)).alias("left"))
-    frame = RP.intext_frame(lines, toc, A.headings(spark, d)).withColumn("text", F.substring("text", 1, 80))
+    frame = RP.intext_frame(A.printed_lines(spark, d), toc, A.headings(spark, d))
     frame = materialize(frame.withColumn("heading", F.when(F.col("matches_heading") > 0.5, F.col("matches_type")).otherwise(F.lit(0)).cast("int")), "frame")
     full, plain = N.CARDS["heading_id_intext"], N.CARDS["heading_id_intext_no_toc"]
-    found = [N.classify(N.fit(c, frame, min_df=5.0), frame, c.label) for c in (full, plain)]
+    found = [N.classify(N.fit(c, frame), frame, c.label) for c in (full, plain)]
     return RP.intext_headings(found[0], found[1], toc).select("doc_id", "line_num", "heading")
 
 
@@ -248,16 +257,15 @@ def learning_round(spark, d):
 
 @query()
 def page_id_model(spark, d):
-    """Which lines hold a page number, by token shapes."""
+    """Which header and footer lines hold a page number, by the places of token shapes."""
     card = N.CARDS["page_id"]
-    t = F.col("text")
-    rows = A.numbered_lines(spark, d).select("line_id", X.token_shapes(t).alias("shapes"), X.contains_word(t, "page").alias("tag"))
-    return N.classify(N.fit(card, rows, min_df=2.0), rows, card.label).select("line_id", "tag")
+    rows = A.marginal_lines(spark, d).withColumn("shapes", X.token_shapes(F.col("text"))).withColumn("tag", F.col("position").isNotNull().cast("int"))
+    return N.classify(N.fit(card, rows), rows, card.label).select("line_id", "tag")
 
 
-@query()
+@query(_bayes_sql(f"with {A.REPORTS} select repno, regexp_replace(rtype, '[0-9]-', 'about ', 'g') || ' in ' || lower(submitby) as text, left(rtype, 1)::int - 1 as y from reports", "repno", "heading_class", 1.0, norm=True))
 def heading_topic_model(spark, d):
     """Topics of headings by words and word pairs."""
     card = N.CARDS["heading_classification"]
     rows = A.reports(spark, d).select("repno", F.concat(F.regexp_replace("rtype", "[0-9]-", "about "), F.lit(" in "), F.lower("submitby")).alias("text"), (F.col("rtype").substr(1, 1).cast("int") - 1).alias("heading_class"))
-    return N.classify(N.fit(card, rows, min_df=2.0), rows, card.label).select("repno", "heading_class")
+    return N.classify(N.fit(card, rows), rows, card.label).select("repno", "heading_class")

@@ -8,10 +8,12 @@ folder there; results are lazy and read them, so they stay until `release` is ca
 from __future__ import annotations
 
 import atexit
+import os
 import re
 import shutil
 import tempfile
 import uuid
+import zipfile
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -87,3 +89,20 @@ def spread(df: DataFrame, *keys: str) -> DataFrame:
     have more parts than cores and are left as they are."""
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(cores, *keys) if df.rdd.getNumPartitions() < cores else df
+
+
+def ship(spark: SparkSession) -> None:
+    """Make this package importable in Python workers, once a session."""
+    sc = spark.sparkContext
+    if getattr(sc, "_quirefold_shipped", None):
+        return
+    root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+    zipped = os.path.join(tempfile.mkdtemp(prefix="quirefold-ship-"), "quirefold_pkg.zip")
+    with zipfile.ZipFile(zipped, "w") as z:
+        for folder, _, names in os.walk(os.path.join(root, "quirefold")):
+            for n in sorted(names):
+                if n.endswith(".py"):
+                    full = os.path.join(folder, n)
+                    z.write(full, os.path.relpath(full, root))
+    sc.addPyFile(zipped)
+    sc._quirefold_shipped = True
