@@ -3,7 +3,8 @@
 Tier one: a minimal perfect hash over the vocabulary resolves pre-tokens that are tokens as a whole. Tier two, for the
 misses: a heap of adjacent pairs over a linked list of bytes merges the pair of lowest rank, leftmost first, until no
 pair is in the vocabulary; it takes n log n steps however long a pre-token is. Ranks come from a public vocabulary file
-whose path is a parameter; the file is read on the driver and broadcast after a check of its size.
+whose path is a parameter; the file is read on the driver and broadcast after a check of its size. Which characters are
+letters and digits depends on a library's edition of Unicode: it is that of the tiktoken library (`library_pattern`).
 
 Row-local: no shuffle; a worker holds one Arrow batch, the vocabulary and memos of bounded bytes. Any pre-token
 pattern of the `regex` library will do; those of chunks.py are faster.
@@ -21,6 +22,7 @@ import base64
 import hashlib
 from array import array
 from collections.abc import Iterator
+from functools import cache
 from heapq import heapify, heappop, heappush
 
 import numpy as np
@@ -145,8 +147,47 @@ def parse_ranks(data: bytes) -> dict[bytes, int]:
     return {base64.b64decode(a): int(b) for a, b in map(bytes.split, data.splitlines()) if a}
 
 
+def library_members(kind: str) -> set[int]:
+    """The code points that the tiktoken library takes for members of a class such as \\p{L}: of a text of all of them, what
+    it encodes when asked for runs of the class."""
+    import tiktoken
+
+    asked = tiktoken.Encoding("bytes", pat_str=f"{kind}+", mergeable_ranks={bytes([b]): b for b in range(256)}, special_tokens={})
+    return {ord(c) for a in range(0, 0x110000, 0x1000) for c in bytes(asked.encode_ordinary("".join(_points(a, a + 0x1000)))).decode()}
+
+
+def _points(start: int, end: int) -> list[str]:
+    return [chr(c) for c in range(start, end) if not 0xD800 <= c < 0xE000]
+
+
+@cache
+def library_pattern(pattern: str) -> str:
+    """pattern for the `regex` library, with letters and digits as the tiktoken library knows them."""
+    import regex
+
+    every = "".join(_points(0, 0x110000))
+    for kind in (r"\p{L}", r"\p{N}"):
+        own, theirs = set(map(ord, regex.findall(kind, every))), library_members(kind)
+        less, more = _ranges(own - theirs), _ranges(theirs - own)
+        if less or more:
+            pattern = pattern.replace(kind, f"[{f'[{kind}--[{less}]]' if less else kind}{more}]")
+    return f"(?V1){pattern}"
+
+
+def _ranges(points: set[int]) -> str:
+    """Code points as ranges of a character class."""
+    out: list[list[int]] = []
+    for c in sorted(points):
+        if out and c == out[-1][1] + 1:
+            out[-1][1] = c
+        else:
+            out.append([c, c])
+    return "".join(f"\\U{a:08x}-\\U{b:08x}" for a, b in out)
+
+
 class Codec:
-    def __init__(self, ranks: dict[bytes, int], pattern: str) -> None:
+    def __init__(self, ranks: dict[bytes, int], pattern: str, exact: str | None = None) -> None:
+        """exact: the pattern for texts beyond ASCII, see `library_pattern`."""
         import regex
 
         tokens = list(ranks)
@@ -157,6 +198,7 @@ class Codec:
         for t, i in ranks.items():
             self.token[i] = t
         self.find = regex.compile(pattern).findall
+        self.exact = regex.compile(exact or library_pattern(pattern)).findall
         self.memo = Memo()
         self.chunks = ChunkEncoder(self.whole, lambda chunks: [self.chunk(c) for c in chunks], pattern)
 
@@ -183,7 +225,7 @@ class Codec:
         return self.chunks.memo.put(c, self.pre_token(f" {c}")) if ids is None else ids
 
     def whole(self, text: str) -> bytes:
-        return b"".join(map(self.known, self.find(text)))
+        return b"".join(map(self.known, (self.find if text.isascii() else self.exact)(text)))
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Each text's ids as little-endian unsigned 32-bit integers."""
@@ -201,14 +243,14 @@ class Codec:
 _codecs: dict[tuple[str, str], Codec] = {}
 
 
-def _codec(data, digest: str, pattern: str) -> Codec:
+def _codec(data, digest: str, pattern: str, exact: str) -> Codec:
     if (digest, pattern) not in _codecs:
         _codecs.clear()
-        _codecs[digest, pattern] = Codec(parse_ranks(data.value), pattern)
+        _codecs[digest, pattern] = Codec(parse_ranks(data.value), pattern, exact)
     return _codecs[digest, pattern]
 
 
-def _run(data, digest: str, pattern: str, column: str, what: str, into: str):
+def _run(data, digest: str, pattern: str, exact: str, column: str, what: str, into: str):
     def digests(codec: Codec, texts: list[str]) -> pa.StructArray:
         encoded = codec.encode(texts)
         return pa.StructArray.from_arrays(
@@ -229,7 +271,7 @@ def _run(data, digest: str, pattern: str, column: str, what: str, into: str):
         return pa.array([codec.decode_any(x or []).decode("utf-8", "replace") for x in lists], pa.string())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = _codec(data, digest, pattern)
+        codec = _codec(data, digest, pattern, exact)
         for batch in batches:
             values = batch.column(column).to_pylist()
             if what == "decode":
@@ -247,7 +289,7 @@ def _apply(df: DataFrame, path: str, pattern: str, column: str, what: str, kind:
     spark = prepare(df.sparkSession)
     into = unused(df, into)
     schema = T.StructType([*df.schema.fields, T.StructField(into, kind)])
-    return df.mapInArrow(_run(*broadcast_file(spark, path), pattern, column, what, into), schema)
+    return df.mapInArrow(_run(*broadcast_file(spark, path), pattern, library_pattern(pattern), column, what, into), schema)
 
 
 def encode(df: DataFrame, path: str, pattern: str, text: str = "text", into: str = "ids") -> DataFrame:

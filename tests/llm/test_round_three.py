@@ -271,3 +271,23 @@ def test_lexicon_counts_all_words(spark):
     assert {r.word: r.n for r in lexicon.word_counts(frame, WORD_BPE).collect()} == {"a": 3, "b": 2, "'s": 1}
 
 
+
+
+def test_bpe_of_all_letters():
+    """Every third code point in eight positions, as the library encodes it; among them all on which editions differ."""
+    import regex
+    import tiktoken
+
+    from quirefold.llm import bpe
+
+    with open(V.path("byte_bpe_multi_50k.tiktoken"), "rb") as f:
+        ranks = bpe.parse_ranks(f.read())
+    codec = bpe.Codec(ranks, V.PATTERN)
+    plain = tiktoken.Encoding("own", pat_str=V.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    differ = [chr(c) for c in set(map(ord, regex.findall(r"[\p{L}\p{N}]", "".join(bpe._points(0, 0x110000))))) - bpe.library_members(r"\p{L}") - bpe.library_members(r"\p{N}")]
+    points = differ[::5] + bpe._points(0, 0x110000)[::12] + ["\U00018da7", "\U00016ea7", "\U00010ee7"]
+    texts = [f"{c} a{c} {c}a {c}{c} 1{c}2 .{c} {c}. \n{c}'s" for c in points]
+    for a in range(0, len(texts), 500):
+        part = texts[a : a + 500]
+        got = [memoryview(ids).cast("I").tolist() for ids in codec.encode(part)]
+        assert got == plain.encode_ordinary_batch(part, num_threads=2)
