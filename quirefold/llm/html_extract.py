@@ -40,7 +40,7 @@ from quirefold.llm import boosting
 from quirefold.llm.store import prepare
 
 #: Generated pages that the trees are fitted on.
-TRAINING_PAGES = 500
+TRAINING_PAGES = 1200
 NODES_PER_BATCH = 50_000
 
 # Classes of HTML elements and of words in class, id and role attributes.
@@ -88,7 +88,8 @@ _AFTER_OPTIONS = re.compile(r"<(?!/?(?:option|optgroup|hr)[\s/>])[a-zA-Z/!]", re
 _TOKENS = re.compile(r"(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 _WORD = re.compile(r"[a-z]+")
 #: A slash at a tag's end that belongs to an unquoted value and so closes nothing.
-_UNQUOTED_SLASH = re.compile(r"=\s*[^\s\"'>]+/$")
+#: An attribute with its value, quoted or not, or another character.
+_ATTRIBUTE = re.compile(r"""[^\s=/]+(?:\s*=\s*(?:"[^"]*"|'[^']*'|[^\s"'][^\s]*))?|[^\s]""")
 #: Elements of HTML that end an svg that was left open; what stands in a foreignObject or the like does not.
 _BREAKS_OUT = "article|aside|b|big|blockquote|body|br|center|code|dd|div|dl|dt|em|embed|footer|form|h[1-6]|head|header|hr|i|img|li|main|menu|nav|ol|p|pre|ruby|s|section|small|span|strong|strike|sub|sup|table|tt|u|ul|var"
 _SVG_END = re.compile(rf"<(foreignobject|annotation-xml|desc|title)(?=[\s/>])|<(?:{_BREAKS_OUT})(?=[\s/>])", re.I)
@@ -190,7 +191,13 @@ class _Skips:
 
 
 def _closes_itself(attributes: str) -> bool:
-    return attributes.endswith("/") and not _UNQUOTED_SLASH.search(attributes[-4096:])
+    """Whether the last character is a slash that belongs to no unquoted value."""
+    if not attributes.endswith("/"):
+        return False
+    last = None
+    for last in _ATTRIBUTE.finditer(attributes):
+        pass
+    return last is not None and last.group() == "/"
 
 
 class Page:
@@ -330,6 +337,13 @@ class Page:
             above_mask[v] = above_mask[p] | mask[p]
             above_tags[v] = above_tags[p] | 1 << group[p]
             same[p, tag[v]] = same.get((p, tag[v]), 0) + 1
+        previous, following, last_child, since = [0] * n, [0] * n, [0] * n, [0] * n  # siblings; nodes since a heading among them
+        for v in range(1, n):
+            u = last_child[parent[v]]
+            if u:
+                previous[v], following[u] = u, v
+                since[v] = 1 if tag[u] in HEADINGS else since[u] + 1 if since[u] else 0
+            last_child[parent[v]] = v
         before, run = [0] * n, 0
         for v in range(n):
             before[v] = run
@@ -337,6 +351,8 @@ class Page:
         par_all = np.maximum(np.array(parent), 0)
         f64 = lambda x: np.array(x, dtype=np.float64)
         whole = {k: f64(v) for k, v in {"total": total, "links": total_links, "children": children}.items()}
+        previous, following = np.array(previous), np.array(following)
+        plain = whole["total"] - whole["links"]
         groups, masks, aboves, tags_above = np.array(group, dtype=np.int8), np.array(mask, dtype=np.int16), np.array(above_mask, dtype=np.int16), np.array(above_tags, dtype=np.int64)
         for lo in range(0, n, rows):
             hi = min(lo + rows, n)
@@ -349,6 +365,10 @@ class Page:
                 np.log1p(a(paragraphs)), a(depth), children_, index_, index_ / np.maximum(whole["children"][par], 1), total_ / np.maximum(whole["total"][par], 1), total_ / max(run, 1),
                 a(before) / max(run, 1), f64([same.get((parent[v], tag[v]), 0) for v in range(lo, hi)]), np.log1p(whole["total"][par]), whole["links"][par] / np.maximum(whole["total"][par], 1), a(self.hidden),
             ]
+            for near in (previous[lo:hi], following[lo:hi]):  # 0, the body, where there is no such sibling
+                there = near > 0
+                columns += [there, there * np.log1p(whole["total"][near]), there * whole["links"][near] / np.maximum(whole["total"][near], 1), there & (groups[near] == group_)]
+            columns += [a(since), np.log1p(plain[par]), plain[par] / max(float(plain[0]), 1.0)]
             columns += [group_ == g for g in range(len(TAG_GROUPS))]
             columns += [groups[par] == _TAG_GROUP[t] for t in ("article", "nav", "header", "footer", "aside", "li", "form")]
             columns += [(tags_ >> _TAG_GROUP[t]) & 1 for t in ("article", "nav", "header", "footer", "aside", "form", "ul")]
@@ -376,7 +396,7 @@ class Page:
         blocks, last, parts = [], None, []
 
         def flush() -> None:
-            line = " ".join(unescape("".join(parts)).split())
+            line = " ".join("".join(parts).split())
             if line:
                 blocks.append(line)
 
@@ -385,11 +405,15 @@ class Page:
                 flush()
                 parts, last = [], block
             if kept[node]:
-                parts.append(text)
+                parts.append(unescape(text) if "&" in text else text)  # a reference ends where its text does
         flush()
         return "\n".join(blocks)
 
 
+#: Tags of headings among siblings.
+HEADINGS = frozenset(("h1", "h2", "h3"))
+
+
 def _sentence(rnd: random.Random, words: int) -> str:
     out = ["".join(rnd.choice("bcdfghlmnprst") + rnd.choice("aeiouéä") for _ in range(rnd.randint(1, 4))) for _ in range(max(1, words))]
     return " ".join(out).capitalize() + rnd.choice([".", ".", ".", "!", "?", ""])
@@ -444,7 +468,8 @@ def training_page(rnd: random.Random) -> str:
         )()
 
     def article() -> str:
-        parts = [f"<h1{_TRUE}>{_sentence(rnd, rnd.randint(1, 12))}</h1>"] if chance(0.85) else []
+        title = pick(["h1", "h1", "h2"])
+        parts = [f"<{title}{_TRUE}>{_sentence(rnd, rnd.randint(1, 12))}</{title}>"] if chance(0.85) else []
         if parts and chance(0.15):
             parts = [f"<header{_TRUE}>{parts[0]}</header>"]
         for _ in range(pick([0, 1, 2, 3, 5, 8, 15, 30])):
@@ -457,9 +482,14 @@ def training_page(rnd: random.Random) -> str:
                 parts.append(f"<ul{_TRUE}>" + "".join(f"<li{_TRUE}>{_paragraph(rnd)}</li>" for _ in range(rnd.randint(1, 6))) + "</ul>")
             elif kind < 0.93:
                 parts.append(f"<blockquote{_TRUE}><p{_TRUE}>{_paragraph(rnd)}</p></blockquote>")
-            elif kind < 0.95:
+            elif kind < 0.935:
                 parts.append(f"<div{_TRUE}>{_paragraph(rnd)}</div>")
-            elif kind < 0.97:
+            elif kind < 0.95:
+                items = "".join(f'<li{_TRUE}><a href="/{i}">{_sentence(rnd, rnd.randint(1, 6))}</a></li>' for i in range(rnd.randint(1, 6)))
+                parts.append(f"<ul{_TRUE}>{items}</ul>")
+            elif kind < 0.957:
+                parts.append(pick([f"<figure{_TRUE}><img src=x><figcaption{_TRUE}>{_sentence(rnd, 5)}</figcaption></figure>", f"<pre{_TRUE}>{_sentence(rnd, 9)}</pre>", f"<dl{_TRUE}><dt{_TRUE}>{_sentence(rnd, 1)}</dt><dd{_TRUE}>{_sentence(rnd, 6)}</dd></dl>"]))
+            elif kind < 0.975:
                 parts.append(f"<table{_TRUE}>" + "".join(f"<tr{_TRUE}><td{_TRUE}>{_sentence(rnd, 2)}</td><td{_TRUE}>{_sentence(rnd, 3)}</td></tr>" for _ in range(3)) + "</table>")
             else:
                 parts.append(boilerplate())
@@ -468,6 +498,8 @@ def training_page(rnd: random.Random) -> str:
         if chance(0.1):
             parts.append(f"<footer><p>{_sentence(rnd, 8)}</p></footer>")
         inner = "".join(parts) or f"<p{_TRUE}>{_paragraph(rnd)}</p>"
+        if chance(0.18):
+            return inner  # right in the body, or in what holds the page
         where = pick(["article", "article", "article", "main", "div", "div", "section"])
         name = named("content", "post", "entry", "article-body", "story", "main-text", "page") if where in ("div", "section") and chance(0.85) else ""
         out = f"<{where}{name}{_TRUE}>{inner}</{where}>"
@@ -482,7 +514,13 @@ def training_page(rnd: random.Random) -> str:
     if chance(0.3):
         tail = comments() + tail
     foot = f"<footer{named('footer', 'foot') if chance(0.3) else ''}>&copy; {_sentence(rnd, rnd.randint(1, 20))}</footer>" if chance(0.7) else f"<div{named('footer', 'copyright', 'legal')}><p>{_sentence(rnd, 9)}</p></div>"
-    return f"<!DOCTYPE html><html><head><title>{_sentence(rnd, 5)}</title></head><body>{head}{article()}{tail}{foot}</body></html>"
+    if chance(0.15):  # a bare page
+        head, tail, foot = "", pick(["", tail]), pick(["", foot])
+    whole = f"{head}{article()}{tail}{foot}"
+    if chance(0.12):  # cells for the menu and the text
+        menu = pick([f"<ul>{_links(rnd, rnd.randint(2, 6))}</ul>", "<br>".join(f'<a href="/{i}">{_sentence(rnd, 2)}</a>' for i in range(rnd.randint(2, 6)))])
+        whole = f"<table{_TRUE}><tr{_TRUE}><td>{menu}</td><td{_TRUE}>{article()}</td></tr></table>{foot}"
+    return f"<!DOCTYPE html><html><head><title>{_sentence(rnd, 5)}</title></head><body>{whole}</body></html>"
 
 
 def training_rows(pages: int = TRAINING_PAGES, seed: int = 11) -> tuple[np.ndarray, np.ndarray]:
