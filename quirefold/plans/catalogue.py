@@ -558,14 +558,15 @@ def cell_similarity(spark, d):
 
 @query(
     f"""with {A.CELLS}, every as (select table_id, row, col, value from cells union all select distinct table_id, 0, col, header from cells),
-    n as (select table_id, row, col, c, count(*) n from every, unnest(string_split(lower(value), '')) u(c) where c <> '' group by all),
-    s as (select table_id, row, col, sqrt(sum(n * n)) s from n group by all),
-    p as (select a.table_id, case when a.row = b.row then 'row' else 'column' end line, a.row, a.col, b.row other_row, b.col other_col from every a join every b
-        on a.table_id = b.table_id and (a.row = b.row and a.col < b.col or a.col = b.col and a.row < b.row)),
-    d as (select p.table_id, p.row, p.col, other_row, other_col, sum(x.n * y.n) d from p join n x on x.table_id = p.table_id and x.row = p.row and x.col = p.col
-        join n y on y.table_id = p.table_id and y.row = other_row and y.col = other_col and y.c = x.c group by all)
-    select p.*, round(coalesce(d / (x.s * y.s), 0), 6) similarity from p left join d using (table_id, row, col, other_row, other_col)
-        left join s x on x.table_id = p.table_id and x.row = p.row and x.col = p.col left join s y on y.table_id = p.table_id and y.row = p.other_row and y.col = p.other_col"""
+    n as materialized (select table_id, row, col, c, count(*) n from every, unnest(string_split(lower(value), '')) u(c) where c <> '' group by all),
+    s as materialized (select table_id, row, col, sqrt(sum(n * n)) s from n group by all),
+    p as (select a.table_id, 'row' line, a.row, a.col, b.row other_row, b.col other_col from every a join every b on a.table_id = b.table_id and a.row = b.row where a.col < b.col
+        union all select a.table_id, 'column', a.row, a.col, b.row, b.col from every a join every b on a.table_id = b.table_id and a.col = b.col where a.row < b.row),
+    d as (select a.table_id, 'row' line, a.row, a.col, b.row other_row, b.col other_col, sum(a.n * b.n) d from n a join n b on a.table_id = b.table_id and a.row = b.row and a.c = b.c where a.col < b.col group by all
+        union all select a.table_id, 'column', a.row, a.col, b.row, b.col, sum(a.n * b.n) from n a join n b on a.table_id = b.table_id and a.col = b.col and a.c = b.c where a.row < b.row group by all),
+    x as (select p.*, d, s.s from p left join d using (table_id, line, row, col, other_row, other_col) left join s using (table_id, row, col))
+    select x.table_id, line, x.row, x.col, other_row, other_col, round(coalesce(d / (x.s * y.s), 0), 6) similarity
+    from x left join s y on y.table_id = x.table_id and y.row = other_row and y.col = other_col"""
 )
 def cell_line_similarity(spark, d):
     return T.line_similarity(A.cells(spark, d)).withColumn("similarity", r6("similarity"))
@@ -623,11 +624,12 @@ def histogram_dates(spark, d):
 
 @query("select lang, count(*) n, sum(n_chars)::bigint total, round(avg(n_chars), 4) mean, round(stddev_samp(n_chars), 4) std, min(n_chars) least, quantile_cont(n_chars, 0.25) q1, quantile_cont(n_chars, 0.5) q2, quantile_cont(n_chars, 0.75) q3, max(n_chars) most from documents group by lang")
 def describe_lengths(spark, d):
-    q = lambda p: F.percentile("n_chars", F.lit(p))
-    return A.table(spark, d, "documents").groupBy("lang").agg(
+    rows = A.table(spark, d, "documents").select("lang", "n_chars")
+    sums = rows.groupBy("lang").agg(
         F.count(F.lit(1)).alias("n"), F.sum("n_chars").alias("total"), F.round(F.avg("n_chars"), 4).alias("mean"), F.round(F.stddev_samp("n_chars"), 4).alias("std"),
-        F.min("n_chars").alias("least"), q(0.25).alias("q1"), q(0.5).alias("q2"), q(0.75).alias("q3"), F.max("n_chars").alias("most"),
+        F.min("n_chars").alias("least"), F.max("n_chars").alias("most"),
     )
+    return sums.join(M.exact_quantiles(rows, "lang", "n_chars", {"q1": 0.25, "q2": 0.5, "q3": 0.75}), "lang")
 
 
 @query(f"with {A.REPORTS} select repno, case when repdate > date '1997-01-01' then (repdate - 36525)::date else repdate end::varchar fixed from reports")
@@ -899,7 +901,19 @@ def boxes_at_pages(spark, d):
     return RP.boxes_at_pages(_placed_lines(spark, d), marks).select("doc_id", "page_num", "line_num", r6("left").alias("left"), "kind")
 
 
-@query()
+@query(
+    f"""with {SECTIONS}, {TOC}, heads as (select matched.*, page_num from matched join lines using (doc_id, line_num)),
+    tocs as (select doc_id, min(page_num) page_num from toc where contains_toc_phrase = 1 group by doc_id),
+    marks as (select doc_id, 0::bigint ord, null::bigint parent, -1::bigint heading_id, 1::bigint page_num from (select distinct doc_id from heads)
+        union all select doc_id, 1, null, -2, page_num from tocs where doc_id in (select doc_id from heads)
+        union all select doc_id, row_number() over o + 1, case when level = 2 then last_value(case when level = 1 then heading_id end ignore nulls) over o end, heading_id, page_num from heads window o as (partition by doc_id order by line_num)),
+    bookmarks as (select doc_id, '[' || string_agg('{{"ord":' || ord || case when parent is not null then ',"parent":' || parent else '' end || ',"heading_id":' || heading_id || ',"page_num":' || page_num || '}}', ',' order by ord) || ']' b from marks group by doc_id),
+    texts as (select doc_id, heading_id, count(*) n_lines, string_agg(text, chr(10) order by line_num) as content from sections group by all),
+    parts as (select doc_id, '[' || string_agg('{{"heading_id":' || heading_id || ',"n_lines":' || n_lines || ',"content":' || to_json(content)::varchar || '}}', ',' order by heading_id) || ']' t from texts group by doc_id),
+    pages as (select doc_id, max(page_num) n_pages from lines group by doc_id)
+    select doc_id, '{{"doc_id":' || doc_id || ',"n_pages":' || n_pages || case when tocs.page_num is not null then ',"toc_page":' || tocs.page_num else '' end || coalesce(',"sections":' || t, '') || coalesce(',"bookmarks":' || b, '') || '}}' as report
+    from pages left join tocs using (doc_id) left join parts using (doc_id) left join bookmarks using (doc_id)"""
+)
 def report_objects(spark, d):
     """Each document as one JSON object: pages, contents page, sections and bookmarks."""
     matched = materialize(_matched(spark, d), "matched")
