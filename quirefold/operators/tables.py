@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from quirefold.sources.shared import ship
+
 CELL_END = "`"
 NO_TABLE = "<b> NO Table FOUND </b>"
 
@@ -55,6 +59,47 @@ def parse_table_text(files: DataFrame) -> DataFrame:
     return full.select("file_id", "table_num", F.col("row").cast("long").alias("row"), (F.col("_i") + 1).cast("long").alias("col"), "header", "value")
 
 
+class Cells:
+    """A table function over the lines of one file in order: the cells of each table once it has ended. Its state is one
+    table's lines; a table without an end is left out."""
+
+    def __init__(self) -> None:
+        self.rows: list[str] = []
+        self.tables, self.blank = 0, False
+
+    def eval(self, row) -> Iterator[tuple]:
+        line = row["line"]
+        if line.strip(" ") in ("", '""'):
+            if self.blank:
+                yield from self._table(row["file_id"])
+            self.blank = True
+            return
+        self.blank = False
+        if "Table: Table" not in line:
+            self.rows.append(line)
+
+    def _table(self, file_id) -> Iterator[tuple]:
+        grid, self.rows = [line.removesuffix("`").split("`") for line in self.rows], []
+        if len(grid) < 2 or any(len(r) > len(grid[0]) for r in grid):
+            return
+        self.tables += 1
+        head, body = [h.strip(" ") for h in grid[0]], [[v.strip(" ") or None for v in r] for r in grid[1:]]
+        filled = {k for r in body for k, v in enumerate(r) if v is not None}
+        for n, r in enumerate(body, 1):
+            if any(v is not None for v in r):
+                for k, v in enumerate(r):
+                    if k in filled:
+                        yield file_id, self.tables, n, k + 1, head[k], v
+
+
+def cells_of_lines(lines: DataFrame) -> DataFrame:
+    """The cells of `parse_table_text` from lines (file_id, n, line), by the table function: a file's lines pass it in
+    order, so no window over a file and no file is held."""
+    ship(lines.sparkSession)
+    found = F.udtf(Cells, returnType="file_id string, table_num bigint, row bigint, col bigint, header string, value string")
+    return found(lines.select("file_id", "n", "line").asTable().partitionBy("file_id").orderBy("n"))
+
+
 #: What a file without tables holds.
 NO_TABLES = "[NO TABLES]"
 
