@@ -150,6 +150,29 @@ def printed_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines(spark, sf_dir).select("doc_id", "page_num", "line_num", "text", word_count(t).alias("word_count"), (ink / width).alias("words2width"), width.alias("width"), F.lit(0.01).alias("height"), F.when(t.rlike("^[a-z]"), MARGIN).otherwise(F.lit(MARGIN / 2)).alias("left"))
 
 
+def pdfs(counts: DataFrame) -> DataFrame:
+    """counts (doc_id, n_pages) -> (doc_id, content): a PDF file of empty pages for each document."""
+
+    def run(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            out = []
+            for n in batch.column("n_pages").to_pylist():
+                kids = b" ".join(b"%d 0 R" % (3 + k) for k in range(n))
+                objects = [b"<</Type/Catalog/Pages 2 0 R>>", b"<</Type/Pages/Kids[%s]/Count %d>>" % (kids, n)] + [b"<</Type/Page/Parent 2 0 R/MediaBox[0 0 595 842]>>"] * n
+                data, places = bytearray(b"%PDF-1.4\n"), []
+                for k, o in enumerate(objects):
+                    places.append(len(data))
+                    data += b"%d 0 obj\n%s\nendobj\n" % (k + 1, o)
+                table = b"".join(b"%010d 00000 n \n" % p for p in places)
+                data += b"xref\n0 %d\n0000000000 65535 f \n%strailer\n<</Size %d/Root 1 0 R>>\nstartxref\n%d\n%%%%EOF\n" % (len(places) + 1, table, len(places) + 1, len(data))
+                out.append(bytes(data))
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(out, pa.binary())], names=["doc_id", "content"])
+
+    return counts.select("doc_id", "n_pages").mapInArrow(run, "doc_id bigint, content binary")
+
+
 #: Orders whose blocks one result page holds.
 ORDERS_PER_RESPONSE = 3
 

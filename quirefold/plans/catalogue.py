@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quirefold.functions import text as X
@@ -18,8 +18,12 @@ from quirefold.operators import report as RP
 from quirefold.operators import sites as S
 from quirefold.operators import tables as T
 from quirefold.plans import adapters as A
+from quirefold.sources import appended as AP
+from quirefold.sources import office as OF
+from quirefold.sources import pdf_marks as PM
 from quirefold.sources import readers as R
-from quirefold.sources.shared import materialize
+from quirefold.sources import word as WD
+from quirefold.sources.shared import fresh_path, materialize
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -387,13 +391,24 @@ def table_rows(spark, d):
     return T.row_texts(A.cells(spark, d))
 
 
+def _framed(spark, d):
+    """(file_id, content): each table as the framed text of a file."""
+    cells = A.cells(spark, d)
+    head = cells.select("table_id", F.lit(0).cast("long").alias("row"), "col", F.lit(None).cast("string").alias("header"), F.col("header").alias("value")).distinct()
+    return T.table_texts(cells.unionByName(head)).select(F.col("table_id").alias("file_id"), F.regexp_replace("content", "^Table: ", "Table: Table_").alias("content"))
+
+
+@query(f"with {A.CELLS} select table_id file_id, 1 table_num, row, col, header, value from cells")
+def cells_by_table_function(spark, d):
+    """Tables written as framed text and read back by the table function, line by line."""
+    texts = _framed(spark, d)
+    return T.cells_of_lines(texts.select("file_id", F.posexplode(F.split("content", "\n")).alias("n", "line")))
+
+
 @query(f"with {A.CELLS}, f as (select *, row_number() over (order by table_id) k from (select distinct table_id from cells)) select table_id file_id, 1 table_num, row, col, header, value from cells")
 def table_text_round_trip(spark, d):
     """Tables written as framed text and read back."""
-    cells = A.cells(spark, d)
-    head = cells.select("table_id", F.lit(0).cast("long").alias("row"), "col", F.lit(None).cast("string").alias("header"), F.col("header").alias("value")).distinct()
-    texts = T.table_texts(cells.unionByName(head)).select(F.col("table_id").alias("file_id"), F.regexp_replace("content", "^Table: ", "Table: Table_").alias("content"))
-    return T.parse_table_text(texts)
+    return T.parse_table_text(_framed(spark, d))
 
 
 @query(f"with {A.CELLS}, e as (select distinct table_id, 0::bigint as row, col, header as value from cells union all select table_id, row, col, value from cells) select table_id, count(*) n_tokens, string_agg(value, ' ' order by row, col) as content from e where regexp_matches(value, '^[A-z]+') and not contains(value, 'Unnamed:') and value <> 'nan' group by table_id")
@@ -923,6 +938,62 @@ def report_objects(spark, d):
     return RP.report_objects(H.section_texts(H.section_lines(lines, matched)), tree, _toc_page(spark, d), lines)
 
 
+_NAMED = f"""{SECTIONS}, {TOC}, named as (select matched.doc_id, matched.heading_id, matched.level, matched.line_num, page_num, heading from matched join lines using (doc_id, line_num)
+        join headings on headings.doc_id = matched.doc_id and headings.heading_id = matched.heading_id)"""
+
+
+def _named_headings(spark, d):
+    """Matched headings with their text and page."""
+    lines = A.lines(spark, d).select("doc_id", "line_num", "page_num")
+    return _matched(spark, d).join(A.headings(spark, d).select("doc_id", "heading_id", "heading"), ["doc_id", "heading_id"]).join(lines, ["doc_id", "line_num"])
+
+
+@query(
+    f"""with {_NAMED}, marks as (select doc_id, 0 k, null::bigint above, 'Title Page' title, 1::bigint page_num from (select distinct doc_id from named)
+        union all select doc_id, 1, null, 'Table of Contents', min(page_num) from toc where contains_toc_phrase = 1 and doc_id in (select doc_id from named) group by doc_id
+        union all select doc_id, row_number() over o + 1, case when level = 2 then last_value(case when level = 1 then line_num end ignore nulls) over o end, heading, page_num from named window o as (partition by doc_id order by line_num)),
+    placed as (select *, row_number() over (partition by doc_id order by k) - 1 ord from marks),
+    tops as (select doc_id, line_num, row_number() over (partition by doc_id order by line_num) + 1 k from named)
+    select m.doc_id, m.ord, p.ord parent, m.title, m.page_num from placed m left join tops t on t.doc_id = m.doc_id and t.line_num = m.above left join placed p on p.doc_id = m.doc_id and p.k = t.k"""
+)
+def pdf_outlines(spark, d):
+    """The bookmark tree put into a PDF file of each document, and read back from the files."""
+    named = materialize(_named_headings(spark, d), "named")
+    tree = materialize(H.bookmarks(named, _toc_page(spark, d)), "tree")
+    above = tree.select("doc_id", F.col("heading_id").alias("parent"), F.col("ord").alias("_above"))
+    titles = named.select("doc_id", "heading_id", "heading")
+    fixed = F.when(F.col("heading_id") == -1, "Title Page").when(F.col("heading_id") == -2, "Table of Contents")
+    marks = tree.join(above, ["doc_id", "parent"], "left").join(titles, ["doc_id", "heading_id"], "left").select("doc_id", "ord", F.col("_above").alias("parent"), F.coalesce(fixed, F.col("heading")).alias("title"), "page_num")
+    counts = A.lines(spark, d).groupBy("doc_id").agg(F.max("page_num").alias("n_pages"))
+    links = spark.createDataFrame([], "doc_id bigint, page_num bigint, x0 double, y0 double, x1 double, y1 double, to_page bigint")
+    return PM.outlines(PM.add_marks(A.pdfs(counts), marks, links), content="marked")
+
+
+@query(
+    f"""with {_NAMED}, written as (select s.doc_id, n.line_num ord, n.heading, string_agg(s.text, '' order by s.line_num) as body from sections s join named n using (doc_id, heading_id) group by all),
+    parts as (select doc_id, 2 * ord as place, heading as text from written union all select doc_id, 2 * ord + 1, body from written)
+    select doc_id, row_number() over (partition by doc_id order by place) as place, trim(regexp_replace(text, '\\s+', ' ', 'g')) as text from parts where regexp_matches(text, '\\S')"""
+)
+def word_sections(spark, d):
+    """Sections written as Word files, and the paragraphs read back from the files."""
+    named = _named_headings(spark, d)
+    lines = H.section_lines(A.lines(spark, d), named).join(named.select("doc_id", "heading_id", F.col("line_num").alias("ord"), "heading", "level"), ["doc_id", "heading_id"])
+    folder = fresh_path(spark, "word")
+    WD.write_sections(lines, folder).write.format("noop").mode("overwrite").save()
+    read = OF.word_documents(spark, folder).filter("kind = 'paragraph'").withColumn("doc_id", F.regexp_extract("path", r"cr_([0-9]+)\.docx$", 1).cast("bigint"))
+    kept = read.filter(F.col("text").rlike(r"\S"))
+    return kept.select("doc_id", F.row_number().over(Window.partitionBy("doc_id").orderBy("row")).alias("place"), F.trim(F.regexp_replace("text", r"\s+", " ")).alias("text"))
+
+
+@query(f"with {A.REPORTS} select repno, rtype, submitby from reports")
+def appended_rows(spark, d):
+    """Reports appended to one CSV data set in two jobs, and read back."""
+    rows, path = A.reports(spark, d).select("repno", "rtype", "submitby"), fresh_path(spark, "appended")
+    for k in (0, 1):
+        AP.append(rows.filter(F.col("repno") % 2 == k), path)
+    return AP.read(spark, path, rows.schema)
+
+
 @query("select page_id, regexp_extract(html, '<title>(.*?)</title>', 1) title, regexp_extract(html, '(?s)<h1>(.*?)</h1>', 1) h1, len(regexp_extract_all(html, '<li>'))::bigint n_nav, regexp_extract(html, '(?s)<footer>(.*?)</footer>', 1) footer from pages")
 def html_outline(spark, d):
     h = F.col("html")

@@ -348,3 +348,53 @@ def add_marks(pdfs: DataFrame, bookmarks: DataFrame, links: DataFrame, key: str
                 yield pa.RecordBatch.from_arrays([batch.column(key).slice(i, 1), pa.array([out], pa.binary()), pa.array([reason], pa.string())], names=[key, "marked", "reason"])
 
     return rows.mapInArrow(run, schema)
+
+
+def outline_of(data: bytes) -> list[tuple[int, int | None, str, int | None]]:
+    """A file's bookmarks in reading order: (place from 0, place of the one above, title, page from 1)."""
+    file, out = File(data), []
+    number = {ref: n for n, ref in enumerate(file.pages(), 1)}
+    ways = [((file.get(file.get(file.trailer["Root"]).get("Outlines")) or {}).get("First"), None)]
+    seen: set[Ref] = set()
+    while ways:
+        at, above = ways.pop()
+        if at is None or at in seen:
+            continue
+        seen.add(at)
+        item = file.get(at)
+        dest = file.get(item.get("Dest"))
+        out.append((len(out), above, _plain(item.get("Title")), number.get(dest[0]) if isinstance(dest, list) and dest else None))
+        ways += [(item.get("Next"), above), (item.get("First"), len(out) - 1)]
+    return out
+
+
+def _plain(title) -> str:
+    """The text of a string in hexadecimal or in brackets."""
+    if not isinstance(title, bytes):
+        return ""
+    if title[:1] == b"<":
+        digits = re.sub(rb"\s", b"", title[1:-1]).decode()
+        raw = bytes.fromhex(digits + "0" * (len(digits) % 2))
+    else:
+        raw = re.sub(rb"\\(.)", rb"\1", title[1:-1], flags=re.DOTALL)
+    return raw[2:].decode("utf-16-be", "replace") if raw[:2] == b"\xfe\xff" else raw.decode("latin-1")
+
+
+def outlines(pdfs: DataFrame, key: str = "doc_id", content: str = "content") -> DataFrame:
+    """(key, ord, parent, title, page_num) of the bookmarks in PDF files; files that cannot be read have none."""
+    ship(pdfs.sparkSession)
+    schema = T.StructType([pdfs.schema[key], *[T.StructField(n, t) for n, t in (("ord", T.LongType()), ("parent", T.LongType()), ("title", T.StringType()), ("page_num", T.LongType()))]])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                try:
+                    marks = outline_of(batch.column("_c")[i].as_py() or b"")
+                except (Unreadable, zlib.error, KeyError, IndexError, TypeError, AttributeError, ValueError):
+                    marks = []
+                names = ["ord", "parent", "title", "page_num"]
+                columns = [pa.array([m[k] for m in marks], pa.string() if n == "title" else pa.int64()) for k, n in enumerate(names)]
+                own = pa.array([batch.column(key)[i].as_py()] * len(marks), batch.schema.field(key).type)
+                yield pa.RecordBatch.from_arrays([own, *columns], names=[key, *names])
+
+    return pdfs.select(key, F.col(content).alias("_c")).mapInArrow(run, schema)
