@@ -3,9 +3,9 @@
 Public vocabularies measure each document. A sentence-piece one gives characters per token, the share of byte-fallback
 tokens and token entropy; a byte-level one, if named, its own characters per token and entropy. Bands per language (or
 per script, where no language is given) say which values are acceptable; a document is rejected if a measure lies
-outside its band by every vocabulary that has it, so what is odd to one vocabulary alone stays. A language's band is fitted on the
-measures of all its documents in the table that pass the base rule; fixed bands stand in where there are too few. Base
-counts (words, symbols, repeated lines and word windows) come from the same pass.
+outside its band by every vocabulary that has it, so what is odd to one vocabulary alone stays. A language's band is
+fitted on the measures of all its documents in the table that pass the base rule, and backs off to a fixed band the fewer
+these are; fitted bands can be saved, and given as a parameter. Base counts (words, symbols, repeated lines and word windows) come from the same pass.
 
 One narrow pass over the texts without any shuffle: a row is measured by itself, so skew does not matter, and a lost
 executor only repeats its own rows. Memory is bounded by one Arrow batch and memos of bounded bytes. To fit the bands,
@@ -23,11 +23,11 @@ import base64
 import hashlib
 from array import array
 from collections.abc import Iterator
-from dataclasses import dataclass, replace
+from dataclasses import astuple, dataclass, fields, replace
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -67,8 +67,8 @@ SCRIPT_BANDS = {
     "other": Band(0.3, 7.0, 0.90, 0.30),
 }
 
-#: A band is fitted on at least so many documents.
-MIN_FITTED = 100
+#: A fitted band's limits are means of what its documents say and of the fixed band, which counts as so many documents.
+PRIOR_DOCUMENTS = 4
 #: Limits of a fitted band lie so many interquartile ranges outside the quartiles. A parameter: quartiles hardly move
 #: with the junk, as long as it is well below a quarter of a language's documents.
 FENCE = 2.0
@@ -289,7 +289,8 @@ def in_band(m: Column, lang: Column | None = None, languages: dict[str, Band] =
 
 def fit_bands(measured: DataFrame, into: str, lang: str | None = None) -> dict[str, dict[str, Band]]:
     """`languages` and `scripts` for in_band, fitted on the rows that pass the base rule: rows with a language by
-    language, the others by script. Groups of fewer than MIN_FITTED rows keep their fixed bands."""
+    language, the others by script. There is no least number of rows: a limit is the mean of the rows' limit, weighed by
+    their number, and the fixed one, weighed by PRIOR_DOCUMENTS."""
     m = F.col(into)
     of = F.col(lang).cast("string") if lang else F.lit(None).cast("string")
     good = measured.filter(~base_failed(m)).select(of.alias("_l"), F.when(of.isNull(), m["script"]).alias("_s"), m.alias("_m"))
@@ -297,15 +298,20 @@ def fit_bands(measured: DataFrame, into: str, lang: str | None = None) -> dict[s
     names = [n for n in ("chars_per_token", "byte_share", "entropy_share", "bpe_chars_per_token", "bpe_entropy_share") if n in has]
     quartiles = [F.percentile(F.round(F.col("_m")[n], FIT_DECIMALS), F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias(n) for n in names]
     languages, scripts = dict(LANGUAGE_BANDS), dict(SCRIPT_BANDS)
-    for r in good.groupBy("_l", "_s").agg(F.count(F.lit(1)).alias("_n"), *quartiles).filter(F.col("_n") >= MIN_FITTED).collect():
+    for r in good.groupBy("_l", "_s").agg(F.count(F.lit(1)).alias("_n"), *quartiles).collect():
         found = [n for n in names if r[n] is not None]
         reach = {n: FENCE * max(r[n][2] - r[n][0], MIN_SPREAD * r[n][1]) for n in found}
         low, high = ({n: r[n][i] + sign * reach[n] for n in found} for i, sign in ((0, -1), (2, 1)))
         fixed = languages.get(r["_l"]) or scripts.get(r["_s"]) or LANGUAGE_BANDS["en"]
+        mean = lambda own, given: (r["_n"] * own + PRIOR_DOCUMENTS * given) / (r["_n"] + PRIOR_DOCUMENTS)  # noqa: B023, E731
         # most texts have no byte-fallback token at all: the fixed limit is the least one
-        band = Band(low["chars_per_token"], high["chars_per_token"], max(high["byte_share"], fixed.max_byte_share), low["entropy_share"])
+        bytes_ = mean(max(high["byte_share"], fixed.max_byte_share), fixed.max_byte_share)
+        band = replace(fixed, min_chars_per_token=mean(low["chars_per_token"], fixed.min_chars_per_token), max_chars_per_token=mean(high["chars_per_token"], fixed.max_chars_per_token), max_byte_share=bytes_, min_entropy_share=mean(low["entropy_share"], fixed.min_entropy_share))
         if "bpe_chars_per_token" in found:
-            band = replace(band, min_bpe_chars_per_token=low["bpe_chars_per_token"], max_bpe_chars_per_token=high["bpe_chars_per_token"], min_bpe_entropy_share=low["bpe_entropy_share"])
+            band = replace(
+                band, min_bpe_chars_per_token=mean(low["bpe_chars_per_token"], fixed.min_bpe_chars_per_token), max_bpe_chars_per_token=mean(high["bpe_chars_per_token"], fixed.max_bpe_chars_per_token),
+                min_bpe_entropy_share=mean(low["bpe_entropy_share"], fixed.min_bpe_entropy_share),
+            )
         if r["_l"] is not None:
             languages[r["_l"]] = band
         else:
@@ -313,6 +319,19 @@ def fit_bands(measured: DataFrame, into: str, lang: str | None = None) -> dict[s
     return {"languages": languages, "scripts": scripts}
 
 
+def save_bands(spark: SparkSession, bands: dict[str, dict[str, Band]], path: str) -> None:
+    """Bands as a table, a row for each language and script; with them, `judge` gives a row the same verdict in any table."""
+    rows = [(kind, name, *astuple(band)) for kind, group in sorted(bands.items()) for name, band in sorted(group.items())]
+    spark.createDataFrame(rows, f"kind string, name string, {', '.join(f'{f.name} double' for f in fields(Band))}").coalesce(1).write.mode("overwrite").parquet(path)
+
+
+def load_bands(spark: SparkSession, path: str) -> dict[str, dict[str, Band]]:
+    out: dict[str, dict[str, Band]] = {"languages": {}, "scripts": {}}
+    for r in spark.read.parquet(path).collect():
+        out[r["kind"]][r["name"]] = Band(*(r[f.name] for f in fields(Band)))
+    return out
+
+
 def judge(df: DataFrame, model_path: str, text: str = "text", lang: str | None = "lang", carry: tuple[str, ...] | None = None, ranks_path: str | None = None, pattern: str | None = None, **bands) -> DataFrame:
     """df with the measures' struct (last column), `base_failed` and `kept` inside it.
 

@@ -272,9 +272,23 @@ def test_bands_are_fitted_by_language_else_script(spark):
     good = [(90, 0, 2.0 + i % 9 / 100, 0.0, 0.7 + i % 7 / 100, "latin") for i in range(120)]
     rows = [("xx", m) for m in good] + [(None, m[:2] + (1.0 + m[2], 0.0, 0.7, "cjk")) for m in good] + [("en", good[0])] * 5
     fitted = quality.fit_bands(spark.createDataFrame(rows, f"lang string, m struct<{fields}>"), "m", "lang")
-    assert 1.8 < fitted["languages"]["xx"].min_chars_per_token < 2.0 and 2.08 < fitted["languages"]["xx"].max_chars_per_token < 2.3
-    assert 2.8 < fitted["scripts"]["cjk"].min_chars_per_token < 3.0 and fitted["scripts"]["latin"] == quality.SCRIPT_BANDS["latin"]
-    assert fitted["languages"]["en"] == quality.LANGUAGE_BANDS["en"]  # too few rows
+    assert 1.8 < fitted["languages"]["xx"].min_chars_per_token < 2.0 and 2.08 < fitted["languages"]["xx"].max_chars_per_token < 2.7
+    assert 2.6 < fitted["scripts"]["cjk"].min_chars_per_token < 3.0 and fitted["scripts"]["latin"] == quality.SCRIPT_BANDS["latin"]
+    few, fixed = fitted["languages"]["en"], quality.LANGUAGE_BANDS["en"]  # by its rows and by the fixed band
+    assert few.max_chars_per_token == pytest.approx((5 * (2 + quality.FENCE * quality.MIN_SPREAD * 2) + quality.PRIOR_DOCUMENTS * fixed.max_chars_per_token) / (5 + quality.PRIOR_DOCUMENTS))
+    assert fitted["languages"]["de"] == quality.LANGUAGE_BANDS["de"]  # no rows
+
+
+def test_saved_bands_give_the_same_verdict_in_any_table(spark, data, tmp_path):
+    docs, path = read_table(spark, data, "documents").select("doc_id", "lang", "text"), V.path("piece_bpe_32k.model")
+    measured = quality.measure(docs, path)
+    quality.save_bands(spark, quality.fit_bands(measured, "measures", "lang"), f"{tmp_path}/bands")
+    bands = quality.load_bands(spark, f"{tmp_path}/bands")
+    verdicts = lambda df: {r.doc_id: r.measures["kept"] for r in quality.judge(df, path, **bands).collect()}
+    whole = verdicts(docs)
+    assert whole == {r.doc_id: r.measures["kept"] for r in quality.judge(docs, path).collect()}
+    part = verdicts(docs.filter("doc_id % 7 = 0"))
+    assert part and part == {k: whole[k] for k in part}
 
 
 def test_verdicts_against_brute_force(spark, data):
@@ -285,19 +299,18 @@ def test_verdicts_against_brute_force(spark, data):
     limits = {}
     for lang in {r["lang"] for r in rows}:
         own = [r["measures"] for r in rows if r["lang"] == lang and not r["measures"]["base_failed"]]
-        if len(own) < quality.MIN_FITTED:
-            b = quality.LANGUAGE_BANDS[lang]
-            limits |= {(lang, "chars_per_token"): (b.min_chars_per_token, b.max_chars_per_token), (lang, "bpe_chars_per_token"): (b.min_bpe_chars_per_token, b.max_bpe_chars_per_token)}
-            limits |= {(lang, "byte_share"): (0, 0), (lang, "entropy_share"): (b.min_entropy_share, 9), (lang, "bpe_entropy_share"): (b.min_bpe_entropy_share, 9)}
-            continue
+        b = quality.LANGUAGE_BANDS[lang]
+        given = {"chars_per_token": (b.min_chars_per_token, b.max_chars_per_token), "bpe_chars_per_token": (b.min_bpe_chars_per_token, b.max_bpe_chars_per_token)}
+        given |= {"byte_share": (0, b.max_byte_share), "entropy_share": (b.min_entropy_share, 9), "bpe_entropy_share": (b.min_bpe_entropy_share, 9)}
         for n in names:
             low, mid, high = np.quantile([round(m[n], quality.FIT_DECIMALS) for m in own], [0.25, 0.5, 0.75])
             reach = quality.FENCE * max(high - low, quality.MIN_SPREAD * mid)
-            limits[lang, n] = low - reach, high + reach
+            own_limits = low - reach, max(high + reach, b.max_byte_share if n == "byte_share" else 0)
+            limits[lang, n] = tuple((len(own) * x + quality.PRIOR_DOCUMENTS * y) / (len(own) + quality.PRIOR_DOCUMENTS) for x, y in zip(own_limits, given[n]))
     rejected = 0
     for r in rows:
         m, lang = r["measures"], r["lang"]
-        inside = not m["base_failed"] and m["byte_share"] <= max(limits[lang, "byte_share"][1], quality.LANGUAGE_BANDS[lang].max_byte_share)
+        inside = not m["base_failed"] and m["byte_share"] <= limits[lang, "byte_share"][1]
         inside = inside and any(limits[lang, n][0] <= m[n] <= limits[lang, n][1] for n in ("chars_per_token", "bpe_chars_per_token")) and any(limits[lang, n][0] <= m[n] for n in ("entropy_share", "bpe_entropy_share"))
         edge = not m["base_failed"] and any(abs(m[n] - x) < 1e-9 for n in names for x in limits[lang, n])
         assert edge or m["kept"] == inside
