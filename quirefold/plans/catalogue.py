@@ -332,6 +332,12 @@ def best_heading_per_line(spark, d):
     return _best(spark, d, every=True).withColumn("similarity", r6("similarity"))
 
 
+@query(f"with {PAIRS} select doc_id, line_num, heading_id, level, round(similarity, 6) similarity from pairs where similarity >= 0.3")
+def similar_headings(spark, d):
+    """Pairs of a line and a heading of a least similarity, by prefixes of their words."""
+    return H.similar_at_least(A.lines(spark, d), A.headings(spark, d), 0.3).withColumn("similarity", r6("similarity"))
+
+
 @query(f"with {PAIRS} select doc_id, heading_id, line_num, level, round(similarity, 6) similarity from matched")
 def match_headings(spark, d):
     return _matched(spark, d).withColumn("similarity", r6("similarity"))

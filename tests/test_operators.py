@@ -9,6 +9,7 @@ from collections import Counter
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from quirefold.operators import headings as H
 from quirefold.operators import learning as N
 from quirefold.operators import lines as L
 from quirefold.operators import metadata as M
@@ -205,3 +206,21 @@ def test_cells_are_compared_in_rows_and_columns_with_the_header(spark):
     assert len(got) == 3 * 1 + 2 * 3
     assert got["column", 0, 1, 1, 1] == 1 and got["row", 1, 1, 1, 2] == 0 and got["row", 2, 1, 2, 2] == 0
     assert got["column", 0, 2, 2, 2] == round(2 / 5**0.5, 6)
+
+
+def test_pairs_of_a_least_similarity(spark):
+    """The same rows as all pairs filtered, and fewer joined."""
+    rnd = random.Random(12)
+    words = [f"w{min(int(rnd.expovariate(0.15)), 40)}" for _ in range(4000)]
+    text = lambda n: " ".join(rnd.choice(words) for _ in range(n))
+    lines = [(d, n, rnd.choice([text(rnd.randrange(1, 12)), text(60), "", " ", "Z z Z " + text(2)])) for d in range(4) for n in range(60)]
+    heads = [(d, h, 1 + h % 2, rnd.choice([text(rnd.randrange(1, 7)), "z z", lines[rnd.randrange(240)][2] + "\t12"])) for d in range(3) for h in range(25)]
+    a = spark.createDataFrame(lines, "doc_id int, line_num int, text string")
+    b = spark.createDataFrame(heads, "doc_id int, heading_id int, level int, heading string")
+    key = lambda df: sorted((r.doc_id, r.line_num, r.heading_id, r.level, round(r.similarity, 9)) for r in df.collect())
+    for least in (0.05, 0.3, 1 / 3, 0.5, 0.8, 1.0):
+        every = H.similarities(a, b).filter(F.col("similarity") >= least)
+        found = H.similar_at_least(a, b, least)
+        assert key(found) == key(every) and found.count() == every.count()
+    assert H.similar_at_least(a, b, 0.5).count() > 5
+    assert H.similar_at_least(a.limit(0), b, 0.5).count() == H.similar_at_least(a, b.limit(0), 0.5).count() == 0
