@@ -238,7 +238,7 @@ def test_registered_queries_with_sql(spark, data):
     import duckdb
 
     con = duckdb.connect()
-    for t in ("documents", "pages", "labels"):
+    for t in ("documents", "pages", "labels", "sale_lines", "conversations"):
         con.execute(f"create view {t} as select * from '{data}/{t}.parquet'")
     for name, sql in queries.oracle_sql().items():
         df = queries.queries()[name](spark, data)
