@@ -16,6 +16,7 @@ from quirefold.operators import metadata as M
 from quirefold.operators import pages as P
 from quirefold.operators import sites as S
 from quirefold.operators.tables import line_similarity, neighbours
+from quirefold.operators.textmodel import classify_texts
 from quirefold.plans import adapters as A
 from quirefold.sources import office, readers, sinks
 from quirefold.streaming import ingest
@@ -196,7 +197,7 @@ def test_classify_texts_against_plain_loops(spark):
     total = {y: sum(r.values()) for y, r in rest.items()}
     score = lambda i, y: round(sum(-x * math.log(rest[y][t] / total[y]) for t, x in vector(i).items()), 9)
     want = {i: int(score(i, 1) > score(i, 0)) for i, _ in docs}
-    got = N.classify_texts(spark.createDataFrame(docs, "id long, t string"), spark.createDataFrame(list(labels.items()), "id long, y int"), "id", "t", min_df=2)
+    got = classify_texts(spark.createDataFrame(docs, "id long, t string"), spark.createDataFrame(list(labels.items()), "id long, y int"), "id", "t", min_df=2)
     assert {r.id: r.predicted for r in got.collect()} == want and set(want.values()) == {0, 1}
 
 
