@@ -170,18 +170,20 @@ def _op8_sql() -> str:
     every = {sentence: name for name, sentence in licenses.SENTENCES.items()} | {sentence: names[0] for names, sentence in licenses.WORDINGS if len(names) == 1 and licenses.STOP not in sentence}
     known = "[" + ", ".join(f"'{s}'" for s in every) + "]"
     of = "map([" + ", ".join(f"'{s}'" for s in every) + "], [" + ", ".join(f"'{n}'" for n in every.values()) + "])"
-    raw = [f"regexp_matches(spaced, '{licenses.rule_pattern(r)}')" for r in licenses.RULES]
-    hit = [h + "".join(f" and not {o}" for o, other in zip(raw, licenses.RULES, strict=True) if other.licence in r.unless) for h, r in zip(raw, licenses.RULES, strict=True)]
-    names = list(dict.fromkeys(r.licence for r in licenses.RULES))
-    found = ", ".join("case when " + " or ".join(f"({h})" for h, r in zip(hit, licenses.RULES, strict=True) if r.licence == n) + f" then '{n}' end" for n in names)
-    used = " || ".join(f"case when {h} then [" + ", ".join(f"'{s}'" for s in r.sequence) + "] else [] end" for h, r in zip(hit, licenses.RULES, strict=True))
+    rules = [r for r in licenses.RULES if set(r.sequence) <= set(every.values())]
+    raw = [f"regexp_matches(spaced, '{licenses.rule_pattern(r)}')" for r in rules]
+    hit = [h + "".join(f" and not {o}" for o, other in zip(raw, rules, strict=True) if other.licence in r.unless) for h, r in zip(raw, rules, strict=True)]
+    names = list(dict.fromkeys(r.licence for r in rules))
+    found = ", ".join("case when " + " or ".join(f"({h})" for h, r in zip(hit, rules, strict=True) if r.licence == n) + f" then '{n}' end" for n in names)
+    used = " || ".join(f"case when {h} then [" + ", ".join(f"'{s}'" for s in r.sequence) + "] else [] end" for h, r in zip(hit, rules, strict=True))
     return f"""
-    with cut as (select doc_id, string_split(regexp_replace(translate(coalesce(text, ''), '{licenses.UPPER}', '{licenses.LOWER}'), '{licenses.SENTENCE_END}', '\\1' || chr(10), 'g'), chr(10)) parts from documents),
-    norm as (select doc_id, list_transform(parts, lambda s: trim(regexp_replace(s, '{licenses.NOT_NORMAL}', ' ', 'g'))) parts from cut),
-    ids as (select doc_id, list_transform(list_filter(parts, lambda s: list_contains({known}, s)), lambda s: {of}[s]) ids from norm),
-    spaced as (select doc_id, ids, ' ' || array_to_string(ids, '  ') || ' ' spaced from ids)
+    with cut as (select doc_id, text, string_split(regexp_replace(translate(coalesce(text, ''), '{licenses.UPPER}', '{licenses.LOWER}'), '{licenses.SENTENCE_END}', '\\1' || chr(10), 'g'), chr(10)) parts from documents),
+    norm as (select doc_id, text, list_transform(parts, lambda s: trim(regexp_replace(s, '{licenses.NOT_NORMAL}', ' ', 'g'))) parts from cut),
+    ids as (select doc_id, text, list_transform(list_filter(parts, lambda s: list_contains({known}, s)), lambda s: {of}[s]) ids from norm),
+    spaced as (select doc_id, text, ids, ' ' || array_to_string(ids, '  ') || ' ' spaced from ids)
     select doc_id, len(ids)::bigint n_known, case when len(ids) > 0 then array_to_string(ids, ' ') end sentence_ids,
         nullif(array_to_string(list_filter([{found}], lambda x: x is not null), ' '), '') licences,
+        nullif(array_to_string(list_filter(list_transform(regexp_extract_all(text, '{licenses.SPDX_EXPRESSION}', 1), lambda x: trim(regexp_replace(regexp_replace(x, '[ \\t]+', ' ', 'g'), '[ -]+$', ''))), lambda x: x <> ''), '; '), '') expressions,
         len(list_filter(ids, lambda x: not list_contains({used}, x))) > 0 as unresolved
     from spaced"""
 

@@ -3,6 +3,7 @@
 import hashlib
 import io
 import random
+import re
 import textwrap
 import time
 import zlib
@@ -330,6 +331,69 @@ def test_licence_sentences_end_at_stops_and_blank_lines(spark):
     assert [x.licences for x in licenses.scan(frame(spark, texts)).orderBy("doc_id").collect()] == ["MIT", None, None, None, "MIT"]
 
 
+def test_licence_notices(spark):
+    """Common notices: (text, licences)."""
+    cases = {
+        "This project is licensed under the MIT License.": "MIT",
+        "MIT License": "MIT",
+        "The MIT License (MIT)": "MIT",
+        "Licensed under the Apache License 2.0.": "Apache-2.0",
+        "This project is licensed under the Apache License, Version 2.0.": "Apache-2.0",
+        "Licensed under the GNU General Public License v3.0": "GPL-3.0",
+        "// SPDX-License-Identifier: GPL-2.0-or-later": "GPL-2.0-or-later",
+        "Licensed under CC BY 4.0": "CC-BY-4.0",
+        "This project is licensed under the MIT License - see the [LICENSE.md](LICENSE.md) file for details.": "MIT",
+        "This package is distributed under the terms of the\nBSD 3-Clause License.": "BSD-3-Clause",
+        "Released under the MIT licence.": "MIT",
+        "Licensed under either of Apache License, Version 2.0 or MIT license at your option.": "Apache-2.0 MIT",
+        "The tool is licensed under the GNU GPL v2 or later.": "GPL-2.0-or-later",
+        "This work is licensed under the Creative Commons Attribution-ShareAlike 4.0 International.": "CC-BY-SA-4.0",
+        "We like the MIT License": None,
+        "Licensed under the MIT License for now": None,
+        "limit of 2.0": None,
+        "BSD": None,
+        "This software is released under the WTFPL license.": "WTFPL",
+    }
+    rows = licenses.scan(frame(spark, list(cases))).orderBy("doc_id").collect()
+    got = {t: (" ".join(sorted(r.licences.split())) if r.licences else None) for t, r in zip(cases, rows, strict=True)}
+    assert got == cases
+    assert not any(r.unresolved for r in rows)
+
+
+def test_spdx_expressions(spark):
+    """(text, licences, expressions, unresolved)"""
+    cases = [
+        ("/* SPDX-License-Identifier:  Apache-2.0  OR MIT */\nint x;", "Apache-2.0 MIT", "Apache-2.0 OR MIT", False),
+        ("<!-- SPDX-License-Identifier: (MIT AND BSD-3-Clause) OR GPL-2.0-only -->", "BSD-3-Clause GPL-2.0-only MIT", "(MIT AND BSD-3-Clause) OR GPL-2.0-only", False),
+        ("SPDX-License-Identifier: GPL-2.0-only WITH Linux-syscall-note", "GPL-2.0-only", "GPL-2.0-only WITH Linux-syscall-note", False),
+        ("SPDX-License-Identifier: MIT OR LicenseRef-Own", "MIT", "MIT OR LicenseRef-Own", True),
+        ("# SPDX-License-Identifier: MIT\r\n# SPDX-License-Identifier: MIT-0\r\n", "MIT MIT-0", "MIT; MIT-0", False),
+        ("SPDX-License-Identifier:", None, None, False),
+        (None, None, None, False),
+    ]
+    rows = licenses.scan(frame(spark, [c[0] for c in cases])).orderBy("doc_id").collect()
+    assert [(" ".join(sorted(r.licences.split())) if r.licences else None, r.expressions, r.unresolved) for r in rows] == [c[1:] for c in cases]
+
+
+def test_licence_sentences_with_slots(spark):
+    named = BSD_3.replace("the copyright holder nor", "Google Inc. nor")
+    assert named != BSD_3
+    gnu = GPL3.replace("This program", "GNU Foo Bar").replace("this program", "GNU Foo Bar")
+    affero = AGPL.replace("This program", "The Quux").replace("this program", "Quux")
+    cut = MIT[: MIT.index("THE SOFTWARE IS PROVIDED")] + 'THE SOFTWARE IS PROVIDED "AS IS".'
+    cases = [(named, "BSD-3-Clause"), (gnu, "GPL"), (affero, "AGPL-3.0"), (cut, "MIT")]
+    for wrap in (lambda t: t, lambda t: "\n".join(textwrap.wrap(t, 60))):
+        rows = licenses.scan(frame(spark, [wrap(t) for t, _ in cases])).orderBy("doc_id").collect()
+        assert [(r.licences, r.unresolved) for r in rows] == [(n, False) for _, n in cases]
+
+
+def test_licence_scan_of_an_empty_table_and_hints(spark):
+    assert licenses.scan(frame(spark, [])).count() == 0
+    sentences = [*licenses.SENTENCES.values(), *(x for _, x in licenses.WORDINGS), *(x for _, x in licenses.SLOTTED)]
+    words = licenses.hints(sentences)
+    assert all(any(w in re.findall("[a-z0-9]+", x) for w in words) for x in sentences) and len(words) < 30
+
+
 def test_licence_rules(spark):
     texts = [None, "", "Plain. Released under the MIT License.", "RELEASED UNDER THE MIT LICENSE. Licensed under CC BY-NC 4.0.", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files."]
     r = {x.doc_id: x for x in licenses.scan(frame(spark, texts)).collect()}
