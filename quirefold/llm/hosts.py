@@ -15,7 +15,7 @@ public list's format (`read_suffixes`), or the short list made here. User names
 address in numbers is a domain and suffix of its own.
 
 Defined results: a null url or one without ``://`` has an empty host and path and is judged like any host; pages
-without a label take their host's posterior; several labels of a page all count; null outcomes do not count; without
+without a label take their host's posterior; of rules of one length that fit the first given wins; several labels of a page all count; null outcomes do not count; without
 any label everything that no rule blocks is allowed; very long urls are taken whole; rows that repeat a page are judged
 alike, and each counts for its host; an empty table gives an empty result; extra columns are not read, whatever their
 names.
@@ -59,8 +59,13 @@ SECOND_LABELS = {
     "uk": "ac co gov ltd me net nhs org plc police sch",
     "za": "ac co gov law net nom org web",
 }
+# Names under which a host lets anyone have a name of their own, so each such name is a site by itself.
+SHARED_HOSTS = (
+    "appspot.com", "azurewebsites.net", "bitbucket.io", "blogspot.com", "cloudfront.net", "firebaseapp.com", "fly.dev", "github.io", "gitlab.io", "glitch.me", "herokuapp.com", "myshopify.com",
+    "neocities.org", "netlify.app", "onrender.com", "pages.dev", "readthedocs.io", "surge.sh", "vercel.app", "web.app", "weebly.com", "wixsite.com", "wordpress.com", "workers.dev",
+)
 #: Public suffixes of several labels, besides the one-label ones. A parameter.
-SUFFIXES = frozenset(f"{second}.{country}" for country, labels in SECOND_LABELS.items() for second in labels.split())
+SUFFIXES = frozenset((*SHARED_HOSTS, *(f"{second}.{country}" for country, labels in SECOND_LABELS.items() for second in labels.split())))
 #: Largest suffix list, in bytes, and most labels of a suffix.
 MAX_SUFFIX_BYTES, MAX_LABELS = 4 << 20, 6
 #: Strength of a prior, in pages, stays between these whatever the moments say.

@@ -125,6 +125,44 @@ def test_url_rules_and_reputation(spark):
     assert 0.38 < bound < 0.42  # the beta's own quantile is 0.394
 
 
+def test_sites_of_shared_hosts_are_domains_of_their_own(spark):
+    hosts_of = {"a.github.io": "a.github.io", "x.a.github.io": "a.github.io", "github.io": "github.io", "shop.b.blogspot.com": "b.blogspot.com", "www.example.com": "example.com"}
+    rows = spark.createDataFrame([(h,) for h in hosts_of], "host string")
+    assert {r.host: r.d for r in rows.select("host", hosts.domain_of(F.col("host")).alias("d")).collect()} == hosts_of
+    pages = spark.createDataFrame([(i, f"http://{'bad' if i < 40 else 'good'}.github.io/{i}") for i in range(80)], "page_id long, url string")
+    outcomes = spark.createDataFrame([(i, i >= 40) for i in range(80)], "page_id long, good boolean")
+    assert all((r.verdict == "block") == (r.page_id < 40) for r in hosts.filter_urls(pages, outcomes, []).collect())
+
+
+def test_ties_of_url_rules(spark):
+    """Of rules of one length the first given wins, whichever its verdict."""
+    pages = spark.createDataFrame([(0, "http://a.bb.cc/x/y"), (1, "http://a.bb.cc/x/y"), (2, "http://bb.cc/x/y")], "page_id long, url string")
+    none = spark.createDataFrame([], "page_id long, good boolean")
+    two = [hosts.Rule("block", "bb.cc", "/x/y"), hosts.Rule("allow", "a.bb.cc", "/x")]
+    for rules in (two, two[::-1]):
+        found = {r.page_id: (r.rule, r.verdict) for r in hosts.filter_urls(pages, none, rules).collect()}
+        assert found == {0: (rules[0].name, rules[0].verdict), 1: (rules[0].name, rules[0].verdict), 2: ("bb.cc/x/y", "block")}
+
+
+def test_quality_of_repeated_rows_and_very_long_texts(spark):
+    prose = " ".join(RANDOM.choice(["the", "river", "carried", "old", "stones", "past", "quiet", "houses"]) + str(RANDOM.randint(0, 99)) for _ in range(300_000))
+    texts = [prose, prose, "x" * 2_000_000, "a\n" * 200_000, None, None]
+    r = [x["_measures"] for x in quality.judge(frame(spark, texts, "measures string, lang string"), V.path("piece_bpe_32k.model")).orderBy("doc_id").collect()]
+    assert r[0] == r[1] and r[4] == r[5]
+    for m, t in zip(r, texts, strict=True):
+        assert (m.n_words, m.word_chars, m.n_symbols, m.n_dup_lines, m.n_repeat_words) == helpers.base_counts(t)
+
+
+def test_byte_bpe_of_empty_tables_and_very_long_texts(spark):
+    path = V.path("byte_bpe_multi_50k.tiktoken")
+    own = tiktoken.Encoding("own", pat_str=V.PATTERN, mergeable_ranks=bpe.parse_ranks(open(path, "rb").read()), special_tokens={})
+    empty = bpe.encode(frame(spark, []), path, V.PATTERN)
+    assert empty.count() == 0 and bpe.decode(empty, path, V.PATTERN).count() == 0
+    texts = ["the old stones " * 100_000, "".join(RANDOM.choice("abcdefgh") for _ in range(200_000)), "日本語 " * 50_000]
+    for r in bpe.decode(bpe.encode(frame(spark, texts), path, V.PATTERN), path, V.PATTERN).collect():
+        assert list(r.ids) == own.encode_ordinary(texts[r.doc_id]) and r.decoded == texts[r.doc_id]
+
+
 def test_registered_domains(spark, tmp_path):
     names = {
         "a.b.example.com:8080": ("example.com", "com"), "x@www.shop.co.uk.": ("shop.co.uk", "co.uk"), "co.uk": ("co.uk", "co.uk"), "10.0.0.1:80": ("10.0.0.1", "10.0.0.1"), "[::1]": ("[::1]", "[::1]"),
