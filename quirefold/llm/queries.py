@@ -16,7 +16,7 @@ from quirefold.sources.shared import spread
 URL_RULES = [
     hosts.Rule("block", "com", "/en/"),
     hosts.Rule("allow", "example.com", "/en/7"),
-    hosts.Rule("block", "net", "/de/"),
+    hosts.Rule("allow", "net", "/de/"),
     hosts.Rule("block", "example.net", "/de/8"),
     hosts.Rule("block", "org", "/es/"),
 ]
