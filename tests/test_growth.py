@@ -1,6 +1,8 @@
 """What makes a query's work grow faster than its input: plans that take a table for small, and steps that move every term."""
 
-from quirefold.operators import tables
+import math
+
+from quirefold.operators import tables, textmodel
 
 
 def plan_of(df):
@@ -13,3 +15,34 @@ def test_cells_of_a_row_meet_without_a_join(spark):
     found = tables.row_similarity(cells)
     assert "Join" not in plan_of(found)
     assert [(r.table_id, r.row, r.col, r.other_col, round(r.similarity, 6)) for r in found.collect()] == [("t", 1, 1, 2, round(3 / (5 * 3) ** 0.5, 6))]
+
+
+def test_terms_of_single_texts_are_not_shuffled(spark, data):
+    """Only texts and the terms of groups are: no exchange has a row for each text and term."""
+    docs = spark.createDataFrame([(i, "red fish blue fish " * (i + 1)) for i in range(40)], "doc_id long, text string")
+    groups = textmodel.Groups.of(docs, "doc_id", "text", 2)
+    words = textmodel.with_idf(groups.words(docs), 40)
+    plan = plan_of(groups.weights(docs, words))
+    assert "explode" not in plan and "Join" not in plan
+    assert {(r.term, round(r.idf, 6)) for r in words.collect()} == {(t, round(1 + math.log(41 / 41), 6)) for t in ("red", "fish", "blue", "red fish", "fish blue", "blue fish")} | {("fish red", round(1 + math.log(41 / 40), 6))}
+
+
+def test_odd_rows_of_text_models(spark):
+    """Rows of one id are one text, whose pairs do not reach from row to row; null ids and texts, and no rows at all."""
+    docs = spark.createDataFrame([(1, "aa bb"), (1, "cc aa"), (None, "aa"), (2, None), (3, "x y"), (4, "")], "doc_id long, text string")
+    groups = textmodel.Groups.of(docs, "doc_id", "text", 2)
+    found = {r["_key"]: r for r in groups.weights(docs, textmodel.with_idf(groups.words(docs), 2)).collect()}
+    assert set(found) == {1, None} and (found[1].n_terms, found[None].n_terms) == (5, 1)
+    aa, rest = 2 * 1.0, math.log(3 / 2) + 1
+    assert math.isclose(found[1].total, (aa + 4 * rest) / math.sqrt(aa**2 + 4 * rest**2)) and found[None].top == 1
+    nothing = docs.limit(0)
+    assert groups.weights(nothing, textmodel.with_idf(groups.words(nothing), 0)).count() == 0
+
+
+def test_a_small_file_of_many_rows_is_not_broadcast(spark):
+    """Scores and vocabularies compress well: the size of their files says little of their rows."""
+    rows = spark.createDataFrame([(i, f"about {'high' if i % 2 else 'low'}", i % 2) for i in range(20)], "repno long, text string, y int")
+    model = textmodel.TextBayes(inputCol="text", labelCol="y").fit(rows)
+    found = model.transform(rows)
+    assert "BroadcastExchange" not in plan_of(found)
+    assert all(r.prediction == r.y for r in found.collect())
