@@ -1,7 +1,8 @@
 """Office and image files as relations: spreadsheets, word-processor documents, page counts.
 
 Files arrive by `binaryFile`, one row each, and are parsed where they are read, with the standard library only: both
-office formats are zipped XML. A damaged file gives no rows (for page counts: null) rather than a failed job.
+office formats are zipped XML. A damaged file gives no rows (for page counts: null) rather than a failed job. Of files
+that a table names, however many, the driver lists none: tasks open them by their paths.
 """
 
 from __future__ import annotations
@@ -15,9 +16,13 @@ from collections.abc import Iterator
 from xml.etree import ElementTree
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quirefold.sources.appended import opened
+from quirefold.sources.shared import ship
+
 # XML name spaces of the two formats.
 SHEET = "{http://schemas.openxmlformats.org/spreadsheetml/2006/main}"
 WORD = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
@@ -25,6 +30,9 @@ WORD = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
 CELL_SCHEMA = "path string, row long, col long, value string"
 WORD_SCHEMA = "path string, kind string, table_num long, row long, col long, text string"
 
+#: Files that one task opens by their paths, and rows that it hands on together.
+FILES_PER_TASK, ROWS_PER_BATCH = 2000, 4000
+
 
 def _column(ref: str) -> int:
     n = 0
@@ -135,6 +143,34 @@ def word_documents(spark: SparkSession, path: str) -> DataFrame:
     return _files(spark, path, "*.docx").mapInPandas(_parsed(word_parts, ["path", "kind", "table_num", "row", "col", "text"]), WORD_SCHEMA)
 
 
+def word_documents_of(files: DataFrame, folder: str) -> DataFrame:
+    """The rows of `word_documents` of the files that a table names: `path` is a file's path in the folder's file system.
+    The table is read twice, the first time for its number of rows. A file that is not there is an error."""
+    ship(files.sparkSession)
+    tasks = max(files.sparkSession.sparkContext.defaultParallelism, -(-files.count() // FILES_PER_TASK))
+    columns = ["path", "kind", "table_num", "row", "col", "text"]
+    kinds = [pa.string(), pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.string()]
+    batch_of = lambda rows: pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=columns)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        system, rows = opened(folder)[0], []
+        for batch in batches:
+            for path in batch.column("path").to_pylist():
+                with system.open_input_stream(path) as f:
+                    data = f.read()
+                try:
+                    rows += [(path, *x) for x in word_parts(data)]
+                except (zipfile.BadZipFile, KeyError, ElementTree.ParseError, IndexError):
+                    continue
+                if len(rows) >= ROWS_PER_BATCH:
+                    yield batch_of(rows)
+                    rows = []
+        if rows:
+            yield batch_of(rows)
+
+    return files.select("path").repartition(tasks, "path").mapInArrow(run, WORD_SCHEMA)
+
+
 def page_counts(spark: SparkSession, path: str, readable: tuple[str, ...] = ("pdf", "tif", "tiff")) -> DataFrame:
     """(path, extension, pages, readable) of every file below a folder."""
 

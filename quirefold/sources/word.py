@@ -2,7 +2,8 @@
 
 A document's lines are sorted and streamed into the parts of its file: a heading, a paragraph with a run for each line,
 a page break behind each section. Neither a document nor a section is held as one value. A file is written under a name
-of its own and moved to its place when it is whole, so a repeated task leaves one file.
+of its own and moved to its place when it is whole, so a repeated task leaves one file. Many files are dealt to folders,
+as a store may limit what one folder holds.
 
 Defined results: a null heading or line is empty; characters that XML cannot hold become blanks; a section without lines
 has its heading only; a document without rows has no file; repeated rows are lines of their own.
@@ -13,10 +14,12 @@ from __future__ import annotations
 import re
 import uuid
 import zipfile
+import zlib
 from collections.abc import Iterator
 from xml.sax.saxutils import escape
 
 import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -46,9 +49,8 @@ def _run(text: str | None, more: str = "") -> str:
 class _File:
     """A document that is being written."""
 
-    def __init__(self, folder: str, name: str) -> None:
-        self.system, where = opened(folder)
-        self.system.create_dir(where, recursive=True)
+    def __init__(self, system: fs.FileSystem, where: str, name: str) -> None:
+        self.system = system
         self.final, self.temporary = f"{where}/{name}.docx", f"{where}/_{name}-{uuid.uuid4().hex}"
         self.stream = self.system.open_output_stream(self.temporary)
         self.zip = zipfile.ZipFile(self.stream, "w", zipfile.ZIP_DEFLATED)
@@ -85,17 +87,28 @@ class _File:
         self.system.move(self.temporary, self.final)
 
 
-def write_sections(lines: DataFrame, folder: str) -> DataFrame:
+def write_sections(lines: DataFrame, folder: str, folders: int = 0) -> DataFrame:
     """Write lines (document's keys, ord: the section's place, heading, level, line_num, text) as a file for each document;
     (document's keys, path, n_sections, n_lines) of the files, which are written when that is read.
 
-    A section without lines is a row without line_num and text."""
+    A section without lines is a row without line_num and text. folders: the number of folders within it that files are
+    dealt to, by their names; all are in `folder` itself if 0."""
     ship(lines.sparkSession)
     keys = document_keys(lines)
     columns = (*keys, "ord", "heading", "level", "line_num", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         document, file = None, None
+        system, root = opened(folder)
+        made: set[str] = set()
+
+        def start(name: str) -> _File:
+            where = f"{root}/{zlib.crc32(name.encode()) % folders}" if folders else root
+            if where not in made:
+                system.create_dir(where, recursive=True)
+                made.add(where)
+            return _File(system, where, name)
+
         for batch in batches:
             done = []
             for row in zip(*(batch.column(c).to_pylist() for c in columns), strict=True):
@@ -104,7 +117,7 @@ def write_sections(lines: DataFrame, folder: str) -> DataFrame:
                     if file:
                         file.close()
                         done.append((*document, file.final, file.sections, file.lines))
-                    document, file = own, _File(folder, "cr_" + "_".join(map(str, own)))
+                    document, file = own, start("cr_" + "_".join(map(str, own)))
                 file.add((place, heading), heading, *rest)
             yield taken(done)
         if file:

@@ -2,7 +2,11 @@
 
 import math
 
+import pytest
+
 from quirefold.operators import tables, textmodel
+from quirefold.plans import catalogue
+from quirefold.sources import office, word
 
 
 def plan_of(df):
@@ -46,3 +50,22 @@ def test_a_small_file_of_many_rows_is_not_broadcast(spark):
     found = model.transform(rows)
     assert "BroadcastExchange" not in plan_of(found)
     assert all(r.prediction == r.y for r in found.collect())
+
+
+def test_word_files_are_opened_by_their_paths(spark, data, tmp_path):
+    """A listing of the files of all documents by the driver, and tasks of a few files each, grow too fast."""
+    found = catalogue.word_sections(spark, data)
+    assert "binaryFile" not in plan_of(found) and found.count() > 0
+    rows = spark.createDataFrame([(i, 0, f"h{i}", 1, 1, f"text {i}") for i in range(30)], "doc_id long, ord int, heading string, level int, line_num int, text string")
+    files = word.write_sections(rows, str(tmp_path / "w"), folders=4).cache()
+    paths = [r.path for r in files.collect()]
+    assert len(paths) == 30 and 1 < len({p.rsplit("/", 1)[0] for p in paths}) <= 4
+    by_path, listed = office.word_documents_of(files, str(tmp_path / "w")), office.word_documents(spark, str(tmp_path / "w"))
+    plain = lambda df: sorted((r.path.removeprefix("file:"), r.kind, r.table_num, r.row, r.col, r.text) for r in df.collect())
+    assert plain(by_path) == plain(listed) and len(plain(listed)) >= 60
+    assert office.word_documents_of(files.limit(0), str(tmp_path / "w")).count() == 0
+    (tmp_path / "broken.docx").write_bytes(b"no archive")
+    named = lambda name: spark.createDataFrame([(str(tmp_path / name),)], "path string")
+    assert office.word_documents_of(named("broken.docx"), str(tmp_path)).count() == 0
+    with pytest.raises(Exception, match="absent.docx"):
+        office.word_documents_of(named("absent.docx"), str(tmp_path)).count()
