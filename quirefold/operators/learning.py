@@ -99,7 +99,9 @@ def _line_pages(rows: DataFrame, text: str, label: str | None = None) -> DataFra
     """Rows of contents lines by page; those without a page number are a page a document."""
     keys = tuple(k for k in page_keys(rows) if k in rows.columns)
     left = F.col("left") if "left" in rows.columns else None
-    return sequence.pages_of(rows, keys, "line_num", sequence.line_features(F.col(text), left), label)
+    given = rows.withColumn("_words", sequence.line_words(F.col(text)))
+    given = given.withColumn("_features", sequence.line_features(F.col(text), left, words=F.col("_words")))
+    return sequence.pages_of(given, keys, "line_num", F.col("_features"), label, besides=("_words", "_features"))
 
 
 def fit(card: ModelCard, rows: DataFrame, **options) -> PipelineModel | SequenceStage | TokenStage:
@@ -113,8 +115,20 @@ def fit(card: ModelCard, rows: DataFrame, **options) -> PipelineModel | Sequence
 
 def classify(model: PipelineModel | SequenceStage | TokenStage, rows: DataFrame, label: str, masked: bool = False) -> DataFrame:
     """rows with the predicted label and `proba`, the probability of class 1; masked: only rows of a class above 0."""
-    kept = [c for c in rows.columns if c != label]
-    out = model.transform(rows).select(*kept, F.col("prediction").cast("int").alias(label), F.try_element_at(vector_to_array("probability"), F.lit(2)).alias("proba"))
+    return _classes(model.transform(rows), [c for c in rows.columns if c != label], label, masked)
+
+
+def learn_and_classify(card: ModelCard, rows: DataFrame, masked: bool = False, **options) -> DataFrame:
+    """`classify` by a model that is fitted on the same rows. Pages of a sequence model are put together once for both."""
+    if card.kind != "sequence":
+        return classify(fit(card, rows, **options), rows, card.label, masked)
+    pages = materialize(_line_pages(rows, card.text, card.label), "line_pages")
+    found = sequence.fit(pages, **options).predict(pages)
+    return _classes(found, [c for c in rows.columns if c != card.label], card.label, masked)
+
+
+def _classes(found: DataFrame, kept: list[str], label: str, masked: bool) -> DataFrame:
+    out = found.select(*kept, F.col("prediction").cast("int").alias(label), F.try_element_at(vector_to_array("probability"), F.lit(2)).alias("proba"))
     return out.filter(F.col(label) > 0) if masked else out
 
 

@@ -3,7 +3,8 @@
 A page is a sequence of lines; a line has features, numbers below `size` (words and places, hashed), and a label from 0.
 The score of a labelling adds up a weight for each feature and label and one for each two labels in a row, at the
 beginning and at the end. Training sums expected minus seen counts over all pages, by forward and backward recursions in
-the tasks; prediction finds a page's best labelling as a whole. Pages of like length are computed together.
+the tasks; prediction finds a page's best labelling as a whole. Pages of like length are computed together, and lines of
+the same features have their scores once in a batch.
 
 Defined results: pages with a line without label are not learnt from; a page of one line has no neighbours; a null text
 is empty; an empty table gives an empty result, and nothing to learn from is an error; rows of the same number on a page
@@ -30,16 +31,24 @@ from quirefold.sources.shared import materialize, ship
 #: Numbers that features are hashed to: the size of a model, whatever the number of words.
 SIZE = 1 << 12
 
+#: Lines whose features are written together for training.
+PACKED = 50_000
+
 
 def hashed(name: str, values: Column, size: int = SIZE) -> Column:
     """An array of texts as numbers below size, those of other names elsewhere."""
     return F.transform(values, lambda v: F.pmod(F.xxhash64(F.lit(name), v), F.lit(size)).cast("int"))
 
 
-def line_features(text: Column, left: Column | None = None, size: int = SIZE) -> Column:
+def line_words(text: Column) -> Column:
+    return tokens(F.coalesce(text, F.lit("")))
+
+
+def line_features(text: Column, left: Column | None = None, size: int = SIZE, words: Column | None = None) -> Column:
     """A line's features: its words and pairs of neighbours, the first three and the last in their places, its number of
-    words, and how far in it begins, in fiftieths of the page."""
-    words = tokens(F.coalesce(text, F.lit("")))
+    words, and how far in it begins, in fiftieths of the page. words: a column that holds `line_words` of the text, as
+    they are named a dozen times."""
+    words = line_words(text) if words is None else words
     first = lambda k: F.coalesce(F.try_element_at(words, F.lit(k)), F.lit(""))
     parts = [
         hashed("all", F.array(F.lit("")), size),
@@ -56,10 +65,11 @@ def line_features(text: Column, left: Column | None = None, size: int = SIZE) ->
     return F.array_distinct(F.concat(*parts))
 
 
-def pages_of(rows: DataFrame, keys: tuple[str, ...], order: str, features: Column, label: str | None = None) -> DataFrame:
-    """(keys, lines: array of (order, row, features, label)), a row for each page. A page is the unit of this model."""
+def pages_of(rows: DataFrame, keys: tuple[str, ...], order: str, features: Column, label: str | None = None, besides: tuple[str, ...] = ()) -> DataFrame:
+    """(keys, lines: array of (order, row, features, label)), a row for each page. A page is the unit of this model.
+    besides: columns that features need and rows do not keep."""
     y = (F.col(label) if label else F.lit(None)).cast("int").alias("y")
-    line = F.struct(F.col(order).alias("o"), F.struct(*[F.col(c) for c in rows.columns if c not in keys]).alias("row"), features.alias("f"), y)
+    line = F.struct(F.col(order).alias("o"), F.struct(*[F.col(c) for c in rows.columns if c not in (*keys, *besides)]).alias("row"), features.alias("f"), y)
     return rows.groupBy(*keys).agg(F.array_sort(F.collect_list(line)).alias("lines"))
 
 
@@ -87,20 +97,42 @@ class Weights:
 
 
 class Batch:
-    """The lines of some pages: features, labels, and groups of pages of like length."""
+    """The lines of some pages: their kind and label, the features of each kind, and groups of pages of like length. Lines
+    with the same features in the same order are of one kind."""
+
+    #: Columns of a batch as a row of a table.
+    SCHEMA = "kind array<int>, labels array<int>, lengths array<int>, many array<int>, features array<int>"
 
     def __init__(self, lines: pa.Array) -> None:
         lengths = np.asarray(lines.value_lengths())
         flat = lines.flatten()
         features = flat.field("f")
-        self.many = np.asarray(features.value_lengths())
-        self.features = np.asarray(features.flatten())
+        ends = np.cumsum(np.concatenate([[0], np.asarray(features.value_lengths())])) * 4
+        numbers = np.asarray(features.flatten()).astype(np.int32)
+        bits = pa.Array.from_buffers(pa.large_binary(), len(features), [None, pa.py_buffer(ends.astype(np.int64)), pa.py_buffer(numbers)])
+        kinds = bits.dictionary_encode()
+        self.kind, of_kind = np.asarray(kinds.indices), kinds.dictionary.to_pylist()
+        self.many = np.array([len(x) // 4 for x in of_kind], dtype=np.int64)
+        self.features = np.frombuffer(b"".join(of_kind), np.int32)
         self.labels = np.asarray(flat.field("y").fill_null(-1))
         self.starts, self.lengths = np.cumsum(lengths) - lengths, lengths
 
+    def packed(self) -> pa.RecordBatch:
+        """The batch as one row."""
+        names = ["kind", "labels", "lengths", "many", "features"]
+        return pa.RecordBatch.from_arrays([pa.array([np.asarray(getattr(self, n), np.int32)], pa.list_(pa.int32())) for n in names], names=names)
+
+    @classmethod
+    def unpacked(cls, batch: pa.RecordBatch, row: int) -> Batch:
+        out = cls.__new__(cls)
+        for n in batch.schema.names:
+            setattr(out, n, np.asarray(batch.column(n)[row].values))
+        out.starts = np.cumsum(out.lengths) - out.lengths
+        return out
+
     def own_scores(self, w: Weights) -> np.ndarray:
         """Of each line and label; every line has a feature."""
-        return np.add.reduceat(w.own[self.features], np.cumsum(self.many) - self.many, axis=0) if len(self.many) else np.zeros((0, w.own.shape[1]))
+        return np.add.reduceat(w.own[self.features], np.cumsum(self.many) - self.many, axis=0)[self.kind] if len(self.many) else np.zeros((0, w.own.shape[1]))
 
     def groups(self) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
         """(lines: a row for each page, padded with its last line; the pages' lengths; the pages)."""
@@ -150,7 +182,14 @@ def loss_of(size: int, labels: int):
     """The negative log-likelihood of a batch of labelled pages, and its gradient."""
 
     def loss(batch: pa.RecordBatch, flat: np.ndarray) -> tuple[float, np.ndarray]:
-        w, b = Weights.of(flat, size, labels), Batch(batch.column("lines"))
+        """batch: pages, or rows that hold packed batches of pages."""
+        if "lines" in batch.schema.names:
+            return of_pages(Batch(batch.column("lines")), flat)
+        values, slopes = zip(*(of_pages(Batch.unpacked(batch, i), flat) for i in range(batch.num_rows)), strict=True)
+        return sum(values), np.sum(slopes, axis=0)
+
+    def of_pages(b: Batch, flat: np.ndarray) -> tuple[float, np.ndarray]:
+        w = Weights.of(flat, size, labels)
         own = b.own_scores(w)
         excess = np.zeros_like(own)  # expected minus seen counts of each line and label
         pairs, first, last, value = np.zeros_like(w.next), np.zeros_like(w.first), np.zeros_like(w.last), 0.0
@@ -171,7 +210,8 @@ def loss_of(size: int, labels: int):
             last += p[page, n - 1].sum(0)
             seen = np.take_along_axis(e, y[:, :, None], 2)[:, :, 0]
             value += every.sum() - seen[inside].sum() - w.next[y[:, :-1], y[:, 1:]][onward].sum() - w.first[y[:, 0]].sum() - w.last[ends].sum()
-        of_feature = np.repeat(excess, b.many, axis=0)
+        of_kind = np.stack([np.bincount(b.kind, weights=excess[:, k], minlength=len(b.many)) for k in range(labels)], 1)
+        of_feature = np.repeat(of_kind, b.many, axis=0)
         slope = np.stack([np.bincount(b.features, weights=of_feature[:, k], minlength=size) for k in range(labels)], 1)
         return float(value), np.concatenate([slope.ravel(), pairs.ravel(), first, last])
 
@@ -228,8 +268,20 @@ class SequenceModel:
 
 def fit(pages: DataFrame, size: int = SIZE, l2: float = 0.01, rounds: int = 25) -> SequenceModel:
     """A model of the pages whose lines all have labels. pages: of `pages_of`, with a label."""
-    known = materialize(pages.filter(~F.exists("lines", lambda x: x["y"].isNull())).select(F.transform("lines", lambda x: F.struct(x["f"].alias("f"), x["y"].alias("y"))).alias("lines")), "pages")
-    top = known.agg(F.max(F.array_max(F.transform("lines", lambda x: x["y"]))).alias("y")).first()["y"]
+    ship(pages.sparkSession)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lines = batch.column("lines")
+            # pieces of pages in their order, of about PACKED lines
+            piece = np.cumsum(np.asarray(lines.value_lengths())) // PACKED
+            for at in np.split(np.arange(len(piece)), np.flatnonzero(np.diff(piece)) + 1):
+                if len(at):
+                    yield Batch(lines.slice(at[0], len(at))).packed()
+
+    labelled = pages.filter(~F.exists("lines", lambda x: x["y"].isNull())).select(F.transform("lines", lambda x: F.struct(x["f"].alias("f"), x["y"].alias("y"))).alias("lines"))
+    known = materialize(labelled.mapInArrow(run, Batch.SCHEMA), "pages")
+    top = known.agg(F.max(F.array_max("labels")).alias("y")).first()["y"]
     if top is None:
         raise ValueError("no page has labels")
     labels = top + 1

@@ -239,3 +239,18 @@ def test_trees_as_written_out(spark):
     got = {r.id: r.toc_page for r in N.classify(tree, pages, "toc_page").collect()}
     written = f"x\nTree 0\n{tree.stages[-1].toDebugString.split(chr(10), 1)[1]}"
     assert all(evaluate_forest(written, [r[f] for f in toc.features]) == {float(got[r.id]): 1} for r in pages.collect())
+
+
+def test_lines_of_the_same_features_are_scored_once():
+    """Also in batches that are packed into rows: the same loss and slope as of the pages."""
+    rng = np.random.default_rng(3)
+    kinds = [[1, 5, 2], [5, 1, 2], [7], [0, 3]]
+    pages = [[{"f": kinds[rng.integers(4)], "y": int(rng.integers(3))} for _ in range(n)] for n in (1, 4, 7, 3, 4)]
+    whole = pa.RecordBatch.from_arrays([pa.array(pages, pa.list_(pa.struct([("f", pa.list_(pa.int32())), ("y", pa.int32())])))], names=["lines"])
+    assert len(sequence.Batch(whole.column("lines")).many) == len({tuple(x["f"]) for p in pages for x in p}) < sum(map(len, pages))
+    loss, w = sequence.loss_of(8, 3), rng.normal(size=8 * 3 + 9 + 6)
+    packed = pa.Table.from_batches([sequence.Batch(whole.column("lines").slice(a, n)).packed() for a, n in ((0, 2), (2, 3))]).combine_chunks().to_batches()[0]
+    (value, slope), (again, slope_again) = loss(whole, w), loss(packed, w)
+    assert packed.num_rows == 2 and np.isclose(value, again) and np.allclose(slope, slope_again)
+    near = 1e-5 * np.eye(len(w))
+    assert np.allclose(slope, [(loss(packed, w + e)[0] - loss(packed, w - e)[0]) / 2e-5 for e in near], atol=1e-5)
