@@ -3,7 +3,7 @@
 Blocks are rows (keys, ord, id, block_type, text, row_index, col_index, selection_status, entity_types, relationships);
 `keys` tell documents apart (the report and its file, where there is a file number), `ord` is a block's place among all
 result pages of the response. A walk joins blocks by document and id, so it
-shuffles by a key that is nearly unique. Missing blocks are ignored, as are references to blocks of another kind.
+shuffles by a key that is nearly unique; only references of the kinds of blocks that it needs are sent. Missing blocks are ignored, as are references to blocks of another kind.
 """
 
 from __future__ import annotations
@@ -71,11 +71,12 @@ def table_cells(blocks: DataFrame, keys: tuple[str, ...] | None = None) -> DataF
 
     Of cells that claim one row and column the last counts, at the place of the first."""
     keys = keys or document_keys(blocks)
-    links = edges(blocks, keys)
-    tables = of_kind(blocks, "TABLE").select(*keys, F.col("id").alias("src"), F.row_number().over(W.partitionBy(*keys).orderBy("ord")).cast("long").alias("table_num"))
+    # a table's number goes with its own references, and only cells' references go to words
+    tables = of_kind(blocks, "TABLE").select(*keys, F.row_number().over(W.partitionBy(*keys).orderBy("ord")).cast("long").alias("table_num"), F.col("id"), "relationships")
+    named = edges(tables, (*keys, "table_num")).filter(F.col("type") == "CHILD").select(*keys, "table_num", "place", "dst")
     cells = of_kind(blocks, "CELL").select(*keys, F.col("id").alias("dst"), F.col("row_index").cast("long").alias("row"), F.col("col_index").cast("long").alias("col"))
-    found = links.filter(F.col("type") == "CHILD").join(tables, [*keys, "src"]).join(cells, [*keys, "dst"])
-    texts = _texts(blocks, links, keys).select(*keys, F.col("src").alias("dst"), "text")
+    found = named.join(cells, [*keys, "dst"])
+    texts = _texts(blocks, edges(of_kind(blocks, "CELL"), keys), keys).select(*keys, F.col("src").alias("dst"), "text")
     full = found.join(texts, [*keys, "dst"], "left").withColumn("text", F.coalesce("text", F.lit("")))
     return full.groupBy(*keys, "table_num", "row", "col").agg(F.min("place").alias("place"), F.max_by("text", "place").alias("text"))
 
@@ -85,9 +86,9 @@ def key_values(blocks: DataFrame, keys: tuple[str, ...] | None = None) -> DataFr
 
     A key without a value block has an empty value."""
     keys = keys or document_keys(blocks)
-    links = edges(blocks, keys)
-    texts = _texts(blocks, links, keys)
     sets = of_kind(blocks, "KEY_VALUE_SET")
+    links = edges(sets, keys)
+    texts = _texts(blocks, links, keys)
     is_key = F.array_contains("entity_types", "KEY")
     values = sets.filter(~F.coalesce(is_key, F.lit(False))).select(*keys, F.col("id").alias("dst"))
     chosen = links.filter(F.col("type") == "VALUE").join(values, [*keys, "dst"], "left_semi").groupBy(*keys, "src").agg(F.max_by("dst", "place").alias("dst"))

@@ -5,7 +5,7 @@ import math
 import pytest
 from pyspark.sql import functions as F
 
-from quirefold.operators import headings, tables, textmodel
+from quirefold.operators import blocks, headings, tables, textmodel
 from quirefold.plans import adapters, catalogue
 from quirefold.sources import office, pdf_marks, word
 
@@ -91,3 +91,18 @@ def test_marks_of_few_bytes_go_to_many_tasks(spark):
     found = pdf_marks.outlines(marked, content="marked")
     assert found.select(F.spark_partition_id()).distinct().count() > 1
     assert sorted(map(tuple, found.collect())) == [(i, 0, None, f"t{i}", 2) for i in range(40)]
+
+
+def test_only_needed_references_are_sent(spark):
+    """Tables are not joined to the references of all blocks: their own go with their numbers."""
+    rel = lambda kind, *ids: [(kind, list(ids))]
+    rows = [
+        (1, 1, "t", "TABLE", None, None, None, None, [], rel("CHILD", "c")), (1, 2, "c", "CELL", None, 1, 1, None, [], rel("CHILD", "w")), (1, 3, "w", "WORD", "x", None, None, None, [], []),
+        (1, 4, "k", "KEY_VALUE_SET", None, None, None, None, ["KEY"], rel("VALUE", "v") + rel("CHILD", "w")), (1, 5, "v", "KEY_VALUE_SET", None, None, None, None, [], rel("CHILD", "w")), (1, 0, "t0", "TABLE", None, None, None, None, [], []),
+    ]
+    kinds = "doc_id long, ord long, id string, block_type string, text string, row_index long, col_index long, selection_status string, entity_types array<string>, relationships array<struct<type:string,ids:array<string>>>"
+    given = spark.createDataFrame(rows, kinds)
+    cells = blocks.table_cells(given)
+    assert plan_of(cells).count("SortMergeJoin") + plan_of(cells).count("HashJoin") <= 3
+    assert [(r.table_num, r.row, r.col, r.text) for r in cells.collect()] == [(2, 1, 1, "x ")]
+    assert [(r.key, r.value) for r in blocks.key_values(given).collect()] == [("x ", "x ")]
