@@ -119,12 +119,19 @@ def classify(model: PipelineModel | SequenceStage | TokenStage, rows: DataFrame,
 
 
 def learn_and_classify(card: ModelCard, rows: DataFrame, masked: bool = False, **options) -> DataFrame:
-    """`classify` by a model that is fitted on the same rows. Pages of a sequence model are put together once for both."""
-    if card.kind != "sequence":
+    """`classify` by a model that is fitted on the same rows. What the model reads is put together and written once for both:
+    pages of a sequence model, else features, which a forest reads several times."""
+    kept = [c for c in rows.columns if c != card.label]
+    if card.kind == "sequence":
+        pages = materialize(_line_pages(rows, card.text, card.label), "line_pages")
+        return _classes(sequence.fit(pages, **options).predict(pages), kept, card.label, masked)
+    if card.kind not in ("tree", "forest", "stacked"):
         return classify(fit(card, rows, **options), rows, card.label, masked)
-    pages = materialize(_line_pages(rows, card.text, card.label), "line_pages")
-    found = sequence.fit(pages, **options).predict(pages)
-    return _classes(found, [c for c in rows.columns if c != card.label], card.label, masked)
+    *before, last = pipeline(card, **options).getStages()
+    rows = materialize(rows, "model_rows")
+    ready = Pipeline(stages=before).fit(rows.dropna(subset=[card.label])).transform(rows).select(*rows.columns, "features")
+    ready = materialize(ready, "features") if card.kind == "stacked" else ready
+    return _classes(last.fit(ready.dropna(subset=[card.label])).transform(ready), kept, card.label, masked)
 
 
 def _classes(found: DataFrame, kept: list[str], label: str, masked: bool) -> DataFrame:

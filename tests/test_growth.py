@@ -5,7 +5,7 @@ import math
 import pytest
 from pyspark.sql import functions as F
 
-from quirefold.operators import blocks, headings, tables, textmodel
+from quirefold.operators import blocks, headings, learning, tables, textmodel
 from quirefold.plans import adapters, catalogue
 from quirefold.sources import office, pdf_marks, word
 
@@ -106,3 +106,22 @@ def test_only_needed_references_are_sent(spark):
     assert plan_of(cells).count("SortMergeJoin") + plan_of(cells).count("HashJoin") <= 3
     assert [(r.table_num, r.row, r.col, r.text) for r in cells.collect()] == [(2, 1, 1, "x ")]
     assert [(r.key, r.value) for r in blocks.key_values(given).collect()] == [("x ", "x ")]
+
+
+@pytest.mark.parametrize("name", ["marginal_lines", "heading_id_intext_no_toc"])
+def test_features_are_made_once_for_fitting_and_prediction(spark, name):
+    """A forest reads its rows several times: what they are made of must not be made again each time."""
+    card, made = learning.CARDS[name], spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for batch in batches:
+            made.add(batch.num_rows)
+            yield batch
+
+    given = spark.range(200).selectExpr("id", "concat(if(id % 2 = 0, 'high', 'low'), ' hill') as text", *[f"cast(id % 2 as double) as {f}" for f in card.features])
+    rows = given.mapInArrow(count, given.schema).withColumn(card.label, F.when(F.col("id") < 150, (F.col("id") % 2).cast("int")))
+    found = learning.learn_and_classify(card, rows)
+    assert {r.id: r[card.label] for r in found.collect()} == {i: i % 2 for i in range(200)}
+    assert set(found.columns) == {"id", "text", *card.features, card.label, "proba"} and made.value == 200
+    none = learning.learn_and_classify(card, rows, masked=True)
+    assert {r.id for r in none.collect()} == {i for i in range(200) if i % 2}
