@@ -12,6 +12,7 @@ from pyspark.sql import types as T
 
 from quirefold.functions import text as X
 from quirefold.operators.keys import document_keys, page_keys
+from quirefold.sources.shared import parts_of
 
 # Margins of scanning noise, and tolerances of line reconstruction, in page units.
 NOISE_LEFT, NOISE_WIDTH = 0.04, 0.02
@@ -118,6 +119,17 @@ def text_flags(text: Column) -> list[Column]:
     ]
 
 
+#: Rows of a task where only ids meet.
+IDS_PER_TASK = 500_000
+
+
+def with_ids(rows: DataFrame, listed: DataFrame, key: str) -> DataFrame:
+    """Rows whose id is listed, by tasks of a number of rows that does not grow with the tables. The join is not a semi-join,
+    which would be put before the exchange."""
+    n = max(parts_of(rows, IDS_PER_TASK), parts_of(listed, IDS_PER_TASK))
+    return rows.repartition(n, key).join(listed.select(key).repartition(n, key).distinct().hint("merge"), key)
+
+
 def without(lines: DataFrame, other: DataFrame, keys: list[str]) -> DataFrame:
     """Lines whose keys are not among other's (marginal lines, contents pages, excluded documents)."""
     return lines.join(other.select(*keys).distinct(), keys, "left_anti")

@@ -5,7 +5,7 @@ import math
 import pytest
 from pyspark.sql import functions as F
 
-from quirefold.operators import blocks, headings, learning, tables, textmodel
+from quirefold.operators import blocks, headings, learning, lines, tables, textmodel
 from quirefold.plans import adapters, catalogue
 from quirefold.sources import office, pdf_marks, word
 
@@ -125,3 +125,15 @@ def test_features_are_made_once_for_fitting_and_prediction(spark, name):
     assert set(found.columns) == {"id", "text", *card.features, card.label, "proba"} and made.value == 200
     none = learning.learn_and_classify(card, rows, masked=True)
     assert {r.id for r in none.collect()} == {i for i in range(200) if i % 2}
+
+
+def test_ids_meet_in_tasks_of_so_many_rows(spark, data, monkeypatch):
+    """Ids and small numbers take few bytes in a shuffle: tasks put together by bytes would have any number of rows."""
+    assert "ENSURE_REQUIREMENTS" not in plan_of(catalogue.id_list_match(spark, data))
+    monkeypatch.setattr(lines, "IDS_PER_TASK", 10)
+    rows = spark.createDataFrame([*[(i // 2, i) for i in range(200)], (None, 1), (7, None)], "doc_id long, n long")
+    listed = spark.createDataFrame([(i,) for i in (*range(50), 7, 500, None)], "doc_id long")
+    found = lines.with_ids(rows, listed, "doc_id")
+    assert found.rdd.getNumPartitions() == 21 and "ENSURE_REQUIREMENTS" not in plan_of(found.distinct())
+    assert sorted(map(str, found.collect())) == sorted(map(str, rows.filter("doc_id < 50").collect()))
+    assert lines.with_ids(rows.limit(0), listed, "doc_id").count() == lines.with_ids(rows, listed.limit(0), "doc_id").count() == 0
