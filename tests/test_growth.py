@@ -1,6 +1,7 @@
 """What makes a query's work grow faster than its input: plans that take a table for small, and steps that move every term."""
 
 import math
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
@@ -137,3 +138,34 @@ def test_ids_meet_in_tasks_of_so_many_rows(spark, data, monkeypatch):
     assert found.rdd.getNumPartitions() == 21 and "ENSURE_REQUIREMENTS" not in plan_of(found.distinct())
     assert sorted(map(str, found.collect())) == sorted(map(str, rows.filter("doc_id < 50").collect()))
     assert lines.with_ids(rows.limit(0), listed, "doc_id").count() == lines.with_ids(rows, listed.limit(0), "doc_id").count() == 0
+
+
+@pytest.mark.parametrize("block", [512, 4])
+def test_cells_of_a_table_meet_in_blocks(spark, monkeypatch, block):
+    """No pair of cells is a row before it is compared, and tables of many cells are not held whole."""
+    monkeypatch.setattr(tables, "BLOCK", block)
+    values = ["Ab", "ba  c", "", None, "zz", "é\U0001f600"]
+    rows = [("t", r, c, f"h{c}", values[(r * 3 + c) % 6]) for r in range(1, 5) for c in (1, 2, 3)] + [("t", 2, 2, "h2", "twice"), ("t", 3, None, "h", "ab"), ("t", None, 1, "h1", "ab"), (None, 1, 1, "h1", "ab"), ("u", 1, 1, "a", "A"), ("one", 0, 1, "x", "x")]
+    rows += [("d", 1, 1, "d", "abc")] * 9  # two places, three blocks
+    cells = spark.createDataFrame(rows, "table_id string, row long, col long, header string, value string")
+    every = [(t, r, c, v) for t, r, c, _, v in rows] + sorted({(t, 0, c, h) for t, _, c, h, _ in rows}, key=str)
+    every = [(t, r, c, Counter((v or "").lower().replace("  ", " "))) for t, r, c, v in every if t is not None and r is not None]
+    size = lambda n: math.sqrt(sum(x * x for x in n.values()))
+    expected, lined = [], []
+    for t, r, c, n in every:
+        for t2, r2, c2, m in every:
+            level = None not in (c, c2)
+            if t == t2 and (r < r2 or (r == r2 and level and c < c2)):
+                s = round(sum(x * m[k] for k, x in n.items()) / (size(n) * size(m)), 9) if n and m else 0
+                expected.append((t, r, c, r2, c2, s))
+                lined += [(t, "row", r, c, r2, c2, s)] if r == r2 else [(t, "column", r, c, r2, c2, s)] if level and c == c2 else []
+    plain = lambda df: sorted((str((*r[:-1], round(r[-1], 9) + 0.0)) for r in df.collect()))
+    whole, lines_ = tables.table_similarity(cells), tables.line_similarity(cells)
+    assert "Join" not in plan_of(whole) + plan_of(lines_)
+    assert plain(whole) == sorted(str((*x[:-1], x[-1] + 0.0)) for x in expected)
+    assert plain(lines_) == sorted(str((*x[:-1], x[-1] + 0.0)) for x in lined)
+    sums = {r.table_id: r for r in tables.table_similarity_summary(cells).collect()}
+    for t in {x[0] for x in expected}:
+        got = [x[-1] for x in expected if x[0] == t]
+        assert sums[t].n_pairs == len(got) and math.isclose(sums[t].closest, max(got), abs_tol=1e-8) and math.isclose(sums[t].average, sum(got) / len(got), abs_tol=1e-8)
+    assert set(sums) == {x[0] for x in expected} and tables.line_similarity(cells.limit(0)).count() == 0
