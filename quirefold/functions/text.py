@@ -96,7 +96,7 @@ def token_shapes(text: Column, literal_small: bool = False) -> Column:
             .when(~core.rlike(r"^\s*$"), F.lit("mix"))
         )
         tab = F.when(t.startswith("\t"), F.lit("tab ")).otherwise(F.lit(""))
-        return F.concat(tab, F.when(kind.isNotNull(), F.concat(kind, F.lit(" "))).otherwise(F.lit("")))
+        return F.concat(tab, F.coalesce(F.concat(kind, F.lit(" ")), F.lit("")))  # the kind is looked for once
 
     return F.array_join(F.transform(parts, shape), "")
 

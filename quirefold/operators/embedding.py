@@ -33,7 +33,7 @@ def token_numbers(text: Column, size: int = SIZE, places: int = PLACES) -> Colum
     """The last tokens of a text, the last one first, as numbers; 0 where there is none."""
     words = F.slice(F.reverse(tokens(F.coalesce(text, F.lit("")))), 1, places)
     ids = F.transform(words, lambda w: (F.pmod(F.xxhash64(w), F.lit(size - 1)) + 1).cast("int"))
-    return F.concat(ids, F.array_repeat(F.lit(0).cast("int"), F.lit(places) - F.size(ids)))
+    return F.slice(F.concat(ids, F.array_repeat(F.lit(0).cast("int"), places)), 1, places)
 
 
 @dataclass(frozen=True)
@@ -98,10 +98,13 @@ class TokenModel:
 
     def predict(self, rows: DataFrame, text: str) -> DataFrame:
         """rows with `prediction`, the most probable class, the smaller of equals, and `probability`, that of each class."""
-        ship(rows.sparkSession)
-        sent, shape = rows.sparkSession.sparkContext.broadcast(self.flat), self.shape
-        given = rows.select("*", token_numbers(F.col(text), shape[0], shape[1]).alias("_ids"))
-        schema = T.StructType([*rows.schema.fields, T.StructField("prediction", T.DoubleType()), T.StructField("_shares", T.ArrayType(T.DoubleType()))])
+        return self.predict_numbers(rows.select("*", token_numbers(F.col(text), self.shape[0], self.shape[1]).alias("_ids")))
+
+    def predict_numbers(self, given: DataFrame) -> DataFrame:
+        """`predict` of rows whose last column, `_ids`, has the numbers of their tokens; it goes."""
+        ship(given.sparkSession)
+        sent, shape = given.sparkSession.sparkContext.broadcast(self.flat), self.shape
+        schema = T.StructType([*given.schema.fields[:-1], T.StructField("prediction", T.DoubleType()), T.StructField("_shares", T.ArrayType(T.DoubleType()))])
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             net = Network.of(sent.value, shape)
@@ -124,7 +127,12 @@ class TokenModel:
 
 def fit(rows: DataFrame, text: str, label: str, size: int = SIZE, places: int = PLACES, width: int = WIDTH, units: int = HIDDEN, l2: float = 1e-3, rounds: int = 60, seed: int = 1) -> TokenModel:
     """A network of the rows with a label, whole numbers from 0."""
-    known = rows.filter(F.col(label).isNotNull()).select(token_numbers(F.col(text), size, places).alias("ids"), F.col(label).cast("int").alias("y"))
+    return fit_numbers(rows.withColumn("_ids", token_numbers(F.col(text), size, places)), label, size, places, width, units, l2, rounds, seed)
+
+
+def fit_numbers(rows: DataFrame, label: str, size: int = SIZE, places: int = PLACES, width: int = WIDTH, units: int = HIDDEN, l2: float = 1e-3, rounds: int = 60, seed: int = 1) -> TokenModel:
+    """`fit` of rows whose column `_ids` has the numbers of their tokens."""
+    known = rows.filter(F.col(label).isNotNull()).select(F.col("_ids").alias("ids"), F.col(label).cast("int").alias("y"))
     known = materialize(known.groupBy("ids", "y").agg(F.count(F.lit(1)).alias("n")), "token_rows")  # few texts of token shapes differ
     top = known.agg(F.max("y").alias("y")).first()["y"]
     if top is None:

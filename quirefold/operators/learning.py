@@ -120,12 +120,16 @@ def classify(model: PipelineModel | SequenceStage | TokenStage, rows: DataFrame,
 
 def learn_and_classify(card: ModelCard, rows: DataFrame, masked: bool = False, **options) -> DataFrame:
     """`classify` by a model that is fitted on the same rows. What the model reads is put together and written once for both:
-    pages of a sequence model, else features, which a forest reads several times."""
+    pages of a sequence model, numbers of tokens, else features, which a forest reads several times."""
     kept = [c for c in rows.columns if c != card.label]
     if card.kind == "sequence":
         pages = materialize(_line_pages(rows, card.text, card.label), "line_pages")
         return _classes(sequence.fit(pages, **options).predict(pages), kept, card.label, masked)
-    if card.kind not in ("tree", "forest", "stacked"):
+    if card.kind == "tokens":
+        numbers = embedding.token_numbers(F.col(card.text), options.get("size", embedding.SIZE), options.get("places", embedding.PLACES))
+        ready = materialize(rows.select("*", numbers.alias("_ids")), "token_numbers")
+        return _classes(embedding.fit_numbers(ready, card.label, **options).predict_numbers(ready), kept, card.label, masked)
+    if card.kind == "text":
         return classify(fit(card, rows, **options), rows, card.label, masked)
     *before, last = pipeline(card, **options).getStages()
     rows = materialize(rows, "model_rows")

@@ -140,6 +140,21 @@ def test_ids_meet_in_tasks_of_so_many_rows(spark, data, monkeypatch):
     assert lines.with_ids(rows.limit(0), listed, "doc_id").count() == lines.with_ids(rows, listed.limit(0), "doc_id").count() == 0
 
 
+def test_tokens_are_numbered_once_for_fitting_and_prediction(spark):
+    card, made = learning.CARDS["page_id"], spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for batch in batches:
+            made.add(batch.num_rows)
+            yield batch
+
+    given = spark.range(120).selectExpr("id", "if(id % 2 = 0, 'page smallNum ', 'word tab word ') as shapes")
+    rows = given.mapInArrow(count, given.schema).withColumn("tag", F.when(F.col("id") < 90, (F.col("id") % 2).cast("int")))
+    found = learning.learn_and_classify(card, rows)
+    assert {r.id: r.tag for r in found.collect()} == {i: i % 2 for i in range(120)}
+    assert found.columns == ["id", "shapes", "tag", "proba"] and made.value == 120
+
+
 @pytest.mark.parametrize("block", [512, 4])
 def test_cells_of_a_table_meet_in_blocks(spark, monkeypatch, block):
     """No pair of cells is a row before it is compared, and tables of many cells are not held whole."""
