@@ -131,13 +131,32 @@ def learn_and_classify(card: ModelCard, rows: DataFrame, masked: bool = False, *
         return _classes(embedding.fit_numbers(ready, card.label, **options).predict_numbers(ready), kept, card.label, masked)
     if card.kind == "text":
         return classify(fit(card, rows, **options), rows, card.label, masked)
+    if card.kind == "stacked":
+        return learn_and_classify_each([card], rows, masked, **options)[0]
     *before, last = pipeline(card, **options).getStages()
     rows = materialize(rows, "model_rows")
     ready = Pipeline(stages=before).fit(rows.dropna(subset=[card.label])).transform(rows).select(*rows.columns, "features")
-    ready = materialize(ready, "features") if card.kind == "stacked" else ready
     return _classes(last.fit(ready.dropna(subset=[card.label])).transform(ready), kept, card.label, masked)
 
 
+def learn_and_classify_each(cards: list[ModelCard], rows: DataFrame, masked: bool = False, **options) -> list[DataFrame]:
+    """`learn_and_classify` by each of several stacked models of one text: its model is fitted, and the texts are scored, once
+    for all forests."""
+    if len({(c.kind, c.text, c.label, c.alpha, c.norm) for c in cards}) > 1 or cards[0].kind != "stacked":
+        raise ValueError("stacked models of different texts")
+    label, kept = cards[0].label, [c for c in rows.columns if c != cards[0].label]
+    rows = materialize(rows, "model_rows")
+    coded, bayes, *_ = pipeline(cards[0], **options).getStages()
+    scored = Pipeline(stages=[coded, bayes]).fit(rows.dropna(subset=[label])).transform(rows)
+    scored = materialize(scored.select(*rows.columns, bayes.getPredictionCol()), "text_classes")
+    out = []
+    for card in cards:
+        *_, assembler, forest = pipeline(card, **options).getStages()
+        ready = assembler.transform(scored)
+        out.append(_classes(forest.fit(ready.dropna(subset=[label])).transform(ready), kept, label, masked))
+    return out
+
+
 def _classes(found: DataFrame, kept: list[str], label: str, masked: bool) -> DataFrame:
     out = found.select(*kept, F.col("prediction").cast("int").alias(label), F.try_element_at(vector_to_array("probability"), F.lit(2)).alias("proba"))
     return out.filter(F.col(label) > 0) if masked else out

@@ -128,6 +128,20 @@ def test_features_are_made_once_for_fitting_and_prediction(spark, name):
     assert {r.id for r in none.collect()} == {i for i in range(200) if i % 2}
 
 
+def test_stacked_models_of_one_text_share_its_model(spark, data, monkeypatch):
+    """Both models of in-text headings read one text: it is fitted and scored once, not twice and four times."""
+    calls = []
+    for kind, name in ((textmodel.TextBayes, "_fit"), (textmodel.TextBayesModel, "_transform")):
+        monkeypatch.setattr(kind, name, lambda self, rows, f=getattr(kind, name), name=name: calls.append(name) or f(self, rows))
+    assert catalogue.queries()["heading_full_model"](spark, data).count() > 0 and sorted(calls) == ["_fit", "_transform"]
+    cards = [learning.CARDS[n] for n in ("heading_id_intext", "heading_id_intext_no_toc")]
+    rows = spark.range(60).selectExpr("id", "if(id % 2 = 0, 'high hill', 'low land') as text", *[f"cast(id % 3 as double) as {f}" for f in cards[0].features], "if(id < 50, cast(id % 2 as int), null) as heading")
+    for found in learning.learn_and_classify_each(cards, rows):
+        assert {r.id: r.heading for r in found.collect()} == {i: i % 2 for i in range(60)} and found.columns == ["id", "text", *cards[0].features, "heading", "proba"]
+    with pytest.raises(ValueError, match="different texts"):
+        learning.learn_and_classify_each([cards[0], learning.CARDS["heading_classification"]], rows)
+
+
 def test_ids_meet_in_tasks_of_so_many_rows(spark, data, monkeypatch):
     """Ids and small numbers take few bytes in a shuffle: tasks put together by bytes would have any number of rows."""
     assert "ENSURE_REQUIREMENTS" not in plan_of(catalogue.id_list_match(spark, data))
