@@ -5,10 +5,12 @@ import random
 from collections import Counter
 
 import duckdb
+import pyarrow as pa
+import pyarrow.compute as pc
 import pytest
 from pyspark.sql import functions as F
 
-from quirefold.operators import blocks, headings, learning, lines, tables, textmodel
+from quirefold.operators import blocks, headings, learning, lines, numbered, tables, textmodel
 from quirefold.plans import adapters, catalogue
 from quirefold.sources import office, pdf_marks, word
 
@@ -231,3 +233,42 @@ def test_scores_are_rounded_at_the_whole_length_of_a_text(spark, tmp_path, name)
     expected = sorted(con.execute(catalogue.oracle_sql()[name]).fetchall())
     assert {y for _, y in expected} == {0, 1}
     assert sorted(map(tuple, catalogue.queries()[name](spark, str(tmp_path)).collect())) == expected
+
+
+@pytest.mark.parametrize("name", ["cnb_pair_norm_predict", "cnb_pair_predict"])
+def test_terms_are_sent_once(spark, tmp_path, monkeypatch, name):
+    """A term goes to its part once and never comes back: groups get numbers, and of their own terms none. Rows of one id, null
+    ids, labels of no class, of both and of no text as in the SQL."""
+    bayes_tables(spark, tmp_path)
+    monkeypatch.setattr(textmodel, "GROUP_CHARS", 50000)
+    odd = spark.createDataFrame([(500, "b3 b4"), (500, "a3 a4 b4"), (None, "a1 b1"), (501, "\u00e9\u00e9 a1 \U0001f600 \U00010400\U00010400"), (502, " \n ")], "doc_id long, text string")
+    odd.write.mode("append").parquet(f"{tmp_path}/documents.parquet")
+    labels = spark.createDataFrame([(500, 1, 0), (3, 1, 0), (4, 1, 0), (7, None, 0), (61, None, 0), (9999, 0, 0), (None, 1, 0)], "doc_id long, quality int, toxic int")
+    labels.write.mode("append").parquet(f"{tmp_path}/labels.parquet")
+    con = duckdb.connect()
+    for t in ("documents", "labels"):
+        con.execute(f"create view {t} as select * from read_parquet('{tmp_path}/{t}.parquet/*.parquet')")
+    found = catalogue.queries()[name](spark, str(tmp_path))
+    assert "Join" not in plan_of(found)
+    assert sorted(map(str, (tuple(r) for r in found.collect()))) == sorted(map(str, con.execute(catalogue.oracle_sql()[name]).fetchall()))
+    for t in ("documents", "labels"):
+        none = str(tmp_path / f"no_{t}")
+        for u in ("documents", "labels"):
+            rows = spark.read.parquet(f"{tmp_path}/{u}.parquet")
+            (rows.limit(0) if t == u else rows).write.parquet(f"{none}/{u}.parquet")
+        assert catalogue.queries()[name](spark, none).count() == 0
+
+
+def test_groups_get_numbers_of_shared_terms_only():
+    """Of two groups' terms those of one group alone come back as nothing, the others as counts and numbers."""
+    kind = [("_g", pa.int32()), ("_part", pa.int32()), ("_texts", pa.int64()), ("_keys", pa.list_(pa.int64())), *[(c, pa.binary()) for c in ("_doc", "_term", "_tf", "_len", "_terms", "_n")]]
+    out, sent = pa.schema([("_to", pa.int32()), *kind]), []
+    for g, texts in enumerate([[["bb", "aa", "bb"], []], [["aa", "zz"], ["aa"]]]):
+        rows = pa.table({"_key": [g * 10, g * 10 + 1], "_y": [0, 0], "_words": pa.chunked_array([pa.array(texts, pa.list_(pa.string()))])})
+        sent.append(numbered.number_terms(g, rows, 1, 1, out))
+    assert [t.num_rows for t in sent] == [2, 2] and [t["_texts"][0].as_py() for t in sent] == [1, 2]
+    rows = pa.concat_tables(t.filter(pc.equal(t["_part"], 0)) for t in sent)
+    back = pa.schema([(c, t) for c, t in kind if c not in ("_len", "_terms", "_n")] + [(c, pa.binary()) for c in ("_shared", "_df", "_id")])
+    met = numbered.meet_terms(0, rows, back).to_pylist()
+    assert [numbered.unpacked_bits(r["_shared"]).tolist() for r in met] == [[True, False], [True, False]]
+    assert [(numbered.unpacked(r["_df"], "i8").tolist(), numbered.unpacked_steps(r["_id"]).tolist()) for r in met] == [([3], [0])] * 2
