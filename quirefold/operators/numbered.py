@@ -24,10 +24,10 @@ from quirefold.sources.shared import materialize
 GROUPS_A_PART = 2
 
 
-def packed(x: np.ndarray) -> bytes:
+def packed(x: np.ndarray, level: int = 3) -> bytes:
     """Numbers by place of their bytes, compressed."""
     raw = np.ascontiguousarray(x).view(np.uint8).reshape(len(x), -1).T.tobytes() if len(x) else b""
-    return len(raw).to_bytes(8, "little") + pa.Codec("zstd").compress(raw, asbytes=True)
+    return len(raw).to_bytes(8, "little") + pa.Codec("zstd", compression_level=level).compress(raw, asbytes=True)
 
 
 def unpacked(block: bytes, dtype) -> np.ndarray:
@@ -83,7 +83,7 @@ def number_terms(group: int, rows: pa.Table, ngrams: int, parts: int, schema: pa
     for p in np.flatnonzero(np.diff(bounds)):
         a, b = bounds[p], bounds[p + 1]
         own = np.frombuffer(data, np.uint8)[offsets[a] : offsets[b]]
-        out.append({"_to": int(p), "_g": group, "_part": int(p), "_len": packed(np.diff(offsets[a : b + 1]).astype(np.int32)), "_terms": packed(own), "_n": packed(n[a:b].astype(np.int32))})
+        out.append({"_to": int(p), "_g": group, "_part": int(p), "_len": packed(np.diff(offsets[a : b + 1]).astype(np.int32)), "_terms": packed(own, 6), "_n": packed(n[a:b].astype(np.int32))})
     return _table(out, schema)
 
 
@@ -96,10 +96,13 @@ def meet_terms(part: int, rows: pa.Table, schema: pa.Schema) -> pa.Table:
     data = np.concatenate([unpacked(r["_terms"], np.uint8) for r in rows])
     offsets = np.concatenate([[0], np.cumsum(np.concatenate(sizes), dtype=np.int64)])
     terms = pa.LargeStringArray.from_buffers(len(offsets) - 1, pa.py_buffer(offsets), pa.py_buffer(data))
-    code = pc.dictionary_encode(terms).indices.to_numpy(zero_copy_only=False)
+    found = pc.dictionary_encode(terms)
+    code = found.indices.to_numpy(zero_copy_only=False)
     shared = np.bincount(code) > 1
     df = np.bincount(code, np.concatenate([unpacked(r["_n"], np.int32) for r in rows])).astype(np.int64)
-    number = np.cumsum(shared) - 1
+    # numbers in the order of terms, which is that of each group: they ascend, and pack well
+    several, number = np.flatnonzero(shared), np.zeros(len(shared), np.int64)
+    number[several[pc.sort_indices(found.dictionary.take(pa.array(several))).to_numpy(zero_copy_only=False)]] = np.arange(len(several))
     out, at = [], 0
     for r, size in zip(rows, sizes, strict=True):
         own = code[at : at + len(size)]
