@@ -15,8 +15,9 @@ from pyspark.sql import functions as F
 from quirefold.operators import embedding, sequence
 from quirefold.operators.keys import page_keys
 from quirefold.operators.metadata import confusion, stable_key, uncertain
+from quirefold.operators.numbered import complement_scores
 from quirefold.operators.pages import carry
-from quirefold.operators.textmodel import CodedNumbers, TextBayes
+from quirefold.operators.textmodel import CodedNumbers, TextBayes, best_class, classes_of, numbered_rows
 from quirefold.sources.shared import materialize
 
 
@@ -145,10 +146,17 @@ def learn_and_classify_each(cards: list[ModelCard], rows: DataFrame, masked: boo
     if len({(c.kind, c.text, c.label, c.alpha, c.norm) for c in cards}) > 1 or cards[0].kind != "stacked":
         raise ValueError("stacked models of different texts")
     label, kept = cards[0].label, [c for c in rows.columns if c != cards[0].label]
-    rows = materialize(rows, "model_rows")
+    columns, (rows, key) = rows.columns, numbered_rows(rows)
     coded, bayes, *_ = pipeline(cards[0], **options).getStages()
-    scored = Pipeline(stages=[coded, bayes]).fit(rows.dropna(subset=[label])).transform(rows)
-    scored = materialize(scored.select(*rows.columns, bayes.getPredictionCol()), "text_classes")
+    if rows.filter(F.col(label).isNull()).limit(1).count():
+        scored = Pipeline(stages=[coded, bayes]).fit(rows.dropna(subset=[label])).transform(rows)
+    else:  # the texts that are scored are those that the model is fitted on, and meet its terms while they are numbered
+        classes = [float(c) for c in classes_of(rows, label)]
+        texts = coded.transform(rows).select(key, coded.getOutputCol())
+        found = complement_scores(texts, rows.select(key, F.col(label).cast("double").alias("y")), key, coded.getOutputCol(), classes, bayes.getOrDefault("ngrams"), bayes.getOrDefault("alpha"), bayes.getOrDefault("norm"))
+        classed = found.select(key, best_class(F.col("scores"), classes).alias("_class")).hint("merge")
+        scored = rows.join(classed, key, "left").withColumn(bayes.getPredictionCol(), F.coalesce("_class", F.lit(classes[0]))) if classes else rows.withColumn(bayes.getPredictionCol(), F.lit(0.0))
+    scored = materialize(scored.select(*columns, bayes.getPredictionCol()), "text_classes", True)
     out = []
     for card in cards:
         *_, assembler, forest = pipeline(card, **options).getStages()

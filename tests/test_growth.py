@@ -135,13 +135,21 @@ def test_features_are_made_once_for_fitting_and_prediction(spark, name):
 def test_stacked_models_of_one_text_share_its_model(spark, data, monkeypatch):
     """Both models of in-text headings read one text: it is fitted and scored once, not twice and four times."""
     calls = []
-    for kind, name in ((textmodel.TextBayes, "_fit"), (textmodel.TextBayesModel, "_transform")):
-        monkeypatch.setattr(kind, name, lambda self, rows, f=getattr(kind, name), name=name: calls.append(name) or f(self, rows))
-    assert catalogue.queries()["heading_full_model"](spark, data).count() > 0 and sorted(calls) == ["_fit", "_transform"]
+    for kind, name in ((textmodel.TextBayes, "_fit"), (textmodel.TextBayesModel, "_transform"), (learning, "complement_scores")):
+        monkeypatch.setattr(kind, name, lambda *a, f=getattr(kind, name), name=name: calls.append(name) or f(*a))
+    assert catalogue.queries()["heading_full_model"](spark, data).count() > 0 and calls == ["complement_scores"]
     cards = [learning.CARDS[n] for n in ("heading_id_intext", "heading_id_intext_no_toc")]
     rows = spark.range(60).selectExpr("id", "if(id % 2 = 0, 'high hill', 'low land') as text", *[f"cast(id % 3 as double) as {f}" for f in cards[0].features], "if(id < 50, cast(id % 2 as int), null) as heading")
     for found in learning.learn_and_classify_each(cards, rows):
         assert {r.id: r.heading for r in found.collect()} == {i: i % 2 for i in range(60)} and found.columns == ["id", "text", *cards[0].features, "heading", "proba"]
+    assert calls[1:] == ["_fit", "_transform"]
+    labelled = rows.filter("heading is not null").withColumn("text", F.expr("if(id = 2, null, if(id = 4, '7.1 high', text))"))
+    model = textmodel.TextBayes(inputCol="_coded", labelCol="heading", alpha=cards[0].alpha, norm=True, predictionCol="_nb")
+    coded = textmodel.CodedNumbers(inputCol="text", outputCol="_coded").transform(labelled)
+    expected = {r.id: r._nb for r in model.fit(coded).transform(coded).collect()}
+    seen = []
+    monkeypatch.setattr(learning, "materialize", lambda df, name, *a, f=learning.materialize: seen.append(f(df, name, *a)) or seen[-1])
+    assert learning.learn_and_classify_each(cards, labelled)[0].count() == 50 and {r.id: r._nb for r in seen[0].collect()} == expected
     with pytest.raises(ValueError, match="different texts"):
         learning.learn_and_classify_each([cards[0], learning.CARDS["heading_classification"]], rows)
 
